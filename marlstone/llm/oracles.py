@@ -7,20 +7,20 @@ WITH RECURSIVE d AS (
 ), tot AS (SELECT s, sum(t)::BIGINT AS tokens, count(*) AS n FROM d GROUP BY s),
 sh AS (SELECT s, ln(tokens::DOUBLE / (SELECT sum(tokens) FROM tot)::DOUBLE) AS lp FROM tot WHERE tokens > 0),
 l AS (SELECT list(lp) AS ps FROM sh),
-goal AS (SELECT ps, -list_sum(list_transform(ps, x -> exp(x) * x)) + 0.5 * (ln(len(ps)) + list_sum(list_transform(ps, x -> exp(x) * x))) AS h FROM l),
+goal AS (SELECT ps, -list_sum(list_transform(ps, lambda x: exp(x) * x)) + 0.5 * (ln(len(ps)) + list_sum(list_transform(ps, lambda x: exp(x) * x))) AS h FROM l),
 high AS (  -- the largest exponent lo / 2**30 with at least that entropy; hi fails
   SELECT 0 AS step, 0::BIGINT AS lo, (1::BIGINT << 30) + 1 AS hi
   UNION ALL
   SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
-    SELECT step, lo, hi, (lo + hi) // 2 AS mid, ln(list_sum(list_transform(ps, x -> exp(x * ((lo + hi) // 2) / (1 << 30)))))
-      - list_sum(list_transform(ps, x -> exp(x * ((lo + hi) // 2) / (1 << 30)) * x * ((lo + hi) // 2) / (1 << 30)))
-      / list_sum(list_transform(ps, x -> exp(x * ((lo + hi) // 2) / (1 << 30)))) >= h - 1e-12 AS ok FROM high, goal WHERE hi - lo > 1)
+    SELECT step, lo, hi, (lo + hi) // 2 AS mid, ln(list_sum(list_transform(ps, lambda x: exp(x * ((lo + hi) // 2) / (1 << 30)))))
+      - list_sum(list_transform(ps, lambda x: exp(x * ((lo + hi) // 2) / (1 << 30)) * x * ((lo + hi) // 2) / (1 << 30)))
+      / list_sum(list_transform(ps, lambda x: exp(x * ((lo + hi) // 2) / (1 << 30)))) >= h - 1e-12 AS ok FROM high, goal WHERE hi - lo > 1)
 ), low AS (  -- the smallest exponent hi / 2**30 within two passes; lo fails
   SELECT 0 AS step, -1::BIGINT AS lo, (1::BIGINT << 30) AS hi
   UNION ALL
   SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
-    SELECT step, lo, hi, (lo + hi) // 2 AS mid, exp(list_max(list_transform(ps, x -> x * ((lo + hi) // 2) / (1 << 30) - x))
-      - list_min(list_transform(ps, x -> x * ((lo + hi) // 2) / (1 << 30) - x))) <= 2 + 1e-12 AS ok FROM low, goal WHERE hi - lo > 1)
+    SELECT step, lo, hi, (lo + hi) // 2 AS mid, exp(list_max(list_transform(ps, lambda x: x * ((lo + hi) // 2) / (1 << 30) - x))
+      - list_min(list_transform(ps, lambda x: x * ((lo + hi) // 2) / (1 << 30) - x))) <= 2 + 1e-12 AS ok FROM low, goal WHERE hi - lo > 1)
 ), a AS (SELECT greatest((SELECT max(lo) FROM high), (SELECT min(hi) FROM low)) / (1 << 30) AS a),
 p AS (
   SELECT tot.s, tokens, least(4096, ceil(n / 256.0))::BIGINT AS blocks,

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .bpe import bpe_digests
 from .chat import preference_pairs
 from .mixing import mixture
 from .oracles import CHAT_SQL, MIX_SQL
+from .quality import weak_quality
 from .sharding import balanced_shards
 
 
@@ -17,6 +19,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("mix_pass").cast("long").alias("mix_pass"), "n_tokens", "mix_block", "mix_block_key", "mix_row_key")
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weak_quality(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"), vocab_path())
+
+
 def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -29,8 +40,14 @@ def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
 
 
+def vocab_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict:
-    own = [op2_mix_sources, op8_balanced_shards, op9_preference_pairs]
+    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op8_balanced_shards, op9_preference_pairs]
     return {f.__name__: f for f in own}
 
 
