@@ -73,3 +73,14 @@ SELECT n.pair_id, chosen_id, rejected_id, n_prompt_turns,
        coalesce(string_agg((done - 8 - m)::BIGINT || ':' || (done - 1)::BIGINT, ',' ORDER BY k) FILTER (NOT prompt AND NOT chosen AND role = 'assistant'), '') AS rejected_spans
 FROM n JOIN s USING (pair_id) GROUP BY n.pair_id, chosen_id, rejected_id, n_prompt_turns
 """
+
+TOPK_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

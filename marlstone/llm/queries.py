@@ -9,9 +9,10 @@ from ..sources.tables import read_table
 from .bpe import bpe_digests
 from .chat import preference_pairs
 from .mixing import mixture
-from .oracles import CHAT_SQL, MIX_SQL
+from .oracles import CHAT_SQL, MIX_SQL, TOPK_SQL
 from .quality import weak_quality
 from .sharding import balanced_shards
+from .topk import exact_top_k
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
+
+
 def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -47,9 +52,9 @@ def vocab_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op8_balanced_shards, op9_preference_pairs]
+    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": MIX_SQL, "op9_preference_pairs": CHAT_SQL}
+    return {"op2_mix_sources": MIX_SQL, "op7_exact_top_k": TOPK_SQL, "op9_preference_pairs": CHAT_SQL}
