@@ -13,6 +13,7 @@ from .oracles import CHAT_SQL, MIX_SQL, TOPK_SQL
 from .quality import weak_quality
 from .sharding import balanced_shards
 from .topk import exact_top_k
+from .toxicity import toxicity
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def vocab_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -52,7 +57,7 @@ def vocab_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs]
+    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs, op10_toxicity]
     return {f.__name__: f for f in own}
 
 
