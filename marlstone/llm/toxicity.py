@@ -142,7 +142,7 @@ class ToxicityModel:
     prefixes: dict[str, float] = field(default_factory=dict)
     fuzzy: set[str] = field(default_factory=set)
     exceptions: set[str] = field(default_factory=set)
-    coef: list[float] = field(default_factory=lambda: [-20.0, 0.0, 0.0])
+    coef: list[float] = field(default_factory=lambda: [-20.0, 0.0])
 
     def __post_init__(self):
         self._auto, self._kept = None, {}
@@ -183,13 +183,11 @@ class ToxicityModel:
             total += weight * (MISSPELT if off else 1.0) * (QUOTED if quoted(tokens, i) else 1.0)
         return total
 
-    def features(self, text: str) -> tuple[float, float]:
-        total = self.evidence(text)
-        return math.log1p(total), min(total, 4.0) / 4.0
+    def feature(self, text: str) -> float:
+        return math.log1p(self.evidence(text))
 
     def score(self, text: str) -> float:
-        a, b = self.features(text)
-        z = self.coef[0] + self.coef[1] * a + self.coef[2] * b
+        z = self.coef[0] + self.coef[1] * self.feature(text)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -254,7 +252,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learns from labelled rows only, those with crc32(id) mod 3 other than 1, and of these from ``max_toxic`` toxic and
     ``max_clean`` clean ones at most, in hashed order. The lexicon: words, and openings of words, that occur in at least
-    two toxic texts, nine times in ten in toxic ones, and too often so for chance; misspellings of a term count unless
+    two toxic texts (three of 300 or more), nine times in ten in toxic ones, and too often so for chance; misspellings of a term count unless
     natural words lie around it (more than two in the clean sample), and never those words themselves.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__x"))
@@ -270,7 +268,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long, docs long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"), F.sum("docs").alias("d"))
     n = F.col("a") + F.col("c")
     gain = 2 * (F.col("a") * F.log(F.col("a") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share + 1e-9)))).otherwise(0))
-    best = counts.filter((F.col("d") >= 2) & (F.col("a") >= 9 * F.col("c"))).withColumn("gain", gain).filter("gain >= 20").orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    best = counts.filter((F.col("d") >= (3 if sizes[1]["n"] >= 300 else 2)) & (F.col("a") >= 9 * F.col("c"))).withColumn("gain", gain).filter("gain >= 20").orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     weight = {r["term"]: min(8.0, math.log((r["a"] + 0.5) / (r["c"] + 0.5) * (1 - share + 1e-9) / share)) for r in best}
     terms = {t: w for t, w in weight.items() if not t.endswith("*")}
     prefixes = {t[:-1]: w for t, w in weight.items() if t.endswith("*")}
@@ -291,13 +289,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [model.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64())], names=["x", "f", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([model.feature(t) for t in b.column(0).to_pylist()], pa.float64())], names=["x", "f"])
 
-    rows = sample.mapInArrow(features, "x int, f double, g double").groupBy("x", "f", "g").agg(F.count(F.lit(1)).alias("n")).collect()  # the sample's size at most
+    rows = sample.mapInArrow(features, "x int, f double").groupBy("x", "f").agg(F.count(F.lit(1)).alias("n")).collect()  # the sample's size at most
     drop(sample)
     rows.sort()
-    x = np.repeat(np.array([[r["f"], r["g"]] for r in rows]), [r["n"] for r in rows], axis=0)
+    x = np.repeat(np.array([[r["f"]] for r in rows]), [r["n"] for r in rows], axis=0)
     y = np.repeat(np.array([float(r["x"]) for r in rows]), [r["n"] for r in rows])
     model.coef = _fit_logistic(x, y)
     return model
