@@ -252,7 +252,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learns from labelled rows only, those with crc32(id) mod 3 other than 1, and of these from ``max_toxic`` toxic and
     ``max_clean`` clean ones at most, in hashed order. The lexicon: words, and openings of words, that occur in at least
-    two toxic texts (three of 300 or more), nine times in ten in toxic ones, and too often so for chance; misspellings of a term count unless
+    two toxic texts (three of 300 or more), nine times in ten in toxic ones, and too often so for chance; an opening must stand for more
+    than one word. Misspellings of a term count unless
     natural words lie around it (more than two in the clean sample), and never those words themselves.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__x"))
@@ -271,7 +272,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     best = counts.filter((F.col("d") >= (3 if sizes[1]["n"] >= 300 else 2)) & (F.col("a") >= 9 * F.col("c"))).withColumn("gain", gain).filter("gain >= 20").orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     weight = {r["term"]: min(8.0, math.log((r["a"] + 0.5) / (r["c"] + 0.5) * (1 - share + 1e-9) / share)) for r in best}
     terms = {t: w for t, w in weight.items() if not t.endswith("*")}
-    prefixes = {t[:-1]: w for t, w in weight.items() if t.endswith("*")}
+    seen = {r["term"]: r["a"] for r in best}
+    most = {t: max([a for w, a in seen.items() if not w.endswith("*") and w.startswith(t[:-1])], default=0) for t in seen if t.endswith("*")}
+    prefixes = {t[:-1]: w for t, w in weight.items() if t.endswith("*") and seen[t] >= 2 * most[t]}  # not one word's own opening
     draft = ToxicityModel(terms, prefixes, set(terms))
 
     def natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
