@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .bpe import bpe_digests
 from .chat import preference_pairs
+from .jaccard import jaccard_classes
 from .mixing import mixture
 from .oracles import CHAT_SQL, MIX_SQL, TOPK_SQL
 from .quality import weak_quality
 from .sharding import balanced_shards
+from .suffixes import cut_repeats
 from .topk import exact_top_k
 from .toxicity import toxicity
 
@@ -21,6 +23,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("mix_pass").cast("long").alias("mix_pass"), "n_tokens", "mix_block", "mix_block_key", "mix_row_key")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the passages of 50 words or more that an earlier document has; spans as text, lo:hi in words."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = cut_repeats(docs, min_words=50)
+    spans = F.array_join(F.transform("cut_spans", lambda s: F.concat_ws(":", s["lo"].cast("string"), s["hi"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_cut_words", spans.alias("cut_spans"), F.sha2(F.col("cut_text").cast("binary"), 256).alias("cut_sha256"))
+
+
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = weak_quality(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -57,7 +71,7 @@ def vocab_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    own = [op2_mix_sources, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs, op10_toxicity]
+    own = [op2_mix_sources, op3_jaccard_join, op4_suffix_dedup, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs, op10_toxicity]
     return {f.__name__: f for f in own}
 
 
