@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import drop, stash
 from .words import word_hashes, windows
@@ -203,8 +204,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     wanted = seeds.select("th")
     few = seeds.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS  # else a plain join
     some = base.join(F.broadcast(wanted) if few else wanted, "th", "left_semi")
-    known = seeds.join(firsts, "th")
-    some = some.join(known, (some["th"] == known["th"]) & some["id"].eqNullSafe(known["first"])).select(some["text"], some["th"], some["id"], known["seeds"])
+    known = seeds.join(firsts, "th").withColumnRenamed("th", "kth")
+    some = some.join(known, (F.col("th") == F.col("kth")) & F.col("id").eqNullSafe(F.col("first"))).select("text", "th", "id", "seeds")
     parts = max(least, int(total / 6 / 5 / KEYS_A_TASK))
     runs = some.mapInArrow(lambda b: _extend(b, min_words, seed_words, parts), KIND)
     runs = runs.repartition(parts, "bucket").mapInArrow(lambda b: _later(b, min_words), "th long, lo long, hi long")
@@ -252,7 +253,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = S
     is_first = F.col(id_col).cast("long").eqNullSafe(F.col("first"))
     kind = "array<struct<lo:bigint,hi:bigint>>"
     rows = rows.select(*docs.columns, F.when(is_first, F.coalesce("spans", F.array().cast(kind))).alias("__spans"))
-    schema = docs.schema.add("n_words", "long").add("n_cut_words", "long").add("cut_spans", kind)
+    schema = docs.schema.add("n_words", "long").add("n_cut_words", "long").add("cut_spans", DataType.fromDDL(kind))
     if cut_col:
         schema = schema.add(cut_col, "string")
     at = docs.columns.index(text_col)
