@@ -9,6 +9,7 @@ from ..sources.tables import read_table
 from .bpe import bpe_digests
 from .chat import preference_pairs
 from .jaccard import jaccard_classes
+from .maxent import score_documents
 from .mixing import mixture
 from .oracles import CHAT_SQL, MIX_SQL, TOPK_SQL
 from .quality import weak_quality
@@ -18,6 +19,10 @@ from .topk import exact_top_k
 from .toxicity import toxicity
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture(read_table(spark, sf_dir, "documents"), flatten=0.5, max_passes=2.0)
     return out.select("doc_id", "source", F.col("mix_pass").cast("long").alias("mix_pass"), "n_tokens", "mix_block", "mix_block_key", "mix_row_key")
@@ -71,7 +76,7 @@ def vocab_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict:
-    own = [op2_mix_sources, op3_jaccard_join, op4_suffix_dedup, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs, op10_toxicity]
+    own = [op1_maxent_lm, op2_mix_sources, op3_jaccard_join, op4_suffix_dedup, op5_weak_quality, op6_bpe, op7_exact_top_k, op8_balanced_shards, op9_preference_pairs, op10_toxicity]
     return {f.__name__: f for f in own}
 
 
