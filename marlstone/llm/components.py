@@ -1,37 +1,83 @@
-"""Connected components of a graph given by its edges, with joins and aggregates only."""
+"""Connected components of a graph given by its edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, stash
 
+FLUSH = 2_000_000  # edges that a task holds at most before it contracts them
+SCHEMA = "a long, b long, m int"
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for every node of the edges that isn't the least itself."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root == before).all():
+            break
+    child = root != np.arange(len(nodes))
+    return nodes[child], nodes[root[child]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contracts a task's edges to stars; m: whether that changed anything."""
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    seen, merged = 0, False
+    for batch in batches:
+        x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        a, b = np.concatenate((a, x)), np.concatenate((b, y))
+        seen += len(x)
+        if len(a) > FLUSH:
+            a, b, merged = _contract(a, b, merged)
+    a, b, merged = _contract(a, b, merged)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), merged, np.int32))], names=["a", "b", "m"])
+
+
+def _contract(a: np.ndarray, b: np.ndarray, merged: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    if not len(a):
+        return a, b, merged
+    x, y = star_forest(a, b)
+    had = np.unique(np.column_stack((a, b)), axis=0)
+    same = len(had) == len(x) and (had[:, 0] == x).all() and (had[:, 1] == y).all()
+    return x, y, merged or not same
+
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (a, b), root the least node reachable; stashed.
 
-    Alternates large-star and small-star steps: each links a node's neighbours to the least of them, so that trees flatten
-    to stars in a few rounds. Minima combine before the shuffle; the join on a node with very many neighbours is one that
-    adaptive execution splits. Nothing but two figures a round reaches the driver.
+    Every task first contracts its own edges to stars, so that a node has one edge a task at most. Each round then brings
+    the edges of a node together, contracts again, and moves nodes from their parent to its parent (a join that adaptive
+    execution splits where very many share a parent), until nothing changes: as many rounds as the logarithm of the
+    depth. One figure a round reaches the driver.
     """
-    e = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    mark = None
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, SCHEMA)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stash(large, "cc")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        small = stash(small.select("x.a", "x.b").filter("a <> b").distinct(), "cc")
-        drop(e, large)
-        e = small
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first()
-        if tuple(now) == mark:
+        stars = stash(e.select("a", "b").repartition(parts, "a").mapInArrow(_forest, SCHEMA), "cc")
+        up = stars.groupBy(F.col("a").alias("p")).agg(F.min("b").alias("q"))
+        after = stash(stars.join(up, F.col("b") == F.col("p"), "left").select("a", F.coalesce("q", "b").alias("b"), (F.col("m") + F.col("q").isNotNull().cast("int")).alias("m")), "cc")
+        drop(stars, *([held] if held is not None else []))
+        e = held = after
+        if not e.agg(F.max("m").alias("m")).first()["m"]:
             break
-        mark = tuple(now)
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = stash(pairs.unionByName(pairs.select(F.col("root").alias("node"), "root")).distinct(), "cc-roots")
-    drop(e)
-    return out
+    return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

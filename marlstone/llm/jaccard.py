@@ -38,7 +38,7 @@ def most_differences(size: int, percent: int) -> int:
 
 
 def _cells(h: np.ndarray, n: int, salt: int) -> np.ndarray:
-    return ((mix(h + np.uint64(salt) * ONE) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    return ((mix(h + np.uint64((salt * int(ONE)) & ((1 << 64) - 1))) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
 def candidate_keys(h: np.ndarray, percent: int) -> np.ndarray:
@@ -255,12 +255,12 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     groups = components(found.filter(F.col("kind") == EDGE).select("a", "b"))
     links = _links(base, rows, groups, n, percent)
     roots = components(links)
-    drop(groups, links)
+    drop(links)
     least = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"))
     named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     final = stash(named.join(smallest, "root").select("cls", "component_id"), "jaccard-classes")
-    drop(roots)
+
     out = rows.join(final, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -297,7 +297,7 @@ def _links(base: DataFrame, rows: DataFrame, groups: DataFrame, n: int, percent:
     some = spread.select("g", "band", "block").distinct()
     second = large.join(some, ["g", "band", "block"]).join(minor.select("g", "band", "cls"), ["g", "band", "cls"], "left_anti").select("g", "band", "block", "cls", "id", F.lit(False).alias("probe"))
     more = stash(links.unionByName(_compare(base, second.unionByName(spread), n, percent)), "jaccard-links")
-    drop(members, placed, at, roots, links)
+    drop(members, placed, at, links)
     return more
 
 
