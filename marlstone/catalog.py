@@ -16,9 +16,15 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from . import queries as _  # noqa: F401  registers on import
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
