@@ -21,7 +21,7 @@ HOT, PER_CLASS, RARE = 8192, 128, 32
 CLASSES = HOT // PER_CLASS
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
 #: Words whose counts every task holds; the counts of all others come by a join.
-COUNTED, LONGEST = 1 << 19, 64
+COUNTED, LONGEST = 1 << 18, 64
 END = b""  # the end token: no word is empty
 ROUNDS, BATCH, RATE = 2, 16384, 0.25
 ROWS_A_BLOCK = 256
@@ -182,18 +182,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(table: DataFrame) -> Vocabulary:
-    """Counts of all words are in table; the driver gets the COUNTED most frequent and sums."""
+    """Counts of all words are in table; the driver gets the most frequent, COUNTED at most, and sums.
+
+    A histogram of counts in steps of a 64th of a doubling (4096 rows at most) says from which count on there are few
+    enough words; so no task sends more than its share of them.
+    """
     sums = table.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    short = table.filter(F.octet_length("word") <= LONGEST)
-    best = short.orderBy(F.desc("c"), "word").limit(COUNTED).collect()
+    step = F.floor(F.log2(F.col("c").cast("double")) * 64 + 1e-9).cast("long")
+    short = table.filter(F.octet_length("word") <= LONGEST).withColumn("step", step)
+    upto, least = 0, 1 << 60
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        upto += r["n"]
+        if upto > COUNTED:
+            break
+        least = r["step"]
+    best = short.filter(F.col("step") >= least).select("word", "c").toArrow()
+    words, counts = best.column(0).to_pylist(), best.column(1).to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    words, counts = [words[i] for i in order], np.array([counts[i] for i in order], np.int64)
     rare = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(RARE))
     mass = np.ones(RARE)
     for r in table.groupBy(rare.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         mass[r["k"]] += r["n"] + r["v"]
-    for r in best[:HOT]:
-        mass[rare_class(bytes(r["word"]))] -= r["c"] + 1
-    words = [bytes(r["word"]) for r in best]
-    return Vocabulary(words, np.array([r["c"] for r in best], np.int64), int(sums["n"] or 0), int(sums["v"]), np.maximum(mass, 1.0))
+    for w, c in zip(words[:HOT], counts[:HOT].tolist()):
+        mass[rare_class(w)] -= c + 1
+    return Vocabulary(words, counts, int(sums["n"] or 0), int(sums["v"]), np.maximum(mass, 1.0))
 
 
 def _start(v: Vocabulary) -> Model:
