@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, stash
 from .components import components
-from .words import ONE, mix, shingle_set
+from .words import ONE, bounded, mix, shingle_set
 
 RATIO = 1.5  # of the ends of a band of the key scheme
 TILE = 1024  # members of a tile that are compared in one task
@@ -97,7 +97,7 @@ def _pairs_of(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
 def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per batch: keys dealt to buckets, one class for a key; links of the others that share it; and (id, size, class)."""
     names = ["bucket", "kind", "a", "b", "c"]
-    for b in batches:
+    for b in bounded(batches, 1):
         ids, classes, sizes, keys, owner = b.column(0), [], [], [], []
         for t in b.column(1):
             h = shingle_set(t.as_py(), n)
@@ -216,7 +216,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
 
     for b in batches:
         out = []
-        for t, c, p, text in zip(*[b.column(k).to_pylist() for k in range(4)]):
+        for t, c, p, text in ((t, c, p, x.as_py()) for t, c, p, x in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3))):
             if t != tile:
                 out += close()
                 tile, sets, names, probe = t, [], [], []

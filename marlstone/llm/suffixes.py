@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from .common import drop, stash
-from .words import word_hashes, windows
+from .words import bounded, windows, word_hashes
 
 MIN_WORDS, SEED_WORDS = 50, 16
 BROADCAST_TEXTS = 1_000_000
@@ -57,7 +57,7 @@ def _starts(sorted_keys: np.ndarray) -> np.ndarray:
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Suffixes (seed, text) retained at minimisers, sorted in the batch: equal neighbours are found here, and of those only
     the seed goes on, with the mark that it repeats."""
-    for b in batches:
+    for b in bounded(batches, 0):
         seeds, owner, seen = [], [], set()
         for t, th in zip(b.column(0), b.column(1).to_pylist()):
             if th in seen:
@@ -133,7 +133,7 @@ def _earlier(key: np.ndarray, ident: np.ndarray, th: np.ndarray, pos: np.ndarray
 
 def _extend(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """From each repeating suffix, extends left and right: every run of min_words words that has it as its minimiser."""
-    for b in batches:
+    for b in bounded(batches, 0):
         key, seed, ident, owner, place = [], [], [], [], []
         for text, th, i, known in zip(*[b.column(k).to_pylist() for k in range(4)]):
             h = word_hashes(text)
@@ -259,7 +259,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = S
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, at):
             words, cut, where, texts = [], [], [], []
             for text, s in zip(b.column(at), b.column(b.num_columns - 1).to_pylist()):
                 t = text.as_py()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 ONE = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers that spread bits
@@ -54,3 +58,15 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     if not len(h):
         return np.empty(0, np.uint64)
     return np.unique(windows(h, min(n, len(h))))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``limit`` bytes of text, or of one longer text: what a task holds at once."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = int(size[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
+            yield b.slice(at, to - at)
+            at = to
