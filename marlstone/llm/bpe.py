@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The code points with the property White_Space.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.iinfo(np.int64).max
-CACHE = 700_000
+CACHE = 250_000
 SLICE_BYTES = 8 << 20
 MARKS = frozenset(".,;:!?")
 

@@ -18,7 +18,7 @@ from .common import drop, stash
 #: Bounds of what is learned from; all are parameters of toxicity_model.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_EXCEPTIONS = 4000, 24000, 2048, 8192
 PREFIXES = (4, 5, 6, 7, 8)
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~‘’“”„«»…¿¡"
 #: Marks of quotation, and words that report what others say.
 OPENING, CLOSING = frozenset("\"'“‘„«"), frozenset("\"'”’“»")

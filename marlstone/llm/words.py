@@ -11,7 +11,7 @@ import xxhash
 
 ONE = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers that spread bits
 TWO = np.uint64(0xC2B2AE3D27D4EB4F)
-KEPT = 500_000
+KEPT = 200_000
 
 
 class WordHashes(dict):
@@ -60,7 +60,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(h, min(n, len(h))))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of up to ``limit`` bytes of text, or of one longer text: what a task holds at once."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
