@@ -64,7 +64,7 @@ def breusch_pagan(df: DataFrame, e: str, xs: Sequence[str], by: Sequence[str] =
     g = gram(df.withColumn("__e2", F.col(e) ** 2), [*xs, "__e2"], by)
 
     def solve(r):
-        n, m = int(r["n"]), unpack(r["g"], len(xs) + 1)
+        n, m = int(r["n"]), unpack(r["__gram"], len(xs) + 1)
         f = _aux(m, n, len(xs) + 1, list(range(1, len(xs) + 1)))
         s2 = m[0, -1] / m[0, 0]
         if f["status"] != "ok" or s2 == 0:
@@ -83,7 +83,7 @@ def white_test(df: DataFrame, e: str, xs: Sequence[str], by: Sequence[str] = ())
     g = gram(rows, [*cols, "__e2"], by)
 
     def solve(r):
-        n, m = int(r["n"]), unpack(r["g"], len(cols) + 1)
+        n, m = int(r["n"]), unpack(r["__gram"], len(cols) + 1)
         mean = m[0, 1:] / n
         s = m[1:, 1:] - n * np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(s), 0))
@@ -105,7 +105,7 @@ def arch_lm(df: DataFrame, e: str, q: int, by: Sequence[str], order: Sequence[st
     cols = [f"__l{k}" for k in range(1, q + 1)]
 
     def solve(r):
-        n, m = int(r["n"]), unpack(r["g"], q + 1)
+        n, m = int(r["n"]), unpack(r["__gram"], q + 1)
         f = _aux(m, n, q + 1, list(range(1, q + 1)))
         if f["status"] != "ok" or not f["tss"] > 0:
             return [{"t": n, "statistic": None, "p": None}]
@@ -133,7 +133,7 @@ def adf_test(df: DataFrame, y: str, by: Sequence[str], order: Sequence[str], max
     crit = ADF_CRITICAL[kind]
 
     def solve(r):
-        n, m = int(r["n"]), unpack(r["g"], len(xs) + 1)
+        n, m = int(r["n"]), unpack(r["__gram"], len(xs) + 1)
         f = solve_gram(m, n, kind != "none")
         if f["status"] != "ok" or n < 10:
             return [{"lags": max_lag, "statistic": None, "p_bucket": None, "stationary": None}]

@@ -59,7 +59,7 @@ def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, n
         raise ValueError("no rows")
     m0 = np.array([shift[f"m{i}"] for i in range(len(cols))])
     r = gram(df.select(*[(F.col(c) - float(m0[i])).alias(f"c{i}") for i, c in enumerate(cols)]), [f"c{i}" for i in range(len(cols))]).first()
-    g = unpack(r["g"], len(cols))
+    g = unpack(r["__gram"], len(cols))
     n = int(r["n"])
     d = g[0, 1:] / n
     return m0 + d, (g[1:, 1:] - n * np.outer(d, d)) / (n - 1), n
@@ -82,7 +82,7 @@ def pca(df: DataFrame, cols: Sequence[str], n_components: int = 0) -> tuple[Data
 
 def tall_svd(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(df with u1.., singular values, Vt) of a tall matrix, through its cross products: sound up to a condition of 1e8."""
-    g = unpack(gram(df, cols).first()["g"], len(cols))[1:, 1:]
+    g = unpack(gram(df, cols).first()["__gram"], len(cols))[1:, 1:]
     val, vec = np.linalg.eigh(g)
     order = np.argsort(-val)
     s, v = np.sqrt(np.maximum(val[order], 0)), vec[:, order]

@@ -48,7 +48,7 @@ def fama_macbeth(df: DataFrame, y: str, xs: Sequence[str], time: str, intercept:
     terms, cols = design(xs, intercept), [*xs, y]
 
     def fit(r):
-        f = solve_gram(unpack(r["g"], len(cols)), int(r["n"]), intercept)
+        f = solve_gram(unpack(r["__gram"], len(cols)), int(r["n"]), intercept)
         return [{"ok": f["status"] == "ok", "b": [float(x) for x in f["beta"]] if f["status"] == "ok" else None}]
 
     rows = solve_rows(gram(df, cols, [time]), [time], fit, "ok boolean, b array<double>").orderBy(time).collect()  # a row a period

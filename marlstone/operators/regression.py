@@ -68,13 +68,13 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), cov: s
 
     def classical(r):
         n = int(r["n"])
-        return table(solve_gram(unpack(r["g"], len(cols)), n, intercept), terms, None, n)
+        return table(solve_gram(unpack(r["__gram"], len(cols)), n, intercept), terms, None, n)
 
     if cov == "classical":
         return solve_rows(g, by, classical, COEF)
 
     def coefs(r):
-        fit = solve_gram(unpack(r["g"], len(cols)), int(r["n"]), intercept)
+        fit = solve_gram(unpack(r["__gram"], len(cols)), int(r["n"]), intercept)
         return [{"__b": [float(x) for x in fit["beta"]] if fit["status"] == "ok" else None}]
 
     beta = solve_rows(g, by, coefs, "__b array<double>")
@@ -117,7 +117,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), cov: s
 
     def sandwich(r):
         n = int(r["n"])
-        fit = solve_gram(unpack(r["g"], len(cols)), n, intercept)
+        fit = solve_gram(unpack(r["__gram"], len(cols)), n, intercept)
         if fit["status"] != "ok":
             return table(fit, terms, None, n)
         v = np.zeros((k, k))
@@ -167,7 +167,7 @@ def batched_ols_columns(df: DataFrame, ys: Sequence[str], xs: Sequence[str], int
     k = len(xs)
 
     def solve(r):
-        m, n, out = unpack(r["g"], k + len(ys)), int(r["n"]), []
+        m, n, out = unpack(r["__gram"], k + len(ys)), int(r["n"]), []
         for j, name in enumerate(ys):
             at = [*range(k + 1), k + 1 + j]
             out += [{"y": name, **x} for x in table(solve_gram(m[np.ix_(at, at)], n, intercept), design(xs, intercept), None, n)]
@@ -181,11 +181,11 @@ def _window_ols(df, y, xs, key, order, frame, keep, intercept):
     s = with_seq(df, key, order).withColumn("__one", F.lit(1.0))
     w = ordered(key, order).rowsBetween(*frame)
     sums = [F.sum(F.col(a).cast("double") * F.col(b)).over(w) for i, a in enumerate(cols) for b in cols[i:]]
-    g = s.select(*key, F.col("seq").alias("end_seq"), F.count(F.lit(1)).over(w).alias("n"), F.array(*sums).alias("g")).filter(keep)
+    g = s.select(*key, F.col("seq").alias("end_seq"), F.count(F.lit(1)).over(w).alias("n"), F.array(*sums).alias("__gram")).filter(keep)
 
     def solve(r):
         n = int(r["n"])
-        return table(solve_gram(unpack(r["g"], len(xs) + 1), n, intercept), design(xs, intercept), None, n)
+        return table(solve_gram(unpack(r["__gram"], len(xs) + 1), n, intercept), design(xs, intercept), None, n)
 
     return solve_rows(g, [*key, "end_seq"], solve, COEF)
 
@@ -268,7 +268,7 @@ def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Seq
         return inv, a, a @ (zx.T @ inv @ zy), zz, zx, zy
 
     def solve(r):
-        n, m = int(r["n"]), unpack(r["g"], len(names) + 1)
+        n, m = int(r["n"]), unpack(r["__gram"], len(names) + 1)
         f = fit(m, n)
         if f is None:
             return [{"term": t, "n": n, "status": "singular"} for t in terms]
@@ -305,7 +305,7 @@ def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Seq
         return out
 
     if cov == "white":
-        beta = solve_rows(g, by, lambda r: [{"__b": None if (f := fit(unpack(r["g"], len(names) + 1), int(r["n"]))) is None else [float(x) for x in f[2]]}], "__b array<double>")
+        beta = solve_rows(g, by, lambda r: [{"__b": None if (f := fit(unpack(r["__gram"], len(names) + 1), int(r["n"]))) is None else [float(x) for x in f[2]]}], "__b array<double>")
         rows = df.join(beta, list(by)) if by else df.join(F.broadcast(beta))  # one row
         x = [F.lit(1.0)] * intercept + [F.col(c) for c in xs]
         z = [F.lit(1.0)] * intercept + [F.col(c) for c in zs]

@@ -44,7 +44,7 @@ def var(df: DataFrame, ys: Sequence[str], p: int, order: Sequence[str], by: Sequ
     rows = lags(df, ys, p, by, order)
     xs = [f"{y}_lag{k}" for k in range(1, p + 1) for y in ys]
     r = gram(rows, [*xs, *ys]).first()
-    g, n, k = unpack(r["g"], len(xs) + len(ys)), int(r["n"]), len(xs) + 1
+    g, n, k = unpack(r["__gram"], len(xs) + len(ys)), int(r["n"]), len(xs) + 1
     fits = [solve_gram(g[np.ix_(at, at)], n, True) for j in range(len(ys)) for at in [[*range(k), k + j]]]
     if any(f["status"] != "ok" for f in fits):
         raise ValueError("the lags are collinear or too many")
@@ -94,7 +94,7 @@ def granger_causality(df: DataFrame, y: str, x: str, n_lags: int, by: Sequence[s
     cols = [*[f"{y}_lag{k}" for k in range(1, n_lags + 1)], *[f"{x}_lag{k}" for k in range(1, n_lags + 1)]]
 
     def solve(r):
-        n, g, q = int(r["n"]), unpack(r["g"], 2 * n_lags + 1), n_lags
+        n, g, q = int(r["n"]), unpack(r["__gram"], 2 * n_lags + 1), n_lags
         full = solve_gram(g, n, True)
         at = [*range(q + 1), 2 * q + 1]
         part = solve_gram(g[np.ix_(at, at)], n, True)

@@ -19,7 +19,7 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str
         ok = ok & F.col(c).isNotNull()
     rows = df.filter(ok).withColumn("__one", F.lit(1.0))
     sums = [F.sum(w * F.col(a).cast("double") * F.col(b).cast("double")) for i, a in enumerate(full) for b in full[i:]]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("__gram"))
 
 
 def unpack(g: Sequence[float], k: int) -> np.ndarray:
