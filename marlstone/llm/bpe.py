@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The code points with the property White_Space.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -305,7 +306,7 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", decoded_col
     """Adds the text of packed ids; null ids give a null text."""
     with open(vocab_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    schema = df.schema.add(decoded_col, "string")
+    schema = StructType(list(df.schema.fields)).add(decoded_col, "string")  # add() changes what it is called on
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

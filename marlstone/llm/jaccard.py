@@ -279,7 +279,7 @@ def _links(base: DataFrame, rows: DataFrame, groups: DataFrame, n: int, percent:
     blocks = sizes.filter("size > 1").select("g", "band", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
     placed = stash(members.join(blocks, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "jaccard-placed")
     large = placed.filter("blocks > 1")
-    few = F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks") * F.lit(TILE // PIVOTS)) == 0  # about PIVOTS of a band
+    few = F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks") * F.lit(max(1, TILE // PIVOTS))) == 0  # about PIVOTS of a band
     lead = large.filter(few).groupBy("g", "band", "blocks").agg(F.collect_set(F.struct("cls", "id")).alias("p"))
     pivots = lead.withColumn("p", F.explode("p")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = placed.select("g", "band", "block", "cls", "id").unionByName(pivots.select("g", "band", "block", "p.cls", "p.id")).distinct().withColumn("probe", F.lit(False))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StructType
 
 from .common import drop, stash
 from .words import bounded, windows, word_hashes
@@ -253,7 +253,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = S
     is_first = F.col(id_col).cast("long").eqNullSafe(F.col("first"))
     kind = "array<struct<lo:bigint,hi:bigint>>"
     rows = rows.select(*docs.columns, F.when(is_first, F.coalesce("spans", F.array().cast(kind))).alias("__spans"))
-    schema = docs.schema.add("n_words", "long").add("n_cut_words", "long").add("cut_spans", DataType.fromDDL(kind))
+    schema = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_cut_words", "long").add("cut_spans", DataType.fromDDL(kind))
     if cut_col:
         schema = schema.add(cut_col, "string")
     at = docs.columns.index(text_col)
