@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from .bpe import slices
 from .common import stash
 
 #: Words with a place in the softmax, words in a class, classes of the other words, rows of the two hashed tables.
-HOT, PER_CLASS, RARE = 8192, 128, 32
+HOT, PER_CLASS, RARE = 4096, 64, 16
 CLASSES = HOT // PER_CLASS
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
 #: Words whose counts every task holds; the counts of all others come by a join.
@@ -66,7 +67,7 @@ def _tokens(vocab: Vocabulary, text: str) -> tuple[np.ndarray, list[bytes]]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     words.append(END)
     get = vocab.ids.get
-    ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+    ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
     return ids, [words[i] for i in np.flatnonzero(ids < 0)]
 
 
@@ -97,9 +98,9 @@ class Model:
         self.word_w = np.zeros((WORD_ROWS, PER_CLASS), np.float32) if word_w is None else word_w
 
     def rows(self, before: np.ndarray, before2: np.ndarray, cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Feature rows: for the class the bigram, the skip and the trigram; for the word the bigram and the skip, with the class."""
+        """Feature rows: the bigram and the skip, for the class; the same with the class, for the word in it."""
         b, s = before.astype(np.int64), before2.astype(np.int64)
-        return [_hash(b, 1, CLASS_ROWS), _hash(s, 2, CLASS_ROWS), _hash(b * 65537 + s, 3, CLASS_ROWS)], [_hash(b * 1024 + cls, 4, WORD_ROWS), _hash(s * 1024 + cls, 5, WORD_ROWS)]
+        return [_hash(b, 1, CLASS_ROWS), _hash(s, 2, CLASS_ROWS)], [_hash(b * 1024 + cls, 4, WORD_ROWS), _hash(s * 1024 + cls, 5, WORD_ROWS)]
 
     def logits(self, before, before2, cls, hot):
         c_rows, w_rows = self.rows(before, before2, cls)
@@ -159,7 +160,9 @@ class Trainer:
         order = np.argsort(rows, kind="stable")
         r = rows[order]
         start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        total = np.add.reduceat(grad[order], start, axis=0)
+        upto = np.cumsum(grad[order], axis=0, dtype=np.float32)  # sums of runs of rows, as differences of prefix sums
+        total = upto[np.append(start[1:], len(r)) - 1]
+        total[1:] -= upto[start[1:] - 1]
         u = r[start]
         acc[u] += np.einsum("ij,ij->i", total, total) / total.shape[1] * 8
         seen[u] += np.diff(np.append(start, len(r)))

@@ -51,13 +51,13 @@ def test_lm_chances_sum_to_one():
 
 
 def test_lm_rare_mass(spark):
-    t = spark.createDataFrame([(f"w{i}".encode(), 10000 - i) for i in range(8300)], "word binary, c long")
+    t = spark.createDataFrame([(f"w{i}".encode(), 10000 - i) for i in range(maxent.HOT + 108)], "word binary, c long")
     v = maxent._vocabulary(t)
-    rest = [(w, c) for w, c in ((f"w{i}".encode(), 10000 - i) for i in range(8192, 8300))]
+    rest = [(w, c) for w, c in ((f"w{i}".encode(), 10000 - i) for i in range(maxent.HOT, maxent.HOT + 108))]
     want = np.ones(maxent.RARE)
     for w, c in rest:
         want[maxent.rare_class(w)] += c + 1
-    assert v.rare_mass == pytest.approx(want) and v.words[0] == b"w0" and len(v.words) == 8300
+    assert v.rare_mass == pytest.approx(want) and v.words[0] == b"w0" and len(v.words) == maxent.HOT + 108
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------
