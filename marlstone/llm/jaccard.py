@@ -58,7 +58,7 @@ def candidate_keys(h: np.ndarray, percent: int) -> np.ndarray:
         d = most_differences(int(_ENDS[band + 1]) - 1, percent)
         if d == 0:
             continue
-        spare = 1 + d // 10
+        spare = 1 + d // 4  # of a set near the least size of a band, a sixth of the cells are empty
         n = d + 1 + spare
         for salt in range(64):
             cell = _cells(h, n, salt)
@@ -116,7 +116,8 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int)
         for x in range(buckets):
             at = order[cuts[x] : cuts[x + 1]]
             if len(at):
-                rows.append((x, EDGE - 1, k[at].tobytes(), c[at].tobytes(), b""))
+                names_here, which = np.unique(c[at], return_inverse=True)  # an Arrow batch has fewer than 65536 rows by default
+                rows.append((x, EDGE - 1, k[at].tobytes(), which.astype("<u4" if len(names_here) >> 16 else "<u2").tobytes(), names_here.tobytes()))
         if len(pa_):
             rows.append((int(pa_[0]) % buckets, EDGE, pa_.tobytes(), pb_.tobytes(), b""))
         if len(classes):
@@ -142,7 +143,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, a, b, c in zip(*[bt.column(x).to_pylist() for x in ("kind", "a", "b", "c")]):
             if kind < EDGE:
                 keys.append(np.frombuffer(a, np.uint64))
-                classes.append(read(b))
+                names_here = read(c)
+                classes.append(names_here[np.frombuffer(b, "<u4" if len(names_here) >> 16 else "<u2")])
             else:
                 yield out(kind, read(a), read(b), read(c) if c else np.zeros(len(a) // 8, np.int64))
     if keys:

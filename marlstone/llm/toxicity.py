@@ -154,6 +154,10 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        """Drops what was kept for speed: workers outlive their tasks."""
+        self._auto, self._kept = None, {}
+
     def match(self, token: str) -> tuple[float, bool] | None:
         """(weight, misspelt) of a lower-case token, or None."""
         got = self._kept.get(token, 0)
@@ -175,7 +179,7 @@ class ToxicityModel:
         """Summed weight of the hits of a whole text. A hit weighs less if misspelt, and less if it
         stands within quotation marks or next to a word that reports speech."""
         tokens = text.lower().split()
-        kept, match = self._kept, self.match
+        kept, match = self._kept, self.match  # match() may clear kept, but doesn't replace it
         hits = [i for i, t in enumerate(tokens) if (kept[t] if t in kept else match(t)) is not None]
         total = 0.0
         for i in hits:
@@ -317,6 +321,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for b in batches:
             scores = [m.score(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], score_col])
+        m.forget()
 
     return data.mapInArrow(run, schema)
 
