@@ -18,7 +18,7 @@ from .bpe import slices
 from .common import stash
 
 #: Words with a place in the softmax, words in a class, classes of the other words, rows of the two hashed tables.
-HOT, PER_CLASS, RARE = 4096, 64, 16
+HOT, PER_CLASS, RARE = 8192, 128, 32
 CLASSES = HOT // PER_CLASS
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
 #: Words whose counts every task holds; the counts of all others come by a join.
@@ -26,6 +26,7 @@ COUNTED, LONGEST = 1 << 18, 64
 END = b""  # the end token: no word is empty
 ROUNDS, BATCH, RATE = 2, 16384, 0.25
 ROWS_A_BLOCK = 256
+SHORT = 24  # runs of up to so many rows are summed together
 LN10 = math.log(10)
 
 
@@ -98,9 +99,9 @@ class Model:
         self.word_w = np.zeros((WORD_ROWS, PER_CLASS), np.float32) if word_w is None else word_w
 
     def rows(self, before: np.ndarray, before2: np.ndarray, cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Feature rows: the bigram and the skip, for the class; the same with the class, for the word in it."""
+        """Feature rows: for the class the bigram, the skip and the trigram; for the word the bigram and the skip, with the class."""
         b, s = before.astype(np.int64), before2.astype(np.int64)
-        return [_hash(b, 1, CLASS_ROWS), _hash(s, 2, CLASS_ROWS)], [_hash(b * 1024 + cls, 4, WORD_ROWS), _hash(s * 1024 + cls, 5, WORD_ROWS)]
+        return [_hash(b, 1, CLASS_ROWS), _hash(s, 2, CLASS_ROWS), _hash(b * 65537 + s, 3, CLASS_ROWS)], [_hash(b * 1024 + cls, 4, WORD_ROWS), _hash(s * 1024 + cls, 5, WORD_ROWS)]
 
     def logits(self, before, before2, cls, hot):
         c_rows, w_rows = self.rows(before, before2, cls)
@@ -132,6 +133,22 @@ def _picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mine - np.log(np.exp(logit - top).sum(1))).astype(float)
 
 
+def _run_sums(grad: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of grad[order] over the runs that begin at start: long runs one by one, short ones all at once by the place in them."""
+    length = np.diff(np.append(start, len(order)))
+    total = np.empty((len(start), grad.shape[1]), np.float32)
+    for i in np.flatnonzero(length > SHORT):
+        total[i] = grad[order[start[i] : start[i] + length[i]]].sum(0)
+    short = np.flatnonzero(length <= SHORT)
+    short = short[np.argsort(-length[short], kind="stable")]
+    first, sums = start[short], grad[order[start[short]]]
+    for k in range(1, int(length[short[0]]) if len(short) else 0):
+        n = int(np.searchsorted(-length[short], -k))  # runs of more than k
+        sums[:n] += grad[order[first[:n] + k]]
+    total[short] = sums
+    return total
+
+
 class Trainer:
     """Adaptive gradient steps on one task's tokens, from the shared model."""
 
@@ -160,9 +177,7 @@ class Trainer:
         order = np.argsort(rows, kind="stable")
         r = rows[order]
         start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        upto = np.cumsum(grad[order], axis=0, dtype=np.float32)  # sums of runs of rows, as differences of prefix sums
-        total = upto[np.append(start[1:], len(r)) - 1]
-        total[1:] -= upto[start[1:] - 1]
+        total = _run_sums(grad, order, start)
         u = r[start]
         acc[u] += np.einsum("ij,ij->i", total, total) / total.shape[1] * 8
         seen[u] += np.diff(np.append(start, len(r)))
@@ -222,12 +237,12 @@ def _start(v: Vocabulary) -> Model:
 
 
 def _blocks(kind: int, table: np.ndarray, base: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """What a task moved, in blocks of rows, weighed by how often it saw each row."""
-    delta = (table - base) * seen[:, None]
+    """What a task moved, in blocks of rows, weighed by how often it saw each row; rows that it didn't see are left out."""
     for k in range(0, len(table), ROWS_A_BLOCK):
         n = seen[k : k + ROWS_A_BLOCK]
         if n.any():
-            yield kind, k, n.astype("<f4").tobytes(), delta[k : k + ROWS_A_BLOCK].astype("<f4").tobytes()
+            at = k + np.flatnonzero(n)
+            yield kind, k, n.astype("<f4").tobytes(), ((table[at] - base[at]) * seen[at, None]).astype("<f4").tobytes()
 
 
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
@@ -260,10 +275,11 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for kind, at, n, d in zip(*[b.column(k).to_pylist() for k in range(4)]):
             n = np.frombuffer(n, "<f4").astype(np.float64)
-            d = np.frombuffer(d, "<f4").reshape(len(n), -1)
-            s = sums.setdefault((kind, at), [np.zeros(len(n)), np.zeros(d.shape)])
+            own = n > 0
+            d = np.frombuffer(d, "<f4").reshape(int(own.sum()), -1)
+            s = sums.setdefault((kind, at), [np.zeros(len(n)), np.zeros((len(n), d.shape[1]))])
             s[0] += n
-            s[1] += d
+            s[1][own] += d
     for (kind, at), (n, d) in sums.items():
         mean = (d / np.maximum(n, 1e-9)[:, None]).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["kind", "at", "delta"])

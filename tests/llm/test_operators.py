@@ -60,6 +60,22 @@ def test_lm_rare_mass(spark):
     assert v.rare_mass == pytest.approx(want) and v.words[0] == b"w0" and len(v.words) == maxent.HOT + 108
 
 
+def test_lm_learns_what_only_the_two_words_together_say():
+    n = 9000
+    v = maxent.Vocabulary([b"", *[f"w{i}".encode() for i in range(n)]], np.arange(n + 1, 0, -1), 50000, 9500, np.full(maxent.RARE, 7.0))
+    assert v.ids[b"w0"] == 1
+    rng = np.random.default_rng(2)
+    before2, before = rng.integers(1, 3, 4000), rng.integers(1, 3, 4000)
+    ids = np.where(before == before2, 1000, 6000)  # neither word alone says which
+    symbol, cls = maxent._context(v, ids.astype(np.int32), [])
+    assert (symbol == ids).all() and len(set(cls)) == 2  # a word of rank 6000 has its own place and feature
+    m = maxent._start(v)
+    trainer = maxent.Trainer(m)
+    for _ in range(30):
+        trainer.step(before, before2, cls, ids)
+    assert np.exp(m.score(before, before2, cls, ids)).mean() > 0.9
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
