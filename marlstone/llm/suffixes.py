@@ -126,8 +126,11 @@ def _runs(th: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.n
 
 
 def _earlier(key: np.ndarray, ident: np.ndarray, th: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by (extended match, id, text, place): the order, and whether a row is the first of its match."""
+    """Sorted by (extended match, id, text, place): the order, in which equal rows are one, and whether a row is the first of its match."""
     order = np.lexsort((pos, th, ident, key))
+    a, b = order[1:], order[:-1]
+    again = (key[a] == key[b]) & (ident[a] == ident[b]) & (th[a] == th[b]) & (pos[a] == pos[b])  # of rows that repeat id and text
+    order = np.concatenate((order[:1], a[~again]))
     return order, _starts(key[order])
 
 

@@ -200,6 +200,19 @@ def test_cut_words():
     assert suffixes.cut_words("a b", [(0, 2)]) == ""
 
 
+@pytest.mark.parametrize("ident", [5, None])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_keep_the_first_of_a_shared_passage(spark, ident, parts):
+    shared = " ".join(f"p{i}" for i in range(50))
+    rows = [(ident, f"one {shared} two"), (ident, f"one {shared} two"), (9 if ident else None, f"{shared} three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = Counter((r["doc_id"], r["text"], r["n_cut_words"]) for r in suffixes.cut_repeats(df).collect())
+    assert sum(n for (_, _, cut), n in got.items() if cut == 50) in ((1,) if ident else (1, 2))
+    assert any(cut == 0 and shared in t for _, t, cut in got)
+    if ident:
+        assert got == Counter({(5, rows[0][1], 0): 2, (9, rows[2][1], 50): 1})
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
