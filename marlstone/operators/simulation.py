@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import student_t_logpdf
@@ -44,6 +44,60 @@ def bootstrap_draws(spark: SparkSession, data: np.ndarray, statistic: Callable[[
 bootstrap_pairs = bootstrap_draws
 
 
+def _poisson(mean: float, *key) -> Column:
+    """A Poisson draw that a hash of the key decides."""
+    acc, below = 0.0, []
+    for k in range(8):
+        acc += math.exp(-mean) * mean**k / math.factorial(k)
+        below.append(acc)
+    u = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+    return sum((u > c).cast("int") for c in below)
+
+
+def _places(df: DataFrame, value: str, order: str, parts: int = 200) -> DataFrame:
+    """(__v, __p, __q): values that aren't null, their place in the numeric order from 0, and the value before.
+
+    Rows are numbered within ranges of the order; only a row a range is numbered in one task.
+    """
+    x = df.select(F.col(value).cast("double").alias("__v"), F.col(order).cast("double").alias("__o"), F.col(order).alias("__key"), F.xxhash64(order, value).alias("__x")).filter("`__v` is not null")
+    cuts = x.approxQuantile("__o", [k / parts for k in range(1, parts)], 0.5 / parts)
+    n_below = sum((F.col("__o") >= c).cast("int") for c in sorted(set(cuts))) if cuts else F.lit(0)
+    x = x.withColumn("__b", F.coalesce(n_below, F.lit(-1)))  # a null order comes first
+    w = Window.partitionBy("__b").orderBy("__key", "__x")
+    x = x.withColumns({"__i": F.row_number().over(w) - 1, "__q": F.lag("__v").over(w)})
+    last = x.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.max_by("__v", "__i").alias("__end"))
+    o = Window.orderBy("__b")
+    last = last.select("__b", F.coalesce(F.sum("__n").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"), F.lag("__end").over(o).alias("__before"))
+    return x.join(F.broadcast(last), "__b").select("__v", (F.col("__from") + F.col("__i")).alias("__p"), F.coalesce("__q", "__before").alias("__q"))
+
+
+def _replicated(rows: DataFrame, replicates: int) -> DataFrame:
+    return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+
+def bootstrap_block_mean(df: DataFrame, value: str, order: str, replicates: int, block: int, seed: int = 42) -> DataFrame:
+    """(rep, value): means of circular block resamples of a column of any size: the block of ``block`` rows from each place,
+    around the end, counts a Poisson number of times with mean 1 / block. Sums of blocks come first, so nothing is copied but
+    they; a replicate is one combined sum. Without rows there are no replicates; one without blocks has a null value."""
+    x = _places(df, value, order)
+    n = x.count()
+    back = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
+    starts = x.select("__v", "__p", back.alias("__d")).select("__v", F.pmod(F.col("__p") - F.col("__d"), F.lit(max(1, n))).alias("__s"))
+    sums = _replicated(starts.groupBy("__s").agg(F.sum("__v").alias("__t")), replicates).withColumn("__k", _poisson(1 / block, "__s", "rep", F.lit(seed)))
+    return sums.groupBy("rep").agg(F.try_divide(F.sum(F.col("__k") * F.col("__t")), F.sum("__k") * block).alias("value")).select(F.col("rep").cast("long").alias("rep"), "value")
+
+
+def bootstrap_lag_slope(df: DataFrame, value: str, order: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, value): slopes of a value on the one before it, over Poisson resamples of all such pairs; sums of cross products."""
+    x = _places(df, value, order).filter("`__q` is not null")
+    m = x.agg(F.avg("__v"), F.avg("__q")).first()
+    y, z = F.col("__v") - F.lit(m[0]), F.col("__q") - F.lit(m[1])  # about the means, for exact sums
+    k = F.col("__k")
+    s = _replicated(x.select("__p", y.alias("y"), z.alias("z")), replicates).withColumn("__k", _poisson(1.0, "__p", "rep", F.lit(seed)))
+    s = s.groupBy("rep").agg(F.sum(k).alias("n"), *[F.sum(k * e).alias(a) for a, e in (("sy", F.col("y")), ("sz", F.col("z")), ("yz", F.col("y") * F.col("z")), ("zz", F.col("z") * F.col("z")))])
+    return s.select(F.col("rep").cast("long").alias("rep"), F.expr("try_divide(n * yz - sy * sz, n * zz - sz * sz)").alias("value"))
+
+
 def bootstrap_sums(df: DataFrame, value: str, replicates: int, seed: int = 42) -> DataFrame:
     """(rep, n, mean) of Poisson resamples of a column of any size: each row counts as often as a hash of (row, replicate)
     says, so that every replicate is one combined sum; nothing is copied. Rows are told apart by their value and position."""

@@ -515,24 +515,14 @@ def normal_log_likelihood(spark, d):
     return _rounded(_events(spark, d).groupBy("event_type").agg(vec.normal_log_likelihood(F.col("value"), 100.0, 2500.0).alias("ll")), 4)
 
 
-def _sample(spark, d):
-    return [r["value"] for r in _events(spark, d).orderBy("event_id").limit(500).select("value").collect()]  # a fixed sample to resample
-
-
 @register("bootstrap_mean")
 def bootstrap_mean(spark, d):
-    import numpy as np
-
-    return sim.bootstrap_summary(sim.bootstrap_draws(spark, np.array(_sample(spark, d)), np.mean, 400, method="circular", block=5))
+    return sim.bootstrap_summary(sim.bootstrap_block_mean(_events(spark, d), "value", "event_id", 400, block=5))
 
 
 @register("bootstrap_pairs")
 def bootstrap_pairs(spark, d):
-    import numpy as np
-
-    v = np.array(_sample(spark, d))
-    slope = lambda m: float(np.polyfit(m[:, 1], m[:, 0], 1)[0])
-    return sim.bootstrap_summary(sim.bootstrap_pairs(spark, np.column_stack((v[1:], v[:-1])), slope, 200))
+    return sim.bootstrap_summary(sim.bootstrap_lag_slope(_events(spark, d), "value", "event_id", 200))
 
 
 @register("bootstrap_sums")

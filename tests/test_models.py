@@ -220,6 +220,27 @@ def test_chains_find_the_target(spark):
     assert 0 < e <= 1500.0001
 
 
+def test_bootstrap_takes_the_whole_table(spark):
+    v = np.concatenate((normals(3, 500), normals(4, 2500) + 7))
+    df = frame(spark, i=np.arange(3000) * 3 + 1, v=v).repartition(5)
+    x = sorted(simulation._places(df, "v", "i").collect(), key=lambda r: r["__p"])
+    assert [r["__p"] for r in x] == list(range(3000)) and np.allclose([r["__v"] for r in x], v) and x[0]["__q"] is None and np.allclose([r["__q"] for r in x[1:]], v[:-1])
+    b = simulation.bootstrap_summary(simulation.bootstrap_block_mean(df, "v", "i", 100, block=5)).first()
+    blocks = np.array([np.roll(v, -k)[:5].mean() for k in range(3000)])
+    assert b["n"] == 100 and abs(b["mean"] - v.mean()) < 0.1 and 0.5 < b["se"] / (blocks.std() / np.sqrt(600)) < 1.5
+    p = simulation.bootstrap_summary(simulation.bootstrap_lag_slope(df, "v", "i", 50)).first()
+    assert abs(p["mean"] - np.polyfit(v[:-1], v[1:], 1)[0]) < 0.02
+
+
+def test_bootstrap_queries_see_every_event(spark):
+    from marlstone import catalog
+
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    mean = df.agg({"value": "avg"}).first()[0]
+    got = catalog.queries()["bootstrap_mean"](spark, "/root/testdata/sf0.01").first()
+    assert got["lower"] < mean < got["upper"] and got["se"] < df.selectExpr("stddev(value)").first()[0] / np.sqrt(df.count()) * 1.5
+
+
 def test_bootstrap(spark):
     b = simulation.bootstrap_summary(simulation.bootstrap_draws(spark, normals(2, 100) + 5, np.mean, 300)).first()
     assert b["n"] == 300 and 4.5 < b["mean"] < 5.5 and b["lower"] < b["mean"] < b["upper"] and b["p"] == 0
