@@ -368,7 +368,7 @@ def multiplicative_garch(spark, d):
 @register("rolling_multiplicative_garch")
 def rolling_multiplicative_garch(spark, d):
     x = _returns(spark, d).withColumn("rv", F.col("r") ** 2).filter("r is not null")
-    return vol.rolling_multiplicative_garch(x, "r", "rv", ["event_type"], BY_TIME, 252, 504)
+    return vol.rolling_multiplicative_garch(x, "r", "rv", ["event_type"], BY_TIME, 252, 21)
 
 
 @register("descriptive_stats", """WITH m AS (SELECT event_type, count(value) AS n, avg(value) AS mean, var_samp(value) AS v, var_pop(value) AS vp, kurtosis_pop(value) AS ku, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q5, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY 1),

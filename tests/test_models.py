@@ -220,6 +220,19 @@ def test_chains_find_the_target(spark):
     assert 0 < e <= 1500.0001
 
 
+def test_rolling_multiplicative_garch_windows_leave_no_row_out(spark, monkeypatch):
+    from marlstone import catalog
+
+    asked = []
+    monkeypatch.setattr(vol, "multiplicative_garch", lambda rows, *a: asked.append(rows) or rows.selectExpr("event_type", "win", "1.0 sigma2", "1 seq"))
+    got = catalog.queries()["rolling_multiplicative_garch"](spark, "/root/testdata/sf0.01")
+    n = {r["event_type"]: (r["a"], r["b"], r["c"]) for r in asked[0].groupBy("event_type").agg(F.countDistinct("event_id").alias("a"), F.max("win").alias("b"), F.countDistinct("win").alias("c")).collect()}
+    full = {r["event_type"]: r["n"] for r in returns.log_returns(spark.read.parquet("/root/testdata/sf0.01/events.parquet"), "value", ["event_type"], ["ts", "event_id"]).filter("r is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got.count() == sum(c for *_, c in n.values())
+    for k, (rows, last, windows) in n.items():
+        assert windows == last + 1 and rows == 252 + 21 * last and full[k] * 0.9 < rows  # those after the last whole step aside
+
+
 def test_bootstrap_takes_the_whole_table(spark):
     v = np.concatenate((normals(3, 500), normals(4, 2500) + 7))
     df = frame(spark, i=np.arange(3000) * 3 + 1, v=v).repartition(5)
