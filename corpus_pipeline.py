@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.bpe import bpe_encode
 from marlstone.llm.common import drop, stash
-from marlstone.llm.jaccard import jaccard_classes
+from marlstone.llm.jaccard import one_of_each
 from marlstone.llm.mixing import mixture
 from marlstone.llm.queries import vocab_path
 from marlstone.llm.suffixes import cut_repeats
@@ -27,11 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 5-word shingles at a Jaccard similarity of 0.8 connect, the one with the least id stays.
 
-    Documents without words, or without an id, stay; of rows that repeat a kept id, those equal in text are one.
+    Documents without words stay. Of rows equal in id and text one stays; rows that bear a kept id but another text stay
+    or go by that text.
     """
-    classes = jaccard_classes(docs, n=SHINGLE_WORDS, percent=JACCARD_PERCENT)
-    gone = classes.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return one_of_each(docs, n=SHINGLE_WORDS, percent=JACCARD_PERCENT).select(*COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

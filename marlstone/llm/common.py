@@ -13,9 +13,12 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. A local master, with one machine, may do without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -81,3 +84,26 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], cell: Column, cell
         .withColumn(name, F.col("__rn") + F.col("__start"))
         .drop("__rn", "__start", "__cell")
     )
+
+
+BITS_A_ROW = 32768  # of a bitmap of bitmap_construct_agg: 4 KiB
+BITMAPS = 4096
+
+
+def among(df: DataFrame, hashes: DataFrame, col: str, count: int) -> DataFrame:
+    """df with ``__hit``: false only if the long ``col`` isn't in the column ``h`` of hashes, which has about ``count`` rows.
+
+    The hashes go out as a bitmap of at most BITMAPS rows of 4 KiB, 16 MiB, however many they are; with very many the
+    bitmap fills and lets more rows pass. What is hit still has to be joined.
+    """
+    rows = 1
+    while rows < BITMAPS and rows * BITS_A_ROW < 16 * count:
+        rows *= 2
+    cell = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(rows * BITS_A_ROW))
+    at = hashes.select(cell(F.col("h")).alias("c")).select(F.floor(F.col("c") / BITS_A_ROW).cast("int").alias("__map"), F.pmod("c", F.lit(BITS_A_ROW)).alias("bit"))
+    maps = at.groupBy("__map").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    rowed = df.withColumn("__cell", cell(F.col(col))).withColumn("__at", F.floor(F.col("__cell") / BITS_A_ROW).cast("int"))
+    byte = F.expr(f"cast(conv(hex(substring(__bits, cast(pmod(__cell, {BITS_A_ROW}) / 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(__cell, 8) as int))")) != 0
+    out = rowed.join(F.broadcast(maps), F.col("__at") == F.col("__map"), "left")
+    return out.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__cell", "__at", "__map", "__bits")

@@ -37,27 +37,24 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contracts a task's edges to stars; m: whether that changed anything."""
-    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-    seen, merged = 0, False
+    """Contracts a task's edges to stars; m: whether that changed anything. Contracts whenever what it holds has doubled."""
+    held, n, limit, merged = [], 0, FLUSH, False
     for batch in batches:
-        x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        a, b = np.concatenate((a, x)), np.concatenate((b, y))
-        seen += len(x)
-        if len(a) > FLUSH:
-            a, b, merged = _contract(a, b, merged)
-    a, b, merged = _contract(a, b, merged)
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), merged, np.int32))], names=["a", "b", "m"])
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+        n += batch.num_rows
+        if n > limit:
+            x, y, more = _contract(held)
+            held, n, limit, merged = [[x, y]], len(x), max(FLUSH, 2 * len(x)), merged or more
+    if n:
+        x, y, more = _contract(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), merged or more, np.int32))], names=["a", "b", "m"])
 
 
-def _contract(a: np.ndarray, b: np.ndarray, merged: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    if not len(a):
-        return a, b, merged
+def _contract(held: list) -> tuple[np.ndarray, np.ndarray, bool]:
+    a, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
     x, y = star_forest(a, b)
     had = np.unique(np.column_stack((a, b)), axis=0)
-    same = len(had) == len(x) and (had[:, 0] == x).all() and (had[:, 1] == y).all()
-    return x, y, merged or not same
+    return x, y, not (len(had) == len(x) and (had[:, 0] == x).all() and (had[:, 1] == y).all())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -66,18 +63,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Every task first contracts its own edges to stars, so that a node has one edge a task at most. Each round then brings
     the edges of a node together, contracts again, and moves nodes from their parent to its parent (a join that adaptive
     execution splits where very many share a parent), until nothing changes: as many rounds as the logarithm of the
-    depth. One figure a round reaches the driver.
+    depth. Two figures a round reach the driver; tasks grow in number with the edges. An unfinished result is an error.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, SCHEMA)
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = None
+    least = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, SCHEMA), "cc")
+    e, n = first, first.count()
     for _ in range(max_rounds):
-        stars = stash(e.select("a", "b").repartition(parts, "a").mapInArrow(_forest, SCHEMA), "cc")
+        stars = stash(e.select("a", "b").repartition(max(least, 2 * n // FLUSH), "a").mapInArrow(_forest, SCHEMA), "cc")
         up = stars.groupBy(F.col("a").alias("p")).agg(F.min("b").alias("q"))
         after = stash(stars.join(up, F.col("b") == F.col("p"), "left").select("a", F.coalesce("q", "b").alias("b"), (F.col("m") + F.col("q").isNotNull().cast("int")).alias("m")), "cc")
-        drop(stars, *([held] if held is not None else []))
-        e = held = after
-        if not e.agg(F.max("m").alias("m")).first()["m"]:
+        drop(stars, e)
+        e = after
+        state = e.agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        n = state["n"]
+        if not state["m"]:
             break
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())

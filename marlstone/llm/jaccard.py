@@ -6,159 +6,238 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import drop, stash
+from .common import among, drop, stash
 from .components import components
-from .words import ONE, bounded, mix, shingle_set
+from .words import ONE, TWO, bounded, mix, shingle_set, windows, word_hashes
 
-RATIO = 1.5  # of the ends of a band of the key scheme
-TILE = 1024  # members of a tile that are compared in one task
-PIVOTS = 8
-BROADCAST_IDS = 1_000_000
+TILE = 1024  # classes of a tile that are compared in one task
 KEYS_A_TASK = 2_000_000
-EDGE, ROW, ROW_NO_ID = 0, 1, 2
+COUNT_BITS, COUNT_BLOCKS = 22, 64  # cells of the table of shingle counts, and the parts it is summed in
+SPLIT_LEVEL = 80  # keys found over 2 ** (80 / 4) times are dealt to several tasks
+KEY, ROW, ROW_NO_ID, PAIR = 0, 1, 2, 3
+MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("sig", "<u8")])
+LEADERS = 2
 
 
-def bands(limit: int) -> np.ndarray:
-    """Lower ends of the bands of set sizes, past limit."""
-    out = [1]
-    while out[-1] <= limit:
-        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * RATIO))))
-    return np.array(out, np.int64)
+def least_overlap(n: int, percent: int) -> int:
+    """Elements that a set of n has in common with any that it is linked with, at least."""
+    return -(-percent * n // 100)
 
 
-_ENDS = bands(1 << 40)
+def near_size(a, b, percent: int):
+    """Whether sets of these sizes can be linked."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def most_differences(size: int, percent: int) -> int:
-    """Elements in which two sets of up to ``size`` can differ at 100 * intersection >= percent * union."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def may_link(a, b, apart, percent: int):
+    """Whether sets of sizes a and b that differ in ``apart`` elements at least can be linked: a bound on the overlap from above."""
+    most = (a + b - apart) // 2
+    return 100 * most >= percent * (a + b - most)
 
 
-def _cells(h: np.ndarray, n: int, salt: int) -> np.ndarray:
-    return ((mix(h + np.uint64((salt * int(ONE)) & ((1 << 64) - 1))) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+# --- what the whole corpus says about shingles ---------------------------------------------------------------------------
 
 
-def candidate_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys such that any two linked, unlike sets have one in common.
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
-    Sets of a band of sizes differ in d elements at most. Dealt by hash to d + 1 cells and some to spare, linked sets agree
-    in a cell, and in one that isn't empty unless more cells are empty than are to spare. A set with too many empty cells
-    also gives keys by another dealing, until it has few enough: of two sets, the one that ends first makes sure of both. A
-    set gives keys for its own band and, if near its upper end, for the next.
+
+def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A task's shingles by hashed cell, in COUNT_BLOCKS blocks."""
+    table, held, size = np.zeros(1 << COUNT_BITS, np.int64), [], 0
+
+    def add():
+        np.add(table, np.bincount(_cell(np.concatenate(held)), minlength=len(table)), out=table)
+
+    for b in bounded(batches, 0):
+        for t in b.column(0):
+            w = word_hashes(t.as_py() or "")
+            if len(w):
+                held.append(windows(w, min(n, len(w))))
+                size += len(held[-1])
+        if size > 4_000_000:
+            add()
+            held, size = [], 0
+    if held:
+        add()
+    for k, part in enumerate(table.reshape(COUNT_BLOCKS, -1)):
+        if part.any():
+            narrow = part.astype("<u1" if part.max() < 256 else "<u2" if part.max() < 1 << 16 else "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow.itemsize], pa.int32()), pa.array([narrow.tobytes()], pa.binary())], names=["block", "width", "counts"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, width, counts in zip(*[b.column(c).to_pylist() for c in range(3)]):
+            part = np.frombuffer(counts, {1: "<u1", 2: "<u2", 8: "<i8"}[width]).astype(np.int64)
+            sums[k] = sums[k] + part if k in sums else part
+    for k, s in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(s.sum())], pa.int64()), pa.array([np.floor(4 * np.log2(1.0 + s)).astype(np.uint8).tobytes()], pa.binary())], names=["block", "total", "levels"])
+
+
+def shingle_levels(base: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(per hashed cell, four times the logarithm of how often its shingles occur in all texts; shingles in all).
+
+    One byte a cell, 4 MiB whatever the corpus. Shingles are ordered by it, rare ones first. The order is free to choose:
+    the better the counts, the smaller the tiles; what links doesn't depend on them.
     """
-    s = len(h)
-    i = int(np.searchsorted(_ENDS, s, "right")) - 1
-    out = []
-    for band in (i, i + 1):
-        if band > i and 100 * s < percent * int(_ENDS[band]):
-            break
-        d = most_differences(int(_ENDS[band + 1]) - 1, percent)
-        if d == 0:
-            continue
-        spare = 1 + d // 4  # of a set near the least size of a band, a sixth of the cells are empty
-        n = d + 1 + spare
-        for salt in range(64):
-            cell = _cells(h, n, salt)
-            order = np.argsort(cell, kind="stable")
-            sorted_cells = cell[order]
-            starts = np.flatnonzero(np.concatenate(([True], sorted_cells[1:] != sorted_cells[:-1])))
-            sums = np.add.reduceat(mix(h[order]), starts)
-            tag = np.uint64((band << 40) | (salt << 32)) + sorted_cells[starts]
-            out.append(mix(sums + mix(tag)))
-            if n - len(starts) <= spare:
-                break
-        else:
-            out.append(mix(np.array([band], np.uint64)))  # all that fail 64 times meet
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    parts = base.select("text").mapInArrow(lambda b: _count(b, n), "block int, width int, counts binary")
+    sums = parts.repartition(COUNT_BLOCKS, "block").mapInArrow(_levels, "block int, total long, levels binary")
+    levels, total = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.uint8), 0
+    for r in sums.toLocalIterator():
+        levels[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+        total += r["total"]
+    return levels.reshape(-1), total
 
 
-def class_of(h: np.ndarray) -> int:
-    """Name of a set: equal sets, whatever their texts, are one class."""
+def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set's shingles as numbers whose order is that of rarity, then of hashes; the same for a shingle in every set."""
+    return (levels[_cell(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+
+
+def candidate_keys(h: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, one more than what it may lack in common with a partner.
+
+    Two linked sets have o >= least_overlap elements in common. Were the first n - o + 1 of both, in one order of all
+    shingles, without a common one, then the set whose list ends earlier would have all its common elements after the end
+    of it: o - 1 at most. Ties at the end (one number, two shingles) all belong to the list.
+    """
+    x = ordered(h, levels)
+    k = len(h) - least_overlap(len(h), percent) + 1
+    if k < len(x):
+        x = x[x <= np.partition(x, k - 1)[k - 1]]
+    return np.unique(x)
+
+
+def class_of(h: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two independent names of a set: equal sets, whatever their texts, are one class. The first is its id, the second a check."""
     if not len(h):
-        return 0
-    name = (int(mix(h + ONE).sum(dtype=np.uint64)) * int(ONE) + len(h)) & ((1 << 64) - 1)
-    return name - (1 << 64) if name >> 63 else name
+        return 0, 0
+    s = np.uint64(salt)
+    out = []
+    for odd in (ONE, TWO):
+        name = (int(mix((h ^ (h >> np.uint64(29))) * odd + s * ONE + odd).sum(dtype=np.uint64)) * int(odd) + len(h)) & ((1 << 64) - 1)
+        out.append(name - (1 << 64) if name >> 63 else name)
+    return out[0], out[1]
+
+
+def parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of the set, a bit the parity of the elements hashed to it: where bitmaps differ in x bits, sets differ in x elements at least."""
+    on = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(on).view(np.uint64)
+
+
+def bits_of(n: int) -> int:
+    return 1 << min(13, max(8, int(4 * n - 1).bit_length()))
+
 
+def _short(h: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63)))) if len(h) else 0
 
-def _pairs_of(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by (key, class): the first row of each key, and the links of its other classes to the first's."""
-    order = np.lexsort((classes, keys))
-    k, c = keys[order], classes[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
-    first = c[new][np.cumsum(new) - 1] if len(k) else c
-    other = first != c
-    pairs = np.unique(np.column_stack((first[other], c[other])), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return order[new], pairs[:, 0], pairs[:, 1]
 
+# --- keys, and the tiles that they make -------------------------------------------------------------------------------------
 
-def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per batch: keys dealt to buckets, one class for a key; links of the others that share it; and (id, size, class)."""
+
+def _deal(key: np.ndarray, cls: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key; keys that are found very often also go by class."""
+    level = (key >> np.uint64(56)).astype(np.int64)
+    split = np.uint64(1) << (np.maximum(0, level - SPLIT_LEVEL) // 4).astype(np.uint64)
+    salt = mix(cls.view(np.uint64)) & (split - np.uint64(1))
+    return ((mix(key + salt * TWO) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, levels, salt: int) -> Iterator[pa.RecordBatch]:
+    """Per batch: keys with their classes dealt to buckets, and rows (id, size, class, check, text hash)."""
     names = ["bucket", "kind", "a", "b", "c"]
+    table = levels.value
     for b in bounded(batches, 1):
-        ids, classes, sizes, keys, owner = b.column(0), [], [], [], []
+        ids, classes, checks, sizes, keys, owner, seen, members = b.column(0), [], [], [], [], [], {}, []
         for t in b.column(1):
             h = shingle_set(t.as_py(), n)
-            classes.append(class_of(h))
+            c, check = class_of(h, salt)
+            classes.append(c)
+            checks.append(check)
             sizes.append(len(h))
-            k = candidate_keys(h, percent) if len(h) else np.empty(0, np.uint64)
-            keys.append(k)
-            owner.append(np.full(len(k), classes[-1], np.int64))
+            if len(h) and c not in seen:
+                seen[c] = len(members)
+                members.append((c, len(h), _short(h)))
+                k = candidate_keys(h, table, percent)
+                keys.append(k)
+                owner.append(np.full(len(k), seen[c], np.int64))
         rows = []
-        k, c = np.concatenate(keys) if keys else np.empty(0, np.uint64), np.concatenate(owner) if owner else np.empty(0, np.int64)
-        first, pa_, pb_ = _pairs_of(k, c)
-        k, c = k[first], c[first]
-        to = ((k >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        for x in range(buckets):
-            at = order[cuts[x] : cuts[x + 1]]
-            if len(at):
-                names_here, which = np.unique(c[at], return_inverse=True)  # an Arrow batch has fewer than 65536 rows by default
-                rows.append((x, EDGE - 1, k[at].tobytes(), which.astype("<u4" if len(names_here) >> 16 else "<u2").tobytes(), names_here.tobytes()))
-        if len(pa_):
-            rows.append((int(pa_[0]) % buckets, EDGE, pa_.tobytes(), pb_.tobytes(), b""))
-        if len(classes):
+        if keys:
+            k, o, m = np.concatenate(keys), np.concatenate(owner), np.array(members, MEMBER)
+            to = _deal(k, np.ascontiguousarray(m["cls"])[o], buckets)
+            order = np.argsort(to, kind="stable")
+            starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], len(order)]):
+                at = order[lo:hi]
+                here, which = np.unique(o[at], return_inverse=True)
+                rows.append((int(to[at[0]]), KEY, k[at].tobytes(), which.astype("<u4").tobytes(), m[here].tobytes()))
+        if classes:
             null = np.array(ids.is_null())
             idv = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            cl, sz = np.array(classes, np.int64), np.array(sizes, np.int64)
-            for kind, m in ((ROW, ~null), (ROW_NO_ID, null)):
-                if m.any():
-                    rows.append((int(cl[0]) % buckets, kind, idv[m].tobytes(), sz[m].tobytes(), cl[m].tobytes()))
+            cols = np.column_stack((idv, np.array(sizes, np.int64), np.array(classes, np.int64), np.array(checks, np.int64), b.column(2).to_numpy(zero_copy_only=False)))
+            for kind, which in ((ROW, ~null), (ROW_NO_ID, null)):
+                if which.any():
+                    rows.append((int(mix(cols[:1, 4].view(np.uint64))[0] % np.uint64(buckets)), kind, cols[which].tobytes(), b"", b""))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in (2, 3, 4)]], names=names)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's keys: links between the classes that share one. What isn't a key passes through."""
-    names = ["kind", "a", "b", "c"]
-    keys, classes = [], []
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's keys: those that several classes share (key, class, size), or that other tasks may share, and pairs of a
+    class of the key with one of LEADERS leaders, where sizes and short bitmaps let them link."""
+    names = ["kind", "a", "b", "c", "d", "e"]
+    keys, which, members, n = [], [], [], 0
 
-    def out(kind, a, b, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], names=names)
+    def out(kind, *cols):
+        cols = [*cols, *[np.zeros(len(cols[0]), np.int64)] * (5 - len(cols))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in cols]], names=names)
 
-    read = lambda x: np.frombuffer(x, np.int64)
     for bt in batches:
         for kind, a, b, c in zip(*[bt.column(x).to_pylist() for x in ("kind", "a", "b", "c")]):
-            if kind < EDGE:
+            if kind == KEY:
                 keys.append(np.frombuffer(a, np.uint64))
-                names_here = read(c)
-                classes.append(names_here[np.frombuffer(b, "<u4" if len(names_here) >> 16 else "<u2")])
+                which.append(np.frombuffer(b, "<u4").astype(np.int64) + n)
+                members.append(np.frombuffer(c, MEMBER))
+                n += len(members[-1])
             else:
-                yield out(kind, read(a), read(b), read(c) if c else np.zeros(len(a) // 8, np.int64))
-    if keys:
-        _, a, b = _pairs_of(np.concatenate(keys), np.concatenate(classes))
-        yield out(EDGE, a, b, np.zeros(len(a), np.int64))
-
-
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of the sets, as words of 64 bits; about two bits an element of the largest set, 256 to 16384."""
-    bits = 1 << min(14, max(8, int(2 * max(map(len, sets)) - 1).bit_length()))
-    on = np.zeros((len(sets), bits), np.uint8)
-    for i, h in enumerate(sets):
-        on[i, (h >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
-    return np.packbits(on, axis=1).view(np.uint64)
+                yield out(kind, *np.frombuffer(a, np.int64).reshape(-1, 5).T)
+    if not keys:
+        return
+    k, o, m = np.concatenate(keys), np.concatenate(which), np.concatenate(members)
+    name = np.ascontiguousarray(m["cls"])
+    order = np.lexsort((name[o], k))
+    k, o = k[order], o[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (name[o[1:]] != name[o[:-1]])))
+    k, o = k[new], o[new]
+    group = np.cumsum(np.concatenate(([True], k[1:] != k[:-1]))) - 1
+    split = (k >> np.uint64(56)).astype(np.int64) >= SPLIT_LEVEL + 4
+    keep = (np.bincount(group)[group] > 1) | split
+    k, o = k[keep], o[keep]
+    if not len(k):
+        return
+    yield out(KEY, k.view(np.int64), name[o], m["n"][o].astype(np.int64))
+    # leaders: the least of a key's classes by one of LEADERS orders of classes, so that a class meets few of them
+    start = np.concatenate(([True], k[1:] != k[:-1]))
+    group = np.cumsum(start) - 1
+    rank = mix(name[o].view(np.uint64) + mix(k) % np.uint64(LEADERS) * TWO)
+    order = np.lexsort((rank, group))
+    lead = o[order][np.flatnonzero(start)][group]  # the first of each group
+    apart = np.bitwise_count(m["sig"][lead] ^ m["sig"][o]).astype(np.int64)
+    x, y = m["n"][lead].astype(np.int64), m["n"][o].astype(np.int64)
+    ok = (name[lead] != name[o]) & may_link(x, y, apart, percent) & near_size(x, y, percent)
+    pairs = np.unique(np.column_stack((name[lead[ok]], name[o[ok]])), axis=0)
+    if len(pairs):
+        yield out(PAIR, pairs[:, 0], pairs[:, 1])
+
+
+# --- tiles ---------------------------------------------------------------------------------------------------------------
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -169,67 +248,200 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def spanning_links(sets: list[np.ndarray], percent: int, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the sets of a tile; with ``probe``, only pairs that hold a probe row are compared.
+def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, partners) of the sets of a tile that sizes and bitmaps let link and that aren't connected yet.
 
-    By size, smallest first: partners are at most 100 / percent times as large. Where bitmaps differ in x bits, the sets
-    differ in x elements at least, so the overlap is at most half of what the sizes sum to, less x. Only pairs that this
-    bound lets pass, and that aren't connected yet, are intersected.
+    By size, smallest first: partners are at most 100 / percent times as large. ``block``: only pairs of unlike blocks.
     """
-    m = len(sets)
-    sizes = np.array([len(h) for h in sets], np.int64)
-    order = np.lexsort((np.arange(m), sizes))
-    order = order[sizes[order] > 0]
-    sig = signatures([sets[i] for i in order]) if len(order) else None
-    s = sizes[order]
-    label = np.arange(len(order))
-    asks = None if probe is None else probe[order]
-    out = []
+    order = np.lexsort((root, n))
+    n, root = n[order], root[order]
+    words = np.array([len(sigs[i]) for i in order])
+    block = None if block is None else block[order]
+    folded: dict[int, np.ndarray] = {}
     for i in range(len(order)):
-        hi = int(np.searchsorted(s, s[i] * 100 // percent, "right"))
+        hi = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
         j = np.arange(i + 1, hi)
-        j = j[label[j] != label[i]]
-        if asks is not None and not asks[i]:
-            j = j[asks[j]]
+        j = j[root[j] != root[i]]
+        if block is not None:
+            j = j[block[j] != block[i]]
         if not len(j):
             continue
+        w = int(words[i])
+        if w not in folded:  # larger bitmaps folded to w words; smaller ones belong to smaller sets, which come before
+            folded = {w: np.stack([np.bitwise_xor.reduce(sigs[x].reshape(-1, w), axis=0) if len(sigs[x]) >= w else np.zeros(w, np.uint64) for x in order])}
+        sig = folded[w]
         apart = np.bitwise_count(sig[j] ^ sig[i]).sum(1, dtype=np.int64)
-        most = (s[j] + s[i] - apart) // 2
-        j = j[100 * most >= percent * (s[j] + s[i] - most)]
-        for x in j:
-            if label[x] == label[i]:
-                continue
-            o = overlap(sets[order[i]], sets[order[x]])
-            if 100 * o >= percent * int(s[i] + s[x] - o):
-                out.append((int(order[i]), int(order[x])))
-                label[label == label[x]] = label[i]
-    return out
+        j = j[may_link(n[i], n[j], apart, percent)]
+        if len(j):
+            yield int(order[i]), order[j]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile: (tile, class, probe, text). Gives links of classes."""
-    tile, sets, names, probe = None, [], [], []
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile: (tile, cross, class, size, root, block, bitmap). Gives pairs (a, b, root of a)."""
+    tile, cross, rows = None, False, []
 
     def close():
-        if len(sets) > 1:
-            p = np.array(probe, bool)
-            for i, j in spanning_links(sets, percent, p if p.any() else None):
-                yield names[i], names[j]
+        if len(rows) < 2:
+            return
+        c, n, root, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        for i, j in tile_pairs(n, root, [np.frombuffer(r[4], np.uint64) for r in rows], percent, block if cross else None):
+            lo = root[j] < root[i]
+            yield np.where(lo, c[j], c[i]), np.where(lo, c[i], c[j]), np.where(lo, root[j], root[i])
+
+    def out(parts):
+        cols = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "g"])
 
     for b in batches:
-        out = []
-        for t, c, p, text in ((t, c, p, x.as_py()) for t, c, p, x in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3))):
+        parts, size = [], 0
+        for t, x, *r in zip(*[b.column(k).to_pylist() for k in range(7)]):
             if t != tile:
-                out += close()
-                tile, sets, names, probe = t, [], [], []
-            h = shingle_set(text, n)
-            if class_of(h) == c and c not in names[-1:]:  # another text under the same id isn't meant
-                sets.append(h)
-                names.append(c)
-                probe.append(p)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    last = list(close())
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                for p in close():
+                    parts.append(p)
+                    size += len(p[0])
+                    if size > 100_000:
+                        yield out(parts)
+                        parts, size = [], 0
+                tile, cross, rows = t, x, []
+            rows.append(r)
+        yield out(parts)
+    for p in close():
+        yield out([p])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (tile, role): the sets of a tile's first members, which are connected already, then the others,
+    each with those to compare it with, until it links with one."""
+    tile, sets = None, {}
+    for b in batches:
+        links = []
+        for t, role, c, asks, text in zip(*[b.column(k).to_pylist() for k in range(4)], b.column(4)):
+            if t != tile:
+                tile, sets = t, {}
+            h = shingle_set(text.as_py(), n)
+            if role == 0:
+                sets[c] = h
+                continue
+            for a in asks:
+                o = overlap(sets[a], h)
+                if 100 * o >= percent * (len(sets[a]) + len(h) - o):
+                    links.append((a, c))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+# --- the join ------------------------------------------------------------------------------------------------------------
+
+
+class _Join:
+    """The texts, rows and candidate tiles of one run."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
+        self.spark, self.n, self.percent = docs.sparkSession, n, percent
+        if not isinstance(docs.schema[id_col].dataType, IntegralType):
+            raise TypeError(f"{id_col} must be an integer column, not {docs.schema[id_col].dataType.simpleString()}")
+        self.base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+        self.least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        levels, total = shingle_levels(self.base, n)
+        keys = int(total * (100 - percent) / 100) + 1
+        self.parts = parts = max(self.least, keys // KEYS_A_TASK)
+        shared = self.spark.sparkContext.broadcast(levels)  # 4 MiB
+        for salt in range(4):
+            found = self.base.mapInArrow(lambda b, s=salt: _emit(b, n, percent, parts, shared, s), "bucket int, kind int, a binary, b binary, c binary")
+            self.found = stash(found.repartition(parts, "bucket").mapInArrow(lambda b: _meet(b, percent), "kind int, a long, b long, c long, d long, e long"), "jaccard")
+            is_id = F.col("kind") == ROW
+            self.rows = self.found.filter((F.col("kind") == ROW) | (F.col("kind") == ROW_NO_ID)).select(F.when(is_id, F.col("a")).alias("id"), F.col("b").alias("n"), F.col("c").alias("cls"), F.col("d").alias("chk"), F.col("e").alias("th"))
+            where = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+            self.reps = stash(self.rows.filter("n > 0").groupBy("cls").agg(F.min(where).alias("r"), F.min("chk").alias("lo"), F.max("chk").alias("hi")), "jaccard-reps")
+            if not self.reps.filter("lo <> hi").limit(1).count():  # no two sets have one name
+                break
+            drop(self.found, self.reps)
+        else:
+            raise RuntimeError("names of sets collide")
+        shared.unpersist()
+
+    def texts(self, classes: DataFrame) -> DataFrame:
+        """One text of each class."""
+        want = stash(classes.select("cls").distinct().join(self.reps, "cls").select("cls", F.col("r.id").alias("wid"), F.col("r.th").alias("wth")), "jaccard-want")
+        near = among(self.base, want.select(F.col("wth").alias("h")), "th", want.count()).filter("__hit")
+        rows = near.join(want, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
+        return stash(rows.groupBy("cls").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat are one
+
+    def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b, g): the a's of a g are connected; tiles hold TILE or so of them, and the b's that ask
+        for them stream by. Each b gets one link a tile at most."""
+        n, percent = self.n, self.percent
+        sizes = pairs.groupBy("g").agg(F.approx_count_distinct("a").alias("x"), F.approx_count_distinct("b").alias("y"))
+        large = sizes.filter(f"x > {TILE} or y > {TILE}").select(F.col("g").alias("lg"), F.ceil(F.col("x") / TILE).alias("x"), F.ceil(F.col("y") / TILE).alias("y"))
+        tiled = pairs.join(large, F.col("g") == F.col("lg"), "left")
+        part = lambda c, k: F.coalesce(F.pmod(F.xxhash64(c), F.col(k)), F.lit(0)).cast("string")
+        tiled = stash(tiled.select(F.concat_ws(":", F.col("g").cast("string"), part("a", "x"), part("b", "y")).alias("tile"), "a", "b"), "jaccard-tiled")
+        first = tiled.select("tile", F.lit(0).alias("role"), F.col("a").alias("cls"), F.lit(None).cast("array<long>").alias("asks")).distinct()
+        then = tiled.groupBy("tile", F.col("b").alias("cls")).agg(F.collect_set("a").alias("asks")).select("tile", F.lit(1).alias("role"), "cls", "asks")  # of one tile
+        rows = first.unionByName(then).join(texts, "cls").select("tile", "role", "cls", "asks", "text")
+        rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile", "role")
+        out = stash(rows.mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"), "jaccard-links")
+        drop(tiled)
+        return out
+
+    def links(self) -> DataFrame:
+        """Links that span the components: of the leaders of each key first, then of what is still apart in a tile."""
+        percent, n = self.percent, self.n
+        stars = self.found.filter(F.col("kind") == PAIR).select(F.col("a"), F.col("b"), F.col("a").alias("g")).distinct()
+        texts = self.texts(stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))))
+        links = self.verify(stars, texts)
+        drop(texts)
+        roots = components(links).select(F.col("node").alias("cls"), "root")
+        tiles = self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n"))
+        tiles = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        open_ = tiles.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+        tiles = stash(tiles.join(open_, "key"), "jaccard-open")
+        count = tiles.count()
+        if not count:
+            drop(tiles)
+            return links
+        # a large tile falls into bands of sizes: a set is in its own and in the next, so linked sets meet; large bands
+        # into blocks, each of which meets each
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+        large = stash(tiles.filter(f"size > {TILE}").withColumn("band", F.explode(F.array(band, band + 1))), "jaccard-large")
+        blocks = large.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE / 2)).cast("int").alias("blocks"))
+        dealt = large.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        name = F.concat_ws(":", F.col("key").cast("string"), F.col("band").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+        # where a block meets itself, all pairs; else those of unlike blocks
+        dealt = dealt.select(name.alias("tile"), (F.col("block") != F.col("other")).alias("cross"), "cls", "n", "root", F.col("block").cast("long").alias("block"))
+        both = F.col("tile").alias("tile"), F.col("cross").alias("cross"), "cls", "n", "root", "block"
+        small = tiles.filter(f"size <= {TILE}").select(F.col("key").cast("string").alias("tile"), F.lit(False).alias("cross"), "cls", "n", "root", F.lit(0).cast("long").alias("block"))
+        members = small.unionByName(dealt.select(*both))
+        texts = self.texts(tiles.select("cls"))
+        sigs = texts.mapInArrow(lambda b: _bitmaps(b, n), "cls long, sig binary")
+        rows = members.join(sigs, "cls").select("tile", "cross", "cls", "n", "root", "block", "sig")
+        rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile")
+        pairs = stash(rows.mapInArrow(lambda b: _tiles(b, percent), "a long, b long, g long").distinct(), "jaccard-pairs")
+        more = self.verify(pairs, texts)
+        out = stash(links.unionByName(more), "jaccard-links")
+        drop(tiles, large, texts, pairs, links, more)
+        return out
+
+    def result(self) -> DataFrame:
+        """Per row: id, th, n, component (a class), the least member (none, id, th) of the component."""
+        links = self.links()
+        roots = components(links)
+        drop(links)
+        named = self.reps.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        smallest = named.groupBy("root").agg(F.min("r").alias("best"))
+        final = stash(named.join(smallest, "root").select("cls", "best"), "jaccard-classes")
+        wordless = self.rows.filter("n = 0").select("id", "th", "n", F.lit(None).cast(final.schema["best"].dataType).alias("best"))
+        return self.rows.filter("n > 0").join(final, "cls").select("id", "th", "n", "best").unionByName(wordless)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for t in b.column(1):
+            h = shingle_set(t.as_py(), n)
+            out.append(parity(h, bits_of(len(h))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["cls", "sig"])
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,78 +449,36 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     Two rows link if 100 * intersection >= percent * union of their sets of n-word shingles (A-Z lower-cased). Sets are
     compared exactly, as sorted arrays of 64-bit hashes; equal sets are one class and are compared once, however many rows.
-    No link is missed: candidate_keys gives any linked pair a key in common, and keys tie classes into groups, of which
-    each is one or more tiles (size-banded where it has over TILE classes). A key shared by very many sets costs one row
-    a batch, as links to its least class keep the group together. In a large group, every tile first compares its own
-    classes and a few pivots of the band; classes that aren't then with the band's largest component are compared with
-    all of its tiles.
-
-    Rows without words have 0 shingles and only themselves. Ids are integers; rows with a null id link, but lend no id; a
-    component without ids has a null one. Repeated rows and an empty table are fine.
+
+    Shingles have one order, rarest first by hashed counts over all texts; the keys of a set are its first few, so many
+    that linked sets share one. A key is a tile: only sets that share a key are compared. First each class of a tile meets
+    the tile's leader; classes that such links connect need no more comparison, so that a large group of near copies, whose
+    tiles are all alike, costs a few comparisons a member. Of tiles with classes that are still apart, pairs that sizes and
+    bitmaps let link are compared; tiles over TILE classes are split by bands of sizes and pairs of blocks. Very frequent
+    keys are dealt to several tasks. Texts travel only to the comparisons that bounds leave over.
+
+    Rows without words have 0 shingles and only themselves. Ids are integers (else a TypeError); rows with a null id link,
+    but lend no id; a component without ids has a null one. Repeated rows and an empty table are fine.
+    """
+    out = _Join(docs, n, percent, id_col, text_col).result()
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("best.id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of jaccard_classes: that with the least id (rows without one come last), of
+    unlike texts with that id the one with the least text hash, and of rows equal in id and text one.
+
+    Rows without words are linked with nothing and all stay. Other rows that bear a kept id stay or go by their own text.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = base.agg(F.sum(F.octet_length("text")).alias("t")).first()["t"] or 0
-    keys = total / 6 * 2 * (100 - percent) / (100 + percent) * 2
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(keys / KEYS_A_TASK))
-    found = base.mapInArrow(lambda b: _emit(b, n, percent, parts), "bucket int, kind int, a binary, b binary, c binary")
-    found = stash(found.repartition(parts, "bucket").mapInArrow(_meet, "kind int, a long, b long, c long"), "jaccard")
-    rows = found.filter(F.col("kind") >= ROW).select(F.when(F.col("kind") == ROW, F.col("a")).alias("id"), F.col("b").alias("n"), F.col("c").alias("cls"))
-    groups = components(found.filter(F.col("kind") == EDGE).select("a", "b"))
-    links = _links(base, rows, groups, n, percent)
-    roots = components(links)
-    drop(links)
-    least = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"))
-    named = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = stash(named.join(smallest, "root").select("cls", "component_id"), "jaccard-classes")
-
-    out = rows.join(final, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _links(base: DataFrame, rows: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Spanning links of the classes of each candidate group, from tiles."""
-    members = rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("r"), F.first("n").alias("n")).join(groups.withColumnRenamed("node", "cls"), "cls")
-    members = members.select(F.col("root").alias("g"), "cls", F.col("r.id").alias("id"), "n")
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    members = members.join(sizes, "g")
-    # a group of many classes falls into bands of sizes: a set is in its own and in the next, so linked sets meet
-    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    alone = F.array(F.lit(-1))
-    members = stash(members.withColumn("band", F.explode(F.when(F.col("size") <= TILE, alone).otherwise(F.array(band, band + 1)))).drop("size"), "jaccard-members")
-    sizes = members.groupBy("g", "band").agg(F.count(F.lit(1)).alias("size"))
-    blocks = sizes.filter("size > 1").select("g", "band", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    placed = stash(members.join(blocks, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "jaccard-placed")
-    large = placed.filter("blocks > 1")
-    few = F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks") * F.lit(max(1, TILE // PIVOTS))) == 0  # about PIVOTS of a band
-    lead = large.filter(few).groupBy("g", "band", "blocks").agg(F.collect_set(F.struct("cls", "id")).alias("p"))
-    pivots = lead.withColumn("p", F.explode("p")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = placed.select("g", "band", "block", "cls", "id").unionByName(pivots.select("g", "band", "block", "p.cls", "p.id")).distinct().withColumn("probe", F.lit(False))
-    links = stash(_compare(base, first, n, percent), "jaccard-links")
-    if large.limit(1).count() == 0:
-        drop(members, placed)
-        return links
-    # what isn't yet with its band's largest component meets all tiles of the band
-    roots = components(links)
-    at = stash(large.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-at")
-    counts = at.groupBy("g", "band", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("g", "band").agg(F.max(F.struct("k", "root")).alias("m")).select("g", "band", F.col("m.root").alias("main"))
-    minor = at.join(main, ["g", "band"]).filter("root <> main").select("g", "band", "blocks", "cls", "id")
-    spread = minor.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "band", "block", "cls", "id", F.lit(True).alias("probe"))
-    some = spread.select("g", "band", "block").distinct()
-    second = large.join(some, ["g", "band", "block"]).join(minor.select("g", "band", "cls"), ["g", "band", "cls"], "left_anti").select("g", "band", "block", "cls", "id", F.lit(False).alias("probe"))
-    more = stash(links.unionByName(_compare(base, second.unionByName(spread), n, percent)), "jaccard-links")
-    drop(members, placed, at, links)
-    return more
-
-
-def _compare(base: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within each (g, band, block) of members."""
-    ids = members.select("id").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else a plain join
-    texts = base.join(F.broadcast(ids) if few else ids, base["id"].eqNullSafe(ids["id"]), "left_semi")
-    joined = members.withColumnRenamed("id", "want").join(texts, F.col("want").eqNullSafe(F.col("id")))
-    tile = F.concat_ws(":", "g", "band", "block").alias("tile")
-    rows = joined.select(tile, "cls", "probe", "text")
-    return rows.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(lambda b: _tiles(b, n, percent), "a long, b long")
+    for c in ("__th", "__hit", "__gone", "__id"):
+        if c in docs.columns:
+            raise ValueError(f"column exists already: {c}")
+    out = _Join(docs, n, percent, id_col, text_col).result().filter("n > 0")
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    each = out.groupBy("id", "th").agg(F.count(F.lit(1)).alias("times"), F.max(F.when(mine == F.col("best"), 0).otherwise(1)).alias("gone"))
+    marks = stash(each.filter("gone = 1 or times > 1").select(F.col("id").alias("__id"), F.col("th").alias("__h"), F.col("gone").alias("__gone")), "jaccard-marks")
+    looked = among(docs.withColumn("__th", F.xxhash64(text_col)), marks.select(F.col("__h").alias("h")), "__th", marks.count())
+    sure = looked.filter(~F.col("__hit")).select(*docs.columns)
+    held = looked.filter("__hit").join(marks, (F.col("__th") == F.col("__h")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    again = held.filter("__gone = 0").dropDuplicates(["__id", "__th"])
+    return sure.unionByName(held.filter("__gone is null").select(*docs.columns)).unionByName(again.select(*docs.columns))

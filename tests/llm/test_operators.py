@@ -129,7 +129,7 @@ def brute_classes(rows, n, percent):
     return Counter((d, len(sets[i]), (min(least[find(i)], default=None) if sets[i] else d)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("n,percent,tile", [(3, 90, 1024), (5, 80, 4), (2, 60, 3)])
+@pytest.mark.parametrize("n,percent,tile", [(3, 90, 1024), (1, 50, 2)])
 def test_jaccard_is_exact(corpus, nothing, monkeypatch, n, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     df, rows = corpus
@@ -138,17 +138,74 @@ def test_jaccard_is_exact(corpus, nothing, monkeypatch, n, percent, tile):
     assert jaccard.jaccard_classes(nothing, n, percent).count() == 0
 
 
+def chained(rng, count=150):
+    """Texts that share frequent passages in chains, near copies of some at all degrees, unlike sizes, null ids."""
+    passages = [prose_words(rng, 12) for _ in range(12)]
+    rows = []
+    for i in range(count):
+        w = passages[i % 12] + passages[(i + 1) % 12] + prose_words(rng, rng.randint(2, 30))
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            for k in range(rng.randint(1, 4)):
+                v = list(w)
+                for _ in range(k):
+                    v[rng.randrange(len(v))] = f"x{rng.randrange(9)}"
+                rows.append((1000 + len(rows) if rng.random() < 0.8 else None, " ".join(v + w[: rng.randint(0, 8)])))
+    return rows
+
+
+def prose_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n,percent,tile", [(5, 80, 4), (2, 55, 1024)])
+def test_jaccard_where_frequent_keys_chain_all_texts(spark, monkeypatch, n, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SPLIT_LEVEL", 8)  # keys found over four times go to several tasks
+    rows = chained(random.Random(n))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df, n, percent).collect())
+    assert got == brute_classes(rows, n, percent)
+
+
+def test_jaccard_names_that_collide(corpus, monkeypatch):
+    df, rows = corpus
+    real = jaccard.class_of
+    monkeypatch.setattr(jaccard, "class_of", lambda h, salt=0: (real(h, salt)[0] % 7 + 1 if salt == 0 and len(h) else real(h, salt)[0], real(h, salt)[1]))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df, 3, 90).collect())
+    assert got == brute_classes([r[:2] for r in rows], 3, 90)
+
+
+def test_jaccard_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        jaccard.jaccard_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
-    for percent in (60, 80, 90):
-        for _ in range(300):
+    for percent in (50, 60, 80, 90):
+        for k in range(300):
+            levels = rng.integers(0, 4, 1 << jaccard.COUNT_BITS).astype(np.uint8) if k % 50 == 0 else levels
             s = int(rng.integers(2, 120))
-            a = np.unique(rng.integers(0, 2**63, s, dtype=np.uint64))
-            o = int(rng.integers(0, max(1, jaccard.most_differences(len(a), percent)) + 1))
-            b = np.unique(np.concatenate((rng.permutation(a)[: len(a) - o // 2], rng.integers(0, 2**63, o - o // 2, dtype=np.uint64))))
+            a = np.unique(rng.integers(0, 2**63, s, dtype=np.uint64) * np.uint64(2))
+            drop = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
+            more = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1)) if k % 2 else 0  # every other pair: one set within the other
+            b = np.unique(np.concatenate((rng.permutation(a)[: len(a) - drop], rng.integers(0, 2**63, more, dtype=np.uint64))))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both) and jaccard.class_of(a) != jaccard.class_of(b):
-                assert set(jaccard.candidate_keys(a, percent)) & set(jaccard.candidate_keys(b, percent))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert set(jaccard.candidate_keys(a, levels, percent)) & set(jaccard.candidate_keys(b, levels, percent))
+                for bits in (64, 256):
+                    apart = int(np.bitwise_count(jaccard.parity(a, bits) ^ jaccard.parity(b, bits)).sum())
+                    assert apart <= len(a) + len(b) - 2 * both and jaccard.may_link(len(a), len(b), apart, percent) and jaccard.near_size(len(a), len(b), percent)
+
+
+def test_one_row_of_each_component(spark, nothing):
+    a, b = (" ".join(prose_words(random.Random(k), 30)) for k in (1, 2))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (1, a, "y"), (None, a, "x"), (None, b + " more", "z"), (3, "", "e"), (3, "", "e"), (4, None, "e"), (None, None, "e"), (7, "alone", "q"), (None, "nobody", "q"), (None, "nobody", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    assert got == Counter([(1, a), (2, b), (3, ""), (3, ""), (4, None), (None, None), (7, "alone"), (None, "nobody")])
+    assert jaccard.one_of_each(nothing).count() == 0 and jaccard.one_of_each(nothing).columns == nothing.columns
 
 
 def test_components(spark):
