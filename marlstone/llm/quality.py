@@ -68,47 +68,47 @@ def counts_of(text: str) -> tuple[int, ...]:
 
 #: The rules: name, and an SQL expression of a vote: 1 for quality, -1 against, 0 to abstain.
 RULES = {
-    "length": "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 50 AND n_words <= 100000 THEN 1 ELSE 0 END",
+    "length": "CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 50 AND n_words <= 100000 THEN 1 ELSE 0 END",
     "word_length": "CASE WHEN word_chars < 3 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3.5 * n_words AND word_chars <= 10 * n_words THEN 1 ELSE 0 END",
     "symbols": "CASE WHEN 10 * n_symbols > n_words THEN -1 WHEN 100 * n_symbols <= n_words THEN 1 ELSE 0 END",
     "lines": "CASE WHEN 2 * n_dup_lines > n_lines THEN -1 WHEN 10 * n_dup_lines <= n_lines THEN 1 ELSE 0 END",
-    "repeats": "CASE WHEN 100 * n_repeat_words > 20 * n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END",
+    "repeats": "CASE WHEN 10 * n_repeat_words > n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END",
     "letters": "CASE WHEN 10 * n_alpha_words < 7 * n_words THEN -1 WHEN 10 * n_alpha_words >= 8.5 * n_words THEN 1 ELSE 0 END",
     "variety": "CASE WHEN n_words >= 30 AND 10 * n_distinct < 2 * sqrt(30.0 * n_words) THEN -1 WHEN n_words >= 30 AND 10 * n_distinct >= 5 * sqrt(30.0 * n_words) THEN 1 ELSE 0 END",
     "stutter": "CASE WHEN 5 * n_stutter > n_words THEN -1 WHEN 20 * n_stutter <= n_words THEN 1 ELSE 0 END",
 }
 
+#: Pseudo-votes before any is seen: of each rule, right and wrong ones on texts of quality and on poor ones; good and poor texts.
+RIGHT, WRONG, BALANCE = (8.0, 2.0), (2.0, 2.0), (4.0, 1.0)
 
-def estimate(votes: np.ndarray, times: np.ndarray, rounds: int = 300, smooth: float = 0.5, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns; given the latent kind of a document, rules vote independently.
 
-    The kinds are quality and, as text can be poor in unlike ways that fail unlike rules, one poor kind for each rule.
-    votes: patterns x rules in {-1, 0, 1}; times: documents of each pattern. Returns the shares of the kinds, the chances
-    p[kind, rule, vote + 1] (of votes cast), and each pattern's posterior chance of quality (kind 0). At the start a pattern is of quality
-    if no rule is against it, and else of the kinds of those that are. ``smooth`` pseudo-votes keep every chance above 0.
+def estimate(votes: np.ndarray, times: np.ndarray, rounds: int = 500, tol: float = 1e-10) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns, with one latent variable, quality, given which rules vote independently.
+
+    votes: patterns x rules in {-1, 0, 1}; times: documents of each pattern. Returns the share of quality, the accuracy of
+    each rule on texts of quality and on poor ones (2 x rules: the chance that a vote cast is right), and each pattern's
+    posterior chance of quality. It starts from the majority of the votes cast; whether a rule abstains says nothing.
     """
-    hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-    against = hot[:, :, 0]
-    n_against = against.sum(1, keepdims=True)
-    post = np.hstack([np.where(n_against > 0, 0.02, 1.0), np.where(n_against > 0, 0.98 * against / np.maximum(n_against, 1), 0.0)])
+    yes, no = (votes == 1).astype(float), (votes == -1).astype(float)
+    post = (yes.sum(1) + 1) / (yes.sum(1) + no.sum(1) + 2)
+    prior = np.array([RIGHT, WRONG])  # [right, wrong] x [quality, poor]
     last = -np.inf
-    shares = p = None
+    share, accuracy = 0.5, np.full((2, votes.shape[1]), 0.5)
     for _ in range(rounds):
-        w = post * times[:, None]
-        p = np.einsum("nc,nrv->crv", w, hot) + smooth
-        p[:, :, 1] = 0.0
-        p /= p.sum(2, keepdims=True)
-        p[:, :, 1] = 1.0  # whether a rule abstains says nothing
-        shares = (w.sum(0) + smooth) / (times.sum() + smooth * w.shape[1])
-        log = np.einsum("nrv,crv->nc", hot, np.log(p)) + np.log(shares)
-        top = log.max(1, keepdims=True)
-        mass = np.exp(log - top)
-        post = mass / mass.sum(1, keepdims=True)
-        now = float((times * (top[:, 0] + np.log(mass.sum(1)))).sum())
+        good, poor = post * times, (1 - post) * times
+        right = np.stack([good @ yes, poor @ no]) + np.array(RIGHT)[:, None]
+        wrong = np.stack([good @ no, poor @ yes]) + np.array(WRONG)[:, None]
+        accuracy = right / (right + wrong)
+        share = (good.sum() + BALANCE[0]) / (times.sum() + sum(BALANCE))
+        log_good = np.log(share) + yes @ np.log(accuracy[0]) + no @ np.log(1 - accuracy[0])
+        log_poor = np.log(1 - share) + no @ np.log(accuracy[1]) + yes @ np.log(1 - accuracy[1])
+        both = np.logaddexp(log_good, log_poor)
+        post = np.exp(log_good - both)
+        now = float(times @ both + prior[0] @ np.log(accuracy).sum(1) + prior[1] @ np.log(1 - accuracy).sum(1) + BALANCE[0] * np.log(share) + BALANCE[1] * np.log(1 - share))
         if now - last < tol * max(1.0, abs(now)):
             break
         last = now
-    return shares, p, post[:, 0]
+    return float(share), accuracy, post
 
 
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +132,9 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Verdict on each document from rules of unknown accuracy: posterior chance of quality and ``kept``.
 
     Each rule votes for or against or abstains. Only the counts of vote patterns (3 ** rules at most) reach the driver,
-    where expectation-maximisation estimates every rule's accuracy from agreement alone, over all documents; the
-    posteriors go back as a table of those patterns. ``base_failed`` (fewer than 10 words, or over 20 % of the words in
+    where expectation-maximisation estimates every rule's accuracy from agreement alone, over all documents, starting from
+    the majority of votes; a vote weighs by its rule's accuracies, so one vote against a text can be outvoted. The
+    posteriors go back as a table of those patterns; a document whose posterior is the threshold is kept. ``base_failed`` (fewer than 10 words, or over 20 % of the words in
     repeated 5-word windows) is a plain limit: such documents aren't kept whatever the votes.
 
     Returns id, COUNTS, base_failed, the votes (vote_<rule>), posterior, kept. Null texts count as empty ones and fail

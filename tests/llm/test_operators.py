@@ -301,10 +301,69 @@ def test_repeat_words_without_hashes():
         assert quality.repeat_words(ids) == brute_counts(t)[4]
 
 
-def test_estimate_finds_poor_kinds():
-    votes = np.array([[1, 1, 1, 1], [-1, -1, 1, 1], [1, 1, -1, -1], [0, 1, 1, 1]])
-    _, _, post = quality.estimate(votes, np.array([900.0, 50, 50, 60]))
-    assert post[0] > 0.9 and post[3] > 0.9 and post[1] < 0.1 and post[2] < 0.1
+def plain_estimate(patterns):
+    """The label model again, by loops: {pattern: times} -> {pattern: posterior}."""
+    rules = range(len(next(iter(patterns))))
+    post = {p: (p.count(1) + 1) / (p.count(1) + p.count(-1) + 2) for p in patterns}
+    for _ in range(400):
+        share = (sum(n * post[p] for p, n in patterns.items()) + 4) / (sum(patterns.values()) + 5)
+        acc = {}
+        for r in rules:
+            for good, (right, wrong) in ((1, (8.0, 2.0)), (0, (2.0, 2.0))):
+                for p, n in patterns.items():
+                    w = n * (post[p] if good else 1 - post[p])
+                    if p[r] == (1 if good else -1):
+                        right += w
+                    elif p[r]:
+                        wrong += w
+                acc[good, r] = right / (right + wrong)
+        for p in patterns:
+            odds = [share, 1 - share]
+            for r in rules:
+                if p[r]:
+                    odds[0] *= acc[1, r] if p[r] == 1 else 1 - acc[1, r]
+                    odds[1] *= acc[0, r] if p[r] == -1 else 1 - acc[0, r]
+            post[p] = odds[0] / sum(odds)
+    return post
+
+
+def test_an_accurate_rule_outvotes_a_noisy_one():
+    rng = random.Random(8)
+    patterns = Counter()
+    for _ in range(6000):
+        good = rng.random() < 0.7
+        patterns[tuple((1 if good else -1) * (1 if rng.random() < right else -1) if rng.random() < 0.9 else 0 for right in (0.97, 0.95, 0.93, 0.55, 0.55))] += 1
+    votes, times = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    share, accuracy, post = quality.estimate(votes, times)
+    assert share == pytest.approx(0.7, abs=0.05) and accuracy[:, 0].min() > 0.9 and accuracy[:, 3:].max() < 0.7
+    by = dict(zip(patterns, post))
+    assert by[1, 1, 1, -1, -1] > 0.9 and by[-1, -1, -1, 1, 1] < 0.1  # the noisy are outvoted
+    assert by[1, 0, 0, -1, -1] > 0.5 if (1, 0, 0, -1, -1) in by else True  # even two of them by one
+    want = plain_estimate(patterns)
+    for p, x in by.items():
+        assert x == pytest.approx(want[p], abs=1e-4)
+
+
+def test_quality_verdicts_are_those_of_the_label_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality.weak_quality(docs).collect()
+    votes = lambda r: tuple(r[f"vote_{k}"] for k in quality.RULES)
+    want = plain_estimate(Counter(map(votes, out)))
+    all_pass = 0
+    for r in out:
+        assert r["posterior"] == pytest.approx(want[votes(r)], abs=1e-4)
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+        all_pass += r["kept"] != (not r["base_failed"] and -1 not in votes(r))
+    assert all_pass > 0  # the verdict isn't that all must pass
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(labels[r["doc_id"]], r["kept"], -1 not in votes(r) and not r["base_failed"]) for r in out if labels.get(r["doc_id"]) is not None]
+    assert sum(x == k for x, k, _ in held) > sum(x == p for x, _, p in held) and not any(k for x, k, _ in held if x == 0)
+
+
+def test_quality_of_null_and_odd_texts(spark):
+    rows = [(None, None), (1, None), (2, ""), (3, "word " * 9), (3, "word " * 9)]
+    out = quality.weak_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and all(r["base_failed"] and not r["kept"] and 0 <= r["posterior"] <= 1 for r in out)
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
