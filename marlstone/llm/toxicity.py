@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import drop, stash
 
-#: Bounds of what is learned from; all are parameters of toxicity_model.
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_EXCEPTIONS = 4000, 24000, 2048, 8192
+#: Bounds of the labelled rows that are learned from; parameters of toxicity_model.
+MAX_TOXIC, MAX_CLEAN = 4000, 24000
+#: Lengths of the openings of words that can be terms; toxic texts that must hold a term; natural words near a term that it bears.
 PREFIXES = (4, 5, 6, 7, 8)
+MIN_TEXTS, MAX_AROUND = 3, 2
+BUCKETS = 64
 WORD_CACHE = 150_000
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~‘’“”„«»…¿¡"
 #: Marks of quotation, and words that report what others say.
@@ -136,7 +141,7 @@ def bare(token: str) -> str:
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; bounded by MAX_TERMS and MAX_EXCEPTIONS whatever the corpus."""
+    """What scoring needs; bounded by the labelled rows learned from, whatever the corpus."""
 
     terms: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
@@ -208,29 +213,63 @@ def quoted(tokens: list[str], i: int) -> bool:
     return any(tokens[j].rstrip(".,;:!?")[-1:] in CLOSING and len(tokens[j]) > 1 for j in range(i, min(len(tokens), i + QUOTE_WINDOW)))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of toxic and clean training texts: in how many distinct settings (neighbouring words) each word and each prefix occurs.
-
-    Copies of a text share their settings, so that they count once in a batch.
-    """
+def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their settings (hashes of the neighbouring words) with the text's label, dealt to buckets by word."""
     for b in batches:
         texts, toxic = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lo, hi in slices(texts, 1 << 20):
-            seen: dict[str, list] = {}
+            index: dict[str, int] = {}
+            ids, settings, labels = [], [], []
             for t, x in zip(texts[lo:hi], toxic[lo:hi]):
                 words = [bare(w) for w in t.lower().split()]
-                own: set[str] = set()
-                for i, w in enumerate(words):
-                    if 3 <= len(w) <= 32:
-                        setting = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-                        for term in (w, *(w[:p] + "*" for p in PREFIXES if len(w) > p)):
-                            s = seen.setdefault(term, [set(), set(), 0])
-                            s[x].add(setting)
-                            if x and term not in own:
-                                s[2] += 1
-                                own.add(term)
-            rows = [(t, len(s[1]), len(s[0]), s[2]) for t, s in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]], names=["term", "toxic", "clean", "docs"])
+                around = ["", *words, ""]
+                kept = [i for i, w in enumerate(words) if len(w) >= 3]
+                ids += [index.setdefault(words[i], len(index)) for i in kept]
+                settings += [xxhash.xxh3_64_intdigest(f"{around[i]}\x00{around[i + 2]}".encode("utf-8", "surrogatepass")) for i in kept]
+                labels += [x] * len(kept)
+            if not ids:
+                continue
+            names = np.array(list(index), object)
+            own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in names), np.int64, len(names))
+            i, s, x = np.array(ids), np.array(settings, np.uint64), np.array(labels, np.uint8)
+            rows = []
+            for k in np.unique(own):
+                at = np.flatnonzero(own[i] == k)
+                here, which = np.unique(i[at], return_inverse=True)
+                rows.append((int(k), names[here].tolist(), which.astype("<u4").tobytes(), s[at].tobytes(), x[at].tobytes()))
+            kinds = pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "words", "which", "settings", "labels"])
+
+
+def _count_settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per word: its distinct settings in toxic and in clean texts. A bucket holds its share of the bounded sample."""
+    index: dict[str, int] = {}
+    ids, settings, labels = [], [], []
+    for b in batches:
+        for words, which, s, x in zip(*[b.column(k).to_pylist() for k in range(1, 5)]):
+            own = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+            ids.append(own[np.frombuffer(which, "<u4")])
+            settings.append(np.frombuffer(s, np.uint64))
+            labels.append(np.frombuffer(x, np.uint8))
+    if not ids:
+        return
+    i, s, x = np.concatenate(ids), np.concatenate(settings), np.concatenate(labels)
+    order = np.lexsort((x, s, i))
+    i, s, x = i[order], s[order], x[order]
+    new = np.concatenate(([True], (i[1:] != i[:-1]) | (s[1:] != s[:-1]) | (x[1:] != x[:-1])))
+    counts = [np.bincount(i[new & (x == k)], minlength=len(index)) for k in (1, 0)]
+    yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["word", "a", "c"])
+
+
+def _toxic_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of the texts each word, and each opening (marked *), occurs."""
+    for b in batches:
+        n: Counter = Counter()
+        for t in b.column(0).to_pylist():
+            words = {w for w in map(bare, set(t.lower().split())) if len(w) >= 3}
+            n.update(words)
+            n.update({w[:p] + "*" for w in words for p in PREFIXES if len(w) > p})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "d"])
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> list[float]:
@@ -248,51 +287,63 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return [float(v) for v in w]
 
 
+def _near(batches: Iterator[pa.RecordBatch], terms: dict, prefixes: dict, fuzzy: frozenset) -> Iterator[pa.RecordBatch]:
+    """Of natural words, those that would count as a misspelt term, and which."""
+    auto = LexiconAutomaton(terms, prefixes, set(fuzzy))
+    for b in batches:
+        found = [(w, hit[0]) for w in b.column(0).to_pylist() if (hit := auto.find(w)) and hit[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "near"])
+
+
 def held_out(id_col: str, mod: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                   max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> ToxicityModel:
+                   max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
     """Learns from labelled rows only, those with crc32(id) mod 3 other than 1, and of these from ``max_toxic`` toxic and
-    ``max_clean`` clean ones at most, in hashed order. The lexicon: words, and openings of words, that occur in at least
-    two toxic texts (three of 300 or more), nine times in ten in toxic ones, and too often so for chance; an opening must stand for more
-    than one word. Misspellings of a term count unless
-    natural words lie around it (more than two in the clean sample), and never those words themselves.
+    ``max_clean`` clean ones at most, in hashed order; equal texts with one label count once. The model depends on those
+    rows alone, not on how they are dealt to tasks.
+
+    A word counts by its distinct settings (the words beside it), so that copied passages count once; an opening of words
+    has the sum of its words. The lexicon: words, and openings that stand for several words, that occur in MIN_TEXTS toxic
+    texts or more, nine times in ten in toxic ones, and too often so for chance. Misspellings of a term count unless more
+    than MAX_AROUND words of clean texts lie around it, and never those words themselves.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__x"))
     order = F.xxhash64(id_col)
     some = known.filter("__x = 1").orderBy(order, id_col).limit(max_toxic).unionByName(known.filter("__x = 0").orderBy(order, id_col).limit(max_clean))
     text = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    sample = stash(text.join(F.broadcast(some), id_col).select("__text", "__x"), "toxic-sample")  # max_toxic + max_clean ids at most
-    sizes = {r["__x"]: r for r in sample.groupBy("__x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("__text")).alias("t")).collect()}
-    if not sizes.get(1):
+    sample = text.join(F.broadcast(some), id_col).select("__text", "__x")  # max_toxic + max_clean ids at most
+    sample = stash(sample.groupBy(F.xxhash64("__text").alias("h"), "__x").agg(F.first("__text").alias("__text")).select("__text", "__x").repartition(32), "toxic-sample")
+    sizes = {r["__x"]: r["t"] for r in sample.groupBy("__x").agg(F.sum(F.length("__text")).alias("t")).collect()}
+    if 1 not in sizes:
         drop(sample)
         return ToxicityModel()
-    share = max(1, sizes[1]["t"]) / max(1, sum(r["t"] for r in sizes.values()))
-    counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long, docs long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"), F.sum("docs").alias("d"))
+    share = max(1, sizes[1]) / max(1, sum(sizes.values()))
+    words = sample.mapInArrow(_settings, "bucket int, words array<string>, which binary, settings binary, labels binary").repartition(BUCKETS, "bucket")
+    words = stash(words.mapInArrow(_count_settings, "word string, a long, c long"), "toxic-words")
+    opening = F.explode(F.filter(F.array(*[F.when(F.length("word") > p, F.concat(F.substring("word", 1, p), F.lit("*"))) for p in PREFIXES]), lambda x: x.isNotNull()))
+    openings = words.select(opening.alias("term"), "a", "c").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("a").alias("most"))
+    counts = words.select(F.col("word").alias("term"), "a", "c", F.lit(0).cast("long").alias("most")).unionByName(openings)
     n = F.col("a") + F.col("c")
     gain = 2 * (F.col("a") * F.log(F.col("a") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share + 1e-9)))).otherwise(0))
-    best = counts.filter((F.col("d") >= (3 if sizes[1]["n"] >= 300 else 2)) & (F.col("a") >= 9 * F.col("c"))).withColumn("gain", gain).filter("gain >= 20").orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    weight = {r["term"]: min(8.0, math.log((r["a"] + 0.5) / (r["c"] + 0.5) * (1 - share + 1e-9) / share)) for r in best}
+    texts = sample.filter("__x = 1").select("__text").mapInArrow(_toxic_texts, "term string, d long").groupBy("term").agg(F.sum("d").alias("d")).filter(F.col("d") >= MIN_TEXTS)
+    best = counts.filter("a > 0 and a >= 9 * c").filter(gain >= 20).join(texts, "term").select("term", "a", "c", "most").collect()  # of max_toxic texts
+    weight = {r["term"]: min(8.0, math.log((r["a"] + 0.5) / (r["c"] + 0.5) * (1 - share + 1e-9) / share)) for r in sorted(best)}
     terms = {t: w for t, w in weight.items() if not t.endswith("*")}
-    seen = {r["term"]: r["a"] for r in best}
-    most = {t: max([a for w, a in seen.items() if not w.endswith("*") and w.startswith(t[:-1])], default=0) for t in seen if t.endswith("*")}
-    prefixes = {t[:-1]: w for t, w in weight.items() if t.endswith("*") and seen[t] >= 2 * most[t]}  # not one word's own opening
-    draft = ToxicityModel(terms, prefixes, set(terms))
-
-    def natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = LexiconAutomaton(draft.terms, draft.prefixes, draft.fuzzy)
-        for b in batches:
-            words = {bare(w) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not x for w in set(t.lower().split())}
-            found = [(w, hit[0]) for w in sorted(words) if w and (hit := auto.find(w)) and hit[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "near"])
-
-    near = sample.mapInArrow(natural, "word string, near string").distinct().orderBy("word", "near").limit(MAX_EXCEPTIONS).collect()
-    around: dict[str, int] = {}
-    for r in near:
-        around[r["near"]] = around.get(r["near"], 0) + 1
-    model = ToxicityModel(terms, prefixes, {t for t in terms if around.get(t, 0) <= 2}, {r["word"] for r in near})
+    prefixes = {r["term"][:-1]: weight[r["term"]] for r in sorted(best) if r["term"].endswith("*") and r["a"] >= 2 * r["most"]}  # not one word's own opening
+    # terms with many natural words around them are matched as they are, until no other term takes over such words
+    fuzzy, clean = {t for t in terms if edits_allowed(t)}, words.filter("c > 0").select("word")
+    while True:
+        near = clean.mapInArrow(lambda b, f=frozenset(fuzzy): _near(b, terms, prefixes, f), "word string, near string")
+        around = near.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) <= MAX_AROUND, F.array_sort(F.collect_set("word"))).alias("words")).collect()  # a row a term at most
+        gone = {r["near"] for r in around if r["n"] > MAX_AROUND}
+        fuzzy -= gone
+        if not gone:
+            break
+    drop(words)
+    model = ToxicityModel(terms, prefixes, fuzzy, {w for r in around for w in r["words"]})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -520,3 +520,121 @@ def test_toxicity_learns_and_scores(spark, nothing, corpus):
     assert m.score("you blockhead") > m.score('he said "blockhead" again')
     assert toxicity.toxicity(corpus[0], labels.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.select("doc_id", "text").limit(0), labels).count() == 0
+
+
+def toxic_rows():
+    from conftest import prose
+
+    rng = random.Random(19)
+    bad = ["skunkface", "blockhead", "grubworm", "vilehearted", "vilehanded", "vilemouthed"]
+    rows = []
+    for i in range(240):
+        w = prose(rng, 30).split()
+        if i % 3 == 0:
+            for k in rng.sample(range(30), 4):
+                w[k] = rng.choice(bad)
+        if i % 20 == 1:
+            w[5:8] = ["he", "said", rng.choice(bad)]
+        if i % 20 == 2:
+            w[5] = f'"{rng.choice(bad)}"'
+        if i % 20 == 4:
+            w[3] = "blokchead"
+        if i % 7 == 0:
+            w[9] = "blockheat"  # with the misspelling above, two natural words beside a term
+        if i % 11 == 0:
+            w[12:15] = ["grubworn", "grubwort", "grabworm"]  # three: the term is matched as it is only
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    return rows + [(900, rows[0][1], 1), (901, rows[0][1], 1)]
+
+
+def plain_toxicity(rows):
+    """The whole model and its scores by loops over texts and edit distances."""
+    bare, px = toxicity.bare, toxicity.PREFIXES
+    seen = {(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    size = {x: sum(len(t) for t, y in seen if y == x) for x in (0, 1)}
+    share = size[1] / sum(size.values())
+    settings, texts = defaultdict(set), Counter()
+    for t, x in seen:
+        w = [bare(k) for k in t.lower().split()]
+        for i, k in enumerate(w):
+            if len(k) >= 3:
+                settings[k].add((x, w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""))
+        if x:
+            own = {k for k in w if len(k) >= 3}
+            texts.update(own | {k[:p] + "*" for k in own for p in px if len(k) > p})
+    count = {k: [sum(s[0] == x for s in v) for x in (1, 0)] for k, v in settings.items()}
+    most = defaultdict(int)
+    for k in list(count):
+        for p in px:
+            if len(k) > p:
+                c = count.setdefault(k[:p] + "*", [0, 0])
+                c[0] += count[k][0]
+                c[1] += count[k][1]
+                most[k[:p] + "*"] = max(most[k[:p] + "*"], count[k][0])
+    weight = {}
+    for k, (a, c) in count.items():
+        if a and a >= 9 * c and texts[k] >= toxicity.MIN_TEXTS:
+            if 2 * (a * math.log(a / ((a + c) * share)) + (c * math.log(c / ((a + c) * (1 - share + 1e-9))) if c else 0)) >= 20:
+                weight[k] = min(8.0, math.log((a + 0.5) / (c + 0.5) * (1 - share + 1e-9) / share))
+    terms = {k: w for k, w in weight.items() if k[-1] != "*"}
+    openings = {k[:-1]: w for k, w in weight.items() if k[-1] == "*" and count[k][0] >= 2 * most[k]}
+    fuzzy = {t for t in terms if toxicity.edits_allowed(t)}
+
+    def nearest(w):
+        if any(w.startswith(o) for o in openings):
+            return None
+        if w in terms:
+            return None
+        near = sorted((distance(w, t), t) for t in fuzzy if abs(len(t) - len(w)) <= 2 and distance(w, t) <= toxicity.edits_allowed(t))
+        return near[0][1] if near else None
+
+    natural = {k for k, v in settings.items() if any(s[0] == 0 for s in v)}
+    while True:
+        around = defaultdict(set)
+        for w in natural:
+            if (t := nearest(w)) is not None:
+                around[t].add(w)
+        gone = {t for t, ws in around.items() if len(ws) > toxicity.MAX_AROUND}
+        if not gone:
+            break
+        fuzzy -= gone
+    exceptions = set().union(*around.values()) if around else set()
+
+    def feature(text):
+        w = text.lower().split()
+        total = 0.0
+        for i, token in enumerate(w):
+            k = bare(token)
+            start = [o for o in openings if k.startswith(o)]
+            if start:
+                x = openings[min(start, key=len)]
+            elif k in terms:
+                x = terms[k]
+            elif k and k not in exceptions and (t := nearest(k)) is not None:
+                x = terms[t] * toxicity.MISSPELT
+            else:
+                continue
+            total += x * (toxicity.QUOTED if toxicity.quoted(w, i) else 1.0)
+        return math.log1p(total)
+
+    data = sorted((x, feature(t)) for t, x in seen)
+    coef = toxicity._fit_logistic(np.array([[f] for _, f in data]), np.array([float(x) for x, _ in data]))
+    return terms, openings, fuzzy, exceptions, lambda t: 1 / (1 + math.exp(-coef[0] - coef[1] * feature(t)))
+
+
+def test_toxicity_whatever_the_layout_and_by_brute_force(spark):
+    rows = toxic_rows()
+    extra = [(2000, "he said you blockhaed and skunkfaec"), (2001, "grubwom " * 3000 + "calm"), (2002, "x" * 20000), (2003, "blockheat vilething")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + extra, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    models = [toxicity.toxicity_model(docs.repartition(k) if k > 1 else docs.coalesce(1), labels) for k in (1, 37)]
+    assert models[0] == models[1]
+    m = models[0]
+    terms, openings, fuzzy, exceptions, score = plain_toxicity(rows)
+    assert m.terms == pytest.approx(terms) and m.prefixes == pytest.approx(openings) and m.fuzzy == fuzzy and m.exceptions == exceptions
+    assert "vile" in openings and "grubworm" in terms and "grubworm" not in fuzzy and "blockheat" in exceptions and "blockhead" in fuzzy
+    out = toxicity.toxicity(docs.repartition(5), labels).collect()
+    texts = dict([r[:2] for r in rows] + extra)
+    for r in out:
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+    assert toxicity.toxicity(docs, labels, threshold=out[0]["score"]).filter(F.col("doc_id") == out[0]["doc_id"]).first()["predicted"] == 1  # a tie counts
