@@ -14,104 +14,76 @@ from .common import among, drop, stash
 from .components import components
 from .words import ONE, TWO, bounded, mix, shingle_set, windows, word_hashes
 
+RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
 KEYS_A_TASK = 2_000_000
-COUNT_BITS, COUNT_BLOCKS = 22, 64  # cells of the table of shingle counts, and the parts it is summed in
-SPLIT_LEVEL = 80  # keys found over 2 ** (80 / 4) times are dealt to several tasks
-KEY, ROW, ROW_NO_ID, PAIR = 0, 1, 2, 3
-MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4"), ("sig", "<u8")])
+LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
 LEADERS = 2
+KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
+MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4")])
 
 
-def least_overlap(n: int, percent: int) -> int:
-    """Elements that a set of n has in common with any that it is linked with, at least."""
-    return -(-percent * n // 100)
+def bands(limit: int) -> np.ndarray:
+    """Lower ends of the bands of set sizes, past limit."""
+    out = [1]
+    while out[-1] <= limit:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * RATIO))))
+    return np.array(out, np.int64)
 
 
-def near_size(a, b, percent: int):
-    """Whether sets of these sizes can be linked."""
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-
-
-def may_link(a, b, apart, percent: int):
-    """Whether sets of sizes a and b that differ in ``apart`` elements at least can be linked: a bound on the overlap from above."""
-    most = (a + b - apart) // 2
-    return 100 * most >= percent * (a + b - most)
-
-
-# --- what the whole corpus says about shingles ---------------------------------------------------------------------------
-
+_ENDS = bands(1 << 40)
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
+def most_differences(size: int, percent: int) -> int:
+    """Elements in which two sets of up to ``size`` can differ at 100 * intersection >= percent * union."""
+    return 2 * size * (100 - percent) // (100 + percent)
 
-def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A task's shingles by hashed cell, in COUNT_BLOCKS blocks."""
-    table, held, size = np.zeros(1 << COUNT_BITS, np.int64), [], 0
 
-    def add():
-        np.add(table, np.bincount(_cell(np.concatenate(held)), minlength=len(table)), out=table)
+def _cells(h: np.ndarray, n: int, salt: int) -> np.ndarray:
+    return ((mix(h + np.uint64((salt * int(ONE)) & ((1 << 64) - 1))) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
-    for b in bounded(batches, 0):
-        for t in b.column(0):
-            w = word_hashes(t.as_py() or "")
-            if len(w):
-                held.append(windows(w, min(n, len(w))))
-                size += len(held[-1])
-        if size > 4_000_000:
-            add()
-            held, size = [], 0
-    if held:
-        add()
-    for k, part in enumerate(table.reshape(COUNT_BLOCKS, -1)):
-        if part.any():
-            narrow = part.astype("<u1" if part.max() < 256 else "<u2" if part.max() < 1 << 16 else "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow.itemsize], pa.int32()), pa.array([narrow.tobytes()], pa.binary())], names=["block", "width", "counts"])
 
+def candidate_keys(h: np.ndarray, percent: int) -> np.ndarray:
+    """Keys such that any two linked, unlike sets have one in common.
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, width, counts in zip(*[b.column(c).to_pylist() for c in range(3)]):
-            part = np.frombuffer(counts, {1: "<u1", 2: "<u2", 8: "<i8"}[width]).astype(np.int64)
-            sums[k] = sums[k] + part if k in sums else part
-    for k, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(s.sum())], pa.int64()), pa.array([np.floor(4 * np.log2(1.0 + s)).astype(np.uint8).tobytes()], pa.binary())], names=["block", "total", "levels"])
-
-
-def shingle_levels(base: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(per hashed cell, four times the logarithm of how often its shingles occur in all texts; shingles in all).
-
-    One byte a cell, 4 MiB whatever the corpus. Shingles are ordered by it, rare ones first. The order is free to choose:
-    the better the counts, the smaller the tiles; what links doesn't depend on them.
+    Sets of a band of sizes differ in d elements at most. Dealt by hash to d + 1 cells and some to spare, linked sets agree
+    in a cell, and in one that isn't empty unless more cells are empty than are to spare. A set with too many empty cells
+    also gives keys by another dealing, until it has few enough: of two sets, the one that ends first makes sure of both. A
+    set gives keys for its own band and for all later ones that a partner may be in.
     """
-    parts = base.select("text").mapInArrow(lambda b: _count(b, n), "block int, width int, counts binary")
-    sums = parts.repartition(COUNT_BLOCKS, "block").mapInArrow(_levels, "block int, total long, levels binary")
-    levels, total = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.uint8), 0
-    for r in sums.toLocalIterator():
-        levels[r["block"]] = np.frombuffer(r["levels"], np.uint8)
-        total += r["total"]
-    return levels.reshape(-1), total
-
+    s = len(h)
+    band = int(np.searchsorted(_ENDS, s, "right")) - 1
+    out, own = [], band
+    while band == own or 100 * s >= percent * int(_ENDS[band]):
+        d = most_differences(int(_ENDS[band + 1]) - 1, percent)
+        if d:
+            spare = 1 + d // 4  # of a set near the least size of a band, a sixth of the cells are empty
+            n = d + 1 + spare
+            for salt in range(64):
+                cell = _cells(h, n, salt)
+                order = np.argsort(cell, kind="stable")
+                sorted_cells = cell[order]
+                starts = np.flatnonzero(np.concatenate(([True], sorted_cells[1:] != sorted_cells[:-1])))
+                sums = np.add.reduceat(mix(h[order]), starts)
+                tag = np.uint64((band << 40) | (salt << 32)) + sorted_cells[starts]
+                out.append(mix(sums + mix(tag)))
+                if n - len(starts) <= spare:
+                    break
+            else:
+                out.append(mix(np.array([band], np.uint64)))  # all that fail 64 times meet
+        band += 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set's shingles as numbers whose order is that of rarity, then of hashes; the same for a shingle in every set."""
-    return (levels[_cell(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
 
+def near_size(a, b, percent: int):
+    """Whether sets of these sizes can be linked."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
-def candidate_keys(h: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, one more than what it may lack in common with a partner.
 
-    Two linked sets have o >= least_overlap elements in common. Were the first n - o + 1 of both, in one order of all
-    shingles, without a common one, then the set whose list ends earlier would have all its common elements after the end
-    of it: o - 1 at most. Ties at the end (one number, two shingles) all belong to the list.
-    """
-    x = ordered(h, levels)
-    k = len(h) - least_overlap(len(h), percent) + 1
-    if k < len(x):
-        x = x[x <= np.partition(x, k - 1)[k - 1]]
-    return np.unique(x)
+def may_link(a, b, apart, percent: int):
+    """Whether sets of sizes a and b that differ in ``apart`` elements at least can be linked: a bound on the overlap from above."""
+    most = (a + b - apart) // 2
+    return 100 * most >= percent * (a + b - most)
 
 
 def class_of(h: np.ndarray, salt: int = 0) -> tuple[int, int]:
@@ -136,25 +108,16 @@ def bits_of(n: int) -> int:
     return 1 << min(13, max(8, int(4 * n - 1).bit_length()))
 
 
-def _short(h: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63)))) if len(h) else 0
-
-
 # --- keys, and the tiles that they make -------------------------------------------------------------------------------------
 
 
-def _deal(key: np.ndarray, cls: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each key; keys that are found very often also go by class."""
-    level = (key >> np.uint64(56)).astype(np.int64)
-    split = np.uint64(1) << (np.maximum(0, level - SPLIT_LEVEL) // 4).astype(np.uint64)
-    salt = mix(cls.view(np.uint64)) & (split - np.uint64(1))
-    return ((mix(key + salt * TWO) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-
+def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Per batch: keys with their classes dealt to buckets, and rows (id, size, class, check, text hash).
 
-def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, levels, salt: int) -> Iterator[pa.RecordBatch]:
-    """Per batch: keys with their classes dealt to buckets, and rows (id, size, class, check, text hash)."""
+    A key that LOCAL or more classes of the batch have goes to all buckets, by class (SPREAD); its own bucket gets its
+    first class. So a key that a large part of all sets have is no task's alone.
+    """
     names = ["bucket", "kind", "a", "b", "c"]
-    table = levels.value
     for b in bounded(batches, 1):
         ids, classes, checks, sizes, keys, owner, seen, members = b.column(0), [], [], [], [], [], {}, []
         for t in b.column(1):
@@ -165,20 +128,22 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int,
             sizes.append(len(h))
             if len(h) and c not in seen:
                 seen[c] = len(members)
-                members.append((c, len(h), _short(h)))
-                k = candidate_keys(h, table, percent)
+                members.append((c, len(h)))
+                k = candidate_keys(h, percent)
                 keys.append(k)
                 owner.append(np.full(len(k), seen[c], np.int64))
         rows = []
         if keys:
             k, o, m = np.concatenate(keys), np.concatenate(owner), np.array(members, MEMBER)
-            to = _deal(k, np.ascontiguousarray(m["cls"])[o], buckets)
-            order = np.argsort(to, kind="stable")
-            starts = np.flatnonzero(np.diff(to[order], prepend=-1))
-            for lo, hi in zip(starts, [*starts[1:], len(order)]):
-                at = order[lo:hi]
-                here, which = np.unique(o[at], return_inverse=True)
-                rows.append((int(to[at[0]]), KEY, k[at].tobytes(), which.astype("<u4").tobytes(), m[here].tobytes()))
+            order = np.argsort(k, kind="stable")
+            k, o = k[order], o[order]
+            new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
+            group = np.cumsum(new) - 1
+            often = np.bincount(group)[group] >= LOCAL if len(k) else new
+            home = (k >> np.uint64(40)) % np.uint64(buckets)
+            away = mix(np.ascontiguousarray(m["cls"])[o].view(np.uint64) + k) % np.uint64(buckets)
+            for kind, at, to in ((KEY, ~often | new, home), (SPREAD, often, away)):
+                rows += [(x, kind, *part) for x, part in _parts(k[at], o[at], to[at].astype(np.int64), m)]
         if classes:
             null = np.array(ids.is_null())
             idv = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
@@ -189,11 +154,21 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int,
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in (2, 3, 4)]], names=names)
 
 
+def _parts(k: np.ndarray, o: np.ndarray, to: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+    """(bucket, keys, which of the members each has, members), for the buckets that get any."""
+    order = np.argsort(to, kind="stable")
+    starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for lo, hi in zip(starts, [*starts[1:], len(order)]):
+        at = order[lo:hi]
+        here, which = np.unique(o[at], return_inverse=True)
+        yield int(to[at[0]]), (k[at].tobytes(), which.astype("<u4" if len(here) >> 16 else "<u2").tobytes(), m[here].tobytes())
+
+
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's keys: those that several classes share (key, class, size), or that other tasks may share, and pairs of a
-    class of the key with one of LEADERS leaders, where sizes and short bitmaps let them link."""
+    """A bucket's keys (key, class, size): those whose class has one of a near size beside it, or that went to all tasks;
+    and pairs of a class of a key with a leader of it, by one of LEADERS orders of classes."""
     names = ["kind", "a", "b", "c", "d", "e"]
-    keys, which, members, n = [], [], [], 0
+    keys, which, members, often, n = [], [], [], [], 0
 
     def out(kind, *cols):
         cols = [*cols, *[np.zeros(len(cols[0]), np.int64)] * (5 - len(cols))]
@@ -201,42 +176,52 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
     for bt in batches:
         for kind, a, b, c in zip(*[bt.column(x).to_pylist() for x in ("kind", "a", "b", "c")]):
-            if kind == KEY:
-                keys.append(np.frombuffer(a, np.uint64))
-                which.append(np.frombuffer(b, "<u4").astype(np.int64) + n)
+            if kind in (KEY, SPREAD):
                 members.append(np.frombuffer(c, MEMBER))
+                keys.append(np.frombuffer(a, np.uint64))
+                which.append((np.frombuffer(b, "<u4" if len(members[-1]) >> 16 else "<u2").astype(np.int64) + n).astype(np.int32))
+                often.append(np.full(len(keys[-1]), kind == SPREAD))
                 n += len(members[-1])
             else:
                 yield out(kind, *np.frombuffer(a, np.int64).reshape(-1, 5).T)
     if not keys:
         return
-    k, o, m = np.concatenate(keys), np.concatenate(which), np.concatenate(members)
-    name = np.ascontiguousarray(m["cls"])
-    order = np.lexsort((name[o], k))
-    k, o = k[order], o[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (name[o[1:]] != name[o[:-1]])))
-    k, o = k[new], o[new]
-    group = np.cumsum(np.concatenate(([True], k[1:] != k[:-1]))) - 1
-    split = (k >> np.uint64(56)).astype(np.int64) >= SPLIT_LEVEL + 4
-    keep = (np.bincount(group)[group] > 1) | split
-    k, o = k[keep], o[keep]
+    k, o, wide, m = np.concatenate(keys), np.concatenate(which), np.concatenate(often), np.concatenate(members)
+    name, size = np.ascontiguousarray(m["cls"]), m["n"].astype(np.int64)
+    order = np.lexsort((name[o], size[o], k))
+    k, o, wide = k[order], o[order], wide[order]
+    same = k[1:] == k[:-1]
+    again = same & (name[o[1:]] == name[o[:-1]])  # one class from several batches
+    wide[:-1] |= wide[1:] & again
+    new = np.concatenate(([True], ~again))
+    k, o, wide = k[new], o[new], wide[new]
+    close = (k[1:] == k[:-1]) & near_size(size[o[1:]], size[o[:-1]], percent)
+    k, o = (x[wide | np.concatenate(([False], close)) | np.concatenate((close, [False]))] for x in (k, o))
     if not len(k):
         return
-    yield out(KEY, k.view(np.int64), name[o], m["n"][o].astype(np.int64))
-    # leaders: the least of a key's classes by one of LEADERS orders of classes, so that a class meets few of them
-    start = np.concatenate(([True], k[1:] != k[:-1]))
-    group = np.cumsum(start) - 1
+    yield out(KEY, k.view(np.int64), name[o], size[o])
+    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    group = np.cumsum(np.concatenate(([True], k[1:] != k[:-1]))) - 1
     rank = mix(name[o].view(np.uint64) + mix(k) % np.uint64(LEADERS) * TWO)
-    order = np.lexsort((rank, group))
-    lead = o[order][np.flatnonzero(start)][group]  # the first of each group
-    apart = np.bitwise_count(m["sig"][lead] ^ m["sig"][o]).astype(np.int64)
-    x, y = m["n"][lead].astype(np.int64), m["n"][o].astype(np.int64)
-    ok = (name[lead] != name[o]) & may_link(x, y, apart, percent) & near_size(x, y, percent)
+    lead = o[np.lexsort((rank, group))[start]][group]  # the first of each key
+    ok = (name[lead] != name[o]) & near_size(size[lead], size[o], percent)
     pairs = np.unique(np.column_stack((name[lead[ok]], name[o[ok]])), axis=0)
     if len(pairs):
         yield out(PAIR, pairs[:, 0], pairs[:, 1])
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, g, size and bitmap of a, of b) those that the bitmaps let link."""
+    for b in batches:
+        x, y = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
+        apart = np.zeros(b.num_rows, np.int64)
+        for i, (p, q) in enumerate(zip(b.column(4).to_pylist(), b.column(6).to_pylist())):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            w = min(len(p), len(q))
+            apart[i] = np.bitwise_count(np.bitwise_xor.reduce(p.reshape(-1, w), axis=0) ^ np.bitwise_xor.reduce(q.reshape(-1, w), axis=0)).sum()
+        yield b.select(["a", "b", "g"]).filter(pa.array(may_link(x, y, apart, percent)))
+
+
 # --- tiles ---------------------------------------------------------------------------------------------------------------
 
 
@@ -342,12 +327,11 @@ class _Join:
             raise TypeError(f"{id_col} must be an integer column, not {docs.schema[id_col].dataType.simpleString()}")
         self.base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
         self.least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        levels, total = shingle_levels(self.base, n)
-        keys = int(total * (100 - percent) / 100) + 1
-        self.parts = parts = max(self.least, keys // KEYS_A_TASK)
-        shared = self.spark.sparkContext.broadcast(levels)  # 4 MiB
+        total = self.base.agg(F.sum(F.octet_length("text")).alias("t")).first()["t"] or 0
+        keys = total / 6 * 2 * (100 - percent) / (100 + percent) * 2
+        self.parts = parts = max(self.least, int(keys / KEYS_A_TASK))
         for salt in range(4):
-            found = self.base.mapInArrow(lambda b, s=salt: _emit(b, n, percent, parts, shared, s), "bucket int, kind int, a binary, b binary, c binary")
+            found = self.base.mapInArrow(lambda b, s=salt: _emit(b, n, percent, parts, s), "bucket int, kind int, a binary, b binary, c binary")
             self.found = stash(found.repartition(parts, "bucket").mapInArrow(lambda b: _meet(b, percent), "kind int, a long, b long, c long, d long, e long"), "jaccard")
             is_id = F.col("kind") == ROW
             self.rows = self.found.filter((F.col("kind") == ROW) | (F.col("kind") == ROW_NO_ID)).select(F.when(is_id, F.col("a")).alias("id"), F.col("b").alias("n"), F.col("c").alias("cls"), F.col("d").alias("chk"), F.col("e").alias("th"))
@@ -358,14 +342,21 @@ class _Join:
             drop(self.found, self.reps)
         else:
             raise RuntimeError("names of sets collide")
-        shared.unpersist()
 
     def texts(self, classes: DataFrame) -> DataFrame:
-        """One text of each class."""
+        """(class, text, size, bitmap): one text of each class."""
+        n = self.n
         want = stash(classes.select("cls").distinct().join(self.reps, "cls").select("cls", F.col("r.id").alias("wid"), F.col("r.th").alias("wth")), "jaccard-want")
         near = among(self.base, want.select(F.col("wth").alias("h")), "th", want.count()).filter("__hit")
         rows = near.join(want, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid")))
-        return stash(rows.groupBy("cls").agg(F.first("text").alias("text")), "jaccard-texts")  # rows that repeat are one
+        rows = rows.groupBy("cls").agg(F.first("text").alias("text"))  # rows that repeat are one
+        return stash(rows.mapInArrow(lambda b: _bitmaps(b, n), "cls long, text string, n int, sig binary"), "jaccard-texts")
+
+    def possible(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        percent = self.percent
+        of = lambda k: texts.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+        rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "g", "na", "sa", "nb", "sb")
+        return rows.mapInArrow(lambda b: _possible(b, percent), "a long, b long, g long")
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Links among the pairs (a, b, g): the a's of a g are connected; tiles hold TILE or so of them, and the b's that ask
@@ -378,7 +369,7 @@ class _Join:
         tiled = stash(tiled.select(F.concat_ws(":", F.col("g").cast("string"), part("a", "x"), part("b", "y")).alias("tile"), "a", "b"), "jaccard-tiled")
         first = tiled.select("tile", F.lit(0).alias("role"), F.col("a").alias("cls"), F.lit(None).cast("array<long>").alias("asks")).distinct()
         then = tiled.groupBy("tile", F.col("b").alias("cls")).agg(F.collect_set("a").alias("asks")).select("tile", F.lit(1).alias("role"), "cls", "asks")  # of one tile
-        rows = first.unionByName(then).join(texts, "cls").select("tile", "role", "cls", "asks", "text")
+        rows = first.unionByName(then).join(texts.select("cls", "text"), "cls").select("tile", "role", "cls", "asks", "text")
         rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile", "role")
         out = stash(rows.mapInArrow(lambda b: _verify(b, n, percent), "a long, b long"), "jaccard-links")
         drop(tiled)
@@ -386,11 +377,10 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Links that span the components: of the leaders of each key first, then of what is still apart in a tile."""
-        percent, n = self.percent, self.n
+        percent = self.percent
         stars = self.found.filter(F.col("kind") == PAIR).select(F.col("a"), F.col("b"), F.col("a").alias("g")).distinct()
         texts = self.texts(stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))))
-        links = self.verify(stars, texts)
-        drop(texts)
+        links = self.verify(self.possible(stars, texts), texts)
         roots = components(links).select(F.col("node").alias("cls"), "root")
         tiles = self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n"))
         tiles = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
@@ -398,7 +388,7 @@ class _Join:
         tiles = stash(tiles.join(open_, "key"), "jaccard-open")
         count = tiles.count()
         if not count:
-            drop(tiles)
+            drop(tiles, texts)
             return links
         # a large tile falls into bands of sizes: a set is in its own and in the next, so linked sets meet; large bands
         # into blocks, each of which meets each
@@ -413,9 +403,9 @@ class _Join:
         both = F.col("tile").alias("tile"), F.col("cross").alias("cross"), "cls", "n", "root", "block"
         small = tiles.filter(f"size <= {TILE}").select(F.col("key").cast("string").alias("tile"), F.lit(False).alias("cross"), "cls", "n", "root", F.lit(0).cast("long").alias("block"))
         members = small.unionByName(dealt.select(*both))
+        drop(texts)
         texts = self.texts(tiles.select("cls"))
-        sigs = texts.mapInArrow(lambda b: _bitmaps(b, n), "cls long, sig binary")
-        rows = members.join(sigs, "cls").select("tile", "cross", "cls", "n", "root", "block", "sig")
+        rows = members.join(texts.select("cls", "sig"), "cls").select("tile", "cross", "cls", "n", "root", "block", "sig")
         rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile")
         pairs = stash(rows.mapInArrow(lambda b: _tiles(b, percent), "a long, b long, g long").distinct(), "jaccard-pairs")
         more = self.verify(pairs, texts)
@@ -436,12 +426,10 @@ class _Join:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for t in b.column(1):
-            h = shingle_set(t.as_py(), n)
-            out.append(parity(h, bits_of(len(h))).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["cls", "sig"])
+    for b in bounded(batches, 1):
+        sets = [shingle_set(t.as_py(), n) for t in b.column(1)]
+        sigs = [parity(h, bits_of(len(h))).tobytes() for h in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int32()), pa.array(sigs, pa.binary())], names=["cls", "text", "n", "sig"])
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,12 +438,12 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     Two rows link if 100 * intersection >= percent * union of their sets of n-word shingles (A-Z lower-cased). Sets are
     compared exactly, as sorted arrays of 64-bit hashes; equal sets are one class and are compared once, however many rows.
 
-    Shingles have one order, rarest first by hashed counts over all texts; the keys of a set are its first few, so many
-    that linked sets share one. A key is a tile: only sets that share a key are compared. First each class of a tile meets
-    the tile's leader; classes that such links connect need no more comparison, so that a large group of near copies, whose
-    tiles are all alike, costs a few comparisons a member. Of tiles with classes that are still apart, pairs that sizes and
-    bitmaps let link are compared; tiles over TILE classes are split by bands of sizes and pairs of blocks. Very frequent
-    keys are dealt to several tasks. Texts travel only to the comparisons that bounds leave over.
+    candidate_keys gives any linked pair a key in common. Each key is a tile: only sets that share a key, and are of near
+    sizes, are compared. First each class of a tile meets the tile's leader; classes that such links connect need no more
+    comparison, so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
+    with classes that are still apart, pairs that sizes and bitmaps let link are compared; tiles over TILE classes are
+    split by bands of sizes and pairs of blocks. A key that is frequent in a batch is dealt to all tasks. Texts travel
+    only to the comparisons that bounds leave over.
 
     Rows without words have 0 shingles and only themselves. Ids are integers (else a TypeError); rows with a null id link,
     but lend no id; a component without ids has a null one. Repeated rows and an empty table are fine.

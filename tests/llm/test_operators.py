@@ -161,7 +161,7 @@ def prose_words(rng, n):
 @pytest.mark.parametrize("n,percent,tile", [(5, 80, 4), (2, 55, 1024)])
 def test_jaccard_where_frequent_keys_chain_all_texts(spark, monkeypatch, n, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "SPLIT_LEVEL", 8)  # keys found over four times go to several tasks
+    monkeypatch.setattr(jaccard, "LOCAL", 3)  # keys of three sets of a batch go to all tasks
     rows = chained(random.Random(n))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df, n, percent).collect())
@@ -185,15 +185,14 @@ def test_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
     for percent in (50, 60, 80, 90):
         for k in range(300):
-            levels = rng.integers(0, 4, 1 << jaccard.COUNT_BITS).astype(np.uint8) if k % 50 == 0 else levels
             s = int(rng.integers(2, 120))
             a = np.unique(rng.integers(0, 2**63, s, dtype=np.uint64) * np.uint64(2))
             drop = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
             more = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1)) if k % 2 else 0  # every other pair: one set within the other
             b = np.unique(np.concatenate((rng.permutation(a)[: len(a) - drop], rng.integers(0, 2**63, more, dtype=np.uint64))))
             both = len(np.intersect1d(a, b))
-            if both and 100 * both >= percent * (len(a) + len(b) - both):
-                assert set(jaccard.candidate_keys(a, levels, percent)) & set(jaccard.candidate_keys(b, levels, percent))
+            if both and 100 * both >= percent * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+                assert set(jaccard.candidate_keys(a, percent)) & set(jaccard.candidate_keys(b, percent))
                 for bits in (64, 256):
                     apart = int(np.bitwise_count(jaccard.parity(a, bits) ^ jaccard.parity(b, bits)).sum())
                     assert apart <= len(a) + len(b) - 2 * both and jaccard.may_link(len(a), len(b), apart, percent) and jaccard.near_size(len(a), len(b), percent)
