@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import stash
 
-#: Words with a place in the softmax, words in a class, classes of the other words, rows of the two hashed tables.
-HOT, PER_CLASS, RARE = 8192, 128, 32
-CLASSES = HOT // PER_CLASS
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
+#: Words with a place in the softmax: GROUPS of PER_GROUP classes of PER_CLASS words; classes of the other words, one more group.
+GROUPS, PER_GROUP, PER_CLASS, RARE = 16, 32, 16, 32
+CLASSES = GROUPS * PER_GROUP
+HOT = CLASSES * PER_CLASS
+#: Rows (as bits) of the hashed tables of weights: for the group, the class in it, the word in that. At most 16.
+BITS = (15, 16, 16)
 #: Words whose counts every task holds; the counts of all others come by a join.
 COUNTED, LONGEST = 1 << 18, 64
 END = b""  # the end token: no word is empty
-ROUNDS, BATCH, RATE = 2, 16384, 0.25
-ROWS_A_BLOCK = 256
-SHORT = 24  # runs of up to so many rows are summed together
+ROUNDS, BATCH, RATE = 3, 16384, 0.25
+TASK_BYTES = 48 << 20  # of text that a training task gets at least, so that it learns more than it sends
+ROWS_A_BLOCK = 512
+PIECE = 16  # rows of a run that are summed together
 LN10 = math.log(10)
 
 
@@ -39,7 +42,7 @@ def rare_class(word: bytes) -> int:
 class Vocabulary:
     """Bounded by COUNTED words of LONGEST bytes at most."""
 
-    words: list[bytes]  # by falling count; the first HOT are in the softmax
+    words: list[bytes]  # the HOT most frequent, which are in the softmax, by their last letters; then the others by falling count
     counts: np.ndarray
     tokens: int  # N
     types: int  # V
@@ -63,90 +66,118 @@ class Vocabulary:
         return self._ids
 
 
-def _tokens(vocab: Vocabulary, text: str) -> tuple[np.ndarray, list[bytes]]:
-    """Ids of a text's words and its end (-1: not among the counted), and those other words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    get = vocab.ids.get
-    ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-    return ids, [words[i] for i in np.flatnonzero(ids < 0)]
-
-
-def _context(vocab: Vocabulary, ids: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each token for contexts, its class). Symbols: hot words, then rare classes."""
-    rare = np.zeros(len(ids), np.int32)
-    known = ids >= HOT
-    rare[known] = vocab.rare_of[ids[known]]
+@dataclass
+class Tokens:
+    """The tokens of some texts, one after the other: what the model needs to know of each."""
+
+    before: np.ndarray  # symbol of the word before; symbols: hot words, then rare classes, then the start
+    before2: np.ndarray
+    group: np.ndarray  # GROUPS: that of the rare classes
+    inner: np.ndarray  # class in the group, or rare class
+    word: np.ndarray  # place in the class, of hot words
+    hot: np.ndarray
+    ids: np.ndarray  # -1: not among the counted words
+    others: list[bytes]  # those
+    sizes: np.ndarray  # tokens of each text
+
+    def part(self, a: int, b: int) -> tuple:
+        return tuple(x[a:b] for x in (self.before, self.before2, self.group, self.inner, self.word, self.hot))
+
+
+def tokens_of(vocab: Vocabulary, texts: list[str]) -> Tokens:
+    """Words (A-Z lower-cased) and the end of each text."""
+    words: list[bytes] = []
+    sizes = np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = t.encode("utf-8", "surrogatepass").lower().split()
+        sizes[i] = len(own) + 1
+        words += own
+        words.append(END)
+    ids = np.fromiter(map(vocab.ids.get, words, repeat(-1)), np.int32, len(words))
+    unknown = np.flatnonzero(ids < 0)
+    others = [words[i] for i in unknown]
+    inner = vocab.rare_of.take(ids, mode="clip")
     if others:
-        rare[ids < 0] = [rare_class(w) for w in others]
+        inner[unknown] = [rare_class(w) for w in others]
     hot = (ids >= 0) & (ids < HOT)
-    return np.where(hot, ids, HOT + rare), np.where(hot, ids // PER_CLASS, CLASSES + rare)
-
-
-def _hash(a: np.ndarray, salt: int, rows: int) -> np.ndarray:
-    x = (a.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    cls = ids // PER_CLASS
+    symbol = np.where(hot, ids, HOT + inner)
+    start = np.cumsum(sizes) - sizes
+    before = np.empty_like(symbol)
+    before[1:] = symbol[:-1]
+    before[start] = HOT + RARE
+    before2 = np.empty_like(symbol)
+    before2[1:] = before[:-1]
+    before2[start] = HOT + RARE
+    return Tokens(before, before2, np.where(hot, cls // PER_GROUP, GROUPS), np.where(hot, cls % PER_GROUP, inner), np.where(hot, ids % PER_CLASS, 0), hot, ids, others, sizes)
+
+
+def _hash(context: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    x = (context + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    return ((x * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % rows
+    return ((x * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.uint16)
 
 
 class Model:
-    """class_bias, word_bias: log frequencies; class_w, word_w: hashed rows of weights, one a class or a word of the class."""
-
-    def __init__(self, class_bias, word_bias, class_w=None, word_w=None):
-        n = CLASSES + RARE
-        self.class_bias, self.word_bias = class_bias.astype(np.float32), word_bias.astype(np.float32)
-        self.class_w = np.zeros((CLASS_ROWS, n), np.float32) if class_w is None else class_w
-        self.word_w = np.zeros((WORD_ROWS, PER_CLASS), np.float32) if word_w is None else word_w
-
-    def rows(self, before: np.ndarray, before2: np.ndarray, cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Feature rows: for the class the bigram, the skip and the trigram; for the word the bigram and the skip, with the class."""
-        b, s = before.astype(np.int64), before2.astype(np.int64)
-        return [_hash(b, 1, CLASS_ROWS), _hash(s, 2, CLASS_ROWS), _hash(b * 65537 + s, 3, CLASS_ROWS)], [_hash(b * 1024 + cls, 4, WORD_ROWS), _hash(s * 1024 + cls, 5, WORD_ROWS)]
-
-    def logits(self, before, before2, cls, hot):
-        c_rows, w_rows = self.rows(before, before2, cls)
-        c = self.class_w[c_rows[0]]
-        for r in c_rows[1:]:
-            c += self.class_w[r]
-        c += self.class_bias
-        w_rows = [r[hot] for r in w_rows]
-        w = self.word_w[w_rows[0]] + self.word_w[w_rows[1]]
-        w += self.word_bias[cls[hot]]
-        return c_rows, c, w_rows, w
-
-    def score(self, before, before2, cls, ids) -> np.ndarray:
-        """Natural log chance of each token's class and, for hot words, of the word in it."""
-        out = np.empty(len(ids))
-        for a in range(0, len(ids), BATCH):
-            z = slice(a, a + BATCH)
-            hot = np.flatnonzero((ids[z] >= 0) & (ids[z] < HOT))
-            _, c, _, w = self.logits(before[z], before2[z], cls[z], hot)
-            part = _picked(c, cls[z])
-            part[hot] += _picked(w, ids[z][hot] % PER_CLASS)
-            out[z] = part
+    """Chances factored into group, class in the group, and word in the class. At each level, a softmax over a bias (log
+    frequencies) and three hashed rows of weights: of the word before, of the word before that (skip), and of both
+    (trigram), each together with the group or class that the level is within."""
+
+    def __init__(self, biases: list[np.ndarray], weights: list[np.ndarray] | None = None):
+        self.biases = [b.astype(np.float32) for b in biases]
+        self.weights = [np.zeros((1 << n, w), np.float32) for n, w in zip(BITS, (GROUPS + 1, PER_GROUP, PER_CLASS))] if weights is None else weights
+
+    def level(self, k: int, before, before2, group, inner, word, hot):
+        """(rows of the three features, logits, target, which tokens) of level k."""
+        at = slice(None)
+        if k == 2:  # only hot words have one
+            at = np.flatnonzero(hot)
+            before, before2, group, inner, word = (x.take(at) for x in (before, before2, group, inner, word))
+        within = None if k == 0 else group if k == 1 else group * PER_GROUP + inner
+        b, s = before.astype(np.uint64), before2.astype(np.uint64)
+        own = np.uint64(0) if k == 0 else within.astype(np.uint64) + np.uint64(1)
+        rows = [_hash(x * np.uint64(1024) + own, 8 * k + i, BITS[k]) for i, x in enumerate((b, s, b * np.uint64(65537) + s))]
+        w = self.weights[k]
+        logit = w.take(rows[0], axis=0)
+        logit += w.take(rows[1], axis=0)
+        logit += w.take(rows[2], axis=0)
+        logit += self.biases[0] if k == 0 else self.biases[k].take(within, axis=0)
+        np.clip(logit, -60, 60, out=logit)  # so that exp() stays finite
+        return rows, logit, (group, inner, word)[k], at
+
+    def score(self, tokens: Tokens) -> np.ndarray:
+        """Natural log chance of each token's group, class and, for hot words, of the word in it."""
+        out = np.zeros(len(tokens.ids))
+        for a in range(0, len(out), BATCH):
+            part = out[a : a + BATCH]
+            for k in range(3):
+                _, logit, target, at = self.level(k, *tokens.part(a, a + BATCH))
+                if len(logit):
+                    mine = logit[np.arange(len(target)), target].astype(float)
+                    part[at] += mine - np.log(np.exp(logit, out=logit).sum(1))
         return out
 
 
-def _picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logit.max(1, keepdims=True) if logit.shape[0] else logit[:, :1]
-    mine = logit[np.arange(len(at)), at] - top[:, 0]
-    return (mine - np.log(np.exp(logit - top).sum(1))).astype(float)
-
-
-def _run_sums(grad: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of grad[order] over the runs that begin at start: long runs one by one, short ones all at once by the place in them."""
-    length = np.diff(np.append(start, len(order)))
-    total = np.empty((len(start), grad.shape[1]), np.float32)
-    for i in np.flatnonzero(length > SHORT):
-        total[i] = grad[order[start[i] : start[i] + length[i]]].sum(0)
-    short = np.flatnonzero(length <= SHORT)
-    short = short[np.argsort(-length[short], kind="stable")]
-    first, sums = start[short], grad[order[start[short]]]
-    for k in range(1, int(length[short[0]]) if len(short) else 0):
-        n = int(np.searchsorted(-length[short], -k))  # runs of more than k
-        sums[:n] += grad[order[first[:n] + k]]
-    total[short] = sums
-    return total
+def run_sums(grad: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of grad[order] over the runs that begin at start. Runs fall into pieces of PIECE rows, the k-th rows of all
+    pieces are added at once, and then the pieces of a run in the same way."""
+    length = np.diff(start, append=len(order))
+    pieces = -(-length // PIECE)
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    begin = np.repeat(start, pieces) + place * PIECE
+    size = np.minimum(np.repeat(length, pieces) - place * PIECE, PIECE)
+    rank = np.argsort(np.uint8(PIECE) - size.astype(np.uint8), kind="stable")  # longest first
+    begin, more = begin[rank], PIECE - np.sort(PIECE - size)
+    sums = grad.take(order[begin], axis=0)
+    for k in range(1, PIECE):
+        n = int(np.searchsorted(-more, -k))  # pieces of more than k rows
+        if not n:
+            break
+        sums[:n] += grad.take(order[begin[:n] + k], axis=0)
+    back = np.empty(len(rank), np.int64)
+    back[rank] = np.arange(len(rank))
+    return sums.take(back, axis=0) if len(rank) == len(start) else run_sums(sums, back, first)
 
 
 class Trainer:
@@ -154,34 +185,30 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.acc_c, self.acc_w = np.full(CLASS_ROWS, 1e-3, np.float32), np.full(WORD_ROWS, 1e-3, np.float32)
-        self.n_c, self.n_w = np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)
-
-    def step(self, before, before2, cls, ids) -> None:
-        hot = np.flatnonzero((ids >= 0) & (ids < HOT))
-        c_rows, c, w_rows, w = self.m.logits(before, before2, cls, hot)
-        for logit, at in ((c, cls), (w, ids[hot] % PER_CLASS)):
-            if len(logit):
-                logit -= logit.max(1, keepdims=True)
-                np.exp(logit, out=logit)
-                logit /= logit.sum(1, keepdims=True)
-                logit[np.arange(len(at)), at] -= 1
-        for r in c_rows:
-            self._add(self.m.class_w, self.acc_c, self.n_c, r, c)
-        for r in w_rows:
-            self._add(self.m.word_w, self.acc_w, self.n_w, r, w)
-
-    def _add(self, table, acc, seen, rows, grad) -> None:
-        if not len(rows):
-            return
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
-        start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-        total = _run_sums(grad, order, start)
-        u = r[start]
-        acc[u] += np.einsum("ij,ij->i", total, total) / total.shape[1] * 8
-        seen[u] += np.diff(np.append(start, len(r)))
-        table[u] -= (RATE / np.sqrt(acc[u]))[:, None] * total
+        self.acc = [np.full(1 << n, 1e-3, np.float32) for n in BITS]
+        self.seen = [np.zeros(1 << n, np.float32) for n in BITS]
+
+    def step(self, *part) -> None:
+        for k in range(3):
+            rows, grad, target, _ = self.m.level(k, *part)
+            if not len(grad):
+                continue
+            np.exp(grad, out=grad)
+            grad *= (1 / grad.sum(1))[:, None]
+            grad[np.arange(len(target)), target] -= 1
+            rows, n = np.concatenate(rows), len(grad)
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            order[order >= 2 * n] -= n
+            order[order >= n] -= n
+            total, u = run_sums(grad, order, start), rows[start]
+            acc = self.acc[k][u] + np.einsum("ij,ij->i", total, total) * np.float32(8 / total.shape[1])
+            self.acc[k][u] = acc
+            self.seen[k][u] += np.diff(start, append=len(rows))
+            total *= (RATE / np.sqrt(acc))[:, None]
+            w = self.m.weights[k]
+            w[u] = w.take(u, axis=0) - total
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -217,6 +244,7 @@ def _vocabulary(table: DataFrame) -> Vocabulary:
     best = short.filter(F.col("step") >= least).select("word", "c").toArrow()
     words, counts = best.column(0).to_pylist(), best.column(1).to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    order[:HOT] = sorted(order[:HOT], key=lambda i: words[i][::-1])  # words that end alike share a class
     words, counts = [words[i] for i in order], np.array([counts[i] for i in order], np.int64)
     rare = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(RARE))
     mass = np.ones(RARE)
@@ -231,9 +259,9 @@ def _start(v: Vocabulary) -> Model:
     """Weights 0; biases are the log frequencies, so that training starts from the unigram model."""
     hot = np.zeros(HOT)
     hot[: min(HOT, len(v.counts))] = v.counts[:HOT]
-    per = hot.reshape(CLASSES, PER_CLASS)
-    mass = np.concatenate((per.sum(1) + 1e-3, v.rare_mass))
-    return Model(np.log(mass / mass.sum()), np.log(per + 0.01))
+    per = hot.reshape(GROUPS, PER_GROUP, PER_CLASS) + 1e-3
+    by_class, by_group = per.sum(2), np.append(per.sum((1, 2)), v.rare_mass.sum())
+    return Model([np.log(by_group / by_group.sum()), np.log(np.vstack((by_class, v.rare_mass)) / by_group[:, None]), np.log(per / by_class[:, :, None]).reshape(CLASSES, PER_CLASS)])
 
 
 def _blocks(kind: int, table: np.ndarray, base: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -246,25 +274,26 @@ def _blocks(kind: int, table: np.ndarray, base: np.ndarray, seen: np.ndarray) ->
 
 
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
-    own = Model(model.class_bias, model.word_bias, model.class_w.copy(), model.word_w.copy())
-    trainer, held, n = Trainer(own), [], 0
+    own = Model(model.biases, [w.copy() for w in model.weights])
+    trainer = Trainer(own)
+    held: list[str] = []
+    n = 0
 
     def flush():
-        before, before2, cls, ids = (np.concatenate(x) for x in zip(*held))
-        for a in range(0, len(ids), BATCH):
-            z = slice(a, a + BATCH)
-            trainer.step(before[z], before2[z], cls[z], ids[z])
+        tokens = tokens_of(vocab, held)
+        for a in range(0, len(tokens.ids), BATCH):
+            trainer.step(*tokens.part(a, a + BATCH))
 
     for b in batches:
         for t in b.column(0):
-            held.append(_features(vocab, t.as_py())[:4])
-            n += len(held[-1][3])
-            if n >= BATCH:
+            held.append(t.as_py())
+            n += len(held[-1])
+            if n >= 1 << 20:
                 flush()
                 held, n = [], 0
     if held:
         flush()
-    rows = [*_blocks(0, own.class_w, model.class_w, trainer.n_c), *_blocks(1, own.word_w, model.word_w, trainer.n_w)]
+    rows = [r for k in range(3) for r in _blocks(k, own.weights[k], model.weights[k], trainer.seen[k])]
     for a in range(0, len(rows), 16):
         part = rows[a : a + 16]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), *[pa.array([r[k] for r in part], pa.binary()) for k in (2, 3)]], names=["kind", "at", "n", "delta"])
@@ -285,33 +314,28 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["kind", "at", "delta"])
 
 
-def _features(vocab: Vocabulary, text: str):
-    ids, others = _tokens(vocab, text)
-    symbol, cls = _context(vocab, ids, others)
-    before = np.concatenate(([HOT + RARE], symbol[:-1]))
-    before2 = np.concatenate(([HOT + RARE], before[:-1]))
-    return before, before2, cls, ids, others
-
-
 def train(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", rounds: int = ROUNDS) -> Model:
     """Each round, every task makes gradient steps on its share of a slice of the documents, all from the same weights; what
     rows moved is averaged over tasks, by how often each saw them, summed in blocks by a shuffle, and shared again. One pass
-    over all training documents in ``rounds`` slices. The driver holds one model (about 15 MB), whatever the corpus.
+    over all training documents in ``rounds`` slices. Tasks get TASK_BYTES of text or more, as far as there is more. The
+    driver holds one model (about 15 MB), whatever the corpus. Weights depend on how rows are dealt to tasks.
     """
     spark = docs.sparkSession
     model = _start(vocab)
     words = spark.sparkContext.broadcast(vocab)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("t")).first()["t"] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        part = docs.filter(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(rounds)) == k).select("text")
+        part = docs.filter(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(rounds)) == k).select("text").coalesce(tasks)
         moved = part.mapInArrow(lambda b: _learn(b, words.value, shared.value), "kind int, at int, n binary, delta binary")
         moved = moved.repartition("kind", "at").mapInArrow(_sum_blocks, "kind int, at int, delta binary")
-        tables = [model.class_w.copy(), model.word_w.copy()]
+        tables = [w.copy() for w in model.weights]
         for r in moved.toLocalIterator():
             t = tables[r["kind"]]
             d = np.frombuffer(r["delta"], "<f4").reshape(-1, t.shape[1])
             t[r["at"] : r["at"] + len(d)] += d
-        model = Model(model.class_bias, model.word_bias, *tables)
+        model = Model(model.biases, tables)
         shared.unpersist()
     return model
 
@@ -324,31 +348,35 @@ def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -
     for b in batches:
         texts = b.column(2).to_pylist()
         for lo, hi in slices(texts, 1 << 20):
-            parts = [_features(vocab, t) for t in texts[lo:hi]]
-            before, before2, cls, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            s = model.score(before, before2, cls, ids)
-            known = ids >= 0
-            lc = np.zeros(len(ids))
-            lc[known] = log_count[ids[known]]
-            rare = cls >= CLASSES
-            s[rare] += lc[rare] - log_mass[cls[rare] - CLASSES]
-            base = lc - norm
-            at = np.cumsum([0] + [len(p[3]) for p in parts])[:-1]
-            sums = [np.add.reduceat(x, at) for x in (base / LN10, s / LN10, known.astype(np.int64))]
-            rest = [Counter(p[4]) for p in parts]
+            t = tokens_of(vocab, texts[lo:hi])
+            s = model.score(t)
+            known = t.ids >= 0
+            lc = np.where(known, log_count.take(t.ids, mode="clip"), 0.0)
+            rare = t.group == GROUPS
+            s[rare] += lc[rare] - log_mass[t.inner[rare]]
+            at = np.cumsum(t.sizes) - t.sizes
+            sums = [np.add.reduceat(x, at) for x in ((lc - norm) / LN10, s / LN10, known.astype(np.int64))]
+            unknown = np.add.reduceat((~known).astype(np.int64), at)
+            counts, n = [], 0
+            for k in unknown.tolist():
+                counts.append(Counter(t.others[n : n + k]))
+                n += k
+            words = pa.array([w for c in counts for w in c], pa.binary())
+            times = pa.array([x for c in counts for x in c.values()], pa.int64())
+            offsets = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
+            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "n"]))
             yield pa.RecordBatch.from_arrays([
-                b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(p[3]) for p in parts], pa.int64()), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]),
-                pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rest], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(t.sizes), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), rest],
                 names=["row", "id", "n_tokens", "n_known", "base", "score", "rest"])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 chance of the whole text).
 
-    Learns from rows whose crc32(id as text) mod 7 isn't 2. The model: of the HOT most frequent words, a class and then
-    the word in it, each by a softmax over hashed weights of the two words before; of all others, a class by their last
-    letters in the same softmax, then the word by its count + 1 among those of the class, where one more stands for
-    unknown words. Chances sum to 1 over the known words and the unknown ones.
+    Learns from rows whose crc32(id as text) mod 7 isn't 2. The model: of the HOT most frequent words, a group, a class in
+    it and the word in that, each by a softmax over hashed weights of the two words before; of all others, one more group
+    and in it a class by their last letters, then the word by its count + 1 among those of the class, where one more
+    stands for unknown words. Chances sum to 1 over the known words and the unknown ones.
 
     Counts of words beyond the COUNTED most frequent come by a join on the word, so that no vocabulary is held whole. Null
     texts count as empty (one token, the end); rows with null ids are learned from; repeated rows count each; with no

@@ -36,18 +36,78 @@ def test_lm_counts_and_gain(corpus, nothing):
     assert maxent.score_documents(nothing).count() == 0
 
 
-def test_lm_chances_sum_to_one():
-    v = maxent.Vocabulary([b"", *[f"w{i}".encode() for i in range(9000)]], np.arange(9001, 0, -1), 50000, 9500, np.full(maxent.RARE, 7.0))
+def lm_vocabulary(n=9000):
+    return maxent.Vocabulary([b"", *[f"w{i}".encode() for i in range(n)]], np.arange(n + 1, 0, -1), 50000, 9500, np.full(maxent.RARE, 7.0))
+
+
+def wild_model(v, scale=1.0):
     m = maxent._start(v)
     rng = np.random.default_rng(1)
-    m.class_w[:] = rng.normal(size=m.class_w.shape)
-    m.word_w[:] = rng.normal(size=m.word_w.shape)
-    n = maxent.CLASSES + maxent.RARE
-    classes = m.score(np.full(n, 3), np.full(n, 5), np.arange(n), np.full(n, -1))
-    assert np.exp(classes).sum() == pytest.approx(1, rel=1e-5)
-    ids = np.arange(maxent.PER_CLASS)
-    hot = m.score(np.full(len(ids), 3), np.full(len(ids), 5), np.zeros(len(ids), int), ids)
-    assert np.exp(hot).sum() == pytest.approx(np.exp(classes[0]), rel=1e-5)
+    for w in m.weights:
+        w[:] = rng.normal(size=w.shape) * scale
+    return m
+
+
+def test_lm_chances_sum_to_one():
+    v = lm_vocabulary()
+    m = wild_model(v)
+    words = [w.decode() for w in v.words[1:]] + ["zq", "zx"]
+    t = maxent.tokens_of(v, ["w5 w7 " + w for w in words])
+    third = np.cumsum(t.sizes) - 2
+    s = m.score(t)
+    hot = t.ids[third] < maxent.HOT
+    total = np.exp(s[third][hot & (t.ids[third] >= 0)]).sum()
+    end = m.score(maxent.tokens_of(v, ["w5 w7"]))[-1]  # the end in the same context is a hot word too
+    rare = {}
+    for x, g, k in zip(s[third], t.group[third], t.inner[third]):
+        if g == maxent.GROUPS:
+            rare[int(k)] = math.exp(x)
+    # of the rare classes, some have no word here: their chance by the level's own softmax
+    probe = maxent.Tokens(*(np.full(maxent.RARE, x) for x in (t.before[third[0]], t.before2[third[0]], maxent.GROUPS)), np.arange(maxent.RARE), np.zeros(maxent.RARE, int), np.zeros(maxent.RARE, bool), np.full(maxent.RARE, -1), [], np.ones(maxent.RARE))
+    chance = np.exp(m.score(probe))
+    assert all(rare[k] == pytest.approx(chance[k], rel=1e-5) for k in rare)
+    places = maxent.HOT - 1  # w0 to w8190, and the end
+    assert hot.sum() - 2 == places and total + math.exp(end) + chance.sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_score_by_a_plain_model(spark):
+    """The chance of each token by loops, from the weights."""
+    v = lm_vocabulary()
+    m = wild_model(v, 0.3)
+    texts = ["w1 w2 W3 nowhere w8999 w1", "", "w5 " * 40, "zz top " * 20000]
+    one, two, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def row(context, salt, bits):
+        x = (context + salt) * one & mask
+        x ^= x >> 32
+        return (x * two & mask) >> (64 - bits)
+
+    def softmax(k, within, b, s, at):
+        own = 0 if k == 0 else within + 1
+        logit = m.biases[k].astype(float) if k == 0 else m.biases[k][within].astype(float)
+        for i, x in enumerate((b, s, b * 65537 + s)):
+            logit = logit + m.weights[k][row(x * 1024 + own, 8 * k + i, maxent.BITS[k])]
+        return logit[at] - math.log(np.exp(logit).sum())
+
+    import pyarrow as pa
+
+    got = next(maxent._score(iter([pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(range(3)), pa.array(texts[:3])], names=["row", "id", "text"])]), v, m)).to_pydict()
+    for i, t in enumerate(texts[:3]):
+        b = s = maxent.HOT + maxent.RARE
+        want = 0.0
+        for w in [*t.lower().encode().split(), b""]:
+            k = v.ids.get(w, -1)
+            if 0 <= k < maxent.HOT:
+                g, c = k // maxent.PER_CLASS // maxent.PER_GROUP, k // maxent.PER_CLASS % maxent.PER_GROUP
+                want += softmax(0, 0, b, s, g) + softmax(1, g, b, s, c) + softmax(2, k // maxent.PER_CLASS, b, s, k % maxent.PER_CLASS)
+                b, s = k, b
+            else:
+                r = maxent.rare_class(w)
+                want += softmax(0, 0, b, s, maxent.GROUPS) + softmax(1, maxent.GROUPS, b, s, r)
+                want += (math.log(v.counts[k] + 1) if k >= 0 else 0.0) - math.log(v.rare_mass[r])
+                b, s = maxent.HOT + r, b
+        assert got["score"][i] == pytest.approx(want / math.log(10), rel=1e-4)
+    assert np.isfinite(m.score(maxent.tokens_of(v, texts))).all()
 
 
 def test_lm_rare_mass(spark):
@@ -57,23 +117,34 @@ def test_lm_rare_mass(spark):
     want = np.ones(maxent.RARE)
     for w, c in rest:
         want[maxent.rare_class(w)] += c + 1
-    assert v.rare_mass == pytest.approx(want) and v.words[0] == b"w0" and len(v.words) == maxent.HOT + 108
+    assert v.rare_mass == pytest.approx(want) and len(v.words) == maxent.HOT + 108
+    assert set(v.words[: maxent.HOT]) == {f"w{i}".encode() for i in range(maxent.HOT)} and v.words[maxent.HOT :] == [w for w, _ in rest]
+    assert [w[::-1] for w in v.words[: maxent.HOT]] == sorted(w[::-1] for w in v.words[: maxent.HOT])
+    assert all(v.counts[i] == 10000 - int(w[1:]) for i, w in enumerate(v.words))
+
+
+def test_lm_run_sums():
+    rng = np.random.default_rng(4)
+    grad = rng.normal(size=(500, 7)).astype(np.float32)
+    for lengths in ([1], [3, 1, 1], [2000, 1, 16, 17, 300, 5], rng.integers(1, 60, 200)):
+        order = rng.integers(0, 500, int(np.sum(lengths)))
+        start = np.cumsum(lengths) - lengths
+        want = np.stack([grad[order[a : a + n]].astype(float).sum(0) for a, n in zip(start, lengths)])
+        assert maxent.run_sums(grad, order, start) == pytest.approx(want, abs=1e-4)
 
 
 def test_lm_learns_what_only_the_two_words_together_say():
-    n = 9000
-    v = maxent.Vocabulary([b"", *[f"w{i}".encode() for i in range(n)]], np.arange(n + 1, 0, -1), 50000, 9500, np.full(maxent.RARE, 7.0))
-    assert v.ids[b"w0"] == 1
-    rng = np.random.default_rng(2)
-    before2, before = rng.integers(1, 3, 4000), rng.integers(1, 3, 4000)
-    ids = np.where(before == before2, 1000, 6000)  # neither word alone says which
-    symbol, cls = maxent._context(v, ids.astype(np.int32), [])
-    assert (symbol == ids).all() and len(set(cls)) == 2  # a word of rank 6000 has its own place and feature
-    m = maxent._start(v)
-    trainer = maxent.Trainer(m)
-    for _ in range(30):
-        trainer.step(before, before2, cls, ids)
-    assert np.exp(m.score(before, before2, cls, ids)).mean() > 0.9
+    v = lm_vocabulary()
+    rng = random.Random(2)
+    texts = []
+    for _ in range(4000):
+        a, b = rng.choice(["w1", "w2"]), rng.choice(["w1", "w2"])
+        texts.append(f"{a} {b} {'w1000' if a == b else 'w6000'}")  # neither word alone says which
+    t = maxent.tokens_of(v, texts)
+    trainer = maxent.Trainer(maxent._start(v))
+    for _ in range(150):
+        trainer.step(*t.part(0, len(t.ids)))
+    assert np.exp(trainer.m.score(t)[2::4]).mean() > 0.9
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------
