@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from .common import drop, stash
+from .common import among, drop, stash
 from .words import bounded, windows, word_hashes
 
 MIN_WORDS, SEED_WORDS = 50, 16
-BROADCAST_TEXTS = 1_000_000
 KEYS_A_TASK = 2_000_000
+SUFFIXES_A_TASK = 100_000
 LAST = np.iinfo(np.int64).max
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-NAMES = ["bucket", "kind", "a", "b", "c", "d"]
-KIND = "bucket int, kind int, a binary, b binary, c binary, d binary"
+NAMES = ["bucket", "kind", "a", "b", "c"]
+KIND = "bucket int, kind int, a binary, b binary, c binary"
 SORTED, REPEATS, FOUND = 0, 1, 2
 
 
@@ -40,14 +40,14 @@ def minimisers(h: np.ndarray, min_words: int, seed_words: int) -> tuple[np.ndarr
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
-        + [pa.array([r[2 + k].tobytes() if len(r) > 2 + k else b"" for r in rows], pa.binary()) for k in range(4)], names=NAMES)
+        + [pa.array([r[2 + k].tobytes() if len(r) > 2 + k else b"" for r in rows], pa.binary()) for k in range(3)], names=NAMES)
 
 
 def _deal(key: np.ndarray, buckets: int, kind: int, *cols: np.ndarray) -> list[tuple]:
     to = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    return [(x, kind, *[c[order[cuts[x] : cuts[x + 1]]] for c in cols]) for x in range(buckets) if cuts[x] < cuts[x + 1]]
+    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    return [(int(to[order[lo]]), kind, *[c[order[lo:hi]] for c in cols]) for lo, hi in zip(cuts, [*cuts[1:], len(order)])]
 
 
 def _starts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -125,63 +125,122 @@ def _runs(th: np.ndarray, pos: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return th[first], pos[first], pos[last] + width
 
 
-def _earlier(key: np.ndarray, ident: np.ndarray, th: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by (extended match, id, text, place): the order, in which equal rows are one, and whether a row is the first of its match."""
-    order = np.lexsort((pos, th, ident, key))
-    a, b = order[1:], order[:-1]
-    again = (key[a] == key[b]) & (ident[a] == ident[b]) & (th[a] == th[b]) & (pos[a] == pos[b])  # of rows that repeat id and text
-    order = np.concatenate((order[:1], a[~again]))
-    return order, _starts(key[order])
+def neighbours(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words in sorted order, and how many leading words each has in common with the one before it."""
+    flat = np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * words.shape[1]}")[:, 0]
+    order = np.argsort(flat, kind="stable")
+    a = words[order]
+    apart = a[1:] != a[:-1]
+    common = np.where(apart.any(1), apart.argmax(1), words.shape[1])
+    return order, np.concatenate(([0], common))
+
+
+def later_windows(words: np.ndarray, most: np.ndarray, least: np.ndarray, rank: np.ndarray, before: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, rows, whether each is later): of suffixes, the runs of words that reach ``offset`` words before them, and
+    whether a suffix of lower rank has the same run.
+
+    words: ``before`` words on the left of each suffix, then its first words; runs are as long as the latter. Suffixes are
+    sorted by what follows and neighbours compared, which says how far each match goes right; then by what comes before,
+    read backwards, which says how far left. Runs are equal where both reach far enough. A suffix has the offsets from
+    ``least`` to ``most``.
+    """
+    n, length = len(words), words.shape[1] - before
+    right, far_right = neighbours(words[:, before:])
+    left, far_left = neighbours(words[:, :before][:, ::-1]) if before else (np.arange(n), np.zeros(n, np.int64))
+    follows, comes = np.empty(n, np.int64), np.empty(n, np.int64)
+    for offset in range(before + 1):
+        rows = np.flatnonzero((least <= offset) & (offset <= most))
+        if not len(rows):
+            continue
+        follows[right] = np.cumsum(far_right < length - offset)
+        comes[left] = np.cumsum(far_left < offset)
+        key = follows[rows] * (n + 1) + comes[rows]
+        order = np.lexsort((rank[rows], key))
+        k, r = key[order], rank[rows][order]
+        first = np.flatnonzero(_starts(k))
+        lowest = np.repeat(r[first], np.diff(first, append=len(k)))
+        later = np.empty(len(rows), bool)
+        later[order] = r > lowest  # rows equal in id, text and place have one rank
+        yield offset, rows, later
+
+
+class _Suffixes:
+    """Suffixes at repeating minimisers: with the words around, whose they are, their places, and the runs they stand for."""
+
+    def __init__(self, min_words: int, seed_words: int):
+        self.length, self.before = min_words, min_words - seed_words
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, seed, words, who):
+        """who: id, text, place, most and least offset, a row each."""
+        self.parts.append((seed, words, who))
+        self.size += len(seed)
+
+    def compare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(seed, words, who, which have a run that no other before them has, (text, lo, hi) of runs that repeat)."""
+        seed, words, who = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.lexsort((who[:, 2], who[:, 1], who[:, 0]))
+        w = who[order]
+        rank = np.empty(len(who), np.int64)
+        rank[order] = np.cumsum(np.concatenate(([True], (w[1:, :3] != w[:-1, :3]).any(1)))) - 1
+        new, t, at = np.zeros(len(who), bool), [], []
+        for offset, rows, later in later_windows(words, who[:, 3], who[:, 4], rank, self.before):
+            new[rows[~later]] = True
+            t.append(who[rows[later], 1])
+            at.append(who[rows[later], 2] - offset)
+        spans = list(_runs(np.concatenate(t), np.concatenate(at), self.length)) if t else [np.empty(0, np.int64)] * 3
+        same = np.zeros(len(who), bool)  # of equal rows one goes on
+        same[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+        return seed, words, who, new & ~same, spans
 
 
 def _extend(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """From each repeating suffix, extends left and right: every run of min_words words that has it as its minimiser."""
+    """Repeating suffixes with the words around them. A batch compares its own; of those whose every run repeats an earlier
+    one only the ranges go on."""
+    before = min_words - seed_words
     for b in bounded(batches, 0):
-        key, seed, ident, owner, place = [], [], [], [], []
+        own = _Suffixes(min_words, seed_words)
         for text, th, i, known in zip(*[b.column(k).to_pylist() for k in range(4)]):
             h = word_hashes(text)
             g, at = minimisers(h, min_words, seed_words)
             if not len(at):
                 continue
-            wanted = np.isin(g[at], np.array(known, np.int64).view(np.uint64))
-            pos = np.flatnonzero(wanted)
-            if not len(pos):
+            run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # runs of windows with one minimiser
+            last = np.append(run[1:], len(at)) - 1
+            p = at[run]
+            wanted = np.isin(g[p], np.array(known, np.int64).view(np.uint64))
+            if not wanted.any():
                 continue
-            key.append(windows(h, min_words)[pos])
-            seed.append(g[at[pos]])
-            ident.append(np.full(len(pos), LAST if i is None else i, np.int64))
-            owner.append(np.full(len(pos), th, np.int64))
-            place.append(pos)
-        if not key:
+            p, run, last = p[wanted], run[wanted], last[wanted]
+            padded = np.concatenate((np.zeros(before, np.uint64), h, np.zeros(min_words, np.uint64)))
+            words = np.lib.stride_tricks.sliding_window_view(padded, before + min_words)[p]
+            own.add(g[p], words, np.column_stack((np.full(len(p), LAST if i is None else i), np.full(len(p), th), p, p - run, p - last)).astype(np.int64))
+        if not own.size:
             continue
-        key, seed, ident, owner, place = map(np.concatenate, (key, seed, ident, owner, place))
-        order, new = _earlier(key, ident, owner, place)
-        f, r = order[new], order[~new]
-        rows = _deal(seed[f], buckets, SORTED, key[f], ident[f], owner[f], place[f])
-        if len(r):
-            t, lo, hi = _runs(owner[r], place[r], min_words)
-            rows.append((int(lo[0]) % buckets, FOUND, t, lo, hi))
+        seed, words, who, new, spans = own.compare()
+        rows = _deal(seed[new], buckets, SORTED, seed[new], words[new], who[new])
+        if len(spans[0]):
+            rows.append((int(spans[1][0]) % buckets, FOUND, *spans))
         yield _blobs(rows)
 
 
-def _later(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Word ranges (text, lo, hi) that repeat an earlier passage."""
-    parts: list[list[np.ndarray]] = []
+def _later(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
+    """Word ranges (text, lo, hi) that repeat an earlier passage: a bucket's suffixes, sorted and compared."""
+    own = _Suffixes(min_words, seed_words)
 
     def out(t, lo, hi):
         return pa.RecordBatch.from_arrays([pa.array(t), pa.array(lo), pa.array(hi)], names=["th", "lo", "hi"])
 
     for bt in batches:
-        for kind, *blobs in zip(*[bt.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d")]):
+        for kind, *blobs in zip(*[bt.column(x).to_pylist() for x in ("kind", "a", "b", "c")]):
             if kind == FOUND:
-                yield out(*[np.frombuffer(x, np.int64) for x in blobs[:3]])
+                yield out(*[np.frombuffer(x, np.int64) for x in blobs])
             else:
-                parts.append([np.frombuffer(blobs[0], np.uint64), *[np.frombuffer(x, np.int64) for x in blobs[1:]]])
-    if parts:
-        key, ident, owner, place = map(np.concatenate, zip(*parts))
-        order, new = _earlier(key, ident, owner, place)
-        r = order[~new]
-        yield out(*_runs(owner[r], place[r], min_words))
+                seed = np.frombuffer(blobs[0], np.uint64)
+                own.add(seed, np.frombuffer(blobs[1], np.uint64).reshape(len(seed), -1), np.frombuffer(blobs[2], np.int64).reshape(len(seed), -1))
+    if own.size:
+        yield out(*own.compare()[4])
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -190,9 +249,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
 
     A sparse suffix array holds the suffixes that start at minimisers: in each run of min_words words, the seed of
     seed_words words with the least hash. Equal runs have equal seeds, so a seed that no neighbour in the sorted order
-    shares needs no more work. From the others, matches are extended left and right: each run of which the seed is the
-    minimiser is looked for by its hash, so that a passage is found whatever its neighbours in the order share. Batches
-    sort first and pass on one suffix of equal ones, so a passage that very many texts share costs a row a batch.
+    shares needs no more work. The others, with the words around them, are sorted by what follows and by what comes before
+    (read backwards), and neighbours are compared word by word: that says how far matches extend right and left, and so
+    which runs are equal; of equal ones the first stays. Batches compare their own suffixes first and send on only those
+    with a run that is new to the batch, so the inside of a passage that very many texts share costs a row a batch. Words
+    are compared as 64-bit hashes, one by one; texts are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).filter("text is not null")
@@ -204,14 +265,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int
     found = found.repartition(parts, "bucket").mapInArrow(_repeating, "th long, seed long")
     seeds = stash(found.groupBy("th").agg(F.collect_set("seed").alias("seeds")), "suffix-seeds")  # of one text
     firsts = stash(base.groupBy("th").agg(F.min("id").alias("first")), "suffix-firsts")
-    wanted = seeds.select("th")
-    few = seeds.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS  # else a plain join
-    some = base.join(F.broadcast(wanted) if few else wanted, "th", "left_semi")
+    near = among(base, seeds.select(F.col("th").alias("h")), "th", seeds.count()).filter("__hit")
     known = seeds.join(firsts, "th").withColumnRenamed("th", "kth")
-    some = some.join(known, (F.col("th") == F.col("kth")) & F.col("id").eqNullSafe(F.col("first"))).select("text", "th", "id", "seeds")
-    parts = max(least, int(total / 6 / 5 / KEYS_A_TASK))
+    some = near.join(known, (F.col("th") == F.col("kth")) & F.col("id").eqNullSafe(F.col("first"))).select("text", "th", "id", "seeds")
+    parts = max(least, int(total / 6 * 2 / (span + 1) / 2 / SUFFIXES_A_TASK))
     runs = some.mapInArrow(lambda b: _extend(b, min_words, seed_words, parts), KIND)
-    runs = runs.repartition(parts, "bucket").mapInArrow(lambda b: _later(b, min_words), "th long, lo long, hi long")
+    runs = runs.repartition(parts, "bucket").mapInArrow(lambda b: _later(b, min_words, seed_words), "th long, lo long, hi long")
     spans = stash(runs.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "suffix-spans")  # of one text
     drop(seeds)
     return firsts, spans
@@ -252,10 +311,11 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = S
         raise ValueError(f"columns exist already: {sorted(set(added) & set(docs.columns))}")
     firsts, spans = repeated_spans(docs, min_words, seed_words, id_col, text_col)
     known = firsts.join(spans, "th", "left").withColumnRenamed("th", "__th")
-    rows = docs.withColumn("__th0", F.xxhash64(text_col)).join(known, F.col("__th0") == F.col("__th"), "left")
-    is_first = F.col(id_col).cast("long").eqNullSafe(F.col("first"))
     kind = "array<struct<lo:bigint,hi:bigint>>"
+    rows = docs.filter(F.col(text_col).isNotNull()).withColumn("__th0", F.xxhash64(text_col)).join(known, F.col("__th0") == F.col("__th"), "left")
+    is_first = F.col(id_col).cast("long").eqNullSafe(F.col("first"))
     rows = rows.select(*docs.columns, F.when(is_first, F.coalesce("spans", F.array().cast(kind))).alias("__spans"))
+    rows = rows.unionByName(docs.filter(F.col(text_col).isNull()).withColumn("__spans", F.lit(None).cast(kind)))  # these meet nothing
     schema = StructType(list(docs.schema.fields)).add("n_words", "long").add("n_cut_words", "long").add("cut_spans", DataType.fromDDL(kind))
     if cut_col:
         schema = schema.add(cut_col, "string")

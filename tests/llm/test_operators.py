@@ -340,6 +340,45 @@ def test_repeated_rows_keep_the_first_of_a_shared_passage(spark, ident, parts):
         assert got == Counter({(5, rows[0][1], 0): 2, (9, rows[2][1], 50): 1})
 
 
+def test_suffixes_are_compared_word_by_word(spark, monkeypatch):
+    """Seeds that collide by a poor hash don't make texts equal; passages that nest and overlap are found whole."""
+    real = suffixes.windows
+    monkeypatch.setattr(suffixes, "windows", lambda h, n: real(h, n) % np.uint64(5))
+    rng = random.Random(3)
+    p = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        a, b = sorted((rng.randrange(40), rng.randrange(41)))
+        rows.append((rng.randrange(40) if i % 9 else None, " ".join([f"u{i}", *p[a:b], f"v{rng.randrange(3)}", *p[: rng.randrange(12)]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter((r["doc_id"], r["text"], r["n_cut_words"]) for r in suffixes.cut_repeats(df, 8, 3).collect())
+    seen, want = set(), Counter()
+    texts = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    ties = Counter(r[0] for r in texts)
+    for d, t in texts:
+        w, cut = words(t), set()
+        for k in range(len(w) - 7):
+            g = tuple(w[k : k + 8])
+            cut |= set(range(k, k + 8)) if g in seen else set()
+            seen.add(g)
+        if ties[d] == 1:
+            want[d, t] = len(cut)
+    for (d, t), n in want.items():  # where one id has several texts, their order is by hash
+        if all(ties[x] == 1 for x, _ in texts if x is not None and d is not None and x <= d):
+            assert got[d, t, n] == rows.count((d, t))
+    assert got == Counter((r["doc_id"], r["text"], r["n_cut_words"]) for r in suffixes.cut_repeats(df.coalesce(1), 8, 3).collect())
+
+
+def test_later_windows():
+    rng = np.random.default_rng(6)
+    words = rng.integers(1, 3, (200, 9)).astype(np.uint64)
+    most, least, rank = rng.integers(0, 5, 200), np.zeros(200, int), rng.permutation(200)
+    for offset, rows, later in suffixes.later_windows(words, most, least, rank, 4):
+        run = {i: tuple(words[i, 4 - offset : 9 - offset]) for i in rows}
+        assert set(rows) == {i for i in range(200) if most[i] >= offset}
+        assert [bool(x) for x in later] == [any(run[j] == run[i] and rank[j] < rank[i] for j in rows) for i in rows]
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
