@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import among, drop, stash
+from .common import among, drop, stash, trimmed
 from .components import components
 from .words import ONE, TWO, bounded, mix, shingle_set, windows, word_hashes
 
@@ -105,12 +105,14 @@ def parity(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_of(n: int) -> int:
-    return 1 << min(13, max(8, int(4 * n - 1).bit_length()))
+    """About a bit an element: sets without much in common differ in half of the bits, linked ones in a fifth at most."""
+    return 1 << min(13, max(7, int(n - 1).bit_length()))
 
 
 # --- keys, and the tiles that they make -------------------------------------------------------------------------------------
 
 
+@trimmed
 def _emit(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, salt: int) -> Iterator[pa.RecordBatch]:
     """Per batch: keys with their classes dealt to buckets, and rows (id, size, class, check, text hash).
 
@@ -164,6 +166,7 @@ def _parts(k: np.ndarray, o: np.ndarray, to: np.ndarray, m: np.ndarray) -> Itera
         yield int(to[at[0]]), (k[at].tobytes(), which.astype("<u4" if len(here) >> 16 else "<u2").tobytes(), m[here].tobytes())
 
 
+@trimmed
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A bucket's keys (key, class, size): those whose class has one of a near size beside it, or that went to all tasks;
     and pairs of a class of a key with a leader of it, by one of LEADERS orders of classes."""
@@ -261,6 +264,7 @@ def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent:
             yield int(order[i]), order[j]
 
 
+@trimmed
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile: (tile, cross, class, size, root, block, bitmap). Gives pairs (a, b, root of a)."""
     tile, cross, rows = None, False, []
@@ -294,6 +298,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield out([p])
 
 
+@trimmed
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (tile, role): the sets of a tile's first members, which are connected already, then the others,
     each with those to compare it with, until it links with one."""
@@ -425,6 +430,7 @@ class _Join:
         return self.rows.filter("n > 0").join(final, "cls").select("id", "th", "n", "best").unionByName(wordless)
 
 
+@trimmed
 def _bitmaps(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for b in bounded(batches, 1):
         sets = [shingle_set(t.as_py(), n) for t in b.column(1)]

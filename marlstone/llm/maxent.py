@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import stash
+from .common import stash, trimmed
 
 #: Words with a place in the softmax: GROUPS of PER_GROUP classes of PER_CLASS words; classes of the other words, one more group.
 GROUPS, PER_GROUP, PER_CLASS, RARE = 16, 32, 16, 32
@@ -215,6 +215,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(0).to_pylist()
@@ -273,6 +274,7 @@ def _blocks(kind: int, table: np.ndarray, base: np.ndarray, seen: np.ndarray) ->
             yield kind, k, n.astype("<f4").tobytes(), ((table[at] - base[at]) * seen[at, None]).astype("<f4").tobytes()
 
 
+@trimmed
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
     own = Model(model.biases, [w.copy() for w in model.weights])
     trainer = Trainer(own)
@@ -299,6 +301,7 @@ def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), *[pa.array([r[k] for r in part], pa.binary()) for k in (2, 3)]], names=["kind", "at", "n", "delta"])
 
 
+@trimmed
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], list] = {}
     for b in batches:
@@ -340,6 +343,7 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", rounds: in
     return model
 
 
+@trimmed
 def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
     norm = math.log(vocab.tokens + vocab.types + 1)
     log_mass = np.log(vocab.rare_mass)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from .common import among, drop, stash
+from .common import among, drop, stash, trimmed
 from .words import bounded, windows, word_hashes
 
 MIN_WORDS, SEED_WORDS = 50, 16
@@ -54,6 +54,7 @@ def _starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, bool)
 
 
+@trimmed
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Suffixes (seed, text) retained at minimisers, sorted in the batch: equal neighbours are found here, and of those only
     the seed goes on, with the mark that it repeats."""
@@ -82,6 +83,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int
         yield _blobs(rows)
 
 
+@trimmed
 def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, seed) of the seeds that another text, or another place of the text, has too."""
     keys, owner, marked, n = [], [], [], 0
@@ -195,6 +197,7 @@ class _Suffixes:
         return seed, words, who, new & ~same, spans
 
 
+@trimmed
 def _extend(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Repeating suffixes with the words around them. A batch compares its own; of those whose every run repeats an earlier
     one only the ranges go on."""
@@ -225,6 +228,7 @@ def _extend(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int,
         yield _blobs(rows)
 
 
+@trimmed
 def _later(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     """Word ranges (text, lo, hi) that repeat an earlier passage: a bucket's suffixes, sorted and compared."""
     own = _Suffixes(min_words, seed_words)

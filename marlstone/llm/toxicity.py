@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import drop, stash
+from .common import drop, stash, trim, trimmed
 
 #: Bounds of the labelled rows that are learned from; parameters of toxicity_model.
 MAX_TOXIC, MAX_CLEAN = 4000, 24000
@@ -24,6 +24,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 MIN_TEXTS, MAX_AROUND = 3, 2
 BUCKETS = 64
 WORD_CACHE = 150_000
+STEPS, ITEMS = 200_000, 400_000
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~‘’“”„«»…¿¡"
 #: Marks of quotation, and words that report what others say.
 OPENING, CLOSING = frozenset("\"'“‘„«"), frozenset("\"'”’“»")
@@ -69,9 +70,13 @@ class LexiconAutomaton:
                     for p in path:
                         self.room[p] = max(self.room[p], edits_allowed(word))
         self.allowed = {t: edits_allowed(t) if t in fuzzy else 0 for t in terms}
+        self._forget()
+
+    def _forget(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
         self.sets: list[frozenset] = []
         self.known: dict[frozenset, int] = {}
+        self.held = 0  # items of all states
         self.dead = self._state(set())
         self.start = self._state({(0, 0, "")})
 
@@ -88,6 +93,7 @@ class LexiconAutomaton:
         if key not in self.known:
             self.known[key] = len(self.sets)
             self.sets.append(key)
+            self.held += len(key)
         return self.known[key]
 
     def _step(self, s: int, c: str) -> int:
@@ -117,11 +123,8 @@ class LexiconAutomaton:
                     return self.prefix[n] + "*", 0
             t = self.steps.get((s, c))
             if t is None:
-                if len(self.steps) > 200_000:  # keeps memory bounded on odd alphabets
-                    self.steps.clear()
-                    self.sets, self.known = [], {}
-                    self.dead = self._state(set())
-                    self.start = self._state({(0, 0, "")})
+                if len(self.steps) > STEPS or self.held > ITEMS:  # keeps memory bounded
+                    self._forget()
                     return self.find(word)
                 t = self.steps[s, c] = self._step(s, c)
             s = t
@@ -213,6 +216,7 @@ def quoted(tokens: list[str], i: int) -> bool:
     return any(tokens[j].rstrip(".,;:!?")[-1:] in CLOSING and len(tokens[j]) > 1 for j in range(i, min(len(tokens), i + QUOTE_WINDOW)))
 
 
+@trimmed
 def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their settings (hashes of the neighbouring words) with the text's label, dealt to buckets by word."""
     for b in batches:
@@ -241,6 +245,7 @@ def _settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "words", "which", "settings", "labels"])
 
 
+@trimmed
 def _count_settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per word: its distinct settings in toxic and in clean texts. A bucket holds its share of the bounded sample."""
     index: dict[str, int] = {}
@@ -261,6 +266,7 @@ def _count_settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["word", "a", "c"])
 
 
+@trimmed
 def _toxic_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of the texts each word, and each opening (marked *), occurs."""
     for b in batches:
@@ -293,6 +299,8 @@ def _near(batches: Iterator[pa.RecordBatch], terms: dict, prefixes: dict, fuzzy:
     for b in batches:
         found = [(w, hit[0]) for w in b.column(0).to_pylist() if (hit := auto.find(w)) and hit[1]]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "near"])
+    del auto
+    trim()
 
 
 def held_out(id_col: str, mod: int, rest: int) -> Column:
@@ -373,6 +381,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             scores = [m.score(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], score_col])
         m.forget()
+        trim()
 
     return data.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -513,17 +514,18 @@ def test_one_tree_and_many_agree():
 
 
 @pytest.mark.parametrize("shard_rows", [20, 10_000])
-def test_top_k_is_exact(spark, shard_rows):
+def test_top_k_is_exact(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk, "LEAST_ROWS", 20)
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(60)]
-    rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (302, [math.nan] * 6), (303, [math.inf] * 6), (304, [1.0, 2.0]), (None, [1.0] * 6), (50, [9.0] * 6), (50, [9.0] * 6), (350, [3e8] * 6), (400, [])]
+    rows += [(300, None), (301, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (302, [math.nan] * 6), (303, [math.inf] * 6), (304, [1.0, 2.0]), (None, [1.0] * 6), (50, [9.0] * 6), (50, [9.0] * 6), (350, [3e8] * 6), (400, []), (450, [1e305, 0.0, 1e305, 0.0, 1e305, 1e305]), (500, [-1.7e308] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = Counter(tuple(r) for r in topk.exact_top_k(df, F.pmod("vec_id", F.lit(50)) == 0, 5, shard_rows=shard_rows).collect())
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(Fraction(256) * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
     for a, (i, v) in enumerate(ok):
         if i % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v))[:5]
+            best = sorted((-min(max(sum(x * y for x, y in zip(v, w)), -(2**63)), 2**63 - 1), j) for b, (j, w) in enumerate(ok) if b != a and len(w) == len(v))[:5]
             want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
     assert got == want
     assert topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
