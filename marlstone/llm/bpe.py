@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import trim
+
 #: The code points with the property White_Space.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.iinfo(np.int64).max
@@ -298,6 +300,9 @@ def bpe_encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col:
                 if decoded_col:
                     cols.append(pa.array([codec.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], *[n for n, _ in more]])
+        if len(codec.kept) > CACHE // 2:
+            codec.kept.clear()  # workers outlive tasks
+        trim()
 
     return data.mapInArrow(run, schema)
 
