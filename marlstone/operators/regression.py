@@ -247,11 +247,14 @@ def gls(y: np.ndarray, x: np.ndarray, omega: np.ndarray) -> dict:
 IV = "term string, beta double, se double, t double, p double, n long, first_stage_f double, partial_f double, partial_r2 double, weak boolean, sargan double, sargan_p double, status string"
 
 
-def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Sequence[str] = (), intercept: bool = True, cov: str = "classical") -> DataFrame:
+def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Sequence[str] = (), intercept: bool = True, cov: str = "classical",
+            order: Sequence[str] = (), max_lag: int | None = None) -> DataFrame:
     """Two-stage least squares: xs may be endogenous; zs are all instruments (exogenous xs included). One aggregate of the
-    cross products of [z x y]; a second for White errors. Weak: first-stage F under 10. Sargan's chi2 has l - k degrees."""
+    cross products of [z x y]; a second for white or newey_west (needs ``order``; lag floor(n^(1/3)) by default) errors. Weak: first-stage F under 10. Sargan's chi2 has l - k degrees."""
     if len(zs) < len(xs):
         raise ValueError("fewer instruments than regressors")
+    if cov not in ("classical", "white", "newey_west"):
+        raise ValueError(f"unknown covariance: {cov}")
     names = list(dict.fromkeys([*zs, *xs]))
     g = gram(df, [*names, y], by)
     zi, xi = [0] * intercept + [1 + names.index(z) for z in zs], [0] * intercept + [1 + names.index(x) for x in xs]
@@ -275,7 +278,7 @@ def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Seq
         inv, a, b, zz, zx, zy = f
         ssr = float(m[-1, -1] - 2 * b @ m[xi, -1] + b @ m[np.ix_(xi, xi)] @ b)
         v = a * ssr / (n - len(xi))
-        if cov == "white":
+        if cov != "classical":
             meat = np.zeros((len(zi), len(zi)))
             meat[np.triu_indices(len(zi))] = r["__m"]
             meat = meat + np.triu(meat, 1).T
@@ -304,13 +307,20 @@ def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Seq
                         "weak": bool(first_f < 10), "sargan": sargan, "sargan_p": chi2_sf(sargan, df_s) if df_s else 1.0, "status": "ok"})
         return out
 
-    if cov == "white":
+    if cov != "classical":
         beta = solve_rows(g, by, lambda r: [{"__b": None if (f := fit(unpack(r["__gram"], len(names) + 1), int(r["n"]))) is None else [float(x) for x in f[2]]}], "__b array<double>")
-        rows = df.join(beta, list(by)) if by else df.join(F.broadcast(beta))  # one row
+        ok = F.lit(True)
+        for c in [*names, y]:
+            ok = ok & F.col(c).isNotNull()
+        rows = df.filter(ok)
+        rows = rows.join(beta, list(by)) if by else rows.join(F.broadcast(beta))  # one row
         x = [F.lit(1.0)] * intercept + [F.col(c) for c in xs]
         z = [F.lit(1.0)] * intercept + [F.col(c) for c in zs]
-        rows = rows.withColumn("__e", F.col(y) - sum(F.get("__b", F.lit(i)) * c for i, c in enumerate(x)))
-        meat = rows.groupBy(*by).agg(F.array(*[F.sum(F.col("__e") ** 2 * a * b) for i, a in enumerate(z) for b in z[i:]]).alias("__m"))
+        e = F.col(y) - sum(F.get("__b", F.lit(i)) * c for i, c in enumerate(x))
+        own = [f"__s{i}" for i in range(len(z))]
+        scored = rows.select(*{*by, *order}, *[(e * c).alias(k) for k, c in zip(own, z)])
+        sums = lambda d, keys: d.groupBy(*keys).agg(F.array(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(own) for b in own[i:]]).alias("__m"))
+        meat = sums(scored, by) if cov == "white" else _bartlett(scored, own, by, order, max_lag, sums)
         g = g.join(meat, list(by)) if by else g.join(F.broadcast(meat))
     return solve_rows(g, by, solve, IV)
 

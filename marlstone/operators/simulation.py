@@ -15,6 +15,17 @@ from ..plans.frame import with_seq
 from .vol import _variance, fit_volatility, log_likelihood
 
 
+#: The default priors of the Bayesian volatility models.
+GARCH_PRIOR = {"omega_shape": 2.0, "omega_rate": 1e5, "alpha_a": 2.0, "alpha_b": 10.0, "beta_a": 8.0, "beta_b": 2.0}
+GJR_PRIOR = {"omega_rate": 1e5, "alpha_power": 2.0, "alpha_scale": 10.0, "gamma_power": 2.0, "gamma_scale": 10.0, "beta_a": 8.0, "beta_b": 2.0, "nu_power": 1.5, "nu_most": 200.0}
+#: The samplers' tuning. Random walk: draws between adaptations, growth, shrinkage, wanted acceptance.
+WALK_EVERY, WALK_UP, WALK_DOWN, WALK_GOAL = 100, 1.1, 0.9, 0.234
+#: Adaptive walk: scale of the covariance, draws before the first and between adaptations, ridge.
+ADAPT_SCALE, ADAPT_FROM, ADAPT_EVERY, ADAPT_RIDGE = 2.38**2, 100, 50, 1e-10
+#: Dual averaging: shrinkage, offset, power. Slices: steps out, shrinks. Autocorrelation below which a chain counts as mixed.
+DUAL_SHRINK, DUAL_OFFSET, DUAL_POWER, STEPS_OUT, SHRINKS, MIXED = 0.05, 10, 0.75, 32, 200, 0.05
+
+
 def block_indices(n: int, block: int, rng: np.random.Generator, circular: bool = True) -> np.ndarray:
     """n positions: single ones for block <= 1, else blocks from random starts, around the end or within the data."""
     if block <= 1:
@@ -98,19 +109,18 @@ def bootstrap_lag_slope(df: DataFrame, value: str, order: str, replicates: int,
     return s.select(F.col("rep").cast("long").alias("rep"), F.expr("try_divide(n * yz - sy * sz, n * zz - sz * sz)").alias("value"))
 
 
-def bootstrap_sums(df: DataFrame, value: str, replicates: int, seed: int = 42) -> DataFrame:
+def bootstrap_sums(df: DataFrame, value: str, replicates: int, seed: int = 42, key: Sequence[str] = ()) -> DataFrame:
     """(rep, n, mean) of Poisson resamples of a column of any size: each row counts as often as a hash of (row, replicate)
-    says, so that every replicate is one combined sum; nothing is copied. Rows are told apart by their value and position."""
-    cdf, acc = [], 0.0
-    for k in range(8):
-        acc += math.exp(-1) / math.factorial(k)
-        cdf.append(acc)
-    rows = df.select(F.col(value).cast("double").alias("__v"), F.monotonically_increasing_id().alias("__i")).filter("`__v` is not null")
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64("__i", "rep", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    times = sum((u > c).cast("int") for c in cdf)
-    s = rows.withColumn("__k", times).groupBy("rep").agg(F.sum("__k").alias("n"), F.sum(F.col("__k") * F.col("__v")).alias("s"))
-    return s.select(F.col("rep").cast("long").alias("rep"), "n", F.try_divide("s", "n").alias("mean"))
+    says, so that every replicate is a sum in one aggregate; nothing is copied. Rows are told apart by ``key`` (and value),
+    so replicates don't depend on the layout; without a key, rows of equal value are drawn together."""
+    rows = df.select(F.col(value).cast("double").alias("__v"), F.xxhash64(*key, value).alias("__i")).filter("`__v` is not null")
+    sums = []
+    for rep in range(replicates):
+        k = _poisson(1.0, "__i", F.lit(rep), F.lit(seed))
+        sums += [F.sum(k).alias(f"n{rep}"), F.sum(k * F.col("__v")).alias(f"s{rep}")]
+    one = rows.agg(*sums)
+    pairs = F.array(*[F.struct(F.lit(rep).cast("long").alias("rep"), F.col(f"n{rep}").alias("n"), F.col(f"s{rep}").alias("s")) for rep in range(replicates)])
+    return one.select(F.inline(pairs)).select("rep", "n", F.try_divide("s", "n").alias("mean"))
 
 
 def bootstrap_summary(draws: DataFrame, level: float = 0.95, value: str = "value") -> DataFrame:
@@ -138,20 +148,20 @@ def metropolis_hastings(logp: Callable, x0, n: int, burn: int, rng, scale=None,
         if math.log(rng.random() + 1e-300) < v - cur:
             x, cur, recent = new, v, recent + 1
             hits += i >= burn
-        if i < burn and (i + 1) % 100 == 0:
-            sd, recent = sd * (1.1 if recent / 100 > 0.234 else 0.9), 0
+        if i < burn and (i + 1) % WALK_EVERY == 0:
+            sd, recent = sd * (WALK_UP if recent / WALK_EVERY > WALK_GOAL else WALK_DOWN), 0
         if i >= burn and (i - burn + 1) % thin == 0:
             out.append(x.copy())
     return np.array(out), hits / max(1, n * thin)
 
 
-def adaptive_metropolis(logp: Callable, x0, n: int, burn: int, rng, thin: int = 1, start_sd: float = 0.1) -> tuple[np.ndarray, float]:
+def adaptive_metropolis(logp: Callable, x0, n: int, burn: int, rng, thin: int = 1, start_sd=0.1) -> tuple[np.ndarray, float]:
     """Proposals of covariance 2.38^2 / d times that of the chain so far."""
     x = np.array(x0, float)
     d = len(x)
     cur, out, hits = logp(x), [], 0
     mean, cov, seen = x.copy(), np.zeros((d, d)), 1
-    low = np.eye(d) * start_sd
+    low = np.diag(np.broadcast_to(np.asarray(start_sd, float), (d,)))
     for i in range(burn + n * thin):
         new = x + low @ rng.standard_normal(d)
         v = logp(new)
@@ -162,9 +172,9 @@ def adaptive_metropolis(logp: Callable, x0, n: int, burn: int, rng, thin: int =
         dx = x - mean
         mean = mean + dx / seen
         cov = cov + np.outer(dx, x - mean)
-        if seen > 100 and seen % 50 == 0:
+        if seen > ADAPT_FROM and seen % ADAPT_EVERY == 0:
             try:
-                low = np.linalg.cholesky(2.38**2 / d * (cov / (seen - 1) + 1e-10 * np.eye(d)))
+                low = np.linalg.cholesky(ADAPT_SCALE / d * (cov / (seen - 1) + ADAPT_RIDGE * np.eye(d)))
             except np.linalg.LinAlgError:
                 pass
         if i >= burn and (i - burn + 1) % thin == 0:
@@ -197,9 +207,9 @@ def hmc(logp: Callable, x0, n: int, burn: int, rng, grad: Callable | None = None
             hits += i >= burn
         if i < burn:
             t = i + 1
-            drift = (1 - 1 / (t + 10)) * drift + (goal - chance) / (t + 10)
-            le = centre - math.sqrt(t) / 0.05 * drift
-            slow = t**-0.75 * le + (1 - t**-0.75) * slow
+            drift = (1 - 1 / (t + DUAL_OFFSET)) * drift + (goal - chance) / (t + DUAL_OFFSET)
+            le = centre - math.sqrt(t) / DUAL_SHRINK * drift
+            slow = t**-DUAL_POWER * le + (1 - t**-DUAL_POWER) * slow
             eps = math.exp(le if t < burn else slow)
         else:
             out.append(x.copy())
@@ -215,15 +225,15 @@ def slice_sampling(logp: Callable, x0, n: int, burn: int, rng, width: float = 1.
             level = logp(x) + math.log(rng.random() + 1e-300)
             lo = x[j] - width * rng.random()
             hi = lo + width
-            for _ in range(32):
+            for _ in range(STEPS_OUT):
                 if at(lo) < level:
                     break
                 lo -= width
-            for _ in range(32):
+            for _ in range(STEPS_OUT):
                 if at(hi) < level:
                     break
                 hi += width
-            for _ in range(200):
+            for _ in range(SHRINKS):
                 v = rng.uniform(lo, hi)
                 if at(v) >= level:
                     x[j] = v
@@ -234,34 +244,38 @@ def slice_sampling(logp: Callable, x0, n: int, burn: int, rng, width: float = 1.
     return np.array(out), 1.0
 
 
-def gibbs(conditionals: Sequence[tuple[Sequence[int], Callable]], x0, n: int, burn: int, rng, logp: Callable | None = None) -> tuple[np.ndarray, float]:
-    """Each block (positions, sampler(x, rng)) in turn."""
+def gibbs(logp: Callable | None, x0, n: int, burn: int, rng, conditionals: Sequence[tuple[Sequence[int], Callable]] = (), thin: int = 1) -> tuple[np.ndarray, float]:
+    """Each block (positions, sampler(x, rng)) in turn. The log density isn't needed to draw; sample_chains reports it."""
     x, out = np.array(x0, float), []
-    for i in range(burn + n):
+    for i in range(burn + n * thin):
         for at, draw in conditionals:
             x[list(at)] = draw(x, rng)
-        if i >= burn:
+        if i >= burn and (i - burn) % thin == 0:
             out.append(x.copy())
     return np.array(out), 1.0
 
 
-SAMPLERS = {"metropolis": metropolis_hastings, "adaptive": adaptive_metropolis, "hmc": hmc, "slice": slice_sampling}
+SAMPLERS = {"metropolis": metropolis_hastings, "adaptive": adaptive_metropolis, "hmc": hmc, "slice": slice_sampling, "gibbs": gibbs}
 
 
-def sample_chains(spark: SparkSession, logp: Callable, x0: Sequence[float], n: int = 1000, burn: int = 500, chains: int = 4, sampler: str = "metropolis", seed: int = 42, spread: float = 0.1, **options) -> DataFrame:
-    """(chain, draw, param, value): chains are independent tasks, from spread starts and own seeds."""
+def sample_chains(spark: SparkSession, logp: Callable | None, x0: Sequence[float], n: int = 1000, burn: int = 500, chains: int = 4, sampler: str = "metropolis", seed: int = 42, spread: float = 0.1, density: bool = False, **options) -> DataFrame:
+    """(chain, draw, param, value), and with ``density`` lp, the log density of the draw: chains are independent tasks, from
+    spread starts and own seeds. Only gibbs can do without a log density."""
     start = np.array(x0, float)
+    if logp is None and (density or sampler != "gibbs"):
+        raise ValueError("a log density is needed")
 
     def run(batches):
         for pdf in batches:
             for c in pdf["id"]:
                 rng = np.random.Generator(np.random.PCG64([seed, int(c)]))
                 x = start + (np.abs(start) + 1) * spread * rng.standard_normal(len(start)) if c else start
-                s, _ = SAMPLERS[sampler](logp, x if math.isfinite(logp(x)) else start, n, burn, rng, **options)
+                s, _ = SAMPLERS[sampler](logp, x if logp is None or math.isfinite(logp(x)) else start, n, burn, rng, **options)
                 k = s.shape[1]
-                yield pd.DataFrame({"chain": int(c), "draw": np.repeat(np.arange(len(s)), k), "param": np.tile(np.arange(k), len(s)), "value": s.ravel()})
+                out = pd.DataFrame({"chain": int(c), "draw": np.repeat(np.arange(len(s)), k), "param": np.tile(np.arange(k), len(s)), "value": s.ravel()})
+                yield out.assign(lp=np.repeat([float(logp(v)) for v in s], k)) if density else out
 
-    return spark.range(chains, numPartitions=chains).mapInPandas(run, "chain long, draw long, param long, value double")
+    return spark.range(chains, numPartitions=chains).mapInPandas(run, "chain long, draw long, param long, value double" + (", lp double" if density else ""))
 
 
 # --- what chains say ------------------------------------------------------------------------------------------------------
@@ -283,19 +297,29 @@ def gelman_rubin(draws: DataFrame) -> DataFrame:
     return s.select("param", "chains", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("bm")) / F.nullif("w", F.lit(0.0))).alias("rhat")).withColumn("converged", F.col("rhat") < 1.1)
 
 
-def effective_sample_size(draws: DataFrame, max_lag: int = 1000) -> DataFrame:
-    """n / (1 + 2 sum of autocorrelations), up to the first under 0.05; of each (chain, param)."""
+def effective_size(x: np.ndarray) -> float:
+    """n / (1 + 2 sum of autocorrelations) of lags under n / 2, up to the first under MIXED; 1 at least, and n of under four
+    draws or of a constant."""
+    n = len(x)
+    x = x - x.mean()
+    v = float((x * x).sum())
+    if n < 4 or v / n < 1e-30:
+        return float(n)
+    s = 0.0
+    for k in range(1, min(n - 1, n // 2)):
+        r = float((x[k:] * x[:-k]).sum()) / v
+        if r < MIXED:
+            break
+        s += r
+    return max(1.0, n / (1 + 2 * s))
+
+
+def effective_sample_size(draws: DataFrame) -> DataFrame:
+    """(n, ess) of each (chain, param)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("draw")["value"].to_numpy()
-        x = x - x.mean()
-        n, v, s = len(x), float((x * x).sum()), 0.0
-        for k in range(1, min(n - 1, max_lag) if v > 0 else 0):
-            r = float((x[k:] * x[:-k]).sum()) / v
-            if r < 0.05:
-                break
-            s += r
-        return pd.DataFrame([(pdf["chain"].iloc[0], pdf["param"].iloc[0], n, n / (1 + 2 * s))], columns=["chain", "param", "n", "ess"])
+        return pd.DataFrame([(pdf["chain"].iloc[0], pdf["param"].iloc[0], len(x), effective_size(x))], columns=["chain", "param", "n", "ess"])
 
     return draws.groupBy("chain", "param").applyInPandas(run, "chain long, param long, n long, ess double")
 
@@ -337,25 +361,33 @@ def waic(point: DataFrame) -> DataFrame:
 # --- Bayesian volatility ---------------------------------------------------------------------------------------------------
 
 
-def garch_log_prior(p: Sequence[float]) -> float:
-    """omega: gamma; alpha and beta: beta densities, up to constants."""
+def garch_log_prior(p: Sequence[float], prior: dict[str, float] = GARCH_PRIOR) -> float:
+    """Up to a constant: gamma on omega, beta densities on alpha / 0.5 and on beta."""
     w, a, b = p
-    if w <= 0 or not 0 < a < 1 or not 0 < b < 1 or a + b >= 1:
+    if w <= 0 or not 0 < a < 0.5 or not 0 < b < 1 or a + b >= 1:
         return -math.inf
-    return math.log(a) + 8 * math.log1p(-a) + 8 * math.log(b) + math.log1p(-b) - w
+    q = prior
+    return ((q["omega_shape"] - 1) * math.log(w) - q["omega_rate"] * w + (q["alpha_a"] - 1) * math.log(2 * a) + (q["alpha_b"] - 1) * math.log1p(-2 * a)
+            + (q["beta_a"] - 1) * math.log(b) + (q["beta_b"] - 1) * math.log1p(-b))
 
 
-def gjr_log_prior(p: Sequence[float], nu_fixed: float | None) -> float:
+def gjr_log_prior(p: Sequence[float], nu_fixed: float | None, prior: dict[str, float] = GJR_PRIOR) -> float:
+    """Up to a constant: exponential on omega, heavy tails on alpha and gamma, a beta density on beta, a power of nu if it is estimated."""
     w, a, g, b = p[:4]
-    if w <= 0 or a < 0 or b < 0 or a + g < 0 or a + g / 2 + b >= 1:
-        return -math.inf
     nu = p[4] if nu_fixed is None else nu_fixed
-    return -math.inf if nu <= 2 else -w - 10 * a * a - 10 * g * g - 2 * (b - 0.85) ** 2 - (0.1 * nu if nu_fixed is None else 0.0)
+    if w <= 0 or a < 0 or g < 0 or not 0 < b < 1 or a + g / 2 + b >= 1 or not 2 < nu <= prior["nu_most"]:
+        return -math.inf
+    q = prior
+    out = -q["omega_rate"] * w - q["alpha_power"] * math.log1p(q["alpha_scale"] * a) - q["gamma_power"] * math.log1p(q["gamma_scale"] * g)
+    return out + (q["beta_a"] - 1) * math.log(b) + (q["beta_b"] - 1) * math.log1p(-b) - (q["nu_power"] * math.log(nu) if nu_fixed is None else 0.0)
 
 
-def bayesian_volatility(df: DataFrame, r: str, by: Sequence[str], order: Sequence[str], kind: str = "garch", n: int = 2000, burn: int = 1000, seed: int = 42, nu: float | None = None) -> DataFrame:
+def bayesian_volatility(df: DataFrame, r: str, by: Sequence[str], order: Sequence[str], kind: str = "garch", n: int = 2000, burn: int = 1000, seed: int = 42, nu: float | None = None,
+                        prior: dict[str, float] | None = None) -> DataFrame:
     """(by, chain, draw, param, value, ll): adaptive chains from the maximum likelihood fit, a task a series. kind: garch
-    (normal) or gjr (unstandardised t with its own, or the given, degrees of freedom). ll is the log likelihood of the draw."""
+    (normal) or gjr (unstandardised t with its own, or the given, degrees of freedom). ll is the log likelihood of the draw.
+    prior: values that replace those of GARCH_PRIOR or GJR_PRIOR; omega's are on the scale of the returns' variance."""
+    beliefs = (GARCH_PRIOR if kind == "garch" else GJR_PRIOR) | (prior or {})
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "chain long, draw long, param string, value double, ll double"])
 
@@ -383,11 +415,18 @@ def bayesian_volatility(df: DataFrame, r: str, by: Sequence[str], order: Sequenc
             c = student_t_logpdf(0.0, k)
             return float((c - (k + 1) / 2 * np.log1p(e * e / h / k) - 0.5 * np.log(h)).sum())
 
-        prior = garch_log_prior if kind == "garch" else (lambda v: gjr_log_prior(v, nu))
-        post = lambda v: (lambda q: q + ll(v) if q > -math.inf else q)(prior(v))
+        def post(v):
+            p = np.array(v, float)
+            p[0] *= unit
+            q = garch_log_prior(p, beliefs) if kind == "garch" else gjr_log_prior(p, nu, beliefs)
+            return q + ll(v) if q > -math.inf else q
+
         if not math.isfinite(post(start)):
             start = np.array([0.05, 0.05, 0.9] if kind == "garch" else [0.05, 0.05, 0.02, 0.88, 8.0][: len(names)])
-        s, _ = adaptive_metropolis(post, start, n, burn, np.random.Generator(np.random.PCG64(seed)), start_sd=0.02)
+        scale = np.array([max(0.3 * start[0], 1e-12), *[0.02] * (len(start) - 1)])
+        if len(names) == 5:
+            scale[4] = 0.5
+        s, _ = adaptive_metropolis(post, start, n, burn, np.random.Generator(np.random.PCG64(seed)), start_sd=scale)
         lls = np.array([ll(v) for v in s])
         s[:, 0] *= unit
         k = s.shape[1]

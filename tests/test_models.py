@@ -214,7 +214,7 @@ def test_chains_find_the_target(spark):
         d = simulation.sample_chains(spark, logp, [0.0], 1500, 500, 2, s)
         r = simulation.chain_summary(d).first()
         assert abs(r["mean"] - 3) < 0.7 and 1.2 < r["sd"] < 3
-    g = simulation.gibbs([((0,), lambda x, q: q.normal(0.5 * x[1], 0.8)), ((1,), lambda x, q: q.normal(0.5 * x[0], 0.8))], [0, 0], 2000, 100, np.random.default_rng(1))[0]
+    g = simulation.gibbs(None, [0, 0], 2000, 100, np.random.default_rng(1), [((0,), lambda x, q: q.normal(0.5 * x[1], 0.8)), ((1,), lambda x, q: q.normal(0.5 * x[0], 0.8))])[0]
     assert abs(g.mean()) < 0.2
     e = simulation.effective_sample_size(d).first()["ess"]
     assert 0 < e <= 1500.0001
@@ -271,3 +271,79 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rv").agg(F.sum("n_obs")).first()[0] == 8
+
+
+def test_priors_at_fixed_points():
+    ln = math.log
+    assert simulation.garch_log_prior([2e-5, 0.1, 0.8]) == pytest.approx(ln(2e-5) - 2 + ln(0.2) + 9 * ln(0.8) + 7 * ln(0.8) + ln(0.2))
+    assert simulation.garch_log_prior([2.0, 0.1, 0.8], simulation.GARCH_PRIOR | {"omega_rate": 1.0}) == pytest.approx(ln(2.0) - 2 + ln(0.2) + 9 * ln(0.8) + 7 * ln(0.8) + ln(0.2))
+    for bad in ([0, 0.1, 0.8], [1e-5, 0.5, 0.4], [1e-5, 0.1, 0.95], [1e-5, 0.0, 0.5]):
+        assert simulation.garch_log_prior(bad) == -math.inf
+    p = [1e-5, 0.05, 0.04, 0.9]
+    at = -1 - 2 * ln(1.5) - 2 * ln(1.4) + 7 * ln(0.9) + ln(0.1)
+    assert simulation.gjr_log_prior([*p, 8.0], None) == pytest.approx(at - 1.5 * ln(8)) and simulation.gjr_log_prior(p, 8.0) == pytest.approx(at)
+    for bad in ([1e-5, 0.05, -0.01, 0.9, 8], [1e-5, 0.05, 0.04, 0.9, 2.0], [1e-5, 0.05, 0.04, 0.9, 201], [1e-5, 0.1, 0.1, 0.9, 8]):
+        assert simulation.gjr_log_prior(bad, None) == -math.inf
+
+
+def test_bayesian_garch_follows_its_prior(spark):
+    r = normals(3, 400) * 0.01
+    df = frame(spark, r=r, k=[1.0] * 400)
+    loose = {"omega_rate": 1e4}
+    d = simulation.bayesian_volatility(df, "r", ["k"], ["seq0"], "garch", 600, 600, prior=loose)
+    m = {x["param"]: x["m"] for x in d.groupBy("param").agg(F.avg("value").alias("m")).collect()}
+    assert 0 < m["alpha"] < 0.5 and m["omega"] > 0 and m["alpha"] + m["beta"] < 1
+    assert d.filter("param = 'alpha' and (value <= 0 or value >= 0.5)").count() == 0
+    g = simulation.bayesian_volatility(df, "r", ["k"], ["seq0"], "gjr", 200, 200)
+    assert g.filter("(param = 'gamma' and value < 0) or (param = 'nu' and (value <= 2 or value > 200))").count() == 0
+
+
+def test_effective_size():
+    assert simulation.effective_size(np.array([1.0, 2.0, 3.0])) == 3 and simulation.effective_size(np.ones(50)) == 50
+    x = np.repeat(np.random.default_rng(1).normal(size=40), 100)  # correlated over 100 draws
+    want, v, y = 0.0, float(((x - x.mean()) ** 2).mean()), x - x.mean()
+    for k in range(1, 2000):
+        r = float((y[k:] * y[:-k]).sum()) / len(x) / v
+        if r < 0.05:
+            break
+        want += r
+    assert simulation.effective_size(x) == pytest.approx(len(x) / (1 + 2 * want))
+    assert simulation.effective_size(np.arange(5000.0)) >= 1  # lags beyond 1000 count
+
+
+def test_gibbs_on_spark(spark):
+    blocks = [((0,), lambda x, q: [q.normal(0.5 * x[1], 0.75**0.5)]), ((1,), lambda x, q: [q.normal(0.5 * x[0], 0.75**0.5)])]
+    logp = lambda v: -float(v[0] ** 2 - v[0] * v[1] + v[1] ** 2) / 1.5
+    d = simulation.sample_chains(spark, logp, [0.0, 0.0], 1500, 100, 2, "gibbs", density=True, conditionals=blocks)
+    w = d.groupBy("chain", "draw").pivot("param", [0, 1]).agg(F.first("value")).join(d.select("chain", "draw", "lp").distinct(), ["chain", "draw"]).toPandas()
+    assert np.corrcoef(w["0"], w["1"])[0, 1] == pytest.approx(0.5, abs=0.06) and len(w) == 3000
+    assert [logp((a, b)) for a, b in zip(w["0"], w["1"])] == pytest.approx(list(w["lp"]))
+    assert simulation.gelman_rubin(d.drop("lp")).filter("not converged").count() == 0
+    with pytest.raises(ValueError):
+        simulation.sample_chains(spark, None, [0.0], 10, 10, 1, "metropolis")
+
+
+def test_iv_newey_west(spark):
+    rng = np.random.default_rng(5)
+    n, lag = 300, 4
+    z, u = rng.normal(size=n), np.zeros(n)
+    for t in range(1, n):
+        u[t] = 0.6 * u[t - 1] + rng.normal()
+    x = z + 0.5 * u + rng.normal(size=n)
+    y = 1 + 2 * x + u
+    df = frame(spark, y=y, x=x, z=z)
+    got = {r["term"]: r for r in regression.iv_2sls(df, "y", ["x"], ["z"], cov="newey_west", order=["seq0"], max_lag=lag).collect()}
+    Z, X = np.column_stack([np.ones(n), z]), np.column_stack([np.ones(n), x])
+    H = Z @ np.linalg.solve(Z.T @ Z, Z.T @ X)
+    b = np.linalg.solve(H.T @ X, H.T @ y)
+    s = H * (y - X @ b)[:, None]
+    m = s.T @ s
+    for k in range(1, lag + 1):
+        g = s[k:].T @ s[:-k]
+        m += (1 - k / (lag + 1)) * (g + g.T)
+    inv = np.linalg.inv(H.T @ H)
+    v = inv @ m @ inv
+    for i, t in enumerate(("const", "x")):
+        assert got[t]["beta"] == pytest.approx(b[i]) and got[t]["se"] == pytest.approx(math.sqrt(v[i, i]))
+    with pytest.raises(ValueError):
+        regression.iv_2sls(df, "y", ["x"], ["z"], cov="other")
