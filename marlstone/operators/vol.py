@@ -1,4 +1,4 @@
-"""Volatility models: variance recursions in numpy, fitted per series by a simplex search; one task a series."""
+"""Volatility models: variance recursions in numpy over many series side by side, fitted by simplex searches all at once."""
 
 from __future__ import annotations
 
@@ -11,157 +11,305 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAD = -1e30
+ROWS_A_FIT, WINDOWS_A_FIT = 100_000, 512
 
 
 def _variance(kind: str, p: Sequence[float], e: np.ndarray) -> np.ndarray | None:
     """Conditional variances of the demeaned returns e; None if the parameters or the path aren't admissible."""
-    n = len(e)
-    h = np.empty(n)
-    if kind in ("garch", "garch_t"):
-        w, a, b = p[:3]
-        if w <= 0 or a < 0 or b < 0 or a + b >= 1:
-            return None
-        h[0] = w / (1 - a - b) if kind == "garch" else float((e**2).mean())
-        e2 = e * e
-        for t in range(1, n):
-            h[t] = w + a * e2[t - 1] + b * h[t - 1]
-    elif kind == "gjr":
-        w, a, g, b = p[:4]
-        if w <= 0 or a < 0 or b < 0 or a + g < 0 or a + g / 2 + b >= 1:
-            return None
-        h[0] = float((e**2).mean())
-        x = (a + g * (e < 0)) * e * e
-        for t in range(1, n):
-            h[t] = w + x[t - 1] + b * h[t - 1]
-    else:  # egarch: log h = w + a |z| + g z + b log h
-        w, a, g, b = p[:4]
-        if abs(b) >= 1:
+    if kind != "egarch":
+        h, ok = _variances(kind, np.asarray(p, float)[None], _Batch([np.asarray(e, float)]), np.zeros(1, int))
+        return h[:, 0] if ok[0] else None
+    # log h = w + a |z| + g z + b log h
+    w, a, g, b = p[:4]
+    if abs(b) >= 1:
+        return None
+    h = np.empty(len(e))
+    lh = math.log(max(1e-20, float((e**2).mean())))
+    for t in range(len(e)):
+        if t:
+            z = e[t - 1] / math.sqrt(h[t - 1])
+            lh = w + a * abs(z) + g * z + b * lh
+        if not -200 < lh < 200:
             return None
-        lh = math.log(max(1e-20, float((e**2).mean())))
-        for t in range(n):
-            if t:
-                z = e[t - 1] / math.sqrt(h[t - 1])
-                lh = w + a * abs(z) + g * z + b * lh
-            if not -200 < lh < 200:
-                return None
-            h[t] = math.exp(lh)
+        h[t] = math.exp(lh)
     return np.maximum(h, 1e-20)
 
 
 def log_likelihood(kind: str, p: Sequence[float], e: np.ndarray) -> float:
     """Gaussian, or with kind garch_t the standardised t of p[3] degrees of freedom."""
-    h = _variance(kind, p, e)
-    if h is None:
-        return BAD
+    return float(likelihoods(kind, np.asarray(p, float)[None], _Batch([np.asarray(e, float)]), np.zeros(1, int))[0])
+
+
+class _Batch:
+    """Series side by side: e[t, i], 0 beyond the end of a series."""
+
+    def __init__(self, series: Sequence[np.ndarray]):
+        self.n = np.array([len(x) for x in series])
+        self.e = np.zeros((int(self.n.max(initial=0)), len(series)))
+        for i, x in enumerate(series):
+            self.e[: len(x), i] = x
+        self.inside = np.arange(len(self.e))[:, None] < self.n
+        self.mean2 = (self.e**2).sum(0) / np.maximum(self.n, 1)
+
+
+def _decay(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """h[t] = b h[t - 1] + a[t] of all columns, by doubling: no step in time waits for the one before it."""
+    step, power = 1, b.copy()
+    while step < len(a) and power.max(initial=0.0) > 1e-20:
+        more = a.copy()
+        more[step:] += power * a[:-step]
+        a, power, step = more, power * power, 2 * step
+    return a
+
+
+def _variances(kind: str, p: np.ndarray, x: _Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variances [t, i] of series at[i] under parameters p[i], and whether parameters and path are admissible."""
+    e, m2 = x.e[:, at], x.mean2[at]
+    if kind == "egarch":
+        if len(at) < 8:  # few series: a step in time is cheaper by itself than over columns
+            paths = [_variance(kind, q, e[: x.n[i], k]) for k, (q, i) in enumerate(zip(p, at))]
+            h = np.ones(e.shape)
+            for k, v in enumerate(paths):
+                if v is not None:
+                    h[: len(v), k] = v
+            return h, np.array([v is not None for v in paths])
+        w, a, g, b = p.T
+        ok = np.abs(b) < 1
+        h, lh = np.empty(e.shape), np.log(np.maximum(1e-20, m2))
+        for t in range(len(e)):
+            if t:
+                z = e[t - 1] / np.sqrt(h[t - 1])
+                lh = w + a * np.abs(z) + g * z + b * lh
+            ok &= (np.abs(lh) < 200) | (t >= x.n[at])
+            lh = np.clip(lh, -200, 200)
+            np.exp(lh, out=h[t])
+        return np.maximum(h, 1e-20), ok
+    w, a, b = p[:, 0], p[:, 1], p[:, 3 if kind == "gjr" else 2]
+    if kind == "gjr":
+        g = p[:, 2]
+        ok = (w > 0) & (a >= 0) & (b >= 0) & (a + g >= 0) & (a + g / 2 + b < 1)
+        shock = (a + g * (e < 0)) * e * e
+    else:
+        ok = (w > 0) & (a >= 0) & (b >= 0) & (a + b < 1)
+        shock = a * e * e
+    add = np.empty(e.shape)
+    add[1:] = w + shock[:-1]
+    with np.errstate(all="ignore"):
+        add[:1] = w / (1 - a - b) if kind == "garch" else m2
+    return np.maximum(_decay(np.where(ok, add, 1.0), np.where(ok, b, 0.0)), 1e-20), ok
+
+
+def likelihoods(kind: str, p: np.ndarray, x: _Batch, at: np.ndarray) -> np.ndarray:
+    """Log likelihood of series at[i] under parameters p[i]; BAD where they aren't admissible."""
+    h, ok = _variances(kind, p, x, at)
+    e = x.e[:, at]
     if kind == "garch_t":
-        nu = p[3]
-        if nu <= 2.01:
-            return BAD
-        c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-        return float((c - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)))).sum())
-    return float(-0.5 * (math.log(2 * math.pi) + np.log(h) + e * e / h).sum())
+        nu = p[:, 3]
+        ok = ok & (nu > 2.01)
+        nu = np.where(ok, nu, 8.0)
+        c = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2)) for v in nu])
+        terms = c - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)))
+    else:
+        terms = -0.5 * (math.log(2 * math.pi) + np.log(h) + e * e / h)
+    return np.where(ok, np.where(x.inside[:, at], terms, 0.0).sum(0), BAD)
+
+
+def _sig(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+#: The ends that keep searches admissible, of alpha, of gjr's alpha and gamma, of persistence, of t's freedom (and its logarithm).
+MOST_ALPHA, MOST_GJR, MOST_PERSISTENCE, LEAST_NU, MOST_LOG_NU = 0.5, 0.3, 0.999, 2.01, 6.0
+
+
+def _garch(v):
+    a = MOST_ALPHA * _sig(v[:, 1])
+    return np.stack([np.exp(np.clip(v[:, 0], -700, 700)), a, (MOST_PERSISTENCE - a) * _sig(v[:, 2])], 1)
+
+
+def _gjr(v):
+    a, g = MOST_GJR * _sig(v[:, 1]), MOST_GJR * _sig(v[:, 2])
+    return np.stack([np.exp(np.clip(v[:, 0], -700, 700)), a, g, (MOST_PERSISTENCE - a - g / 2) * _sig(v[:, 3])], 1)
 
 
-def _sig(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
+def _egarch(v):
+    return np.stack([v[:, 0], v[:, 1], v[:, 2], np.tanh(v[:, 3])], 1)
 
 
-#: From free coordinates to admissible parameters, and where the search starts, given the sample variance.
+def _garch_t(v):
+    return np.column_stack([_garch(v), np.exp(np.minimum(v[:, 3], MOST_LOG_NU)) + LEAST_NU])
+
+
+#: From free coordinates (a row a series) to admissible parameters, where the search starts given the sample variance, and names.
 TRANSFORM: dict[str, tuple[Callable, Callable, list[str]]] = {
-    "garch": (lambda v: (math.exp(v[0]), 0.5 * _sig(v[1]), (0.999 - 0.5 * _sig(v[1])) * _sig(v[2])), lambda s: [math.log(0.05 * s), -2.0, 2.2], ["omega", "alpha", "beta"]),
-    "gjr": (lambda v: (lambda a, g: (math.exp(v[0]), a, g, (0.999 - a - g / 2) * _sig(v[3])))(0.3 * _sig(v[1]), 0.3 * _sig(v[2])), lambda s: [math.log(0.05 * s), -1.5, -1.5, 2.2], ["omega", "alpha", "gamma", "beta"]),
-    "egarch": (lambda v: (v[0], v[1], v[2], math.tanh(v[3])), lambda s: [0.1 * math.log(s) - 0.08, 0.1, 0.0, 1.5], ["omega", "alpha", "gamma", "beta"]),
-    "garch_t": (lambda v: (math.exp(v[0]), 0.5 * _sig(v[1]), (0.999 - 0.5 * _sig(v[1])) * _sig(v[2]), math.exp(min(v[3], 6.0)) + 2.01), lambda s: [math.log(0.05 * s), -2.0, 2.2, 1.8], ["omega", "alpha", "beta", "nu"]),
+    "garch": (_garch, lambda s: [math.log(0.05 * s), -2.0, 2.2], ["omega", "alpha", "beta"]),
+    "gjr": (_gjr, lambda s: [math.log(0.05 * s), -1.5, -1.5, 2.2], ["omega", "alpha", "gamma", "beta"]),
+    "egarch": (_egarch, lambda s: [0.1 * math.log(s) - 0.08, 0.1, 0.0, 1.5], ["omega", "alpha", "gamma", "beta"]),
+    "garch_t": (_garch_t, lambda s: [math.log(0.05 * s), -2.0, 2.2, 1.8], ["omega", "alpha", "beta", "nu"]),
 }
 
 
-def simplex(f: Callable[[np.ndarray], float], x0: Sequence[float], max_iter: int = 500, tol: float = 1e-8) -> tuple[np.ndarray, float, bool]:
-    """Downhill simplex from unit steps along the axes; stops when values agree to ``tol``."""
-    n = len(x0)
-    pts = np.vstack([x0, np.asarray(x0, float) + np.eye(n)])
-    val = np.array([f(p) for p in pts])
+def simplexes(f: Callable[[np.ndarray, np.ndarray], np.ndarray], x0: np.ndarray, max_iter: int = 500, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Downhill simplexes from unit steps along the axes, one for each row of x0, all at once; each stops when its values
+    agree to ``tol``. f(points, which rows) gives values. Returns points, values, and which came to an end."""
+    many, n = x0.shape
+    pts = np.concatenate((x0[:, None], x0[:, None] + np.eye(n)), 1)
+    val = np.stack([f(pts[:, j], np.arange(many)) for j in range(n + 1)], 1)
+    done = np.zeros(many, bool)
     for _ in range(max_iter):
-        order = np.argsort(val, kind="stable")
-        pts, val = pts[order], val[order]
-        if abs(val[-1] - val[0]) < tol:
-            return pts[0], float(val[0]), True
-        mid = pts[:-1].mean(0)
-        away = mid - pts[-1]
-        tries = [mid + away]
-        fr = f(tries[0])
-        if fr < val[0]:
-            far = mid + 2 * away
-            ff = f(far)
-            pts[-1], val[-1] = (far, ff) if ff < fr else (tries[0], fr)
-        elif fr < val[-2]:
-            pts[-1], val[-1] = tries[0], fr
-        else:
-            near = mid + (0.5 if fr < val[-1] else -0.5) * away
-            fn = f(near)
-            if fn < min(fr, val[-1]):
-                pts[-1], val[-1] = near, fn
-            else:
-                pts[1:] = (pts[1:] + pts[0]) / 2
-                val[1:] = [f(p) for p in pts[1:]]
-    k = int(val.argmin())
-    return pts[k], float(val[k]), False
+        order = np.argsort(val, 1, kind="stable")
+        val = np.take_along_axis(val, order, 1)
+        pts = np.take_along_axis(pts, order[:, :, None], 1)
+        done |= np.abs(val[:, -1] - val[:, 0]) < tol
+        go = np.flatnonzero(~done)
+        if not len(go):
+            break
+        p, v = pts[go], val[go]
+        mid = p[:, :-1].mean(1)
+        away = mid - p[:, -1]
+        new = mid + away
+        fr = f(new, go)
+        best, middling = fr < v[:, 0], fr < v[:, -2]
+        factor = np.where(best, 2.0, np.where(fr < v[:, -1], 0.5, -0.5))
+        other, fo, ask = mid + factor[:, None] * away, np.full(len(go), np.inf), np.flatnonzero(best | ~middling)
+        if len(ask):
+            fo[ask] = f(other[ask], go[ask])
+        take = np.where(best, fo < fr, ~middling & (fo < np.minimum(fr, v[:, -1])))
+        keep = np.where(best, ~take, middling)
+        p[:, -1] = np.where(take[:, None], other, np.where(keep[:, None], new, p[:, -1]))
+        v[:, -1] = np.where(take, fo, np.where(keep, fr, v[:, -1]))
+        shrink = np.flatnonzero(~take & ~keep)
+        if len(shrink):
+            p[shrink, 1:] = (p[shrink, 1:] + p[shrink, :1]) / 2
+            for j in range(1, n + 1):
+                v[shrink, j] = f(p[shrink, j], go[shrink])
+        pts[go], val[go] = p, v
+    k = val.argmin(1)
+    return pts[np.arange(many), k], val[np.arange(many), k], done
+
+
+def simplex(f: Callable[[np.ndarray], float], x0: Sequence[float], max_iter: int = 500, tol: float = 1e-8) -> tuple[np.ndarray, float, bool]:
+    """One downhill simplex."""
+    x, v, ok = simplexes(lambda p, _: np.array([f(q) for q in p]), np.asarray(x0, float)[None], max_iter, tol)
+    return x[0], float(v[0]), bool(ok[0])
 
 
 def fit_volatility(kind: str, r: np.ndarray, se: str = "diagonal") -> dict:
-    """Maximum likelihood on demeaned returns; errors from second differences of the log likelihood, one parameter at a time
-    or (se='full') of all together; 0 where it isn't concave."""
-    r = np.asarray(r, float)
-    n = len(r)
-    if n < 10 or r.std() == 0:
-        return {"status": "too few rows" if n < 10 else "constant"}
-    mu = float(r.mean())
-    e = r - mu
+    return fit_many(kind, [r], se)[0]
+
+
+def fit_many(kind: str, returns: Sequence[np.ndarray], se: str = "diagonal") -> list[dict]:
+    """Maximum likelihood on demeaned returns of each series, all searched side by side; errors from second differences of
+    the log likelihood, one parameter at a time or (se='full') of all together; 0 where it isn't concave."""
+    out: list[dict] = []
+    series, where = [], []
+    for r in returns:
+        r = np.asarray(r, float)
+        out.append({"status": "too few rows" if len(r) < 10 else "constant"})
+        if len(r) >= 10 and r.std() > 0:
+            where.append(len(out) - 1)
+            series.append(r)
+    if not series:
+        return out
     to, start, names = TRANSFORM[kind]
-    s = float(e.var())
-    best, low, ok = simplex(lambda v: -log_likelihood(kind, to(v), e), start(s))
-    p = np.array(to(best))
-    ll = -low
-    k = len(p)
+    mu = np.array([r.mean() for r in series])
+    x = _Batch([r - m for r, m in zip(series, mu)])
+    every, k = np.arange(len(series)), len(names)
+    free, low, ok = simplexes(lambda v, at: -likelihoods(kind, to(v), x, at), np.array([start(float(s)) for s in x.mean2]))
+    p, ll = to(free), -low
     step = np.maximum(1e-4 * np.abs(p), 1e-8)
-    at = lambda *d: log_likelihood(kind, p + sum((s_ * step[i] * np.eye(k)[i] for i, s_ in d), np.zeros(k)), e)
+
+    def off(*moves):
+        q = p.copy()
+        for i, sign in moves:
+            q[:, i] += sign * step[:, i]
+        return likelihoods(kind, q, x, every)
+
     if se == "full":
-        h = np.array([[(at((i, 1), (j, 1)) - at((i, 1), (j, -1)) - at((i, -1), (j, 1)) + at((i, -1), (j, -1))) / (4 * step[i] * step[j]) for j in range(k)] for i in range(k)])
-        try:
-            v = np.diag(np.linalg.inv(-h))
-        except np.linalg.LinAlgError:
-            v = np.zeros(k)
+        hess = np.empty((len(series), k, k))
+        for i in range(k):
+            for j in range(k):
+                hess[:, i, j] = (off((i, 1), (j, 1)) - off((i, 1), (j, -1)) - off((i, -1), (j, 1)) + off((i, -1), (j, -1))) / (4 * step[:, i] * step[:, j])
+        v = np.zeros((len(series), k))
+        for i, h in enumerate(hess):
+            try:
+                v[i] = np.diag(np.linalg.inv(-h))
+            except np.linalg.LinAlgError:
+                pass
     else:
-        curve = np.array([(at((i, 1)) - 2 * ll + at((i, -1))) / step[i] ** 2 for i in range(k)])
+        curve = np.stack([(off((i, 1)) - 2 * ll + off((i, -1))) / step[:, i] ** 2 for i in range(k)], 1)
         v = np.where(curve < 0, -1 / np.where(curve < 0, curve, -1), 0)
-    par = dict(zip(names, map(float, p)))
-    pers = {"garch": lambda: p[1] + p[2], "garch_t": lambda: p[1] + p[2], "gjr": lambda: p[1] + p[2] / 2 + p[3], "egarch": lambda: p[3]}[kind]()
-    h = _variance(kind, p, e)
-    uncond = float(p[0] / (1 - pers)) if kind != "egarch" and pers < 1 else float(np.mean(h))
-    return {"status": "ok", "mu": mu, "params": par, "se": {a: math.sqrt(x) if x > 0 else 0.0 for a, x in zip(names, v)}, "ll": ll, "aic": -2 * ll + 8, "bic": -2 * ll + 4 * math.log(n), "persistence": float(pers),
-            "unconditional": uncond, "h": h, "z": e / np.sqrt(h), "n": n, "converged": ok, "n_params": 4}
+    lasting = {"garch": lambda: p[:, 1] + p[:, 2], "garch_t": lambda: p[:, 1] + p[:, 2], "gjr": lambda: p[:, 1] + p[:, 2] / 2 + p[:, 3], "egarch": lambda: p[:, 3]}[kind]()
+    hs, _ = _variances(kind, p, x, every)
+    for i, at in enumerate(where):
+        n, h = int(x.n[i]), hs[: x.n[i], i]
+        pers = float(lasting[i])
+        uncond = float(p[i, 0] / (1 - pers)) if kind != "egarch" and pers < 1 else float(np.mean(h))
+        out[at] = {"status": "ok", "mu": float(mu[i]), "params": dict(zip(names, map(float, p[i]))), "se": {a: math.sqrt(c) if c > 0 else 0.0 for a, c in zip(names, v[i])},
+                   "ll": float(ll[i]), "aic": float(-2 * ll[i] + 8), "bic": float(-2 * ll[i] + 4 * math.log(n)), "persistence": pers, "unconditional": uncond, "h": h,
+                   "z": x.e[:n, i] / np.sqrt(h), "n": n, "converged": bool(ok[i]), "n_params": 4}
+    return out
 
 
 FIT = "mu double, params map<string,double>, se map<string,double>, ll double, aic double, bic double, persistence double, unconditional double, n long, n_params long, converged boolean, status string"
 
 
+def each_series(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], fit: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
+    """Applies fit to the series of a partition, ROWS_A_FIT rows or one longer series at a time: whole series, in order."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        open_: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[list(by)].astype(object).where(pdf[list(by)].notna(), None)
+            key = pd.Series(list(map(tuple, key.to_numpy())), index=pdf.index)
+            starts = [0, *(np.flatnonzero((key != key.shift()).to_numpy()[1:]) + 1)] if len(by) else [0]
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if open_ and open_[-1].attrs["key"] != key.iloc[a]:
+                    held.append(pd.concat(open_, ignore_index=True))
+                    open_ = []
+                    if rows > ROWS_A_FIT:
+                        yield fit(held)
+                        held, rows = [], 0
+                part = pdf.iloc[a:b]
+                part.attrs["key"] = key.iloc[a]
+                open_.append(part)
+                rows += b - a
+        if open_:
+            held.append(pd.concat(open_, ignore_index=True))
+        if held:
+            yield fit(held)
+
+    rows = df.select(*dict.fromkeys([*by, *order, *cols]))
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def volatility_model(df: DataFrame, r: str, by: Sequence[str], order: Sequence[str], kind: str = "garch", se: str = "diagonal", paths: bool = False) -> DataFrame:
     """A fit for each series, or (paths) its variances h and standardised residuals z by position. kind: garch, gjr, egarch,
-    garch_t; all of order (1, 1). Series are independent tasks; each must fit in a worker. Short ones have a status."""
+    garch_t; all of order (1, 1). A task fits the many series of its partition side by side; a series must fit in a worker.
+    Short ones have a status."""
     kinds = dict(df.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    names = [*by, *[c.split(" ")[0] for c in FIT.replace("map<string,double>", "map").split(", ")]]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {k: pdf[k].iloc[0] for k in by}
-        f = fit_volatility(kind, pdf.sort_values(list(order))[r].dropna().to_numpy(float), se)
+    def fit(series: list[pd.DataFrame]) -> pd.DataFrame:
+        own = [{k: s[k].iloc[0] for k in by} for s in series]
+        fits = fit_many(kind, [s[r].dropna().to_numpy(float) for s in series], se)
         if paths:
-            n = f.get("n", 0)
-            return pd.DataFrame({**{k: [v] * n for k, v in own.items()}, "seq": range(n), "h": f.get("h", []), "z": f.get("z", [])})
-        row = {c.split(" ")[0]: None for c in FIT.split(", ")} | own | {"n": len(pdf), "n_params": 4, "status": f["status"]}
-        if f["status"] == "ok":
-            row |= {k: f[k] for k in ("mu", "params", "se", "ll", "aic", "bic", "persistence", "unconditional", "n", "converged")}
-        return pd.DataFrame([row])[[*by, *[c.split(" ")[0] for c in FIT.replace("map<string,double>", "map").split(", ")]]]
+            return pd.concat([pd.DataFrame({**{k: [v] * f.get("n", 0) for k, v in o.items()}, "seq": range(f.get("n", 0)), "h": f.get("h", []), "z": f.get("z", [])}) for o, f in zip(own, fits)], ignore_index=True)
+        rows = []
+        for o, s, f in zip(own, series, fits):
+            row = dict.fromkeys(names) | o | {"n": len(s), "n_params": 4, "status": f["status"]}
+            if f["status"] == "ok":
+                row |= {k: f[k] for k in ("mu", "params", "se", "ll", "aic", "bic", "persistence", "unconditional", "n", "converged")}
+            rows.append(row)
+        return pd.DataFrame(rows)[names]
 
-    return df.select(*{*by, *order, r}).groupBy(*by).applyInPandas(fit, f"{head}, " + ("seq long, h double, z double" if paths else FIT))
+    return each_series(df, by, order, [r], fit, f"{head}, " + ("seq long, h double, z double" if paths else FIT))
 
 
 def garch_likelihood(values: Column, omega: float, alpha: float, beta: float) -> Column:
@@ -189,37 +337,53 @@ def multiplicative_garch(df: DataFrame, r: str, rv: str, by: Sequence[str], orde
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "seq long, tau double, g double, sigma2 double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {k: pdf[k].iloc[0] for k in by}
-        s = pdf.sort_values(list(order))
-        out = component_volatility(s[r].to_numpy(float), s[rv].to_numpy(float))
-        n = 0 if out is None else len(out[0])
-        cols = out or ([], [], [])
-        return pd.DataFrame({**{k: [v] * n for k, v in own.items()}, "seq": range(len(s) - n, len(s)), "tau": cols[0], "g": cols[1], "sigma2": cols[2]})
+    def fit(series: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = []
+        for s, out in zip(series, component_many([(s[r].to_numpy(float), s[rv].to_numpy(float)) for s in series])):
+            n, cols = (0, ([], [], [])) if out is None else (len(out[0]), out)
+            parts.append(pd.DataFrame({**{k: [s[k].iloc[0]] * n for k in by}, "seq": range(len(s) - n, len(s)), "tau": cols[0], "g": cols[1], "sigma2": cols[2]}))
+        return pd.concat(parts, ignore_index=True)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return each_series(df, by, order, [r, rv], fit, schema)
 
 
 def component_volatility(r: np.ndarray, rv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    if len(r) < 30:
-        return None
-    s = pd.Series(rv)
-    x = np.column_stack([np.ones(len(rv)), rv, s.rolling(5).mean(), s.rolling(22).mean()])[21:]
-    y = rv[21:]
-    b = np.linalg.lstsq(x[:-1], y[1:], rcond=None)[0]
-    tau = np.maximum(x @ b, 1e-10)
-    f = fit_volatility("garch", r[21:] / np.sqrt(tau))
-    return None if f["status"] != "ok" else (tau, f["h"], tau * f["h"])
+    return component_many([(r, rv)])[0]
+
+
+def component_many(series: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """(tau, g, tau g) of each pair of returns and realised variances from the 22nd row on; None under 30 rows."""
+    out: list = [None] * len(series)
+    taus, rest = [], []
+    for i, (r, rv) in enumerate(series):
+        if len(r) < 30:
+            continue
+        s = pd.Series(rv)
+        x = np.column_stack([np.ones(len(rv)), rv, s.rolling(5).mean(), s.rolling(22).mean()])[21:]
+        b = np.linalg.lstsq(x[:-1], rv[22:], rcond=None)[0]
+        taus.append((i, np.maximum(x @ b, 1e-10)))
+        rest.append(r[21:] / np.sqrt(taus[-1][1]))
+    for (i, tau), f in zip(taus, fit_many("garch", rest)):
+        if f["status"] == "ok":
+            out[i] = (tau, f["h"], tau * f["h"])
+    return out
 
 
 def rolling_multiplicative_garch(df: DataFrame, r: str, rv: str, by: Sequence[str], order: Sequence[str], window: int = 252, step: int = 21) -> DataFrame:
-    """Annualised last volatility of each window; a task for each (series, window)."""
-    from ..plans.frame import with_seq
-
-    s = with_seq(df, by, order)
-    last = s.groupBy(*by).agg(F.max("seq").alias("__last"))
-    lo = F.greatest(F.lit(0), F.ceil((F.col("seq") - window + 1) / step)).cast("long")
-    hi = F.least(F.floor(F.col("seq") / step), F.floor((F.col("__last") + 1 - window) / step)).cast("long")
-    rows = s.join(last, list(by)).withColumns({"__lo": lo, "__hi": hi}).filter("`__hi` >= `__lo`").withColumn("win", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi", "__last", "seq")
-    m = multiplicative_garch(rows, r, rv, [*by, "win"], order)
-    return m.groupBy(*by, "win").agg(F.sqrt(F.max_by("sigma2", "seq") * 252).alias("volatility"))
+    """Annualised last volatility of each window, of all windows of a series at once; no row is copied before it is there."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "win long, volatility double"])
+
+    def fit(series: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = []
+        for s in series:
+            x, y = s[r].to_numpy(float), s[rv].to_numpy(float)
+            starts = range(0, len(s) - window + 1, step)
+            for lo in range(0, len(starts), WINDOWS_A_FIT):
+                some = starts[lo : lo + WINDOWS_A_FIT]
+                for k, out in enumerate(component_many([(x[a : a + window], y[a : a + window]) for a in some])):
+                    if out is not None:
+                        parts.append((*[s[c].iloc[0] for c in by], lo + k, math.sqrt(out[2][-1] * 252)))
+        return pd.DataFrame(parts, columns=[*by, "win", "volatility"])
+
+    return each_series(df, by, order, [r, rv], fit, schema)

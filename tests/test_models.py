@@ -220,17 +220,14 @@ def test_chains_find_the_target(spark):
     assert 0 < e <= 1500.0001
 
 
-def test_rolling_multiplicative_garch_windows_leave_no_row_out(spark, monkeypatch):
+def test_rolling_multiplicative_garch_windows_leave_no_row_out(spark):
     from marlstone import catalog
 
-    asked = []
-    monkeypatch.setattr(vol, "multiplicative_garch", lambda rows, *a: asked.append(rows) or rows.selectExpr("event_type", "win", "1.0 sigma2", "1 seq"))
-    got = catalog.queries()["rolling_multiplicative_garch"](spark, "/root/testdata/sf0.01")
-    n = {r["event_type"]: (r["a"], r["b"], r["c"]) for r in asked[0].groupBy("event_type").agg(F.countDistinct("event_id").alias("a"), F.max("win").alias("b"), F.countDistinct("win").alias("c")).collect()}
-    full = {r["event_type"]: r["n"] for r in returns.log_returns(spark.read.parquet("/root/testdata/sf0.01/events.parquet"), "value", ["event_type"], ["ts", "event_id"]).filter("r is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got.count() == sum(c for *_, c in n.values())
-    for k, (rows, last, windows) in n.items():
-        assert windows == last + 1 and rows == 252 + 21 * last and full[k] * 0.9 < rows  # those after the last whole step aside
+    got = catalog.queries()["rolling_multiplicative_garch"](spark, "/root/testdata/sf0.01").groupBy("event_type").agg(F.max("win").alias("last"), F.countDistinct("win").alias("n")).collect()
+    full = {r["event_type"]: r["n"] for r in returns.log_returns(spark.read.parquet("/root/testdata/sf0.01/events.parquet"), "value", ["user_id"], ["ts", "event_id"]).filter("r is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r["event_type"] for r in got} == set(full)
+    for r in got:  # windows of 252 at steps of 21 overlap; rows after the last whole step aside, each is in one
+        assert r["last"] == (full[r["event_type"]] - 252) // 21 and r["n"] == r["last"] + 1
 
 
 def test_bootstrap_takes_the_whole_table(spark):
@@ -347,3 +344,41 @@ def test_iv_newey_west(spark):
         assert got[t]["beta"] == pytest.approx(b[i]) and got[t]["se"] == pytest.approx(math.sqrt(v[i, i]))
     with pytest.raises(ValueError):
         regression.iv_2sls(df, "y", ["x"], ["z"], cov="other")
+
+
+def test_fits_side_by_side_are_those_of_plain_recursions(spark):
+    """Variances step by step in time, and each series fitted alone, as against all at once."""
+    rng = np.random.default_rng(9)
+    series = [rng.normal(size=n) * s for n, s in ((12, 1), (40, 2), (90, 0.1), (8, 1), (60, 1), (61, 5), (62, 1), (63, 1), (64, 1))] + [np.ones(20)]
+    at = {"garch": [0.1, 0.1, 0.8], "gjr": [0.1, 0.05, 0.1, 0.8], "egarch": [0.01, 0.1, -0.05, 0.9], "garch_t": [0.1, 0.1, 0.8, 6.0]}
+    for kind, p in at.items():
+        e = series[2] - series[2].mean()
+        h = [p[0] / (1 - p[1] - p[2]) if kind == "garch" else (e**2).mean()]
+        for x in e[:-1]:
+            if kind == "egarch":
+                z = x / math.sqrt(h[-1])
+                h.append(math.exp(p[0] + p[1] * abs(z) + p[2] * z + p[3] * math.log(h[-1])))
+            else:
+                h.append(p[0] + (p[1] + (p[2] * (x < 0) if kind == "gjr" else 0)) * x * x + p[3 if kind == "gjr" else 2] * h[-1])
+        h = np.array(h)
+        ll = -0.5 * (np.log(2 * math.pi * h) + e * e / h)
+        if kind == "garch_t":
+            ll = np.array([dist.student_t_logpdf(v / math.sqrt(k * 4 / 6), 6.0) - 0.5 * math.log(k * 4 / 6) for v, k in zip(e, h)])
+        assert vol.log_likelihood(kind, p, e) == pytest.approx(ll.sum())
+        for one, f in zip((vol.fit_volatility(kind, r) for r in series), vol.fit_many(kind, series)):
+            assert one["status"] == f["status"]
+            if f["status"] == "ok":
+                assert one["ll"] == pytest.approx(f["ll"], abs=1e-6) and len(f["h"]) == f["n"]
+    assert [f["status"] for f in vol.fit_many("garch", series)][3:10:6] == ["too few rows", "constant"]
+    df = spark.createDataFrame([(k if k else None, i, float(x)) for k, r in enumerate(series) for i, x in enumerate(r)], "k int, i int, r double").repartition(3)
+    got = {r["k"]: r for r in vol.volatility_model(df, "r", ["k"], ["i"]).collect()}
+    assert len(got) == 10 and got[2]["ll"] == pytest.approx(vol.fit_volatility("garch", series[2])["ll"]) and got[3]["status"] == "too few rows" and got[None]["n"] == 12
+
+
+def test_windows_of_the_component_model(spark):
+    r = normals(4, 130) * 0.01
+    df = frame(spark, r=r, rv=r * r)
+    got = {x["win"]: x["volatility"] for x in vol.rolling_multiplicative_garch(df, "r", "rv", ["g"], ["seq0"], 60, 21).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for k, v in got.items():
+        assert v == pytest.approx(math.sqrt(vol.component_volatility(r[21 * k : 21 * k + 60], (r * r)[21 * k : 21 * k + 60])[2][-1] * 252), rel=1e-4)
