@@ -334,10 +334,11 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", rounds: in
         moved = part.mapInArrow(lambda b: _learn(b, words.value, shared.value), "kind int, at int, n binary, delta binary")
         moved = moved.repartition("kind", "at").mapInArrow(_sum_blocks, "kind int, at int, delta binary")
         tables = [w.copy() for w in model.weights]
-        for r in moved.toLocalIterator():
-            t = tables[r["kind"]]
-            d = np.frombuffer(r["delta"], "<f4").reshape(-1, t.shape[1])
-            t[r["at"] : r["at"] + len(d)] += d
+        got = moved.toArrow()  # of the size of the model
+        for kind, at, delta in zip(got["kind"].to_pylist(), got["at"].to_pylist(), got["delta"].to_pylist()):
+            t = tables[kind]
+            d = np.frombuffer(delta, "<f4").reshape(-1, t.shape[1])
+            t[at : at + len(d)] += d
         model = Model(model.biases, tables)
         shared.unpersist()
     return model
