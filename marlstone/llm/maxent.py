@@ -7,15 +7,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
 from .common import stash, trimmed
+from .words import bounded
 
 #: Words with a place in the softmax: GROUPS of PER_GROUP classes of PER_CLASS words; classes of the other words, one more group.
 GROUPS, PER_GROUP, PER_CLASS, RARE = 16, 32, 16, 32
@@ -26,9 +26,10 @@ BITS = (15, 16, 16)
 #: Words whose counts every task holds; the counts of all others come by a join.
 COUNTED, LONGEST = 1 << 18, 64
 END = b""  # the end token: no word is empty
-ROUNDS, BATCH, RATE = 3, 16384, 0.25
+ROUNDS, BATCH, RATE = 3, 32768, 0.35
 TASK_BYTES = 48 << 20  # of text that a training task gets at least, so that it learns more than it sends
 ROWS_A_BLOCK = 512
+SLICE = 4 << 20  # bytes of text that become tokens at once
 PIECE = 16  # rows of a run that are summed together
 LN10 = math.log(10)
 
@@ -49,21 +50,22 @@ class Vocabulary:
     rare_mass: np.ndarray  # by rare class: counts of its words + its words + 1
 
     def __post_init__(self):
-        self._ids = None
+        self._known = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_ids"}
+        return {k: v for k, v in self.__dict__.items() if k in ("words", "counts", "tokens", "types", "rare_mass")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._ids = None
+        self._known = None
 
     @property
-    def ids(self) -> dict[bytes, int]:
-        if self._ids is None:
-            self._ids = {w: i for i, w in enumerate(self.words)}
-            self.rare_of = np.array([rare_class(w) for w in self.words], np.int32)
-        return self._ids
+    def known(self) -> pa.Array:
+        if self._known is None:
+            self._known = pa.array(self.words, pa.binary())
+            self.rare_of = np.array([rare_class(w) for w in self.words] or [0], np.int32)
+            self.end = self.words.index(END) if END in self.words else -1
+        return self._known
 
 
 @dataclass
@@ -77,32 +79,56 @@ class Tokens:
     word: np.ndarray  # place in the class, of hot words
     hot: np.ndarray
     ids: np.ndarray  # -1: not among the counted words
-    others: list[bytes]  # those
+    others: pa.Array  # those
     sizes: np.ndarray  # tokens of each text
 
     def part(self, a: int, b: int) -> tuple:
         return tuple(x[a:b] for x in (self.before, self.before2, self.group, self.inner, self.word, self.hot))
 
 
-def tokens_of(vocab: Vocabulary, texts: list[str]) -> Tokens:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts (A-Z lower-cased), one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at the six ASCII spaces
+    words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # beside spaces at the ends there are empty ones
+    return words.filter(pa.array(some)).cast(pa.binary()), np.bincount(owner[some], minlength=len(texts)).astype(np.int64)
+
+
+#: Rare class of a word by its last byte, if it has one, and by its last two.
+_LAST = np.array([rare_class(bytes([x])) for x in range(256)], np.int32)
+_LAST_TWO = np.array([rare_class(bytes([x >> 8, x & 255])) for x in range(1 << 16)], np.int32)
+
+
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """rare_class of each word; none is empty."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    _, ends, data = words.buffers()
+    end = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw, size, last = np.frombuffer(data, np.uint8), np.diff(end), end[1:] - 1
+    return np.where(size > 1, _LAST_TWO[raw[np.maximum(last - 1, 0)].astype(np.int64) << 8 | raw[last]], _LAST[raw[last]])
+
+
+def tokens_of(vocab: Vocabulary, texts: pa.Array | list[str]) -> Tokens:
     """Words (A-Z lower-cased) and the end of each text."""
-    words: list[bytes] = []
-    sizes = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = t.encode("utf-8", "surrogatepass").lower().split()
-        sizes[i] = len(own) + 1
-        words += own
-        words.append(END)
-    ids = np.fromiter(map(vocab.ids.get, words, repeat(-1)), np.int32, len(words))
-    unknown = np.flatnonzero(ids < 0)
-    others = [words[i] for i in unknown]
-    inner = vocab.rare_of.take(ids, mode="clip")
-    if others:
-        inner[unknown] = [rare_class(w) for w in others]
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.string())
+    words, sizes = words_of(texts)
+    found = pc.index_in(words, value_set=vocab.known).fill_null(-1).to_numpy(zero_copy_only=False)
+    others = words.filter(pa.array(found < 0))
+    rare = vocab.rare_of.take(found, mode="clip")
+    rare[found < 0] = rare_classes(others)
+    sizes = sizes + 1
+    start = np.cumsum(sizes) - sizes
+    last = start + sizes - 1
+    word = np.ones(int(sizes.sum()), bool)
+    word[last] = False
+    ids, inner = np.full(len(word), vocab.end, np.int32), np.zeros(len(word), np.int32)
+    ids[word], inner[word] = found, rare
+    inner[last] = rare_class(END)
     hot = (ids >= 0) & (ids < HOT)
     cls = ids // PER_CLASS
     symbol = np.where(hot, ids, HOT + inner)
-    start = np.cumsum(sizes) - sizes
     before = np.empty_like(symbol)
     before[1:] = symbol[:-1]
     before[start] = HOT + RARE
@@ -217,14 +243,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 @trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for lo, hi in slices(texts, 32 << 20):
-            c: Counter = Counter()
-            for t in texts[lo:hi]:
-                c.update(t.encode("utf-8", "surrogatepass").lower().split())
-            c[END] = hi - lo
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+    for b in bounded(batches, 0, 32 << 20):
+        words, _ = words_of(b.column(0))
+        c = pc.value_counts(words)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([c.field("counts"), pa.array([b.num_rows], pa.int64())])], names=["word", "n"])
 
 
 def _vocabulary(table: DataFrame) -> Vocabulary:
@@ -278,23 +300,10 @@ def _blocks(kind: int, table: np.ndarray, base: np.ndarray, seen: np.ndarray) ->
 def _learn(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
     own = Model(model.biases, [w.copy() for w in model.weights])
     trainer = Trainer(own)
-    held: list[str] = []
-    n = 0
-
-    def flush():
-        tokens = tokens_of(vocab, held)
+    for b in bounded(batches, 0, SLICE):
+        tokens = tokens_of(vocab, b.column(0))
         for a in range(0, len(tokens.ids), BATCH):
             trainer.step(*tokens.part(a, a + BATCH))
-
-    for b in batches:
-        for t in b.column(0):
-            held.append(t.as_py())
-            n += len(held[-1])
-            if n >= 1 << 20:
-                flush()
-                held, n = [], 0
-    if held:
-        flush()
     rows = [r for k in range(3) for r in _blocks(k, own.weights[k], model.weights[k], trainer.seen[k])]
     for a in range(0, len(rows), 16):
         part = rows[a : a + 16]
@@ -348,31 +357,28 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", rounds: in
 def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
     norm = math.log(vocab.tokens + vocab.types + 1)
     log_mass = np.log(vocab.rare_mass)
-    vocab.ids  # noqa: B018  builds rare_of too
-    log_count = np.log(vocab.counts + 1.0)
-    for b in batches:
-        texts = b.column(2).to_pylist()
-        for lo, hi in slices(texts, 1 << 20):
-            t = tokens_of(vocab, texts[lo:hi])
-            s = model.score(t)
-            known = t.ids >= 0
-            lc = np.where(known, log_count.take(t.ids, mode="clip"), 0.0)
-            rare = t.group == GROUPS
-            s[rare] += lc[rare] - log_mass[t.inner[rare]]
-            at = np.cumsum(t.sizes) - t.sizes
-            sums = [np.add.reduceat(x, at) for x in ((lc - norm) / LN10, s / LN10, known.astype(np.int64))]
-            unknown = np.add.reduceat((~known).astype(np.int64), at)
-            counts, n = [], 0
-            for k in unknown.tolist():
-                counts.append(Counter(t.others[n : n + k]))
-                n += k
-            words = pa.array([w for c in counts for w in c], pa.binary())
-            times = pa.array([x for c in counts for x in c.values()], pa.int64())
-            offsets = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
-            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "n"]))
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(t.sizes), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), rest],
-                names=["row", "id", "n_tokens", "n_known", "base", "score", "rest"])
+    log_count = np.log(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(1)
+    for b in bounded(batches, 2, SLICE):
+        t = tokens_of(vocab, b.column(2))
+        s = model.score(t)
+        known = t.ids >= 0
+        lc = np.where(known, log_count.take(t.ids, mode="clip"), 0.0)
+        rare = t.group == GROUPS
+        s[rare] += lc[rare] - log_mass[t.inner[rare]]
+        at = np.cumsum(t.sizes) - t.sizes
+        sums = [np.add.reduceat(x, at) for x in ((lc - norm) / LN10, s / LN10, known.astype(np.int64))]
+        unknown = np.add.reduceat((~known).astype(np.int64), at) - (vocab.end < 0)  # an unknown end isn't among the others
+        others, counts, n = t.others.to_pylist(), [], 0
+        for k in unknown.tolist():
+            counts.append(Counter(others[n : n + k]))
+            n += k
+        words = pa.array([w for c in counts for w in c], pa.binary())
+        times = pa.array([x for c in counts for x in c.values()], pa.int64())
+        offsets = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
+        rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "n"]))
+        yield pa.RecordBatch.from_arrays([
+            b.column(0), b.column(1), pa.array(t.sizes), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), rest],
+            names=["row", "id", "n_tokens", "n_known", "base", "score", "rest"])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:

@@ -35,6 +35,9 @@ def test_lm_counts_and_gain(corpus, nothing):
         assert x["base_score"] == pytest.approx(sum(math.log10((c[k] + 1) / (n + v + 1)) for k in w))
         assert x["held_out"] == (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2) and x["score"] < 0
     assert maxent.score_documents(nothing).count() == 0
+    held = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2]
+    none = maxent.score_documents(df.filter(maxent.held_out())).collect()  # nothing to learn from
+    assert len(none) == len(held) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
 def lm_vocabulary(n=9000):
@@ -64,7 +67,7 @@ def test_lm_chances_sum_to_one():
         if g == maxent.GROUPS:
             rare[int(k)] = math.exp(x)
     # of the rare classes, some have no word here: their chance by the level's own softmax
-    probe = maxent.Tokens(*(np.full(maxent.RARE, x) for x in (t.before[third[0]], t.before2[third[0]], maxent.GROUPS)), np.arange(maxent.RARE), np.zeros(maxent.RARE, int), np.zeros(maxent.RARE, bool), np.full(maxent.RARE, -1), [], np.ones(maxent.RARE))
+    probe = maxent.Tokens(*(np.full(maxent.RARE, x) for x in (t.before[third[0]], t.before2[third[0]], maxent.GROUPS)), np.arange(maxent.RARE), np.zeros(maxent.RARE, int), np.zeros(maxent.RARE, bool), np.full(maxent.RARE, -1), None, np.ones(maxent.RARE))
     chance = np.exp(m.score(probe))
     assert all(rare[k] == pytest.approx(chance[k], rel=1e-5) for k in rare)
     places = maxent.HOT - 1  # w0 to w8190, and the end
@@ -76,6 +79,7 @@ def test_lm_score_by_a_plain_model(spark):
     v = lm_vocabulary()
     m = wild_model(v, 0.3)
     texts = ["w1 w2 W3 nowhere w8999 w1", "", "w5 " * 40, "zz top " * 20000]
+    place = {w: i for i, w in enumerate(v.words)}
     one, two, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 
     def row(context, salt, bits):
@@ -97,7 +101,7 @@ def test_lm_score_by_a_plain_model(spark):
         b = s = maxent.HOT + maxent.RARE
         want = 0.0
         for w in [*t.lower().encode().split(), b""]:
-            k = v.ids.get(w, -1)
+            k = place.get(w, -1)
             if 0 <= k < maxent.HOT:
                 g, c = k // maxent.PER_CLASS // maxent.PER_GROUP, k // maxent.PER_CLASS % maxent.PER_GROUP
                 want += softmax(0, 0, b, s, g) + softmax(1, g, b, s, c) + softmax(2, k // maxent.PER_CLASS, b, s, k % maxent.PER_CLASS)
@@ -124,6 +128,18 @@ def test_lm_rare_mass(spark):
     assert all(v.counts[i] == 10000 - int(w[1:]) for i, w in enumerate(v.words))
 
 
+def test_lm_words_are_those_of_split():
+    import pyarrow as pa
+
+    texts = ["", " a  B\tc\n", "É\x0bÀé\x0c\rz\x1cy\x85\xa0q", "x" * 9000, "\n \t", "A", "Ab ab aB"]
+    for a in (pa.array(texts), pa.array(["zz", *texts, "yy"]).slice(1, len(texts))):
+        got, sizes = maxent.words_of(a)
+        want = [t.encode().lower().split() for t in texts]
+        assert got.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+        assert maxent.rare_classes(got).tolist() == [maxent.rare_class(w) for ws in want for w in ws]
+        assert maxent.rare_classes(got.slice(2, 3)).tolist() == [maxent.rare_class(w) for w in got.to_pylist()[2:5]]
+
+
 def test_lm_run_sums():
     rng = np.random.default_rng(4)
     grad = rng.normal(size=(500, 7)).astype(np.float32)
