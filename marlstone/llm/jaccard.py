@@ -16,7 +16,7 @@ from .words import ONE, TWO, bounded, mix, shingle_set, windows, word_hashes
 
 RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
-KEYS_A_TASK = 2_000_000
+KEYS_A_TASK = 1_000_000
 LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
 LEADERS = 2
 KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
@@ -190,11 +190,18 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     if not keys:
         return
     k, o, wide, m = np.concatenate(keys), np.concatenate(which), np.concatenate(often), np.concatenate(members)
-    name, size = np.ascontiguousarray(m["cls"]), m["n"].astype(np.int64)
-    order = np.lexsort((name[o], size[o], k))
+    keys, which, often, members = [], [], [], []
+    # one number for each class, in the order of sizes, so that sorting by (key, class) takes little memory
+    name, at, back = np.unique(m["cls"], return_index=True, return_inverse=True)
+    size = m["n"][at].astype(np.int64)
+    place = np.empty(len(name), np.int32)
+    place[np.lexsort((name, size))] = np.arange(len(name), dtype=np.int32)
+    o = place[back[o]]
+    name, size = (x[np.argsort(place, kind="stable")] for x in (name, size))
+    order = np.lexsort((o, k))
     k, o, wide = k[order], o[order], wide[order]
-    same = k[1:] == k[:-1]
-    again = same & (name[o[1:]] == name[o[:-1]])  # one class from several batches
+    del order, m, back, at
+    again = (k[1:] == k[:-1]) & (o[1:] == o[:-1])  # one class from several batches
     wide[:-1] |= wide[1:] & again
     new = np.concatenate(([True], ~again))
     k, o, wide = k[new], o[new], wide[new]
@@ -333,7 +340,7 @@ class _Join:
         self.base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
         self.least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         total = self.base.agg(F.sum(F.octet_length("text")).alias("t")).first()["t"] or 0
-        keys = total / 6 * 2 * (100 - percent) / (100 + percent) * 2
+        keys = total / 6 * 2 * (100 - percent) / (100 + percent) * 2.5  # of words of five letters
         self.parts = parts = max(self.least, int(keys / KEYS_A_TASK))
         for salt in range(4):
             found = self.base.mapInArrow(lambda b, s=salt: _emit(b, n, percent, parts, s), "bucket int, kind int, a binary, b binary, c binary")
@@ -385,7 +392,9 @@ class _Join:
         percent = self.percent
         stars = self.found.filter(F.col("kind") == PAIR).select(F.col("a"), F.col("b"), F.col("a").alias("g")).distinct()
         texts = self.texts(stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))))
-        links = self.verify(self.possible(stars, texts), texts)
+        maybe = stash(self.possible(stars, texts), "jaccard-maybe")
+        links = self.verify(maybe, texts)
+        drop(maybe)
         roots = components(links).select(F.col("node").alias("cls"), "root")
         tiles = self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n"))
         tiles = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
