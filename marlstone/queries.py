@@ -13,6 +13,7 @@ from .operators import regression as rg
 from .operators import returns as rt
 from .operators import simulation as sim
 from .sources.tables import read_table
+from .sqlgen import inverse, regression
 
 USER, KIND, BY_TIME = ["user_id"], ["event_type"], ["ts", "event_id"]
 #: One Spark partition key and order is kept through a query, so that its windows share an exchange and a sort.
@@ -21,6 +22,7 @@ SERIES = """s AS (SELECT user_id, event_id, ts, value, nullif(value, 0) AS p, ro
 r0 AS (SELECT user_id, event_id, ts, seq, value, ln(p / p1) AS r FROM s WHERE seq > 0),
 r AS (SELECT *, lag(r) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r1 FROM r0)"""
 DAILY = "d AS (SELECT o_orderdate::DATE AS day, sum(o_totalprice) / 1e5 AS y, count(*) / 1.0 AS c FROM orders GROUP BY 1), ds AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS seq FROM d)"
+AUTO_LAG = "floor(pow(n, 1 / 3.0))"
 LINES = "l AS (SELECT l_extendedprice / 1e4 AS y, l_quantity / 10 AS x, l_discount * 10 AS z, l_suppkey FROM lineitem)"
 
 
@@ -101,16 +103,12 @@ def rolling_apply_median(spark, d):
     return _rounded(rt.rolling_apply(_events(spark, d), "value", 7, med, USER, BY_TIME, "med").select("user_id", "event_id", "med"))
 
 
-EVENTS_AT = "e AS (SELECT user_id, event_id, seq FROM s WHERE seq > 0 AND seq % 20 = 0)"
-
-
-@register("event_study", f"""WITH {SERIES}, {EVENTS_AT}, w AS (SELECT e.user_id, e.event_id, o.k, coalesce(r0.r, 0) AS ret FROM e CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS k) o LEFT JOIN r0 ON r0.user_id = e.user_id AND r0.seq = e.seq + o.k),
+@register("event_study", f"""WITH {SERIES}, e AS (SELECT s.user_id, s.event_id, s.seq FROM s JOIN events USING (event_id) WHERE s.seq > 0 AND event_type = 'error'), w AS (SELECT e.user_id, e.event_id, o.k, coalesce(r0.r, 0) AS ret FROM e CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS k) o LEFT JOIN r0 ON r0.user_id = e.user_id AND r0.seq = e.seq + o.k),
 c AS (SELECT *, sum(ret) OVER (PARTITION BY user_id, event_id ORDER BY k) AS car FROM w)
 SELECT k::BIGINT AS "offset", count(*) AS n_events, {_r('avg(ret)', 'mean_ar')}, {_r('avg(car)', 'mean_car')}, {_r('coalesce(stddev_samp(ret), 0)', 'volatility')} FROM c GROUP BY 1""")
 def event_study(spark, d):
     r = _returns(spark, d)
-    ev = r.filter(F.pmod("seq", F.lit(20)) == 0).select("user_id", "event_id", "seq")
-    return _rounded(realized.event_study(r, ev, "r", USER, 5, 5))
+    return _rounded(realized.event_study(r, r.filter("event_type = 'error'").select("user_id", "event_id", "seq"), "r", USER, 5, 5))
 
 
 @register("ols_simple", f"""WITH {LINES}, f AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, avg(x) AS mx FROM l),
@@ -123,30 +121,25 @@ def ols_simple(spark, d):
 WHITE = f"WITH {LINES}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM l), e AS (SELECT l.*, y - a - b * x AS e, mx, sxx, b FROM l, f)"
 
 
-@register("ols_white", f"{WHITE} SELECT 'x' AS term, {_r('max(b)', 'beta')}, {_r('sqrt(sum(e * e * (x - mx) * (x - mx))) / max(sxx)', 'se')} FROM e")
+@register("ols_white", regression(LINES, "l", "y", ["1.0", "x"], ["const", "x"], "white"))
 def ols_white(spark, d):
-    return _rounded(rg.ols(_lines(spark, d), "y", ["x"], cov="white").filter("term = 'x'").select("term", "beta", "se"))
+    return _rounded(rg.ols(_lines(spark, d), "y", ["x"], cov="white").select("term", "beta", "se", "n"))
 
 
-@register("ols_clustered", f"{WHITE}, k AS (SELECT l_suppkey, sum(e * (x - mx)) AS u, max(sxx) AS sxx, max(b) AS b, count(*) AS n FROM e GROUP BY 1) SELECT 'x' AS term, {_r('max(b)', 'beta')}, {_r('sqrt(sum(u * u) * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - 2)) / max(sxx)', 'se')} FROM k")
+@register("ols_clustered", regression(LINES, "l", "y", ["1.0", "x"], ["const", "x"], "cluster", clusters=["l_suppkey"]))
 def ols_clustered(spark, d):
-    return _rounded(rg.ols(_lines(spark, d), "y", ["x"], cov="cluster", cluster=["l_suppkey"]).filter("term = 'x'").select("term", "beta", "se"))
+    return _rounded(rg.ols(_lines(spark, d), "y", ["x"], cov="cluster", cluster=["l_suppkey"]).select("term", "beta", "se", "n"))
 
 
-@register("ols_two_way_clustered")
+@register("ols_two_way_clustered", regression("l AS (SELECT l_extendedprice / 1e4 AS y, l_quantity / 10 AS x, l_suppkey, l_partkey FROM lineitem)", "l", "y", ["1.0", "x"], ["const", "x"], "cluster", clusters=["l_suppkey", "l_partkey"]))
 def ols_two_way_clustered(spark, d):
     x = read_table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1e4).alias("y"), (F.col("l_quantity") / 10).alias("x"), "l_suppkey", "l_partkey")
-    return rg.ols(x, "y", ["x"], cov="cluster", cluster=["l_suppkey", "l_partkey"])
-
+    return _rounded(rg.ols(x, "y", ["x"], cov="cluster", cluster=["l_suppkey", "l_partkey"]).select("term", "beta", "se", "n"))
 
-NW = f"""WITH {DAILY}, f AS (SELECT regr_slope(y, c) AS b, regr_intercept(y, c) AS a, regr_sxx(y, c) AS sxx, avg(c) AS mx, count(*) AS n FROM d),
-e AS (SELECT seq, (y - a - b * c) * (c - mx) AS u FROM ds, f), p AS (SELECT a.seq AS i, b.seq AS j, a.u * b.u AS v FROM e a JOIN e b ON abs(a.seq - b.seq) <= 12)
-SELECT 'c' AS term, round((SELECT b FROM f), 6) AS beta, round(sqrt(sum(v * (1 - abs(i - j) / 13.0))) / (SELECT sxx FROM f), 6) AS se FROM p"""
 
-
-@register("ols_newey_west", NW)
+@register("ols_newey_west", regression(DAILY, "ds", "y", ["1.0", "c"], ["const", "c"], "newey_west", "seq", "12"))
 def ols_newey_west(spark, d):
-    return _rounded(rg.ols(_daily(spark, d), "y", ["c"], cov="newey_west", order=["day"], max_lag=12).filter("term = 'c'").select("term", "beta", "se"))
+    return _rounded(rg.ols(_daily(spark, d), "y", ["c"], cov="newey_west", order=["day"], max_lag=12).select("term", "beta", "se", "n"))
 
 
 @register("batched_ols", f"""WITH {SERIES}, g AS (SELECT user_id, count(*) AS n, regr_slope(r, r1) AS b, regr_intercept(r, r1) AS a, regr_sxx(r, r1) AS sxx, regr_syy(r, r1) AS syy, regr_sxy(r, r1) AS sxy FROM r WHERE r IS NOT NULL AND r1 IS NOT NULL GROUP BY 1)
@@ -167,32 +160,36 @@ def batched_ols_columns(spark, d):
 
 @register("rolling_ols", """WITH s AS (SELECT user_id, row_number() OVER o - 1 AS seq, value, event_id FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
 t AS (SELECT user_id, seq AS end_seq, regr_slope(value, seq / 10.0) OVER w AS b, regr_intercept(value, seq / 10.0) OVER w AS a FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS 19 PRECEDING))
-SELECT user_id, end_seq::BIGINT AS end_seq, round(a, 5) AS intercept, round(b, 5) AS slope FROM t WHERE end_seq >= 19 AND (end_seq - 19) % 5 = 0""")
+SELECT user_id, end_seq::BIGINT AS end_seq, round(a, 4) AS intercept, round(b, 5) AS slope FROM t WHERE end_seq >= 19""")
 def rolling_ols(spark, d):
     from .plans.frame import with_seq
 
     x = with_seq(_events(spark, d), USER, BY_TIME, "k").withColumn("x", F.col("k") / 10.0)
-    f = rg.rolling_ols(x, "value", ["x"], 20, USER, BY_TIME, step=5)
+    f = rg.rolling_ols(x, "value", ["x"], 20, USER, BY_TIME)
     w = f.groupBy("user_id", "end_seq").agg(*[F.max(F.when(F.col("term") == t, F.col("beta"))).alias(a) for t, a in (("const", "intercept"), ("x", "slope"))])
-    return _rounded(w, 5)
+    return w.select("user_id", "end_seq", F.round("intercept", 4).alias("intercept"), F.round("slope", 5).alias("slope"))
 
 
-@register("rolling_ols_white")
+@register("rolling_ols_white", """WITH s AS (SELECT user_id, row_number() OVER o - 1 AS seq, value AS y FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (SELECT a.user_id, a.seq AS end_seq, b.seq / 10.0 AS x, b.y FROM s a JOIN s b ON a.user_id = b.user_id AND b.seq BETWEEN a.seq - 29 AND a.seq WHERE a.seq >= 29),
+f AS (SELECT user_id, end_seq, regr_slope(y, x) AS b, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx FROM w GROUP BY 1, 2)
+SELECT user_id, end_seq::BIGINT AS end_seq, round(max(f.b), 5) AS slope, round(sqrt(sum(pow((w.y - my - f.b * (w.x - mx)) * (w.x - mx), 2))) / max(sxx), 5) AS slope_se FROM w JOIN f USING (user_id, end_seq) GROUP BY 1, 2""")
 def rolling_ols_white(spark, d):
     from .plans.frame import with_seq
 
     x = with_seq(_events(spark, d), USER, BY_TIME, "k").withColumn("x", F.col("k") / 10.0)
-    return rg.rolling_ols(x, "value", ["x"], 30, USER, BY_TIME, step=10, cov="white")
+    f = rg.rolling_ols(x, "value", ["x"], 30, USER, BY_TIME, cov="white").filter("term = 'x'")
+    return f.select("user_id", "end_seq", F.round("beta", 5).alias("slope"), F.round("se", 5).alias("slope_se"))
 
 
 @register("expanding_ols", """WITH s AS (SELECT user_id, row_number() OVER o - 1 AS seq, value FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
 t AS (SELECT user_id, seq AS end_seq, regr_slope(value, seq / 10.0) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY seq))
-SELECT user_id, end_seq::BIGINT AS end_seq, round(b, 5) AS slope FROM t WHERE end_seq >= 29 AND (end_seq - 29) % 10 = 0""")
+SELECT user_id, end_seq::BIGINT AS end_seq, round(b, 5) AS slope FROM t WHERE end_seq >= 29""")
 def expanding_ols(spark, d):
     from .plans.frame import with_seq
 
     x = with_seq(_events(spark, d), USER, BY_TIME, "k").withColumn("x", F.col("k") / 10.0)
-    return _rounded(rg.expanding_ols(x, "value", ["x"], 30, USER, BY_TIME, step=10).filter("term = 'x'").select("user_id", "end_seq", F.col("beta").alias("slope")), 5)
+    return _rounded(rg.expanding_ols(x, "value", ["x"], 30, USER, BY_TIME).filter("term = 'x'").select("user_id", "end_seq", F.col("beta").alias("slope")), 5)
 
 
 @register("fgls", f"""WITH {LINES}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l), e AS (SELECT l.x, l.y, 1 / greatest((y - a - b * x) * (y - a - b * x), 1e-15) AS w FROM l, f),
@@ -206,15 +203,34 @@ def fgls_modelled(spark, d):
     return rg.fgls(_lines(spark, d), "y", ["x"], method="modelled")
 
 
-@register("iv_2sls", f"WITH {LINES} SELECT 'x' AS term, {_r('covar_pop(z, y) / covar_pop(z, x)', 'beta', 4)}, count(*) AS n FROM l")
+IV_FIT = f"{LINES}, p AS (SELECT y, x, z, z * z AS z2 FROM l), c AS (SELECT y, x, z - avg(z) OVER () AS z, z2 - avg(z2) OVER () AS w, x - avg(x) OVER () AS dx FROM p), o AS (SELECT y, x, z, dx, w - z * (sum(w * z) OVER () / sum(z * z) OVER ()) AS w FROM c)"
+
+
+def _iv_sql(fitted: str, robust: bool) -> str:
+    """Two-stage least squares of y on x, given what instruments say of x about its mean."""
+    meat = "sum(e * e * (h - mh) * (h - mh))" if robust else "sum(e * e) / (count(*) - 2) * sum((h - mh) * (h - mh))"
+    return f"""WITH {IV_FIT}, h AS (SELECT y, x, avg(x) OVER () + {fitted} AS h FROM o), m AS (SELECT *, avg(h) OVER () AS mh, avg(y) OVER () AS my, avg(x) OVER () AS mx FROM h),
+b AS (SELECT sum((h - mh) * (y - my)) / sum((h - mh) * (h - mh)) AS b FROM m), e AS (SELECT m.*, b.b, y - my - b.b * (x - mx) AS e FROM m, b)
+SELECT 'x' AS term, round(max(b), 4) AS beta, round(sqrt({meat}) / sum((h - mh) * (h - mh)), 4) AS se, count(*) AS n FROM e"""
+
+
+@register("iv_2sls", _iv_sql("z * (sum(dx * z) OVER () / sum(z * z) OVER ())", False))
 def iv_2sls(spark, d):
-    return _rounded(rg.iv_2sls(_lines(spark, d), "y", ["x"], ["z"]).filter("term = 'x'").select("term", "beta", "n"), 4)
+    return _rounded(rg.iv_2sls(_lines(spark, d), "y", ["x"], ["z"]).filter("term = 'x'").select("term", "beta", "se", "n"), 4)
 
 
-@register("iv_2sls_white")
+@register("iv_2sls_white", _iv_sql("z * (sum(dx * z) OVER () / sum(z * z) OVER ()) + w * (sum(dx * w) OVER () / sum(w * w) OVER ())", True))
 def iv_2sls_white(spark, d):
     x = _lines(spark, d).withColumn("z2", F.col("z") * F.col("z"))
-    return rg.iv_2sls(x, "y", ["x"], ["z", "z2"], cov="white")
+    return _rounded(rg.iv_2sls(x, "y", ["x"], ["z", "z2"], cov="white").filter("term = 'x'").select("term", "beta", "se", "n"), 4)
+
+
+@register("iv_2sls_newey_west")
+def iv_2sls_newey_west(spark, d):
+    from .plans.frame import lags
+
+    x = lags(_daily(spark, d), ["c"], 1, ["one"], ["day"])
+    return rg.iv_2sls(x, "y", ["c"], ["c_lag1"], cov="newey_west", order=["day"], max_lag=12)
 
 
 PANEL = "o AS (SELECT o_custkey, date_diff('month', DATE '1990-01-01', o_orderdate::DATE) AS m, o_totalprice / 1e5 AS y, (length(o_orderpriority) + o_orderkey % 7) / 1.0 AS x FROM orders)"
@@ -248,9 +264,12 @@ def fama_macbeth(spark, d):
     return _rounded(panel.fama_macbeth(_panel(spark, d), "y", ["x"], "m", intercept=True, hac_lag=0).filter("term = 'x'").select("term", "gamma", "se", "n_periods"))
 
 
-@register("fama_macbeth_hac")
+@register("fama_macbeth_hac", f"""WITH {PANEL}, g AS (SELECT m, regr_slope(y, x) AS x, regr_intercept(y, x) AS c FROM o GROUP BY m HAVING count(*) > 2 AND regr_slope(y, x) IS NOT NULL),
+t AS (SELECT 'x' AS term, m, x AS b FROM g UNION ALL SELECT 'const', m, c FROM g), e AS (SELECT term, row_number() OVER (PARTITION BY term ORDER BY m) AS k, b, avg(b) OVER w AS mean, b - avg(b) OVER w AS e, count(*) OVER w AS n, floor(pow(count(*) OVER w, 1 / 3.0)) AS el FROM t WINDOW w AS (PARTITION BY term)),
+v AS (SELECT a.term, sum(a.e * b.e * (1 - abs(a.k - b.k) / (a.el + 1.0))) AS v FROM e a JOIN e b ON a.term = b.term AND abs(a.k - b.k) <= a.el GROUP BY 1)
+SELECT term, {_r('max(mean)', 'gamma')}, {_r('sqrt(max(v.v)) / max(n)', 'se')}, max(n) AS n_periods FROM e JOIN v USING (term) GROUP BY term""")
 def fama_macbeth_hac(spark, d):
-    return panel.fama_macbeth(_panel(spark, d), "y", ["x"], "m", intercept=True)
+    return _rounded(panel.fama_macbeth(_panel(spark, d), "y", ["x"], "m", intercept=True).select("term", "gamma", "se", "n_periods"))
 
 
 def _labelled(spark, d):
@@ -258,9 +277,20 @@ def _labelled(spark, d):
     return x.join(read_table(spark, d, "labels"), "doc_id")
 
 
-@register("logit")
+def _logit_sql(rounds: int = 12) -> str:
+    """Newton steps from 0, one CTE each."""
+    ctes = ["t AS (SELECT quality::DOUBLE AS y, ln(n_chars + 1.0) AS x FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)", "b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(rounds):
+        p = f"1 / (1 + exp(-(b{k}.a + b{k}.b * x)))"
+        ctes.append(f"s{k} AS (SELECT max(b{k}.a) AS a, max(b{k}.b) AS b, sum(y - {p}) AS g0, sum((y - {p}) * x) AS g1, sum({p} * (1 - {p})) AS h00, sum({p} * (1 - {p}) * x) AS h01, sum({p} * (1 - {p}) * x * x) AS h11, sum(ln(CASE WHEN y = 1 THEN {p} ELSE 1 - {p} END)) AS ll, count(*) AS n FROM t, b{k})")
+        ctes.append(f"b{k + 1} AS (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM s{k})")
+    last = f"s{rounds - 1}"
+    return f"WITH {', '.join(ctes)} SELECT 'const' AS term, {_r('a', 'beta', 5)}, {_r('sqrt(h11 / (h00 * h11 - h01 * h01))', 'se', 5)}, {_r('ll', 'll', 5)}, n FROM {last} UNION ALL SELECT 'size', round(b, 5), round(sqrt(h00 / (h00 * h11 - h01 * h01)), 5), round(ll, 5), n FROM {last}"
+
+
+@register("logit", _logit_sql())
 def logit(spark, d):
-    return glm.logit(_labelled(spark, d), "quality", ["size"])
+    return _rounded(glm.logit(_labelled(spark, d), "quality", ["size"]).select("term", "beta", "se", "ll", "n"), 5)
 
 
 @register("probit")
@@ -274,9 +304,9 @@ def ar_1(spark, d):
     return _rounded(f.groupBy("user_id").agg(F.max(F.when(F.col("term") == "const", F.col("beta"))).alias("const"), F.max(F.when(F.col("term") == "r_lag1", F.col("beta"))).alias("phi"), F.max("n").alias("n")))
 
 
-@register("ar_2_newey_west")
+@register("ar_2_newey_west", regression(DAILY + ", a AS (SELECT *, lag(y) OVER (ORDER BY seq) AS y1, lag(y, 2) OVER (ORDER BY seq) AS y2 FROM ds)", "a", "y", ["1.0", "y1", "y2"], ["const", "y_lag1", "y_lag2"], "newey_west", "seq", AUTO_LAG))
 def ar_2_newey_west(spark, d):
-    return tseries.ar(_daily(spark, d), "y", 2, ["one"], ["day"])
+    return _rounded(tseries.ar(_daily(spark, d), "y", 2, ["one"], ["day"]).select("term", "beta", "se", "n"))
 
 
 @register("har_features", f"WITH {DAILY} SELECT CAST(day AS VARCHAR) AS day, round(lag(y) OVER (ORDER BY day), 9) AS rv_1, round(avg(y) OVER (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 9) AS rv_5, round(avg(y) OVER (ORDER BY day ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING), 9) AS rv_22 FROM ds QUALIFY seq >= 22")
@@ -284,34 +314,72 @@ def har_features(spark, d):
     return _rounded(tseries.har_features(_daily(spark, d), "y", ["one"], ["day"]).select(F.col("day").cast("string").alias("day"), "rv_1", "rv_5", "rv_22"), 9)
 
 
-@register("har_rv")
+@register("har_rv", regression(DAILY + ", a AS (SELECT seq, y, lag(y) OVER w AS r1, avg(y) OVER (ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS r5, avg(y) OVER (ORDER BY seq ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING) AS r22 FROM ds WINDOW w AS (ORDER BY seq)), f AS (SELECT * FROM a WHERE seq >= 22)",
+                               "f", "y", ["1.0", "r1", "r5", "r22"], ["const", "rv_1", "rv_5", "rv_22"], "newey_west", "seq", AUTO_LAG))
 def har_rv(spark, d):
-    return tseries.har_rv(_daily(spark, d), "y", ["one"], ["day"])
+    return _rounded(tseries.har_rv(_daily(spark, d), "y", ["one"], ["day"]).select("term", "beta", "se", "n"))
+
+
+VAR = DAILY + ", a AS (SELECT seq, y, c, lag(y) OVER w AS y1, lag(c) OVER w AS c1, lag(y, 2) OVER w AS y2, lag(c, 2) OVER w AS c2 FROM ds WINDOW w AS (ORDER BY seq))"
+VAR_X, VAR_TERMS = ["1.0", "y1", "c1", "y2", "c2"], ["const", "y_lag1", "c_lag1", "y_lag2", "c_lag2"]
+
+
+def _var_sql(digits: int = 6) -> str:
+    one = [regression(VAR, "a", e, VAR_X, VAR_TERMS, digits=digits) for e in ("y", "c")]
+    return " UNION ALL ".join(f"SELECT '{e}' AS equation, * FROM ({q}) {e}_" for e, q in zip(("y", "c"), one))
+
+
+def _responses_sql() -> str:
+    """Orthogonal responses p<response><shock> by horizon, of the coefficients above and the residuals' covariance."""
+    cell = lambda e, t: f"max(CASE WHEN equation = '{e}' AND term = '{t}' THEN beta END)"
+    names = {f"{n}{k}{e}": cell(e, f"{n}_lag{k}") for n in "yc" for k in (1, 2) for e in "yc"} | {f"k{e}": cell(e, "const") for e in "yc"}
+    fit = "SELECT " + ", ".join(f"{x} AS {n}" for n, x in names.items()) + f" FROM ({_var_sql(15)}) t"
+    resid = lambda e: f"{e} - (k{e} + y1{e} * y1 + c1{e} * c1 + y2{e} * y2 + c2{e} * c2)"
+    nxt = lambda i, j: f"f.y1{i} * r.py{j} + f.c1{i} * r.pc{j} + f.y2{i} * r.qy{j} + f.c2{i} * r.qc{j}"
+    return f"""WITH RECURSIVE {VAR}, f AS ({fit}), u AS (SELECT {resid('y')} AS uy, {resid('c')} AS uc FROM a, f WHERE y2 IS NOT NULL),
+s AS (SELECT sqrt(avg(uy * uy)) AS l11, avg(uy * uc) / sqrt(avg(uy * uy)) AS l21, sqrt(avg(uc * uc) - pow(avg(uy * uc), 2) / avg(uy * uy)) AS l22 FROM u),
+r AS (SELECT 0 AS h, l11 AS pyy, 0.0::DOUBLE AS pyc, l21 AS pcy, l22 AS pcc, 0.0::DOUBLE AS qyy, 0.0::DOUBLE AS qyc, 0.0::DOUBLE AS qcy, 0.0::DOUBLE AS qcc FROM s
+UNION ALL SELECT h + 1, {nxt('y', 'y')}, {nxt('y', 'c')}, {nxt('c', 'y')}, {nxt('c', 'c')}, pyy, pyc, pcy, pcc FROM r, f WHERE h < 10),
+i AS (SELECT h, 'y' AS response, 'y' AS shock, pyy AS value FROM r UNION ALL SELECT h, 'y', 'c', pyc FROM r UNION ALL SELECT h, 'c', 'y', pcy FROM r UNION ALL SELECT h, 'c', 'c', pcc FROM r)"""
 
 
-@register("var_2")
+@register("var_2", _var_sql())
 def var_2(spark, d):
-    return tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"])["table"]
+    return _rounded(tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"])["table"].select("equation", "term", "beta", "se", "n"))
 
 
-@register("var_irf")
+@register("var_irf", f"{_responses_sql()} SELECT h, response, shock, {_r('value', 'value')} FROM i")
 def var_irf(spark, d):
-    return tseries.var_irf(spark, tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"]), 10)
+    return _rounded(tseries.var_irf(spark, tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"]), 10))
 
 
-@register("var_fevd")
+@register("var_fevd", f"{_responses_sql()}, c AS (SELECT *, sum(value * value) OVER (PARTITION BY response, shock ORDER BY h) AS v FROM i) SELECT h, response, shock, {_r('v / sum(v) OVER (PARTITION BY h, response)', 'share')} FROM c")
 def var_fevd(spark, d):
-    return tseries.var_fevd(spark, tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"]), 10)
+    return _rounded(tseries.var_fevd(spark, tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"]), 10))
 
 
-@register("granger")
+def _ssr_sql(xs: list[str]) -> str:
+    q = regression(VAR, "a", "y", xs, [str(i) for i in range(len(xs))], only=["0"], more="f.ssr AS ssr")
+    return f"(SELECT n, ssr FROM ({q}) t)"
+
+
+@register("granger", f"WITH full_ AS {_ssr_sql(VAR_X)}, part AS (SELECT * FROM {_ssr_sql(['1.0', 'y1', 'y2'])} p) SELECT full_.n AS t, {_r('(part.ssr - full_.ssr) / 2 / (full_.ssr / (full_.n - 5))', 'f')} FROM full_, part")
 def granger(spark, d):
-    return tseries.granger_causality(_daily(spark, d), "y", "c", 2, ["one"], ["day"])
+    return _rounded(tseries.granger_causality(_daily(spark, d), "y", "c", 2, ["one"], ["day"]).select("t", "f"))
+
 
+def _projection_sql(horizon: int) -> str:
+    parts = []
+    for h in range(horizon + 1):
+        before = DAILY + f", a AS (SELECT seq, lead(y, {h}) OVER w AS yh, c, lag(y) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM ds WINDOW w AS (ORDER BY seq))"
+        q = regression(before, "a", "yh", ["1.0", "y1", "y2", "c1", "c2", "c"], ["k", "y1", "y2", "c1", "c2", "c"], "newey_west", "seq", str(h + 1), only=["c"])
+        parts.append(f"SELECT {h} AS h, beta AS irf, se, n FROM ({q}) h{h}")
+    return " UNION ALL ".join(parts)
 
-@register("local_projections")
+
+@register("local_projections", _projection_sql(4))
 def local_projections(spark, d):
-    return tseries.local_projections(_daily(spark, d), "y", "c", 4, ["one"], ["day"])
+    return _rounded(tseries.local_projections(_daily(spark, d), "y", "c", 4, ["one"], ["day"]).select("h", "irf", "se", "n"))
 
 
 @register("forecast_eval", """WITH s AS (SELECT user_id, ts, event_id, value AS a, lag(value) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), q AS (SELECT *, 0.5 * f AS g FROM s WHERE f IS NOT NULL), z AS (SELECT *, a - lag(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM q)
@@ -417,13 +485,22 @@ def breusch_pagan(spark, d):
     return _rounded(dg.breusch_pagan(e, "resid", ["x"]).select("statistic", "df"), 5)
 
 
-@register("white_test")
+@register("white_test", f"WITH r AS (SELECT x, z, e FROM (WITH {LINES}, c AS (SELECT y - avg(y) OVER () AS y, x - avg(x) OVER () AS x, z - avg(z) OVER () AS z, x AS x0, z AS z0 FROM l), o AS (SELECT *, z - x * (sum(z * x) OVER () / sum(x * x) OVER ()) AS w FROM c) SELECT x0 AS x, z0 AS z, y - x * (sum(y * x) OVER () / sum(x * x) OVER ()) - w * (sum(y * w) OVER () / sum(w * w) OVER ()) AS e FROM o) q), "
+          f"f AS ({regression('', 'r', 'e * e', ['1.0', 'x', 'z', 'x * x', 'x * z', 'z * z'], list('abcdef'), only=['f'], more='f.ssr AS ssr')}), t AS (SELECT count(*) AS n, var_pop(e * e) * count(*) AS tss FROM r) SELECT {_r('t.n * (1 - ssr / tss)', 'statistic', 3)}, 5::BIGINT AS df FROM f, t")
 def white_test(spark, d):
-    return dg.white_test(rg.residuals(_lines(spark, d), "y", ["x", "z"]), "resid", ["x", "z"])
+    return _rounded(dg.white_test(rg.residuals(_lines(spark, d), "y", ["x", "z"]), "resid", ["x", "z"]).select("statistic", "df"), 3)
+
 
+ADF = DAILY + ", b AS (SELECT seq, y - lag(y) OVER (ORDER BY seq) AS dy, lag(y) OVER (ORDER BY seq) AS y1 FROM ds), a AS (SELECT *, " + ", ".join(f"lag(dy, {k}) OVER (ORDER BY seq) AS l{k}" for k in range(1, 6)) + " FROM b)"
 
-@register("adf_test")
+
+@register("adf_test", f"SELECT 5::BIGINT AS lags, {_r('beta / se', 'statistic', 4)} FROM ({regression(ADF, 'a', 'dy', ['1.0', *[f'l{k}' for k in range(1, 6)], 'y1'], [*'abcdef', 'y1'], only=['y1'], digits=15)}) t")
 def adf_test(spark, d):
+    return _rounded(dg.adf_test(_daily(spark, d), "y", ["one"], ["day"], max_lag=5).select("lags", "statistic"), 4)
+
+
+@register("adf_test_auto")
+def adf_test_auto(spark, d):
     return dg.adf_test(_daily(spark, d), "y", ["one"], ["day"])
 
 
@@ -445,9 +522,12 @@ def var_parametric(spark, d):
     return _rounded(risk.value_at_risk(_returns(spark, d), "r", USER, method="parametric"))
 
 
-@register("var_cornish_fisher")
+@register("var_cornish_fisher", f"""WITH {SERIES}, m AS (SELECT user_id, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, var_pop(r) AS v FROM r0 WHERE r IS NOT NULL GROUP BY 1),
+k AS (SELECT user_id, avg(pow(r - m, 3)) / pow(max(v), 1.5) AS sk, avg(pow(r - m, 4)) / pow(max(v), 2) - 3 AS ku FROM r0 JOIN m USING (user_id) WHERE r IS NOT NULL GROUP BY 1),
+q AS (SELECT user_id, n, -(m + s * (-1.6448536269514726 + (pow(1.6448536269514726, 2) - 1) / 6 * sk + (pow(-1.6448536269514726, 3) + 3 * 1.6448536269514726) / 24 * ku - (2 * pow(-1.6448536269514726, 3) + 5 * 1.6448536269514726) / 36 * sk * sk)) AS var FROM m JOIN k USING (user_id)),
+t AS (SELECT user_id, -avg(r) AS cvar FROM r0 JOIN q USING (user_id) WHERE r <= -var GROUP BY 1) SELECT q.user_id, n, {_r('var', 'var', 5)}, {_r('coalesce(cvar, var)', 'cvar', 5)} FROM q LEFT JOIN t USING (user_id)""")
 def var_cornish_fisher(spark, d):
-    return risk.value_at_risk(_returns(spark, d), "r", USER, method="cornish_fisher")
+    return _rounded(risk.value_at_risk(_returns(spark, d), "r", USER, method="cornish_fisher"), 5)
 
 
 DRAW = f"{SERIES}, q AS (SELECT user_id, row_number() OVER w - 1 AS k, r, sum(r) OVER w AS c FROM r0 WHERE r IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), x AS (SELECT *, max(c) OVER (PARTITION BY user_id ORDER BY k) - c AS dd FROM q)"
@@ -465,22 +545,52 @@ def performance_metrics(spark, d):
 
 
 def _assets(spark, d):
-    kinds = sorted(r["event_type"] for r in _events(spark, d).select("event_type").distinct().collect())[:5]  # a handful of event types
+    kinds = sorted(r["event_type"] for r in _events(spark, d).select("event_type").distinct().collect())  # a handful of event types
     day = F.col("ts").cast("date").alias("day")
     wide = _events(spark, d).groupBy(day).pivot("event_type", kinds).agg(F.avg("value") / 1000)
     return wide.dropna(), kinds
 
 
-@register("minimum_variance_portfolio")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _portfolio_sql() -> str:
+    """a: means; k: the covariances' determinant and adjugate, in units of 1 / count; of the five event types' daily means."""
+    det, adj = inverse(5, "s")
+    wide = ", ".join(f"avg(CASE WHEN event_type = '{k}' THEN value END) / 1000 AS a{i}" for i, k in enumerate(KINDS))
+    full = " AND ".join(f"a{i} IS NOT NULL" for i in range(5))
+    cov = ", ".join(f"covar_samp(a{i}, a{j}) * 1e4 AS s{i}{j}" for i in range(5) for j in range(i, 5))
+    cells = ", ".join(f"({adj[i, j]}) / ({det}) AS i{i}{j}" for i in range(5) for j in range(i, 5))
+    return f"WITH d AS (SELECT ts::DATE AS day, {wide} FROM events GROUP BY 1), g AS (SELECT {cov}, {', '.join(f'avg(a{i}) AS m{i}' for i in range(5))} FROM d WHERE {full}), k AS (SELECT *, {cells} FROM g)"
+
+
+def _weights_sql(goal: str) -> str:
+    """Long-only weights, clipped and normalised, with the portfolio's return, volatility and ratio; goal: '1' or 'm<j>'."""
+    cell = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    raw = ", ".join("(" + " + ".join(f"{cell(i, j)} * {goal.replace('#', str(j))}" for j in range(5)) + f") AS u{i}" for i in range(5))
+    total = " + ".join(f"u{i}" for i in range(5))
+    norm = ", ".join(f"greatest(u{i} / ({total}), 0) AS p{i}" for i in range(5))
+    again = ", ".join(f"p{i} / ({' + '.join(f'p{j}' for j in range(5))}) AS w{i}" for i in range(5))
+    ret = " + ".join(f"w{i} * m{i}" for i in range(5))
+    var = " + ".join(f"w{i} * w{j} * s{min(i, j)}{max(i, j)}" for i in range(5) for j in range(5))
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS asset, w{i} AS weight, ret, vol FROM z" for i, k in enumerate(KINDS))
+    return f"{_portfolio_sql()}, u AS (SELECT *, {raw} FROM k), p AS (SELECT *, {norm} FROM u), w AS (SELECT *, {again} FROM p), z AS (SELECT *, {ret} AS ret, sqrt({var}) / 100 AS vol FROM w), r AS ({rows}) SELECT asset, round(weight, 5) AS weight, round(ret, 6) AS ret, round(vol, 6) AS volatility, round(ret / vol, 4) AS sharpe FROM r"
+
+
+def _portfolio(df):
+    return df.select("asset", F.round("weight", 5).alias("weight"), F.round("ret", 6).alias("ret"), F.round("volatility", 6).alias("volatility"), F.round("sharpe", 4).alias("sharpe"))
+
+
+@register("minimum_variance_portfolio", _weights_sql("1.0"))
 def minimum_variance_portfolio(spark, d):
     x, a = _assets(spark, d)
-    return risk.minimum_variance_portfolio(x, a)
+    return _portfolio(risk.minimum_variance_portfolio(x, a))
 
 
-@register("max_sharpe_portfolio")
+@register("max_sharpe_portfolio", _weights_sql("m#"))
 def max_sharpe_portfolio(spark, d):
     x, a = _assets(spark, d)
-    return risk.max_sharpe_portfolio(x, a)
+    return _portfolio(risk.max_sharpe_portfolio(x, a))
 
 
 @register("efficient_frontier")
@@ -489,19 +599,28 @@ def efficient_frontier(spark, d):
     return risk.efficient_frontier(x, a, 20)
 
 
-def _wide(spark, d, k=8):
-    return read_table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(k)])
+COMPONENTS = [f"e{i}" for i in range(64)]
+
+
+def _wide(spark, d):
+    return read_table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(COMPONENTS)])
 
 
-@register("covariance_matrix", "SELECT round(covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 7) AS c01, round(var_samp(embedding[3]::DOUBLE), 7) AS c22 FROM embeddings")
+@register("covariance_matrix", """WITH v AS (SELECT vec_id, unnest(generate_series(1, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v)
+SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(sum(a.x * b.x) / (count(*) - 1), 7) AS c FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2""")
 def covariance_matrix(spark, d):
-    _, c, _ = linalg.covariance_matrix(_wide(spark, d), [f"e{i}" for i in range(8)])
-    return _rounded(spark.createDataFrame([(float(c[0, 1]), float(c[2, 2]))], "c01 double, c22 double"), 7)
+    _, c, _ = linalg.covariance_matrix(_wide(spark, d), COMPONENTS)
+    return _rounded(spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(i, len(c))], "i int, j int, c double"), 7)
 
 
 @register("pca")
 def pca(spark, d):
-    return linalg.pca(_wide(spark, d), [f"e{i}" for i in range(8)], 3)[0]
+    return linalg.pca(_wide(spark, d), COMPONENTS, 3)[0]
+
+
+@register("pca_scores")
+def pca_scores(spark, d):
+    return linalg.pca(_wide(spark, d), COMPONENTS, 3)[1]
 
 
 @register("vector_primitives", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_inner_product(e, e), 6) AS dot, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(list_sum(e), 6) AS total, round(list_avg(e), 6) AS mean FROM v")
@@ -527,7 +646,7 @@ def bootstrap_pairs(spark, d):
 
 @register("bootstrap_sums")
 def bootstrap_sums(spark, d):
-    return sim.bootstrap_sums(_events(spark, d), "value", 20)
+    return sim.bootstrap_sums(_events(spark, d), "value", 20, key=["event_id"])
 
 
 def _normal(v):
