@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..plans.gram import gram, unpack
+from ..plans.gram import WIDE, gram, unpack, wide_gram
 
 
 def cholesky(a: np.ndarray) -> np.ndarray:
@@ -58,9 +60,13 @@ def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, n
     if shift["m0"] is None:
         raise ValueError("no rows")
     m0 = np.array([shift[f"m{i}"] for i in range(len(cols))])
-    r = gram(df.select(*[(F.col(c) - float(m0[i])).alias(f"c{i}") for i, c in enumerate(cols)]), [f"c{i}" for i in range(len(cols))]).first()
-    g = unpack(r["__gram"], len(cols))
-    n = int(r["n"])
+    names = [f"c{i}" for i in range(len(cols))]
+    about = df.select(*[(F.col(c) - float(m0[i])).alias(names[i]) for i, c in enumerate(cols)])
+    if len(cols) > WIDE:
+        g, n = wide_gram(about, names)
+    else:
+        r = gram(about, names).first()
+        g, n = unpack(r["__gram"], len(cols)), int(r["n"])
     d = g[0, 1:] / n
     return m0 + d, (g[1:, 1:] - n * np.outer(d, d)) / (n - 1), n
 
@@ -82,9 +88,17 @@ def pca(df: DataFrame, cols: Sequence[str], n_components: int = 0) -> tuple[Data
 
 def tall_svd(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(df with u1.., singular values, Vt) of a tall matrix, through its cross products: sound up to a condition of 1e8."""
-    g = unpack(gram(df, cols).first()["__gram"], len(cols))[1:, 1:]
+    g = (wide_gram(df, cols)[0] if len(cols) > WIDE else unpack(gram(df, cols).first()["__gram"], len(cols)))[1:, 1:]
     val, vec = np.linalg.eigh(g)
     order = np.argsort(-val)
     s, v = np.sqrt(np.maximum(val[order], 0)), vec[:, order]
-    u = df.withColumns({f"u{j + 1}": sum(F.col(c) * float(v[i, j]) for i, c in enumerate(cols)) / (float(s[j]) or math.inf) for j in range(len(cols))})
-    return u, s, v.T
+    to = v / np.where(s > 0, s, math.inf)
+    at, names = [df.columns.index(c) for c in cols], [f"u{j + 1}" for j in range(len(cols))]
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in names]])
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(i).cast("double").to_numpy(zero_copy_only=False) for i in at])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(u) for u in (x @ to).T]], names=[*b.schema.names, *names])
+
+    return df.mapInArrow(run, schema), s, v.T

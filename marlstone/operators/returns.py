@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.frame import nonzero, ordered, with_seq
+from ..plans.frame import each_series, nonzero, ordered, with_seq
 
 
 def compute_returns(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], kind: str = "log", out: str = "r", keep_first: bool = False) -> DataFrame:
@@ -57,16 +58,27 @@ def rolling(df: DataFrame, value: str, window: int, stats: Sequence[str], key: S
 
 
 def rolling_apply(df: DataFrame, value: str, window: int, fn: Callable[[pd.Series], float], key: Sequence[str], order: Sequence[str], out: str = "value_applied") -> DataFrame:
-    """A user function of each full window, in a grouped-aggregate pandas UDF over the frame."""
-    udf = F.pandas_udf(fn, "double", F.PandasUDFType.GROUPED_AGG)
-    w = ordered(key, order).rowsBetween(-(window - 1), 0)
-    return with_seq(df, key, order).withColumn(out, udf(F.col(value)).over(w)).filter(F.col("seq") >= window - 1)
+    """A user function of each full window. Rows of a series come to a task once, in order, and windows are views of them."""
+    return _applied(df, value, lambda x: np.lib.stride_tricks.sliding_window_view(x, window) if len(x) >= window else [], window, fn, key, order, out)
 
 
 def expanding_apply(df: DataFrame, value: str, min_obs: int, fn: Callable[[pd.Series], float], key: Sequence[str], order: Sequence[str], out: str = "value_applied") -> DataFrame:
-    udf = F.pandas_udf(fn, "double", F.PandasUDFType.GROUPED_AGG)
-    w = ordered(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    return with_seq(df, key, order).withColumn(out, udf(F.col(value)).over(w)).filter(F.col("seq") >= min_obs - 1)
+    """A user function of each series up to each row, from min_obs rows on."""
+    return _applied(df, value, lambda x: (x[:k] for k in range(min_obs, len(x) + 1)), min_obs, fn, key, order, out)
+
+
+def _applied(df, value, windows, first, fn, key, order, out):
+    names = df.columns
+    schema = df.withColumn("seq", F.lit(0).cast("long")).withColumn(out, F.lit(0.0)).schema
+
+    def run(series: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = []
+        for s in series:
+            got = [float(fn(pd.Series(w))) for w in windows(s[value].to_numpy(float))]
+            parts.append(s.iloc[first - 1 :].assign(seq=np.arange(first - 1, max(first - 1, len(s)), dtype=np.int64), **{out: got}))
+        return pd.concat(parts, ignore_index=True)[[c.name for c in schema]]
+
+    return each_series(df, key, order, names, run, schema)
 
 
 def expanding(df: DataFrame, value: str, min_obs: int, stats: Sequence[str], key: Sequence[str], order: Sequence[str]) -> DataFrame:

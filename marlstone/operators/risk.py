@@ -38,7 +38,8 @@ def value_at_risk(df: DataFrame, r: str, by: Sequence[str] = (), confidence: flo
 
 def drawdown_analysis(df: DataFrame, r: str, by: Sequence[str], order: Sequence[str], compounding: bool = False) -> DataFrame:
     """Additive cumulative returns by default; drawdowns from the running maximum, which starts at the first value. Gives the
-    largest and the mean drawdown, peak, trough, recovery (n if there is none) and duration, by position."""
+    largest and the mean drawdown, peak, trough (the first, of drawdowns alike to 12 digits), recovery (n if there is none)
+    and duration, by position."""
     w = ordered(by, order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     s = with_seq(df.filter(F.col(r).isNotNull()), by, order)
@@ -46,7 +47,7 @@ def drawdown_analysis(df: DataFrame, r: str, by: Sequence[str], order: Sequence[
     s = s.withColumn("__c", level).withColumn("__m", F.max("__c").over(upto))
     dd = (F.col("__m") - F.col("__c")) / F.col("__m") if compounding else F.col("__m") - F.col("__c")
     s = s.withColumn("__d", dd).withColumn("__pk", F.max(F.when(F.col("__c") == F.col("__m"), F.col("seq"))).over(upto))
-    top = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("max_drawdown"), F.avg("__d").alias("avg_drawdown"), F.max(F.struct("__d", (-F.col("seq")).alias("s"), F.col("__pk").alias("p"), F.col("__m").alias("m"))).alias("t"))
+    top = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("max_drawdown"), F.avg("__d").alias("avg_drawdown"), F.max(F.struct(F.round("__d", 12).alias("__d"), (-F.col("seq")).alias("s"), F.col("__pk").alias("p"), F.col("__m").alias("m"))).alias("t"))
     top = top.select(*by, "n", "max_drawdown", "avg_drawdown", (-F.col("t.s")).alias("trough"), F.col("t.p").alias("peak"), F.col("t.m").alias("__pm"))
     j = s.select(*by, "seq", "__c").join(top.select(*by, "trough", "__pm"), list(by)) if by else s.select("seq", "__c").join(F.broadcast(top.select("trough", "__pm")))  # one row
     back = j.filter((F.col("seq") > F.col("trough")) & (F.col("__c") >= F.col("__pm"))).groupBy(*by).agg(F.min("seq").alias("__rec"))

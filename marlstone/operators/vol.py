@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.frame import each_series
+
 BAD = -1e30
-ROWS_A_FIT, WINDOWS_A_FIT = 100_000, 512
+WINDOWS_A_FIT = 512
 
 
 def _variance(kind: str, p: Sequence[float], e: np.ndarray) -> np.ndarray | None:
@@ -254,40 +256,6 @@ def fit_many(kind: str, returns: Sequence[np.ndarray], se: str = "diagonal") ->
 FIT = "mu double, params map<string,double>, se map<string,double>, ll double, aic double, bic double, persistence double, unconditional double, n long, n_params long, converged boolean, status string"
 
 
-def each_series(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], fit: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies fit to the series of a partition, ROWS_A_FIT rows or one longer series at a time: whole series, in order."""
-
-    def run(batches):
-        held: list[pd.DataFrame] = []
-        open_: list[pd.DataFrame] = []
-        rows = 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key = pdf[list(by)].astype(object).where(pdf[list(by)].notna(), None)
-            key = pd.Series(list(map(tuple, key.to_numpy())), index=pdf.index)
-            starts = [0, *(np.flatnonzero((key != key.shift()).to_numpy()[1:]) + 1)] if len(by) else [0]
-            for a, b in zip(starts, [*starts[1:], len(pdf)]):
-                if open_ and open_[-1].attrs["key"] != key.iloc[a]:
-                    held.append(pd.concat(open_, ignore_index=True))
-                    open_ = []
-                    if rows > ROWS_A_FIT:
-                        yield fit(held)
-                        held, rows = [], 0
-                part = pdf.iloc[a:b]
-                part.attrs["key"] = key.iloc[a]
-                open_.append(part)
-                rows += b - a
-        if open_:
-            held.append(pd.concat(open_, ignore_index=True))
-        if held:
-            yield fit(held)
-
-    rows = df.select(*dict.fromkeys([*by, *order, *cols]))
-    rows = rows.repartition(*by) if by else rows.coalesce(1)
-    return rows.sortWithinPartitions(*by, *order).mapInPandas(run, schema)
-
-
 def volatility_model(df: DataFrame, r: str, by: Sequence[str], order: Sequence[str], kind: str = "garch", se: str = "diagonal", paths: bool = False) -> DataFrame:
     """A fit for each series, or (paths) its variances h and standardised residuals z by position. kind: garch, gjr, egarch,
     garch_t; all of order (1, 1). A task fits the many series of its partition side by side; a series must fit in a worker.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -34,11 +36,38 @@ def nonzero(c: str | Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
-def slice_seq(df: DataFrame, start: int, end: int, seq: str = "seq") -> DataFrame:
-    """Half-open slice by position."""
-    return df.filter((F.col(seq) >= start) & (F.col(seq) < end))
-
-
-def in_range(ts: str, start, end) -> Column:
-    """Half-open time range."""
-    return (F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end))
+ROWS_A_FIT = 100_000
+
+
+def each_series(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], fit: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
+    """Applies fit to the series of a partition, ROWS_A_FIT rows or one longer series at a time: whole series, in order."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        open_: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[list(by)].astype(object).where(pdf[list(by)].notna(), None)
+            key = pd.Series(list(map(tuple, key.to_numpy())), index=pdf.index)
+            starts = [0, *(np.flatnonzero((key != key.shift()).to_numpy()[1:]) + 1)] if len(by) else [0]
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if open_ and open_[-1].attrs["key"] != key.iloc[a]:
+                    held.append(pd.concat(open_, ignore_index=True))
+                    open_ = []
+                    if rows > ROWS_A_FIT:
+                        yield fit(held)
+                        held, rows = [], 0
+                part = pdf.iloc[a:b]
+                part.attrs["key"] = key.iloc[a]
+                open_.append(part)
+                rows += b - a
+        if open_:
+            held.append(pd.concat(open_, ignore_index=True))
+        if held:
+            yield fit(held)
+
+    rows = df.select(*dict.fromkeys([*by, *order, *cols]))
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *order).mapInPandas(run, schema)

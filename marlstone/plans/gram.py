@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,31 @@ def gram(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("__gram"))
 
 
+WIDE = 16  # columns from which on sums of products come from matrix products, not from an expression each
+
+
+def wide_gram(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, int]:
+    """(the symmetric matrix of cols and 1 (at index 0), n): a matrix product a batch, summed in the task, then by cell."""
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.col(c).isNotNull()
+    k = len(cols) + 1
+    up = np.triu_indices(k)
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[c.to_numpy(zero_copy_only=False) for c in b.columns]])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(up[0]), pa.array(up[1]), pa.array(total[up])], names=["i", "j", "v"])
+
+    rows = df.filter(ok).select(*[F.col(c).cast("double") for c in cols]).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    m = np.zeros((k, k))
+    for r in rows:
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
+    return m, int(m[0, 0])
+
+
 def unpack(g: Sequence[float], k: int) -> np.ndarray:
     """The symmetric matrix of k columns and 1 (at index 0)."""
     m = np.zeros((k + 1, k + 1))
@@ -57,10 +83,3 @@ def inverse_spd(a: np.ndarray) -> np.ndarray | None:
         return None
     inv = np.linalg.inv(s)
     return inv / np.outer(d, d)
-
-
-def choose_strategy(n_rows: int, k: int, n_groups: int = 1) -> str:
-    """'driver' for little data, 'per_series' for many short series, 'aggregate' otherwise."""
-    if n_rows * max(1, k) < 4096:
-        return "driver"
-    return "per_series" if n_groups >= 50 and n_rows / max(1, n_groups) < 10_000 else "aggregate"

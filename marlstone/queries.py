@@ -103,6 +103,11 @@ def rolling_apply_median(spark, d):
     return _rounded(rt.rolling_apply(_events(spark, d), "value", 7, med, USER, BY_TIME, "med").select("user_id", "event_id", "med"))
 
 
+@register("expanding_apply_range", "WITH s AS (SELECT user_id, event_id, row_number() OVER w - 1 AS seq, max(value) OVER w - min(value) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, round(a, 6) AS width FROM s WHERE seq >= 9")
+def expanding_apply_range(spark, d):
+    return _rounded(rt.expanding_apply(_events(spark, d), "value", 10, lambda v: float(v.max() - v.min()), USER, BY_TIME, "width").select("user_id", "event_id", "width"))
+
+
 @register("event_study", f"""WITH {SERIES}, e AS (SELECT s.user_id, s.event_id, s.seq FROM s JOIN events USING (event_id) WHERE s.seq > 0 AND event_type = 'error'), w AS (SELECT e.user_id, e.event_id, o.k, coalesce(r0.r, 0) AS ret FROM e CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS k) o LEFT JOIN r0 ON r0.user_id = e.user_id AND r0.seq = e.seq + o.k),
 c AS (SELECT *, sum(ret) OVER (PARTITION BY user_id, event_id ORDER BY k) AS car FROM w)
 SELECT k::BIGINT AS "offset", count(*) AS n_events, {_r('avg(ret)', 'mean_ar')}, {_r('avg(car)', 'mean_car')}, {_r('coalesce(stddev_samp(ret), 0)', 'volatility')} FROM c GROUP BY 1""")
@@ -193,9 +198,23 @@ def expanding_ols(spark, d):
 
 
 @register("fgls", f"""WITH {LINES}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l), e AS (SELECT l.x, l.y, 1 / greatest((y - a - b * x) * (y - a - b * x), 1e-15) AS w FROM l, f),
-m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy FROM e), c AS (SELECT sum(w * (x - sx / sw) * (y - sy / sw)) / sum(w * (x - sx / sw) * (x - sx / sw)) AS b FROM e, m) SELECT 'x' AS term, {_r('b', 'beta', 4)} FROM c""")
+m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy FROM e), c AS (SELECT sum(w * (x - sx / sw) * (y - sy / sw)) / sum(w * (x - sx / sw) * (x - sx / sw)) AS b, max(sx / sw) AS mx, max(sy / sw) AS my FROM e, m)
+SELECT 'x' AS term, {_r('b', 'beta', 4)} FROM c UNION ALL SELECT 'const', round(my - b * mx, 4) FROM c""")
 def fgls(spark, d):
-    return _rounded(rg.fgls(_lines(spark, d), "y", ["x"]).filter("term = 'x'").select("term", "beta"), 4)
+    return _rounded(rg.fgls(_lines(spark, d), "y", ["x"]).select("term", "beta"), 4)
+
+
+@register("gls", regression(DAILY + ", a AS (SELECT seq, y, c, lag(y) OVER (ORDER BY seq) AS y1, lag(c) OVER (ORDER BY seq) AS c1 FROM ds), p AS (SELECT CASE WHEN seq = 0 THEN sqrt(0.91) * y ELSE y - 0.3 * y1 END AS y, CASE WHEN seq = 0 THEN sqrt(0.91) ELSE 0.7 END AS one, CASE WHEN seq = 0 THEN sqrt(0.91) * c ELSE c - 0.3 * c1 END AS c FROM a)",
+                            "p", "y", ["one", "c"], ["const", "c"]))
+def gls(spark, d):
+    """Errors with correlation 0.3 ** |i - j|: the series of days, whose length is that of the calendar."""
+    import numpy as np
+
+    x = _daily(spark, d).orderBy("day").toPandas()
+    n = len(x)
+    omega = 0.3 ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    f = rg.gls(x["y"].to_numpy(), np.column_stack([np.ones(n), x["c"]]), omega)
+    return _rounded(spark.createDataFrame([(t, float(b), float(s), n) for t, b, s in zip(("const", "c"), f["beta"], f["se"])], "term string, beta double, se double, n long"))
 
 
 @register("fgls_modelled")
@@ -533,9 +552,12 @@ def var_cornish_fisher(spark, d):
 DRAW = f"{SERIES}, q AS (SELECT user_id, row_number() OVER w - 1 AS k, r, sum(r) OVER w AS c FROM r0 WHERE r IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), x AS (SELECT *, max(c) OVER (PARTITION BY user_id ORDER BY k) - c AS dd FROM q)"
 
 
-@register("drawdown", f"WITH {DRAW} SELECT user_id, count(*) AS n, {_r('max(dd)', 'max_drawdown')}, {_r('avg(dd)', 'avg_drawdown')} FROM x GROUP BY 1")
+@register("drawdown", f"""WITH {DRAW}, t AS (SELECT user_id, count(*) AS n, max(dd) AS worst, avg(dd) AS mean FROM x GROUP BY 1), l AS (SELECT x.user_id, min(k) AS trough FROM x JOIN t USING (user_id) WHERE round(dd, 12) = round(worst, 12) GROUP BY 1),
+m AS (SELECT *, max(c) OVER (PARTITION BY user_id ORDER BY k) AS top FROM x), p AS (SELECT m.user_id, max(k) AS peak FROM m JOIN l USING (user_id) WHERE k <= trough AND c = top GROUP BY 1), h AS (SELECT m.user_id, max(top) AS top FROM m JOIN l USING (user_id) WHERE k = trough GROUP BY 1),
+rec AS (SELECT x.user_id, min(k) AS back FROM x JOIN l USING (user_id) JOIN h USING (user_id) WHERE k > trough AND c >= top GROUP BY 1)
+SELECT user_id, n, {_r('worst', 'max_drawdown')}, {_r('mean', 'avg_drawdown')}, peak::BIGINT AS peak, trough::BIGINT AS trough, coalesce(back, n)::BIGINT AS recovery, (trough - peak)::BIGINT AS duration FROM t JOIN l USING (user_id) JOIN p USING (user_id) LEFT JOIN rec USING (user_id)""")
 def drawdown(spark, d):
-    return _rounded(risk.drawdown_analysis(_returns(spark, d), "r", USER, BY_TIME).select("user_id", "n", "max_drawdown", "avg_drawdown"))
+    return _rounded(risk.drawdown_analysis(_returns(spark, d), "r", USER, BY_TIME))
 
 
 @register("performance_metrics", f"""WITH {DRAW}, a AS (SELECT user_id, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) / count(*)) AS d, sum(CASE WHEN r > 0 THEN r ELSE 0 END) AS g, sum(CASE WHEN r < 0 THEN -r ELSE 0 END) AS l, max(dd) AS mdd FROM x GROUP BY 1 HAVING count(*) >= 10)
@@ -593,10 +615,20 @@ def max_sharpe_portfolio(spark, d):
     return _portfolio(risk.max_sharpe_portfolio(x, a))
 
 
-@register("efficient_frontier")
+def _frontier_sql(points: int = 20) -> str:
+    cell = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    pairs = [(i, j) for i in range(5) for j in range(5)]
+    sums = f"{' + '.join(cell(i, j) for i, j in pairs)} AS a, {' + '.join(f'{cell(i, j)} * m{j}' for i, j in pairs)} AS b, {' + '.join(f'm{i} * {cell(i, j)} * m{j}' for i, j in pairs)} AS c, least(m0, m1, m2, m3, m4) AS lo, greatest(m0, m1, m2, m3, m4) AS hi"
+    w = ", ".join("((" + " + ".join(f"{cell(i, j)} * (c - b * goal + m{j} * (a * goal - b))" for j in range(5)) + f") / (a * c - b * b)) AS w{i}" for i in range(5))
+    ret = " + ".join(f"w{i} * m{i}" for i in range(5))
+    var = " + ".join(f"w{i} * w{j} * s{min(i, j)}{max(i, j)}" for i, j in pairs)
+    return f"{_portfolio_sql()}, f AS (SELECT *, {sums} FROM k), goals AS (SELECT f.*, p::INT AS point, lo + (hi - lo) * p / {points - 1}.0 AS goal FROM f, unnest(generate_series(0, {points - 1})) t(p)), w AS (SELECT *, {w} FROM goals) SELECT point, round(goal, 6) AS target, round({ret}, 6) AS ret, round(sqrt({var}) / 100, 6) AS volatility FROM w"
+
+
+@register("efficient_frontier", _frontier_sql())
 def efficient_frontier(spark, d):
     x, a = _assets(spark, d)
-    return risk.efficient_frontier(x, a, 20)
+    return _rounded(risk.efficient_frontier(x, a, 20).select("point", "target", "ret", "volatility"))
 
 
 COMPONENTS = [f"e{i}" for i in range(64)]
@@ -629,6 +661,29 @@ def vector_primitives(spark, d):
     return _rounded(read_table(spark, d, "embeddings").select("vec_id", vec.dot(e, e).alias("dot"), vec.norm(e).alias("norm"), vec.vector_sum(e).alias("total"), vec.vector_mean(e).alias("mean")))
 
 
+@register("vector_algebra", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), w AS (SELECT vec_id, e, list_transform(e, lambda x: 2 * x) AS t FROM v)
+SELECT vec_id, round(list_inner_product(e, t), 6) AS doubled, round(list_sum(e) + list_sum(t), 5) AS added, round(list_sum(t) - list_sum(e), 5) AS taken, round(e[1] * t[64], 6) AS corner, round(list_inner_product(e, e) * 3, 5) AS applied FROM w""")
+def vector_algebra(spark, d):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    x = read_table(spark, d, "embeddings").select("vec_id", e.alias("e")).withColumn("t", vec.scale(F.col("e"), 2.0))
+    return x.select("vec_id", F.round(vec.dot(F.col("e"), F.col("t")), 6).alias("doubled"), F.round(vec.vector_sum(vec.add(F.col("e"), F.col("t"))), 5).alias("added"), F.round(vec.vector_sum(vec.subtract(F.col("t"), F.col("e"))), 5).alias("taken"),
+                    F.round(vec.outer(F.col("e"), F.col("t"))[0][63], 6).alias("corner"), F.round(vec.vector_sum(vec.matvec(F.array(F.col("e"), F.col("t")), F.col("e"))), 5).alias("applied"))
+
+
+@register("matmul", """WITH a AS (SELECT label AS i, unnest(generate_series(1, 64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT i, k, sum(x) AS x FROM a GROUP BY 1, 2)
+SELECT p.i::BIGINT AS i, q.i::BIGINT AS j, round(sum(p.x * q.x), 4) AS value FROM s p JOIN s q USING (k) GROUP BY 1, 2""")
+def matmul(spark, d):
+    """The sums of embeddings by label times their transpose."""
+    x = read_table(spark, d, "embeddings").select(F.col("label").cast("long").alias("i"), F.posexplode("embedding").alias("j", "v")).groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("value"))
+    return _rounded(vec.matmul(x, vec.transpose(x)), 4)
+
+
+@register("singular_values")
+def singular_values(spark, d):
+    _, s, _ = linalg.tall_svd(_wide(spark, d).drop("vec_id"), COMPONENTS)
+    return spark.createDataFrame([(i, float(x), float(s[0] / s[-1])) for i, x in enumerate(s)], "i int, value double, condition double")
+
+
 @register("normal_log_likelihood", "SELECT event_type, round(sum(-0.5 * ln(2 * pi() * 2500) - (value - 100) * (value - 100) / 5000), 4) AS ll FROM events GROUP BY 1")
 def normal_log_likelihood(spark, d):
     return _rounded(_events(spark, d).groupBy("event_type").agg(vec.normal_log_likelihood(F.col("value"), 100.0, 2500.0).alias("ll")), 4)
@@ -704,6 +759,26 @@ def bayesian_gjr_garch(spark, d):
     return sim.bayesian_volatility(_by_type(spark, d), "r", KIND, BY_TIME, "gjr", 200, 100).groupBy("event_type", "param").agg(F.avg("value").alias("mean"))
 
 
+@register("bayesian_garch_dic")
+def bayesian_garch_dic(spark, d):
+    x = sim.bayesian_volatility(_by_type(spark, d), "r", KIND, BY_TIME, "garch", 200, 100)
+    mean = x.groupBy("event_type").agg(F.avg("ll").alias("ll_mean"))
+    return sim.dic(x, mean, KIND)
+
+
+@register("mcmc_gibbs")
+def mcmc_gibbs(spark, d):
+    """A pair of normals of correlation one half, drawn in turn."""
+    sd = 0.75**0.5
+    blocks = [((0,), lambda x, q: [q.normal(0.5 * x[1], sd)]), ((1,), lambda x, q: [q.normal(0.5 * x[0], sd)])]
+    return sim.chain_summary(sim.sample_chains(spark, None, [0.0, 0.0], 400, 200, 2, "gibbs", conditionals=blocks))
+
+
+@register("mcmc_multi_chain_hmc")
+def mcmc_multi_chain_hmc(spark, d):
+    return sim.gelman_rubin(sim.sample_chains(spark, _normal, [0.0, 0.0], 400, 200, 4, "hmc"))
+
+
 @register("garch_predictive")
 def garch_predictive(spark, d):
     x = _by_type(spark, d)
