@@ -60,9 +60,12 @@ def mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
 
     Returns the kept columns (default: id, source), mix_pass (from 0), n_tokens, mix_block, mix_block_key, mix_row_key,
     mix_weight, mix_passes. A null source is a source of its own. Rows without words cost nothing; a source of only such
-    rows has weight 0 and gets one pass. Repeated rows count each. An empty table gives an empty result.
+    rows has weight 0 and gets one pass. Repeated rows count each; a kept column with the name of an added one is an error. An empty table gives an empty result.
     """
     keep = keep or [id_col, source_col]
+    added = {"mix_pass", "n_tokens", "mix_block", "mix_weight", "mix_passes", "mix_block_key", "mix_row_key", "__s", "__i", "__text", "__whole", "__blocks", "__rest", "__tokens"}
+    if added & set(keep):
+        raise ValueError(f"columns exist already: {sorted(added & set(keep))}")
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     light = stash(docs.select(src.alias("__s"), word_count(text_col).alias("__t"), ident.alias("__i")), "mix-light")
@@ -84,25 +87,29 @@ def mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
         F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("__blocks"),
         F.col("tokens").alias("__tokens"),
     ).withColumn("__rest", F.greatest(F.lit(0), F.floor((F.col("mix_passes") - F.col("__whole")) * F.col("__tokens"))).cast("long"))
-    rows = docs.select(*keep, src.alias("__s"), word_count(text_col).alias("n_tokens"), ident.alias("__i")).join(plan, "__s")
-    rows = rows.withColumn("mix_block", _hash(F.col("__i"), F.lit(f"block{seed}")) % F.col("__blocks"))
+    plan = stash(plan, "mix-plan")  # a row a source: as a small file, Spark sends it to the rows instead of dealing these by source
+    block = lambda: (_hash(F.col("__i"), F.lit(f"block{seed}")) % F.col("__blocks")).alias("mix_block")
     block_key = lambda p: F.md5(F.concat_ws("|", F.col("__s"), F.col("mix_block").cast("string"), p.cast("string"), F.lit(str(seed))))
     row_key = lambda p: F.md5(F.concat_ws("|", F.col("__i"), p.cast("string"), F.lit(str(seed))))
     # the last pass: which blocks fit whole, and where the budget ends
     cols = ["__s", "mix_block", "__whole", "__rest"]
-    blocks = light.join(plan.select("__s", "__whole", "__rest", "__blocks"), "__s").withColumn("mix_block", _hash(F.col("__i"), F.lit(f"block{seed}")) % F.col("__blocks"))
+    blocks = light.join(plan, "__s").select("__s", "__whole", "__rest", "__t", block())
     blocks = blocks.groupBy(*cols).agg(F.sum("__t").alias("__bt")).withColumn("__k", block_key(F.col("__whole")))
     upto = Window.partitionBy("__s").orderBy("__k", "mix_block").rowsBetween(Window.unboundedPreceding, 0)  # MAX_BLOCKS rows a source at most
     blocks = stash(blocks.select("__s", "mix_block", "__rest", (F.sum("__bt").over(upto) - F.col("__bt")).alias("__before"), "__bt")
                    .filter("__before < __rest").select("__s", "mix_block", "__before", (F.col("__before") + F.col("__bt") > F.col("__rest")).alias("__cut")), "mix-blocks")
     drop(light)
-    whole = rows.filter("__whole > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1)))
-    part = rows.join(blocks.filter("not __cut").select("__s", "mix_block"), ["__s", "mix_block"]).withColumn("mix_pass", F.col("__whole"))
-    ending = rows.join(blocks.filter("__cut").select("__s", "mix_block", "__before"), ["__s", "mix_block"]).withColumn("mix_pass", F.col("__whole"))
+    rows = docs.select(*keep, src.alias("__s"), F.col(text_col).alias("__text"), ident.alias("__i")).join(plan, "__s").select("*", block())
+    # one scan gives every row its whole passes and, where its block fits, the last; another looks at the blocks that are cut
+    several = F.sequence(F.lit(0), F.col("__whole") - F.when(F.col("__fits"), 0).otherwise(1))
+    fits = blocks.filter("not __cut").select("__s", "mix_block", F.lit(True).alias("__fits"))
+    whole = rows.join(fits, ["__s", "mix_block"], "left").withColumn("__fits", F.coalesce("__fits", F.lit(False))).filter("__fits or __whole > 0")
+    whole = whole.withColumn("n_tokens", word_count("__text")).withColumn("mix_pass", F.explode(several))
+    ending = rows.join(blocks.filter("__cut").select("__s", "mix_block", "__before"), ["__s", "mix_block"]).withColumn("mix_pass", F.col("__whole")).withColumn("n_tokens", word_count("__text"))
     own = Window.partitionBy("__s").orderBy(row_key(F.col("mix_pass")), *[F.col(c) for c in ("__i", "n_tokens")]).rowsBetween(Window.unboundedPreceding, 0)  # one block a source
     ending = ending.withColumn("__at", F.col("__before") + F.sum("n_tokens").over(own) - F.col("n_tokens")).filter("__at < __rest")
     out = [*keep, "mix_pass", "n_tokens", "mix_block", "mix_weight", "mix_passes", "__s", "__i"]
-    every = whole.select(*out).unionByName(part.select(*out)).unionByName(ending.select(*out))
+    every = whole.select(*out).unionByName(ending.select(*out))
     every = every.withColumn("mix_block_key", block_key(F.col("mix_pass"))).withColumn("mix_row_key", row_key(F.col("mix_pass")))
     return every.drop("__s", "__i")
 

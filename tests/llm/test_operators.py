@@ -181,6 +181,8 @@ def test_mixing_keeps_all_within_the_limit(corpus, nothing):
     for s in tokens:
         assert took[s] >= math.floor(passes[s] * tokens[s]) - 1  # the budget, and less than one row beyond it
     assert mixing.mixture(nothing).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixture(df.withColumn("n_tokens", F.lit(1)), keep=["doc_id", "n_tokens"])
 
 
 def test_mixing_meets_entropy_and_budget(spark):
