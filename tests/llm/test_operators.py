@@ -575,6 +575,19 @@ def test_a_group_larger_than_a_shard(spark):
     assert sorted(n.values()) == [25] * 4
 
 
+def test_a_hot_group_fills_shards_one_after_the_other(spark):
+    rows = [(i, "hot" if i < 160 else f"g{i // 4}" if i < 320 else f"t{i}") for i in range(480)]
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    n = Counter(r["shard"] for r in out)
+    assert sorted(n.values()) == [60] * 8
+    texts = dict(rows)
+    at = defaultdict(Counter)
+    for r in out:
+        at[texts[r["doc_id"]]][r["shard"]] += 1
+    assert sum(sorted(at["hot"].values())[-4:]) >= 150, at["hot"]  # three shards would do, but that small groups hold their places
+    assert sum(len(v) > 1 for k, v in at.items() if k[0] == "g") <= 4
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
