@@ -244,12 +244,14 @@ def iv_2sls_white(spark, d):
     return _rounded(rg.iv_2sls(x, "y", ["x"], ["z", "z2"], cov="white").filter("term = 'x'").select("term", "beta", "se", "n"), 4)
 
 
-@register("iv_2sls_newey_west")
+@register("iv_2sls_newey_west", f"""WITH {DAILY}, a AS (SELECT seq, y, c AS x, lag(c) OVER (ORDER BY seq) AS z FROM ds), p AS (SELECT seq, y - avg(y) OVER () AS y, x - avg(x) OVER () AS x, z - avg(z) OVER () AS z FROM a WHERE z IS NOT NULL),
+b AS (SELECT sum(z * y) / sum(z * x) AS b, sum(z * x) AS zx FROM p), u AS (SELECT seq, z * (y - b * x) AS u FROM p, b), m AS (SELECT sum(a.u * b.u * (1 - abs(a.seq - b.seq) / 13.0)) AS m FROM u a JOIN u b ON abs(a.seq - b.seq) <= 12)
+SELECT 'c' AS term, {_r('b', 'beta', 4)}, {_r('sqrt(m) / abs(zx)', 'se', 4)} FROM b, m""")
 def iv_2sls_newey_west(spark, d):
     from .plans.frame import lags
 
     x = lags(_daily(spark, d), ["c"], 1, ["one"], ["day"])
-    return rg.iv_2sls(x, "y", ["c"], ["c_lag1"], cov="newey_west", order=["day"], max_lag=12)
+    return _rounded(rg.iv_2sls(x, "y", ["c"], ["c_lag1"], cov="newey_west", order=["day"], max_lag=12).filter("term = 'c'").select("term", "beta", "se"), 4)
 
 
 PANEL = "o AS (SELECT o_custkey, date_diff('month', DATE '1990-01-01', o_orderdate::DATE) AS m, o_totalprice / 1e5 AS y, (length(o_orderpriority) + o_orderkey % 7) / 1.0 AS x FROM orders)"
@@ -268,9 +270,20 @@ def fixed_effects(spark, d):
     return _rounded(panel.fixed_effects(_panel(spark, d), "y", ["x"], "o_custkey", "m").select("term", "beta", "se"))
 
 
-@register("fixed_effects_two_way")
+def _two_way_sql(rounds: int = 20) -> str:
+    ctes, now = [], "o"
+    for k in range(2 * rounds):
+        by = "m" if k % 2 else "o_custkey"
+        ctes.append(f"p{k} AS (SELECT o_custkey, m, y - avg(y) OVER (PARTITION BY {by}) AS y, x - avg(x) OVER (PARTITION BY {by}) AS x FROM {now})")
+        now = f"p{k}"
+    meat = lambda by: f"(SELECT sum(u * u) * count(*) / (count(*) - 1.0) FROM (SELECT sum(u) AS u FROM e GROUP BY {by}))"
+    return f"""WITH {PANEL}, {', '.join(ctes)}, b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx FROM {now}), e AS (SELECT o_custkey, m, (y - b * x) * x AS u FROM {now}, b)
+SELECT 'x' AS term, {_r('b', 'beta')}, {_r(f"sqrt({meat('o_custkey')} + {meat('m')} - {meat('o_custkey, m')}) / sxx", 'se')} FROM b"""
+
+
+@register("fixed_effects_two_way", _two_way_sql())
 def fixed_effects_two_way(spark, d):
-    return panel.fixed_effects(_panel(spark, d), "y", ["x"], "o_custkey", "m", effects="twoway", cov="both", rounds=10)
+    return _rounded(panel.fixed_effects(_panel(spark, d), "y", ["x"], "o_custkey", "m", effects="twoway", cov="both").select("term", "beta", "se"))
 
 
 @register("count_unique", "SELECT count(DISTINCT o_custkey) AS n FROM orders")

@@ -382,3 +382,18 @@ def test_windows_of_the_component_model(spark):
     assert sorted(got) == [0, 1, 2, 3]
     for k, v in got.items():
         assert v == pytest.approx(math.sqrt(vol.component_volatility(r[21 * k : 21 * k + 60], (r * r)[21 * k : 21 * k + 60])[2][-1] * 252), rel=1e-4)
+
+
+def test_two_way_effects_of_an_unbalanced_panel(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(int(e), int(t), float(rng.normal()), float(rng.normal())) for e in range(30) for t in rng.choice(12, rng.integers(2, 9))]
+    rows = [(e, t, 2.0 * x + 0.1 * y + 0.3 * e - 0.2 * t * t, x) for e, t, y, x in rows]
+    df = spark.createDataFrame(rows, "e long, t long, y double, x double")
+    d = np.column_stack([np.equal.outer([r[0] for r in rows], range(30)), np.equal.outer([r[1] for r in rows], range(1, 12)), [r[3] for r in rows]]).astype(float)
+    want = np.linalg.lstsq(d, np.array([r[2] for r in rows]), rcond=None)[0][-1]
+    exact = panel.fixed_effects(df, "y", ["x"], "e", "t", effects="twoway", cov="classical").first()
+    assert exact["beta"] == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(panel, "SOLVED", 3)
+    assert panel.fixed_effects(df, "y", ["x"], "e", "t", effects="twoway", cov="classical", rounds=30).first()["beta"] == pytest.approx(want, abs=1e-6)
+    with pytest.raises(RuntimeError):
+        panel.fixed_effects(df, "y", ["x"], "e", "t", effects="twoway", cov="classical", rounds=1).first()
