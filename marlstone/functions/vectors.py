@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,25 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
+def column(a: DataFrame, j: int) -> DataFrame:
+    """(i, value) of a column of a long-form matrix."""
+    return a.filter(F.col("j") == j).select("i", "value")
+
+
+def with_column(a: DataFrame, j: int, values: DataFrame) -> DataFrame:
+    """The matrix with column j replaced by values (i, value)."""
+    return a.filter(F.col("j") != j).select("i", "j", "value").unionByName(values.select("i", F.lit(j).cast(a.schema["j"].dataType).alias("j"), "value"))
+
+
+def filled(spark: SparkSession, rows: int, cols: int, value: float = 0.0) -> DataFrame:
+    """A rows x cols matrix of one value: zeros, ones."""
+    return spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("j"), F.lit(float(value)).alias("value"))
+
+
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    return filled(spark, n, n).withColumn("value", (F.col("i") == F.col("j")).cast("double"))
+
+
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
 

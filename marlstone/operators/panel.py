@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import newey_west_auto_lag, two_sided_p
 from ..plans.gram import gram, solve_rows, unpack
 from .regression import COEF, design, ols, solve_gram
+from .regression import summary as regression_summary
 
 
 def demean_by_group(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
@@ -74,6 +75,12 @@ def fixed_effects(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: s
     return ols(d, y, xs, intercept=False, cov="cluster" if clusters else "classical", cluster=clusters)
 
 
+def summary(df: DataFrame, rows: list, entity: str, time: str, effects: str = "entity") -> str:
+    """Text of a within fit: the effects, entities, periods and rows an entity on average, then the coefficients."""
+    n = df.agg(F.countDistinct(entity).alias("e"), F.countDistinct(time).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    return regression_summary(rows, f"Fixed effects ({effects})", entities=n["e"], periods=n["t"], rows_an_entity=n["n"] / max(1, n["e"]))
+
+
 def fama_macbeth(df: DataFrame, y: str, xs: Sequence[str], time: str, intercept: bool = False, hac_lag: int | None = None) -> DataFrame:
     """Cross-section regressions by period and the means of their coefficients; errors by Newey-West over periods (lag
     floor(T^(1/3)); 0 for plain ones). Periods that can't be fitted are left out, and counted."""
@@ -102,4 +109,4 @@ def fama_macbeth(df: DataFrame, y: str, xs: Sequence[str], time: str, intercept:
     return df.sparkSession.createDataFrame(out, "term string, gamma double, se double, t double, p double, n_periods long, n_skipped long")
 
 
-__all__ = ["fixed_effects", "fama_macbeth", "demean_by_group", "count_unique", "within", "COEF"]
+__all__ = ["fixed_effects", "fama_macbeth", "demean_by_group", "count_unique", "within", "summary", "COEF"]

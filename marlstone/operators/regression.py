@@ -325,10 +325,13 @@ def iv_2sls(df: DataFrame, y: str, xs: Sequence[str], zs: Sequence[str], by: Seq
     return solve_rows(g, by, solve, IV)
 
 
-def summary(rows: list) -> str:
-    """A fit's rows as text."""
+def summary(rows: list, title: str = "OLS", **facts) -> str:
+    """A fit's rows as text, under its title, the number of rows and R2, and whatever else is given (entities, periods, ..)."""
+    first = rows[0].asDict() if hasattr(rows[0], "asDict") else dict(rows[0])
+    known = {"n": first.get("n"), "r2": first.get("r2"), "adj. r2": first.get("adj_r2")} | facts
+    line = "   ".join(f"{k} = {v:.6g}" if isinstance(v, float) else f"{k} = {v}" for k, v in known.items() if v is not None)
     head = f"{'term':<16}{'beta':>14}{'se':>14}{'t':>10}{'p':>10}"
-    return "\n".join([head, *[f"{r['term']:<16}{r['beta']:>14.6g}{r['se']:>14.6g}{r['t']:>10.3f}{r['p']:>10.4f}" for r in rows]])
+    return "\n".join([title, line, "-" * len(head), head, *[f"{r['term']:<16}{r['beta']:>14.6g}{r['se']:>14.6g}{r['t']:>10.3f}{r['p']:>10.4f}" for r in rows]])
 
 
 __all__ = ["ols", "batched_ols", "batched_ols_columns", "rolling_ols", "expanding_ols", "fgls", "gls", "iv_2sls", "residuals", "summary", "newey_west_auto_lag", "f_sf"]

@@ -37,7 +37,8 @@ def har_features(df: DataFrame, rv: str, by: Sequence[str], order: Sequence[str]
 
 
 def var(df: DataFrame, ys: Sequence[str], p: int, order: Sequence[str], by: Sequence[str] = ()) -> dict:
-    """Vector autoregression of one system from one aggregate: coefficients (equation x [1, lag 1 of each, ..]), residual
+    """Vector autoregression of one system from one aggregate (``by``: lags stay within a key, coefficients are common;
+    var_systems gives each key its own): coefficients (equation x [1, lag 1 of each, ..]), residual
     covariance U'U / T, log likelihood, AIC, BIC, and a DataFrame of coefficients."""
     if len(ys) < 2:
         raise ValueError("fewer than two variables")
@@ -64,6 +65,17 @@ def var(df: DataFrame, ys: Sequence[str], p: int, order: Sequence[str], by: Sequ
     return {"coefficients": b, "sigma": sigma, "n": n, "p": p, "names": list(ys), "ll": ll, "aic": -2 * ll + 2 * b.size, "bic": -2 * ll + math.log(n) * b.size, "table": coefs}
 
 
+def var_systems(df: DataFrame, ys: Sequence[str], p: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """A vector autoregression for each key: (by, equation, term, beta, se, t, p, n, sigma, status), an aggregate an equation."""
+    rows = lags(df, ys, p, by, order)
+    xs = [f"{y}_lag{k}" for k in range(1, p + 1) for y in ys]
+    parts = [ols(rows, y, xs, by).select(*by, F.lit(y).alias("equation"), "term", "beta", "se", "t", "p", "n", "sigma", "status") for y in ys]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def impulse_responses(fit: dict, horizon: int) -> np.ndarray:
     """Orthogonal responses [h, response, shock] by the Cholesky factor of the residual covariance."""
     m, p = len(fit["names"]), fit["p"]

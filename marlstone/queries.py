@@ -380,6 +380,15 @@ def var_2(spark, d):
     return _rounded(tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"])["table"].select("equation", "term", "beta", "se", "n"))
 
 
+DAYS = "d AS (SELECT event_type, ts::DATE AS day, avg(value) / 100 AS v, count(*) / 10.0 AS k FROM events GROUP BY 1, 2), a AS (SELECT event_type, day, v, k, lag(v) OVER w AS v1, lag(k) OVER w AS k1 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day))"
+
+
+@register("var_by_type", " UNION ALL ".join(f"SELECT '{e}' AS equation, * FROM ({regression(DAYS, 'a', e, ['1.0', 'v1', 'k1'], ['const', 'v_lag1', 'k_lag1'], by=['event_type'], digits=5)}) {e}_" for e in ("v", "k")))
+def var_by_type(spark, d):
+    x = _events(spark, d).groupBy("event_type", F.col("ts").cast("date").alias("day")).agg((F.avg("value") / 100).alias("v"), (F.count(F.lit(1)) / 10.0).alias("k"))
+    return _rounded(tseries.var_systems(x, ["v", "k"], 1, KIND, ["day"]).select("event_type", "equation", "term", "beta", "se", "n"), 5)
+
+
 @register("var_irf", f"{_responses_sql()} SELECT h, response, shock, {_r('value', 'value')} FROM i")
 def var_irf(spark, d):
     return _rounded(tseries.var_irf(spark, tseries.var(_daily(spark, d), ["y", "c"], 2, ["day"], ["one"]), 10))

@@ -397,3 +397,67 @@ def test_two_way_effects_of_an_unbalanced_panel(spark, monkeypatch):
     assert panel.fixed_effects(df, "y", ["x"], "e", "t", effects="twoway", cov="classical", rounds=30).first()["beta"] == pytest.approx(want, abs=1e-6)
     with pytest.raises(RuntimeError):
         panel.fixed_effects(df, "y", ["x"], "e", "t", effects="twoway", cov="classical", rounds=1).first()
+
+
+def test_long_form_matrices(spark):
+    from marlstone.functions import vectors as vec
+
+    a = np.arange(6.0).reshape(2, 3)
+    long = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(2) for j in range(3)], "i long, j long, value double")
+
+    def dense(df, n, m):
+        out = np.zeros((n, m))
+        for r in df.collect():
+            out[r["i"], r["j"]] = r["value"]
+        return out
+
+    assert (dense(vec.matmul(long, vec.transpose(long)), 2, 2) == a @ a.T).all()
+    assert (dense(vec.matmul(long, vec.identity(spark, 3)), 2, 3) == a).all() and dense(vec.filled(spark, 2, 2, 1.0), 2, 2).sum() == 4
+    assert sorted(map(tuple, vec.column(long, 1).collect())) == [(0, 1.0), (1, 4.0)]
+    new = vec.with_column(long, 1, spark.createDataFrame([(0, 9.0), (1, 8.0)], "i long, value double"))
+    assert (dense(new, 2, 3) == np.array([[0, 9, 2], [3, 8, 5.0]])).all()
+
+
+def test_summaries(spark):
+    df = frame(spark, y=[1.0, 2.1, 2.9, 4.2, 5.0, 6.1], x=[1.0, 2, 3, 4, 5, 6], e=[0.0, 0, 0, 1, 1, 1])
+    text = regression.summary(regression.ols(df, "y", ["x"]).collect())
+    assert text.startswith("OLS\nn = 6   r2 = 0.99") and "const" in text and len(text.split("\n")) == 6
+    text = panel.summary(df, panel.fixed_effects(df, "y", ["x"], "e", "seq0", cov="classical").collect(), "e", "seq0")
+    assert "Fixed effects (entity)" in text and "entities = 2   periods = 6   rows_an_entity = 3" in text
+
+
+def test_linear_algebra(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    spd = x.T @ x
+    assert linalg.cholesky(spd) == pytest.approx(np.linalg.cholesky(spd)) and linalg.invert_spd(spd) @ spd == pytest.approx(np.eye(4), abs=1e-9)
+    b = rng.normal(size=40)
+    assert linalg.solve_least_squares(x, b) == pytest.approx(np.linalg.lstsq(x, b, rcond=None)[0]) and linalg.solve_spd(spd, x.T @ b) == pytest.approx(np.linalg.solve(spd, x.T @ b))
+    s = np.linalg.svd(x, compute_uv=False)
+    assert linalg.condition_number(x) == pytest.approx(s[0] / s[-1]) and linalg.svd(x)[1] == pytest.approx(s)
+    assert linalg.eigen_symmetric(spd)[0] == pytest.approx(np.sort(s**2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double, d double")
+    for wide in (16, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(linalg, "WIDE", wide)
+            u, got, vt = linalg.tall_svd(df, list("abcd"))
+            assert got == pytest.approx(s)
+            w = np.array([[r[f"u{j + 1}"] for j in range(4)] for r in u.orderBy("k").collect()])
+            assert w @ np.diag(got) @ vt == pytest.approx(x)
+            mean, cov, n = linalg.covariance_matrix(df, list("abcd"))
+            assert cov == pytest.approx(np.cov(x.T)) and mean == pytest.approx(x.mean(0)) and n == 40
+    comp, scores = linalg.pca(df, list("abcd"), 2)
+    val = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert sorted({r["variance"] for r in comp.collect()}, reverse=True) == pytest.approx(list(val[:2]))
+    assert scores.agg(F.var_samp("score1")).first()[0] == pytest.approx(val[0])
+
+
+def test_dic_and_rolling_callbacks(spark):
+    d = spark.createDataFrame([("a", 0, k, -10.0 - k) for k in range(3)], "g string, chain long, draw long, ll double")
+    at = spark.createDataFrame([("a", -10.5)], "g string, ll_mean double")
+    assert simulation.dic(d, at, ["g"]).first()["dic"] == pytest.approx(2 * (2 * 11) + 2 * -10.5)
+    df = frame(spark, v=[3.0, 1, 4, 1, 5, 9, 2, 6])
+    got = [(r["seq"], r["value_applied"]) for r in returns.rolling_apply(df, "v", 3, lambda s: float(s.max() - s.min()), ["g"], ["seq0"]).orderBy("seq").collect()]
+    assert got == [(2, 3.0), (3, 3.0), (4, 4.0), (5, 8.0), (6, 7.0), (7, 7.0)]
+    got = [r["value_applied"] for r in returns.expanding_apply(df, "v", 6, lambda s: float(len(s)), ["g"], ["seq0"]).orderBy("seq").collect()]
+    assert got == [6.0, 7.0, 8.0] and returns.rolling_apply(df, "v", 30, lambda s: 0.0, ["g"], ["seq0"]).count() == 0
