@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, f_sf, newey_west_auto_lag, two_sided_p
@@ -59,9 +59,9 @@ def table(fit: dict, terms: Sequence[str], cov: np.ndarray | None, n: int) -> li
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), cov: str = "classical", intercept: bool = True, weight: str | None = None,
-        order: Sequence[str] = (), max_lag: int | None = None, cluster: Sequence[str] = ()) -> DataFrame:
+        order: Sequence[str] = (), max_lag: int | Column | None = None, cluster: Sequence[str] = ()) -> DataFrame:
     """Ordinary (or weighted) least squares per group ``by``: a row a coefficient. cov: classical, white (HC0), newey_west
-    (needs ``order``; lag floor(n^(1/3)) by default), cluster (one or two columns). p-values are two-sided normal. Groups
+    (needs ``order``; lag floor(n^(1/3)) by default; may be a column of ``by``), cluster (one or two columns). p-values are two-sided normal. Groups
     that can't be fitted have a status and nulls; rows with a null in y, xs or by's order aren't used."""
     terms, cols = design(xs, intercept), [*xs, y]
     g = gram(df, cols, by, weight)
@@ -134,7 +134,7 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), cov: s
     return solve_rows(joined, by, sandwich, COEF)
 
 
-def _bartlett(scored: DataFrame, names: list[str], by: Sequence[str], order: Sequence[str], max_lag: int | None, meat) -> DataFrame:
+def _bartlett(scored: DataFrame, names: list[str], by: Sequence[str], order: Sequence[str], max_lag: int | Column | None, meat) -> DataFrame:
     """The Bartlett sum as one window and one aggregate: with L zero rows after each series and W the sum of L + 1 scores,
     S = sum(W W') / (L + 1), whatever L is."""
     if not order:
@@ -142,7 +142,7 @@ def _bartlett(scored: DataFrame, names: list[str], by: Sequence[str], order: Seq
     key = list(by) or ["__all"]
     s = with_seq(scored.withColumn("__all", F.lit(0)), key, list(order), "__seq")
     n = s.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    auto = F.floor(F.pow(F.col("__n").cast("double"), F.lit(1 / 3))) if max_lag is None else F.lit(max_lag)
+    auto = F.floor(F.pow(F.col("__n").cast("double"), F.lit(1 / 3))) if max_lag is None else max_lag if isinstance(max_lag, Column) else F.lit(max_lag)
     n = n.withColumn("__L", auto.cast("long"))
     pad = n.filter("`__L` > 0").withColumn("__seq", F.explode(F.sequence(F.col("__n"), F.col("__n") + F.col("__L") - 1)))
     rows = s.select(*key, "__seq", *names).unionByName(pad.select(*key, "__seq", *[F.lit(0.0).alias(c) for c in names]))

@@ -121,16 +121,15 @@ def granger_causality(df: DataFrame, y: str, x: str, n_lags: int, by: Sequence[s
 
 def local_projections(df: DataFrame, y: str, x: str, horizon: int, by: Sequence[str], order: Sequence[str], n_lags: int = 2, controls: Sequence[str] = (), max_lag: int | None = None) -> DataFrame:
     """Response of y at t + h to x at t, h = 0..horizon, given lags of both and controls; Newey-West errors of lag h + 1,
-    95 % bands, and the cumulative response. With x = y the duplicate lags are left out. One window pass makes all leads."""
+    95 % bands, and the cumulative response. With x = y the duplicate lags are left out. All horizons are one regression by
+    (key, horizon): one window pass makes the leads, and a row goes on once a horizon."""
     rows = leads(lags(df, list(dict.fromkeys([y, x])), n_lags, by, order), y, horizon, by, order).withColumn("__x", F.col(x))
     xs = ["__x", *controls, *[f"{c}_lag{k}" for c in dict.fromkeys([y, x]) for k in range(1, n_lags + 1)]]
-    out = None
-    for h in range(0 if x != y else 1, horizon + 1):
-        fit = ols(rows, f"{y}_lead{h}", xs, by, cov="newey_west", order=order, max_lag=h + 1 if max_lag is None else max_lag).filter("term = '__x'")
-        one = fit.select(*by, F.lit(h).alias("h"), F.col("beta").alias("irf"), "se", (F.col("beta") - 1.96 * F.col("se")).alias("lower"), (F.col("beta") + 1.96 * F.col("se")).alias("upper"), "n", "status")
-        out = one if out is None else out.unionByName(one)
-    w = ordered(by, ["h"])
-    return out.withColumn("cumulative", F.sum("irf").over(w))
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"{y}_lead{h}").alias("__lead")) for h in range(0 if x != y else 1, horizon + 1)]))
+    long = rows.select(*dict.fromkeys([*by, *order, *xs]), each.alias("__e")).select("*", "__e.h", "__e.__lead").drop("__e")
+    fit = ols(long, "__lead", xs, [*by, "h"], cov="newey_west", order=order, max_lag=F.col("h") + 1 if max_lag is None else max_lag).filter("term = '__x'")
+    out = fit.select(*by, "h", F.col("beta").alias("irf"), "se", (F.col("beta") - 1.96 * F.col("se")).alias("lower"), (F.col("beta") + 1.96 * F.col("se")).alias("upper"), "n", "status")
+    return out.withColumn("cumulative", F.sum("irf").over(ordered(by, ["h"])))
 
 
 def forecast_eval(df: DataFrame, actual: str, forecast: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
