@@ -44,3 +44,26 @@ def test_pipeline_stages(spark):
     out = p.run(spark, SF)
     assert out.select("doc_id").distinct().count() == len(cut)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, corpus, nothing):
+    """Null and repeated ids, null, empty and long texts, repeated rows, an empty table, columns with clashing names."""
+    import corpus_pipeline as p
+
+    df, rows = corpus
+    clash = df.withColumn("th", df["doc_id"]).withColumn("mix_pass", df["n"]).withColumn("ids", df["n"])
+    for name, stage in p.STAGES:
+        out = stage(spark, clash, SF)
+        assert out.columns == (p.COLUMNS if name != "bpe" else ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
+        got = [r["doc_id"] for r in out.collect()]
+        empty = stage(spark, nothing, SF)
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name in ("toxicity", "bpe"):  # nothing here is toxic
+            assert len(got) == len(rows) and got.count(None) == 2
+        elif name == "ngram_jaccard_join":
+            # texts[1] and its copies are one; the repeated row 4 is one; without words all stay; the null-id copy of texts[2] goes
+            assert got.count(1) == 1 and got.count(4) == 1 and got.count(None) == 1 and not {72, 73, 80} & set(got)
+        elif name == "suffix_array_dedup":
+            assert got.count(4) == 3 and len(got) < len(rows)
+        else:
+            assert all(got.count(i) >= [r[0] for r in rows].count(i) for i in set(got)) and set(got) == {r[0] for r in rows}
