@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegralType
 
 from .common import among, drop, stash, trimmed
 from .components import components
-from .words import ONE, TWO, bounded, mix, shingle_set, windows, word_hashes
+from .words import ONE, TWO, bounded, mix, shingle_set
 
 RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
