@@ -14,7 +14,6 @@ from ..functions.dist import f_sf, normal_quantile, two_sided_p
 from ..plans.frame import lags, leads, ordered, with_seq
 from ..plans.gram import gram, solve_rows, unpack
 from .regression import ols, solve_gram
-from .returns import difference
 
 
 def ar(df: DataFrame, y: str, p: int, by: Sequence[str], order: Sequence[str], intercept: bool = True, cov: str = "newey_west") -> DataFrame:
