@@ -18,7 +18,7 @@ RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
 KEYS_A_TASK = 1_000_000
 LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
-LEADERS = 2
+LEADERS, STARS, FEW = 2, 8, 64  # leaders of a class in a round, rounds of them, classes of a tile that are compared at once
 KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
 MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4")])
 
@@ -395,14 +395,31 @@ class _Join:
         maybe = stash(self.possible(stars, texts), "jaccard-maybe")
         links = self.verify(maybe, texts)
         drop(maybe)
-        roots = components(links).select(F.col("node").alias("cls"), "root")
-        tiles = self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n"))
-        tiles = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        open_ = tiles.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
-        tiles = stash(tiles.join(open_, "key"), "jaccard-open")
+        tiles = self.open_tiles(self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n")), links)
+        drop(texts)
         count = tiles.count()
+        texts = self.texts(tiles.select("cls")) if count else None
+        for salt in range(1, STARS):  # classes of larger tiles meet other leaders, as long as that connects any
+            many = tiles.filter(F.col("size") > FEW)
+            if not count or not many.limit(1).count():
+                break
+            order = F.xxhash64("cls", F.pmod(F.col("key"), F.lit(LEADERS)) + F.lit(salt * LEADERS))
+            lead = many.groupBy("key").agg(F.min_by(F.struct("cls", "n", "root"), order).alias("l"))
+            near = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
+            pairs = many.join(lead, "key").filter((F.col("root") != F.col("l.root")) & near).select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), F.col("l.cls").alias("g")).distinct()
+            maybe = stash(self.possible(pairs, texts), "jaccard-maybe")
+            more = self.verify(maybe, texts)
+            drop(maybe)
+            if not more.limit(1).count():
+                break
+            after = stash(links.unionByName(more), "jaccard-links")
+            drop(links, more)
+            links = after
+            now = self.open_tiles(tiles.select("key", "cls", "n"), links)
+            drop(tiles)
+            tiles, count = now, now.count()
         if not count:
-            drop(tiles, texts)
+            drop(tiles)
             return links
         # a large tile falls into bands of sizes: a set is in its own and in the next, so linked sets meet; large bands
         # into blocks, each of which meets each
@@ -417,8 +434,6 @@ class _Join:
         both = F.col("tile").alias("tile"), F.col("cross").alias("cross"), "cls", "n", "root", "block"
         small = tiles.filter(f"size <= {TILE}").select(F.col("key").cast("string").alias("tile"), F.lit(False).alias("cross"), "cls", "n", "root", F.lit(0).cast("long").alias("block"))
         members = small.unionByName(dealt.select(*both))
-        drop(texts)
-        texts = self.texts(tiles.select("cls"))
         rows = members.join(texts.select("cls", "sig"), "cls").select("tile", "cross", "cls", "n", "root", "block", "sig")
         rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile")
         pairs = stash(rows.mapInArrow(lambda b: _tiles(b, percent), "a long, b long, g long").distinct(), "jaccard-pairs")
@@ -427,6 +442,13 @@ class _Join:
         drop(tiles, large, texts, pairs, links, more)
         return out
 
+    def open_tiles(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
+        """(key, class, size, root, classes of the key) of the keys whose classes aren't all connected."""
+        roots = components(links).select(F.col("node").alias("cls"), "root")
+        rooted = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+        return stash(rooted.join(apart, "key"), "jaccard-open")
+
     def result(self) -> DataFrame:
         """Per row: id, th, n, component (a class), the least member (none, id, th) of the component."""
         links = self.links()
@@ -455,7 +477,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     candidate_keys gives any linked pair a key in common. Each key is a tile: only sets that share a key, and are of near
     sizes, are compared. First each class of a tile meets the tile's leader; classes that such links connect need no more
-    comparison, so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
+    comparison (the others in tiles of over FEW classes meet other leaders, while that connects any), so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
     with classes that are still apart, pairs that sizes and bitmaps let link are compared; tiles over TILE classes are
     split by bands of sizes and pairs of blocks. A key that is frequent in a batch is dealt to all tasks. Texts travel
     only to the comparisons that bounds leave over.

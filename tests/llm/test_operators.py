@@ -251,6 +251,7 @@ def prose_words(rng, n):
 @pytest.mark.parametrize("n,percent,tile", [(5, 80, 4), (2, 55, 1024)])
 def test_jaccard_where_frequent_keys_chain_all_texts(spark, monkeypatch, n, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "FEW", 4)
     monkeypatch.setattr(jaccard, "LOCAL", 3)  # keys of three sets of a batch go to all tasks
     rows = chained(random.Random(n))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
