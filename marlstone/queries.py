@@ -217,9 +217,11 @@ def gls(spark, d):
     return _rounded(spark.createDataFrame([(t, float(b), float(s), n) for t, b, s in zip(("const", "c"), f["beta"], f["se"])], "term string, beta double, se double, n long"))
 
 
-@register("fgls_modelled")
+@register("fgls_modelled", f"""WITH {LINES}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l), e AS (SELECT l.x, l.y, ln(greatest((y - a - b * x) * (y - a - b * x), 1e-15)) AS le FROM l, f),
+h AS (SELECT regr_slope(le, x) AS b, regr_intercept(le, x) AS a FROM e), q AS (SELECT x, y, exp(-(h.a + h.b * x)) AS w FROM e, h), m AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM q),
+c AS (SELECT sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS b, max(mx) AS mx, max(my) AS my FROM q, m) SELECT 'x' AS term, {_r('b', 'beta', 5)} FROM c UNION ALL SELECT 'const', round(my - b * mx, 5) FROM c""")
 def fgls_modelled(spark, d):
-    return rg.fgls(_lines(spark, d), "y", ["x"], method="modelled")
+    return _rounded(rg.fgls(_lines(spark, d), "y", ["x"], method="modelled").select("term", "beta"), 5)
 
 
 IV_FIT = f"{LINES}, p AS (SELECT y, x, z, z * z AS z2 FROM l), c AS (SELECT y, x, z - avg(z) OVER () AS z, z2 - avg(z2) OVER () AS w, x - avg(x) OVER () AS dx FROM p), o AS (SELECT y, x, z, dx, w - z * (sum(w * z) OVER () / sum(z * z) OVER ()) AS w FROM c)"
@@ -433,9 +435,14 @@ def forecast_eval(spark, d):
     return f.select("user_id", "n", F.round("mae", 5).alias("mae"), F.round("mse", 3).alias("mse"), F.round("rmse", 5).alias("rmse"), F.round("theil_u", 6).alias("theil_u"), F.round("r2", 6).alias("r2"))
 
 
-@register("arima_110")
+ARIMA = """s AS (SELECT user_id, ts, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS z FROM events), l AS (SELECT *, lag(z) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS z1 FROM s),
+f AS (SELECT user_id, regr_slope(z, z1) AS phi, regr_intercept(z, z1) AS c, (regr_syy(z, z1) - regr_slope(z, z1) * regr_sxy(z, z1)) / (count(*) - 2) AS s2, count(*) AS n FROM l WHERE z1 IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)"""
+
+
+@register("arima_110", f"WITH {ARIMA} SELECT user_id, round(c, 5) AS const, round(phi, 6) AS phi, round(s2, 3) AS sigma2, n FROM f")
 def arima_110(spark, d):
-    return tseries.arima(_events(spark, d), "value", 1, 1, 0, USER, BY_TIME)
+    f = tseries.arima(_events(spark, d), "value", 1, 1, 0, USER, BY_TIME).filter("status = 'ok'")
+    return f.select("user_id", F.round("const", 5).alias("const"), F.round(F.get("ar", F.lit(0)), 6).alias("phi"), F.round("sigma2", 3).alias("sigma2"), "n")
 
 
 @register("arima_111")
@@ -443,9 +450,11 @@ def arima_111(spark, d):
     return tseries.arima(_events(spark, d), "value", 1, 0, 1, ["event_type"], BY_TIME)
 
 
-@register("arima_forecast")
+@register("arima_forecast", f"""WITH RECURSIVE {ARIMA}, e AS (SELECT user_id, arg_max(value, k) AS y, arg_max(z, k) AS z FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) t GROUP BY 1),
+r AS (SELECT user_id, 0 AS h, z, y, 0.0::DOUBLE AS psi, 0.0::DOUBLE AS v, c, phi, s2 FROM e JOIN f USING (user_id) UNION ALL SELECT user_id, h + 1, c + phi * z, y + c + phi * z, 1 + phi * psi, v + (1 + phi * psi) * (1 + phi * psi), c, phi, s2 FROM r WHERE h < 5)
+SELECT user_id, h::BIGINT AS h, round(y, 4) AS forecast, round(y - 1.959963984540054 * sqrt(s2 * v), 4) AS lower, round(y + 1.959963984540054 * sqrt(s2 * v), 4) AS upper FROM r WHERE h > 0""")
 def arima_forecast(spark, d):
-    return tseries.arima_forecast(_events(spark, d), "value", 1, 1, 0, 5, USER, BY_TIME)
+    return _rounded(tseries.arima_forecast(_events(spark, d), "value", 1, 1, 0, 5, USER, BY_TIME), 4)
 
 
 for _kind in ("garch", "gjr", "egarch", "garch_t"):
