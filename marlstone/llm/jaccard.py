@@ -18,7 +18,7 @@ RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
 KEYS_A_TASK = 1_000_000
 LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
-LEADERS, STARS, FEW = 2, 8, 64  # leaders of a class in a round, rounds of them, classes of a tile that are compared at once
+LEADERS, MORE, STARS, FEW = 2, 4, 3, 64  # leaders of a class in the first and in later rounds, rounds, classes of a tile that are compared at once
 KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
 MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4")])
 
@@ -403,7 +403,7 @@ class _Join:
             many = tiles.filter(F.col("size") > FEW)
             if not count or not many.limit(1).count():
                 break
-            order = F.xxhash64("cls", F.pmod(F.col("key"), F.lit(LEADERS)) + F.lit(salt * LEADERS))
+            order = F.xxhash64("cls", F.pmod(F.col("key"), F.lit(MORE)) + F.lit(salt * MORE))
             lead = many.groupBy("key").agg(F.min_by(F.struct("cls", "n", "root"), order).alias("l"))
             near = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
             pairs = many.join(lead, "key").filter((F.col("root") != F.col("l.root")) & near).select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), F.col("l.cls").alias("g")).distinct()
