@@ -105,8 +105,8 @@ def parity(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_of(n: int) -> int:
-    """About a bit an element: sets without much in common differ in half of the bits, linked ones in a fifth at most."""
-    return 1 << min(13, max(7, int(n - 1).bit_length()))
+    """Two bits an element or more, and 2048 at least: so the bound is near the differences that there are."""
+    return 1 << min(13, max(11, int(2 * n - 1).bit_length()))
 
 
 # --- keys, and the tiles that they make -------------------------------------------------------------------------------------
