@@ -15,6 +15,8 @@ from ..plans.frame import lags, leads, ordered, with_seq
 from ..plans.gram import gram, solve_rows, unpack
 from .regression import ols, solve_gram
 
+BLOCK, SLICE = 128, 65536  # rows that a recursion takes by one product, rows of a long regression's slice
+
 
 def ar(df: DataFrame, y: str, p: int, by: Sequence[str], order: Sequence[str], intercept: bool = True, cov: str = "newey_west") -> DataFrame:
     """Autoregression on p lags, a row a coefficient, with AIC and BIC from the variance per degree of freedom."""
@@ -140,14 +142,53 @@ def forecast_eval(df: DataFrame, actual: str, forecast: str, by: Sequence[str],
     return a.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), "mape", F.sqrt(F.try_divide("__s", "__w2")).alias("theil_u"), (1 - F.try_divide("__s", "__t")).alias("r2"))
 
 
+def _unfold(u: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """e with e[t] = u[t] - m[0] e[t-1] - m[1] e[t-2] .., zeros before the start: blocks by matrix products, then a state a block."""
+    q, n, wide = len(m), len(u), max(BLOCK, len(m))
+    if not q or not n:
+        return np.array(u, float)
+    h = np.zeros((wide + q, q + 1))  # to a one at the block's start, and to ones 1 .. q rows before it
+    h[q, 0] = 1.0
+    h[np.arange(q)[::-1], np.arange(1, q + 1)] = 1.0
+    for t in range(q, wide + q):
+        h[t] -= m @ h[t - q : t][::-1]
+    psi, h = h[q:, 0], h[q:, 1:]
+    at = np.arange(wide)[None, :] - np.arange(wide)[:, None]
+    blocks = -(-n // wide)
+    with np.errstate(all="ignore"):  # an m that isn't invertible overflows
+        e = np.concatenate((u, np.zeros(blocks * wide - n))).reshape(blocks, wide) @ np.where(at >= 0, psi[at], 0.0)
+        ends, back = e[:, : -q - 1 : -1], h[: -q - 1 : -1]
+        state = np.zeros((blocks, q))
+        for k in range(1, blocks):
+            state[k] = ends[k - 1] + back @ state[k - 1]
+        e += state @ h.T
+    return e.reshape(-1)[:n]
+
+
 def _css(beta: np.ndarray, z: np.ndarray, p: int, q: int) -> np.ndarray:
     """Residuals of z given [const, ar.., ma..], with zeros before the start."""
-    e = np.zeros(len(z))
-    c, a, m = beta[0], beta[1 : 1 + p], beta[1 + p :]
-    for t in range(p, len(z)):
-        ma = sum(m[j] * e[t - 1 - j] for j in range(min(q, t)))
-        e[t] = z[t] - c - (a @ z[t - p : t][::-1] if p else 0.0) - ma
-    return e
+    u = z[p:] - beta[0]
+    for j in range(p):
+        u = u - beta[1 + j] * z[p - 1 - j : len(z) - 1 - j]
+    return np.concatenate((np.zeros(p), _unfold(u, beta[1 + p :])))
+
+
+def _css_slopes(e: np.ndarray, beta: np.ndarray, z: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Derivatives of the residuals e from row p on by each of beta: they follow the recursion that the residuals do."""
+    x = [np.ones(len(z) - p), *[z[p - j : len(z) - j] for j in range(1, p + 1)]]
+    x += [np.concatenate((np.zeros(max(0, j - p)), e[max(0, p - j) : len(e) - j])) for j in range(1, q + 1)]
+    return np.column_stack([_unfold(-c, beta[1 + p :]) for c in x])
+
+
+def _long_residuals(z: np.ndarray, lags: int) -> np.ndarray:
+    """Residuals of a long autoregression, zeros for its first rows; by QR over slices of rows, so that lags take little memory."""
+    seen, r = np.lib.stride_tricks.sliding_window_view(z, lags + 1), np.empty((0, lags + 2))
+    rows = [slice(lo, lo + SLICE) for lo in range(0, len(seen), SLICE)]
+    with_one = lambda at: np.column_stack([np.ones(len(seen[at])), seen[at]])
+    for at in rows:
+        r = np.linalg.qr(np.concatenate((r, with_one(at))), mode="r")
+    b = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+    return np.concatenate([np.zeros(lags), *[seen[at, -1] - b[0] - seen[at, :-1] @ b[1:] for at in rows]])
 
 
 def fit_arima(y: np.ndarray, p: int, d: int, q: int) -> dict:
@@ -163,21 +204,28 @@ def fit_arima(y: np.ndarray, p: int, d: int, q: int) -> dict:
         b = np.linalg.lstsq(x, z[p:], rcond=None)[0]
     else:
         long = min(n // 4, max(p, q) + math.ceil(math.log(n) ** 1.5))
-        x = np.column_stack([np.ones(n - long), lagm(z, long, long)])
-        e = np.concatenate((np.zeros(long), z[long:] - x @ np.linalg.lstsq(x, z[long:], rcond=None)[0]))
+        e = _long_residuals(z, long)
         t0 = long + q
         x = np.column_stack([np.ones(n - t0), lagm(z, p, t0), lagm(e, q, t0)])
         b = np.linalg.lstsq(x, z[t0:], rcond=None)[0]
-        sse = lambda v: float((_css(v, z, p, q)[p:] ** 2).sum())
-        cur, damp = sse(b), 1e-3
+
+        def sse(v: np.ndarray) -> float:
+            with np.errstate(all="ignore"):
+                return float((_css(v, z, p, q)[p:] ** 2).sum())
+
+        if not math.isfinite(sse(b)):  # over a long series, only from moving averages that aren't invertible
+            b[1 + p :] = 0.0
+        cur, damp, moved = sse(b), 1e-3, True
         for _ in range(60):
-            e0 = _css(b, z, p, q)[p:]
-            j = np.column_stack([(_css(b + h, z, p, q)[p:] - e0) / 1e-6 for h in np.eye(k) * 1e-6])
-            step = np.linalg.solve(j.T @ j + damp * np.diag(np.diag(j.T @ j) + 1e-12), -j.T @ e0)
+            if moved:
+                e0 = _css(b, z, p, q)
+                j = _css_slopes(e0, b, z, p, q)
+                jj, je, moved = j.T @ j, j.T @ e0[p:], False
+            step = np.linalg.solve(jj + damp * np.diag(np.diag(jj) + 1e-12), -je)
             new = sse(b + step)
             if new < cur:
                 done = cur - new < 1e-12 * cur
-                b, cur, damp = b + step, new, damp / 5
+                b, cur, damp, moved = b + step, new, damp / 5, True
                 if done:
                     break
             else:
@@ -224,7 +272,7 @@ def arima(df: DataFrame, y: str, p: int, d: int, q: int, by: Sequence[str], orde
         b = r["beta"]
         return pd.DataFrame([{**head, "const": b[0], "ar": b[1 : 1 + p].tolist(), "ma": b[1 + p :].tolist(), **{k: r[k] for k in ("sigma2", "ll", "aic", "bic", "n", "status")}}])
 
-    return df.groupBy(*by).applyInPandas(fit, schema)
+    return df.select(*dict.fromkeys([*by, *order, y])).groupBy(*by).applyInPandas(fit, schema)
 
 
 def arima_forecast(df: DataFrame, y: str, p: int, d: int, q: int, steps: int, by: Sequence[str], order: Sequence[str], level: float = 0.95, scale: str = "level") -> DataFrame:
@@ -245,7 +293,7 @@ def arima_forecast(df: DataFrame, y: str, p: int, d: int, q: int, steps: int, by
         f, lo, hi = forecast_arima(v, r, p, dd, q, steps, level)
         return pd.DataFrame([{**head, "h": h + 1, "forecast": f[h], "lower": lo[h], "upper": hi[h]} for h in range(steps)])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.select(*dict.fromkeys([*by, *order, y])).groupBy(*by).applyInPandas(run, schema)
 
 
 __all__ = ["ar", "har_rv", "har_features", "var", "var_irf", "var_fevd", "granger_causality", "local_projections", "forecast_eval", "arima", "arima_forecast", "difference", "fit_arima", "forecast_arima", "impulse_responses"]

@@ -1,6 +1,7 @@
 """Identities, exact recovery and known values."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -154,6 +155,30 @@ def test_arima_finds_its_parts():
     assert (lo < level).all() and (level < hi).all() and np.diff(hi - lo).min() > 0
 
 
+def test_arima_recursion_by_blocks():
+    z = normals(8, 700)
+    for p, m in ((0, [0.5]), (1, [-0.9]), (2, [0.3, -0.4]), (1, [0.2, 0.1, 0.4]), (1, [])):
+        beta, q = np.array([0.1, *[0.2] * p, *m]), len(m)
+        e = np.zeros(len(z))
+        for t in range(p, len(z)):
+            e[t] = z[t] - 0.1 - sum(0.2 * z[t - 1 - j] for j in range(p)) - sum(m[j] * e[t - 1 - j] for j in range(min(q, t)))
+        got = tseries._css(beta, z, p, q)
+        assert got == pytest.approx(e, abs=1e-12)
+        apart = np.column_stack([(tseries._css(beta + h, z, p, q) - tseries._css(beta - h, z, p, q)) / 2e-6 for h in np.eye(len(beta)) * 1e-6])
+        assert tseries._css_slopes(got, beta, z, p, q) == pytest.approx(apart[p:], abs=1e-6)
+
+
+def test_arima_over_a_long_series():
+    e = normals(9, 150_000)
+    y = 1.0 + e + 0.4 * np.concatenate(([0.0], e[:-1]))
+    start = time.perf_counter()
+    f = tseries.fit_arima(y, 0, 0, 1)
+    assert time.perf_counter() - start < 5  # a loop over rows takes several times as long
+    assert f["beta"] == pytest.approx([1.0, 0.4], abs=0.02) and f["n"] == len(y)
+    x = np.column_stack([np.ones(len(y) - 3), y[2:-1], y[1:-2], y[:-3]])
+    assert tseries._long_residuals(y, 3)[3:] == pytest.approx(y[3:] - x @ np.linalg.lstsq(x, y[3:], rcond=None)[0], abs=1e-9)
+
+
 def test_garch_fit_and_fold(spark):
     z, h, r = normals(11, 1500), 1.0, []
     for t in range(1500):
