@@ -18,7 +18,9 @@ RATIO = 1.5  # of the ends of a band of set sizes
 TILE = 1024  # classes of a tile that are compared in one task
 KEYS_A_TASK = 1_000_000
 LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
-LEADERS, MORE, STARS, FEW = 2, 4, 3, 64  # leaders of a class in the first and in later rounds, rounds, classes of a tile that are compared at once
+LEADERS, MORE, STARS, FEW = 2, 4, 3, 64  # orders of leaders in the first and in later rounds, rounds, classes of a tile that are compared at once
+NEAREST = 16  # leaders that a class meets in the first round: those that lead most of its keys
+WORTH = 16  # pairs of a later round for each link: where it takes more, tiles do the rest
 KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
 MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4")])
 
@@ -169,7 +171,7 @@ def _parts(k: np.ndarray, o: np.ndarray, to: np.ndarray, m: np.ndarray) -> Itera
 @trimmed
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A bucket's keys (key, class, size): those whose class has one of a near size beside it, or that went to all tasks;
-    and pairs of a class of a key with a leader of it, by one of LEADERS orders of classes."""
+    and pairs of a class of a key with a leader of it, by one of LEADERS orders of classes, and in how many keys."""
     names = ["kind", "a", "b", "c", "d", "e"]
     keys, which, members, often, n = [], [], [], [], 0
 
@@ -215,9 +217,9 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     rank = mix(name[o].view(np.uint64) + mix(k) % np.uint64(LEADERS) * TWO)
     lead = o[np.lexsort((rank, group))[start]][group]  # the first of each key
     ok = (name[lead] != name[o]) & near_size(size[lead], size[o], percent)
-    pairs = np.unique(np.column_stack((name[lead[ok]], name[o[ok]])), axis=0)
+    pairs, times = np.unique(np.column_stack((name[lead[ok]], name[o[ok]])), axis=0, return_counts=True)
     if len(pairs):
-        yield out(PAIR, pairs[:, 0], pairs[:, 1])
+        yield out(PAIR, pairs[:, 0], pairs[:, 1], times.astype(np.int64))
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -390,16 +392,18 @@ class _Join:
     def links(self) -> DataFrame:
         """Links that span the components: of the leaders of each key first, then of what is still apart in a tile."""
         percent = self.percent
-        stars = self.found.filter(F.col("kind") == PAIR).select(F.col("a"), F.col("b"), F.col("a").alias("g")).distinct()
+        led = self.found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("times"))
+        best = led.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("times"), "a"))), 1, NEAREST)["a"].alias("by"))
+        stars = stash(best.select(F.explode("by").alias("a"), "b").withColumn("g", F.col("a")), "jaccard-stars")
         texts = self.texts(stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))))
         maybe = stash(self.possible(stars, texts), "jaccard-maybe")
         links = self.verify(maybe, texts)
-        drop(maybe)
+        drop(maybe, stars)
         tiles = self.open_tiles(self.found.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("n")), links)
         drop(texts)
         count = tiles.count()
         texts = self.texts(tiles.select("cls")) if count else None
-        for salt in range(1, STARS):  # classes of larger tiles meet other leaders, as long as that connects any
+        for salt in range(1, STARS):  # classes of larger tiles meet other leaders, as long as that connects a good part
             many = tiles.filter(F.col("size") > FEW)
             if not count or not many.limit(1).count():
                 break
@@ -407,14 +411,15 @@ class _Join:
             lead = many.groupBy("key").agg(F.min_by(F.struct("cls", "n", "root"), order).alias("l"))
             near = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
             pairs = many.join(lead, "key").filter((F.col("root") != F.col("l.root")) & near).select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), F.col("l.cls").alias("g")).distinct()
+            pairs = stash(pairs, "jaccard-stars")
             maybe = stash(self.possible(pairs, texts), "jaccard-maybe")
             more = self.verify(maybe, texts)
-            drop(maybe)
-            if not more.limit(1).count():
-                break
+            worth = WORTH * more.count() >= pairs.count()
             after = stash(links.unionByName(more), "jaccard-links")
-            drop(links, more)
+            drop(maybe, pairs, links, more)
             links = after
+            if not worth:
+                break
             now = self.open_tiles(tiles.select("key", "cls", "n"), links)
             drop(tiles)
             tiles, count = now, now.count()
@@ -443,10 +448,15 @@ class _Join:
         return out
 
     def open_tiles(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
-        """(key, class, size, root, classes of the key) of the keys whose classes aren't all connected."""
+        """(key, class, size, root, classes of the key) of the keys whose classes aren't all connected; of keys that have the
+        same classes, one. Their sums of two hashes tell: 128 bits, and no class can cancel another."""
         roots = components(links).select(F.col("node").alias("cls"), "root")
         rooted = tiles.join(roots, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+        hashes = [F.xxhash64("cls", F.lit(salt)) for salt in (1, 2)]
+        halves = [h for x in hashes for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))]
+        names = [F.sum(h).alias(f"h{k}") for k, h in enumerate(halves)]
+        keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), *names).filter("lo <> hi")
+        apart = keys.groupBy("size", "h0", "h1", "h2", "h3").agg(F.min("key").alias("key")).select("key", "size")
         return stash(rooted.join(apart, "key"), "jaccard-open")
 
     def result(self) -> DataFrame:
@@ -476,8 +486,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     compared exactly, as sorted arrays of 64-bit hashes; equal sets are one class and are compared once, however many rows.
 
     candidate_keys gives any linked pair a key in common. Each key is a tile: only sets that share a key, and are of near
-    sizes, are compared. First each class of a tile meets the tile's leader; classes that such links connect need no more
-    comparison (the others in tiles of over FEW classes meet other leaders, while that connects any), so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
+    sizes, are compared. First each class meets those that lead most of its tiles; classes that such links connect need no more
+    comparison (the others in tiles of over FEW classes meet other leaders, while that connects a good part), so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
     with classes that are still apart, pairs that sizes and bitmaps let link are compared; tiles over TILE classes are
     split by bands of sizes and pairs of blocks. A key that is frequent in a batch is dealt to all tasks. Texts travel
     only to the comparisons that bounds leave over.

@@ -259,6 +259,31 @@ def test_jaccard_where_frequent_keys_chain_all_texts(spark, monkeypatch, n, perc
     assert got == brute_classes(rows, n, percent)
 
 
+def test_jaccard_is_exact_with_few_pairs_of_leaders(spark, monkeypatch):
+    """A class meets NEAREST leaders at most, a round that connects little is the last, and tiles find the other links."""
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "LOCAL", 3)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "WORTH", 0)
+    asked, real = [], jaccard._Join.possible
+    monkeypatch.setattr(jaccard._Join, "possible", lambda self, pairs, texts: asked.append([r["b"] for r in pairs.collect()]) or real(self, pairs, texts))
+    rows = chained(random.Random(8))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df, 5, 80).collect())
+    assert got == brute_classes(rows, 5, 80)
+    assert len(asked) == 2 and asked[0] and max(Counter(asked[0]).values()) == 1
+
+
+def test_jaccard_keys_with_the_same_classes_are_one_tile(spark):
+    sets = {1: [10, 20], 2: [10, 20], 3: [10, 30], 4: [10, 20, 30], 5: [40, 50], 6: [20, 20, 20, 30], 7: [10, 10, 20, 30], 8: [30, 10, 20]}
+    tiles = spark.createDataFrame([(k, c, 9) for k, cs in sets.items() for c in cs], "key long, cls long, n long")
+    links = spark.createDataFrame([(40, 50)], "a long, b long")
+    got = defaultdict(list)
+    for r in jaccard._Join.open_tiles(None, tiles, links).collect():
+        got[r["key"]].append((r["cls"], r["size"], r["root"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted((c, len(sets[k]), c) for c in sets[k]) for k in (1, 3, 4, 6, 7)}
+
+
 def test_jaccard_names_that_collide(corpus, monkeypatch):
     df, rows = corpus
     real = jaccard.class_of
