@@ -21,6 +21,7 @@ LOCAL = 16  # classes of a batch from which on a key is dealt to all tasks
 LEADERS, MORE, STARS, FEW = 2, 4, 3, 64  # orders of leaders in the first and in later rounds, rounds, classes of a tile that are compared at once
 NEAREST = 16  # leaders that a class meets in the first round: those that lead most of its keys
 WORTH = 16  # pairs of a later round for each link: where it takes more, tiles do the rest
+DENSE = 8  # partners that bitmaps leave to a class of a tile, on average, beyond which each class asks its nearest first
 KEY, ROW, ROW_NO_ID, PAIR, SPREAD = 0, 1, 2, 3, 4
 MEMBER = np.dtype([("cls", "<i8"), ("n", "<i4")])
 
@@ -88,6 +89,12 @@ def may_link(a, b, apart, percent: int):
     return 100 * most >= percent * (a + b - most)
 
 
+def most_alike(a, b, apart):
+    """The highest Jaccard similarity that sets of sizes a and b can have that differ in ``apart`` elements at least."""
+    most = (a + b - apart) // 2
+    return most / (a + b - most)
+
+
 def class_of(h: np.ndarray, salt: int = 0) -> tuple[int, int]:
     """Two independent names of a set: equal sets, whatever their texts, are one class. The first is its id, the second a check."""
     if not len(h):
@@ -245,15 +252,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, partners) of the sets of a tile that sizes and bitmaps let link and that aren't connected yet.
+def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent: int, block: np.ndarray | None = None, prior: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners, how alike each can be) of the sets of a tile that sizes and bitmaps let link and that aren't connected yet.
 
     By size, smallest first: partners are at most 100 / percent times as large. ``block``: only pairs of unlike blocks.
+    ``prior``: of two such sets another tile has the pair.
     """
     order = np.lexsort((root, n))
     n, root = n[order], root[order]
     words = np.array([len(sigs[i]) for i in order])
     block = None if block is None else block[order]
+    prior = None if prior is None or not prior.any() else prior[order]
     folded: dict[int, np.ndarray] = {}
     for i in range(len(order)):
         hi = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
@@ -261,6 +270,8 @@ def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent:
         j = j[root[j] != root[i]]
         if block is not None:
             j = j[block[j] != block[i]]
+        if prior is not None and prior[i]:
+            j = j[~prior[j]]
         if not len(j):
             continue
         w = int(words[i])
@@ -268,31 +279,60 @@ def tile_pairs(n: np.ndarray, root: np.ndarray, sigs: list[np.ndarray], percent:
             folded = {w: np.stack([np.bitwise_xor.reduce(sigs[x].reshape(-1, w), axis=0) if len(sigs[x]) >= w else np.zeros(w, np.uint64) for x in order])}
         sig = folded[w]
         apart = np.bitwise_count(sig[j] ^ sig[i]).sum(1, dtype=np.int64)
-        j = j[may_link(n[i], n[j], apart, percent)]
+        ok = may_link(n[i], n[j], apart, percent)
+        j, apart = j[ok], apart[ok]
         if len(j):
-            yield int(order[i]), order[j]
+            yield int(order[i]), order[j], most_alike(n[i], n[j], apart)
+
+
+def nearest(pairs: Iterator[tuple[int, np.ndarray, np.ndarray]], root: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a tile, from its pairs: the sets that have partners, outside the largest component; the most alike partner of
+    each, how alike they can be, the number of partners, and whether the largest component has any of them."""
+    roots, sizes = np.unique(root, return_counts=True)
+    main = root == roots[np.argmax(sizes)]
+    mate, alike, others, meets = np.zeros(len(root), np.int64), np.full(len(root), -1.0), np.zeros(len(root), np.int64), np.zeros(len(root), bool)
+    for i, j, most in pairs:
+        others[i] += len(j)
+        others[j] += 1
+        meets[i] |= main[j].any()
+        meets[j] |= main[i]
+        k = int(np.argmax(most))
+        if most[k] > alike[i]:
+            mate[i], alike[i] = j[k], most[k]
+        more = most > alike[j]
+        mate[j[more]], alike[j[more]] = i, most[more]
+    at = np.flatnonzero((others > 0) & ~main)
+    return at, mate[at], alike[at], others[at], np.where(meets[at], roots[np.argmax(sizes)], root[at])
 
 
 @trimmed
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile: (tile, cross, class, size, root, block, bitmap). Gives pairs (a, b, root of a)."""
-    tile, cross, rows = None, False, []
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile: (tile, key, cross, class, size, root, block, prior, bitmap). Gives pairs (a, b, root of a); if
+    ``first``, a row at most for each that came, but for the largest component of a tile: (key, class, root, most alike
+    partner, its root, how alike, partners, the largest component where it has partners, else the class's own)."""
+    names = ["key", "cls", "root", "mate", "mroot", "alike", "others", "met"] if first else ["a", "b", "g"]
+    tile, key, cross, rows = None, 0, False, []
 
     def close():
         if len(rows) < 2:
             return
-        c, n, root, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        for i, j in tile_pairs(n, root, [np.frombuffer(r[4], np.uint64) for r in rows], percent, block if cross else None):
+        c, n, root, block, prior = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        pairs = tile_pairs(n, root, [np.frombuffer(r[5], np.uint64) for r in rows], percent, block if cross else None, prior > 0)
+        if first:
+            at, mate, alike, others, met = nearest(pairs, root)
+            yield np.full(len(at), key, np.int64), c[at], root[at], c[mate], root[mate], alike, others, met
+            return
+        for i, j, _ in pairs:
             lo = root[j] < root[i]
             yield np.where(lo, c[j], c[i]), np.where(lo, c[i], c[j]), np.where(lo, root[j], root[i])
 
     def out(parts):
-        cols = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "g"])
+        cols = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if x == "alike" else pa.int64()) for x, c in zip(names, cols)], names=names)
 
     for b in batches:
         parts, size = [], 0
-        for t, x, *r in zip(*[b.column(k).to_pylist() for k in range(7)]):
+        for t, at, x, *r in zip(*[b.column(k).to_pylist() for k in range(9)]):
             if t != tile:
                 for p in close():
                     parts.append(p)
@@ -300,7 +340,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                     if size > 100_000:
                         yield out(parts)
                         parts, size = [], 0
-                tile, cross, rows = t, x, []
+                tile, key, cross, rows = t, at, x, []
             rows.append(r)
         yield out(parts)
     for p in close():
@@ -423,29 +463,57 @@ class _Join:
             now = self.open_tiles(tiles.select("key", "cls", "n"), links)
             drop(tiles)
             tiles, count = now, now.count()
+        # of dense groups, classes ask those first that may be most alike: one that links spares all others of its component
+        dense = bool(count)
+        while dense:
+            near = stash(self.compared(tiles, texts, True), "jaccard-near")
+            seen = near.agg(F.count(F.lit(1)).alias("rows"), F.sum("others").alias("others")).first()
+            # a class that isn't in near has no partner, but may be one where it belongs to the largest component
+            asking, met = near.select("key", "cls").distinct(), near.select("key", F.col("met").alias("root")).distinct()
+            left = tiles.join(asking, ["key", "cls"], "left_semi").unionByName(tiles.join(met, ["key", "root"], "left_semi")).distinct()
+            dense, count = (seen["others"] or 0) > DENSE * seen["rows"], seen["rows"]
+            if dense:
+                asks = near.groupBy("cls", "root").agg(F.max_by(F.struct("mate", "mroot"), F.struct("alike", "mate")).alias("m"))
+                lo = F.col("m.mroot") < F.col("root")
+                asks = asks.select(F.when(lo, F.col("m.mate")).otherwise(F.col("cls")).alias("a"), F.when(lo, F.col("cls")).otherwise(F.col("m.mate")).alias("b"), F.least("root", "m.mroot").alias("g"))
+                asks = stash(asks.distinct(), "jaccard-asks")
+                more = self.verify(asks, texts)
+                dense = WORTH * more.count() >= asks.count()
+                after = stash(links.unionByName(more), "jaccard-links")
+                now = self.open_tiles(left.select("key", "cls", "n"), after)
+                count = now.count()
+                drop(asks, links, more)
+                links = after
+            else:
+                now = stash(left, "jaccard-open")
+            drop(tiles, near)
+            tiles, dense = now, dense and count > 0
         if not count:
-            drop(tiles)
+            drop(tiles, texts)
             return links
-        # a large tile falls into bands of sizes: a set is in its own and in the next, so linked sets meet; large bands
-        # into blocks, each of which meets each
+        pairs = stash(self.compared(tiles, texts, False).distinct(), "jaccard-pairs")
+        more = self.verify(pairs, texts)
+        out = stash(links.unionByName(more), "jaccard-links")
+        drop(tiles, texts, pairs, links, more)
+        return out
+
+    def compared(self, tiles: DataFrame, texts: DataFrame, first: bool) -> DataFrame:
+        """What _tiles gives of the open tiles. A large tile falls into bands of sizes: a set is in its own and in the next
+        (as prior: pairs of such sets are their own band's), so linked sets meet; large bands into blocks, each of which meets each."""
+        percent = self.percent
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
-        large = stash(tiles.filter(f"size > {TILE}").withColumn("band", F.explode(F.array(band, band + 1))), "jaccard-large")
-        blocks = large.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE / 2)).cast("int").alias("blocks"))
+        large = tiles.filter(f"size > {TILE}").withColumn("prior", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("prior"))
+        blocks = large.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE / 2)).cast("int").alias("blocks"), F.min("prior").alias("least")).filter("least = 0")
         dealt = large.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         name = F.concat_ws(":", F.col("key").cast("string"), F.col("band").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
         # where a block meets itself, all pairs; else those of unlike blocks
-        dealt = dealt.select(name.alias("tile"), (F.col("block") != F.col("other")).alias("cross"), "cls", "n", "root", F.col("block").cast("long").alias("block"))
-        both = F.col("tile").alias("tile"), F.col("cross").alias("cross"), "cls", "n", "root", "block"
-        small = tiles.filter(f"size <= {TILE}").select(F.col("key").cast("string").alias("tile"), F.lit(False).alias("cross"), "cls", "n", "root", F.lit(0).cast("long").alias("block"))
-        members = small.unionByName(dealt.select(*both))
-        rows = members.join(texts.select("cls", "sig"), "cls").select("tile", "cross", "cls", "n", "root", "block", "sig")
+        dealt = dealt.select(name.alias("tile"), "key", (F.col("block") != F.col("other")).alias("cross"), "cls", "n", "root", F.col("block").cast("long").alias("block"), "prior")
+        small = tiles.filter(f"size <= {TILE}").select(F.col("key").cast("string").alias("tile"), "key", F.lit(False).alias("cross"), "cls", "n", "root", F.lit(0).cast("long").alias("block"), F.lit(0).alias("prior"))
+        rows = small.unionByName(dealt).join(texts.select("cls", "sig"), "cls").select("tile", "key", "cross", "cls", "n", "root", "block", "prior", "sig")
         rows = rows.repartition(self.parts, "tile").sortWithinPartitions("tile")
-        pairs = stash(rows.mapInArrow(lambda b: _tiles(b, percent), "a long, b long, g long").distinct(), "jaccard-pairs")
-        more = self.verify(pairs, texts)
-        out = stash(links.unionByName(more), "jaccard-links")
-        drop(tiles, large, texts, pairs, links, more)
-        return out
+        schema = "key long, cls long, root long, mate long, mroot long, alike double, others long, met long" if first else "a long, b long, g long"
+        return rows.mapInArrow(lambda b: _tiles(b, percent, first), schema)
 
     def open_tiles(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
         """(key, class, size, root, classes of the key) of the keys whose classes aren't all connected; of keys that have the
@@ -488,8 +556,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     candidate_keys gives any linked pair a key in common. Each key is a tile: only sets that share a key, and are of near
     sizes, are compared. First each class meets those that lead most of its tiles; classes that such links connect need no more
     comparison (the others in tiles of over FEW classes meet other leaders, while that connects a good part), so that a large group of near copies, whose tiles are all alike, costs a few comparisons a member. Of tiles
-    with classes that are still apart, pairs that sizes and bitmaps let link are compared; tiles over TILE classes are
-    split by bands of sizes and pairs of blocks. A key that is frequent in a batch is dealt to all tasks. Texts travel
+    with classes that are still apart, pairs that sizes and bitmaps let link are compared: where they are many, first each
+    class with the one that bitmaps let be most alike, by rounds, as long as that connects a good part; then all pairs that are
+    left apart. Tiles over TILE classes are split by bands of sizes and pairs of blocks. A key that is frequent in a batch is dealt to all tasks. Texts travel
     only to the comparisons that bounds leave over.
 
     Rows without words have 0 shingles and only themselves. Ids are integers (else a TypeError); rows with a null id link,

@@ -274,6 +274,51 @@ def test_jaccard_is_exact_with_few_pairs_of_leaders(spark, monkeypatch):
     assert len(asked) == 2 and asked[0] and max(Counter(asked[0]).values()) == 1
 
 
+def test_jaccard_dense_group_asks_the_nearest_first(spark, monkeypatch):
+    """Of near copies that leaders leave apart, pairs grow with the classes, not with their square, and no link is lost."""
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    asked, real = [], jaccard._Join.verify
+    monkeypatch.setattr(jaccard._Join, "verify", lambda self, pairs, texts: asked.append(pairs.count()) or real(self, pairs, texts))
+    made, compared = [], jaccard._Join.compared
+    monkeypatch.setattr(jaccard._Join, "compared", lambda self, tiles, texts, first: made.append((first, (rows := compared(self, tiles, texts, first)).count())) or rows)
+    rng = random.Random(4)
+    base, rows = prose_words(rng, 150), []
+    for i in range(240):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 3):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(df, 5, 80).collect())
+    assert got == brute_classes(rows, 5, 80)
+    assert sum(asked) <= 4 * len(rows), (asked, made)
+    assert made[0][0] and made[0][1] and not made[-1][0], made
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_jaccard_nearest_partners_of_a_tile(cross):
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[: 100 - k % 7], rng.integers(0, 2**63, k % 5, dtype=np.uint64)))) for k in range(60)]
+    n = np.array([len(x) for x in sets])
+    root, block, prior = (np.array([f(k) for k in range(60)]) for f in (lambda k: 0 if k < 30 else k - k % 3, lambda k: k % 2, lambda k: k % 4 == 0))
+    sigs = [jaccard.parity(x, 2048) for x in sets]
+    want = defaultdict(dict)
+    for i in range(60):
+        for j in range(60):
+            apart = int(np.bitwise_count(sigs[i] ^ sigs[j]).sum())
+            if root[i] != root[j] and not (prior[i] and prior[j]) and not (cross and block[i] == block[j]) and jaccard.near_size(n[i], n[j], 90) and jaccard.may_link(n[i], n[j], apart, 90):
+                want[i][j] = jaccard.most_alike(n[i], n[j], apart)
+    pairs = list(jaccard.tile_pairs(n, root, sigs, 90, block if cross else None, prior))
+    assert {(i, int(j)) for i, js, _ in pairs for j in js} | {(int(j), i) for i, js, _ in pairs for j in js} == {(i, j) for i in want for j in want[i]}
+    got = {i: (m, a, o, met) for i, m, a, o, met in zip(*(x.tolist() for x in jaccard.nearest(iter(pairs), root)))}
+    assert set(got) == {i for i in want if root[i]}
+    for i, (mate, alike, others, met) in got.items():
+        assert want[i][mate] == alike == max(want[i].values()) and others == len(want[i])
+        assert met == (0 if any(root[j] == 0 for j in want[i]) else root[i])
+
+
 def test_jaccard_keys_with_the_same_classes_are_one_tile(spark):
     sets = {1: [10, 20], 2: [10, 20], 3: [10, 30], 4: [10, 20, 30], 5: [40, 50], 6: [20, 20, 20, 30], 7: [10, 10, 20, 30], 8: [30, 10, 20]}
     tiles = spark.createDataFrame([(k, c, 9) for k, cs in sets.items() for c in cs], "key long, cls long, n long")
