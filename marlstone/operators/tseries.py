@@ -173,11 +173,74 @@ def _css(beta: np.ndarray, z: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate((np.zeros(p), _unfold(u, beta[1 + p :])))
 
 
-def _css_slopes(e: np.ndarray, beta: np.ndarray, z: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Derivatives of the residuals e from row p on by each of beta: they follow the recursion that the residuals do."""
+def _css_slopes(e: np.ndarray, beta: np.ndarray, z: np.ndarray, p: int, q: int, first: int = 0) -> np.ndarray:
+    """Derivatives of the residuals e from row p on by each of beta, from number first on: they follow the recursion that
+    the residuals do."""
     x = [np.ones(len(z) - p), *[z[p - j : len(z) - j] for j in range(1, p + 1)]]
     x += [np.concatenate((np.zeros(max(0, j - p)), e[max(0, p - j) : len(e) - j])) for j in range(1, q + 1)]
-    return np.column_stack([_unfold(-c, beta[1 + p :]) for c in x])
+    return np.column_stack([_unfold(-c, beta[1 + p :]) for c in x[first:]])
+
+
+def _averages(r: np.ndarray) -> np.ndarray:
+    """Moving averages from partial autocorrelations; invertible where these lie between -1 and 1, all that are come so."""
+    m = np.empty(0)
+    for x in r:
+        m = np.concatenate((m + x * m[::-1], [x]))
+    return m
+
+
+def _partials(m: np.ndarray) -> np.ndarray:
+    """The inverse of _averages; roots outside the unit circle are mirrored in it first, and those near it drawn in."""
+    roots = np.roots(np.concatenate(([1.0], m))).astype(complex)
+    roots = np.where(abs(roots) > 1, roots / np.maximum(abs(roots), 1) ** 2, roots)
+    m, r = np.poly(roots / np.maximum(abs(roots) / 0.98, 1)).real[1:], []
+    while len(m):
+        r.append(m[-1])
+        m = (m[:-1] - m[-1] * m[:-1][::-1]) / (1 - m[-1] ** 2)
+    return np.array(r[::-1])
+
+
+def _css_at(m: np.ndarray, z: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[const, ar.., ma..] of the least conditional squares that moving averages allow (a linear problem), its residuals
+    and their slopes by const and ar."""
+    b = np.concatenate((np.zeros(1 + p), m))
+    x, e = _css_slopes(z, b, z, p, 0), _css(b, z, p, len(m))
+    r = np.linalg.qr(np.column_stack((x, e[p:])), mode="r")
+    size = np.linalg.norm(r[:, :-1], axis=0)
+    size[size == 0] = 1.0
+    b[: 1 + p] = -np.linalg.lstsq(r[:, :-1] / size, r[:, -1], rcond=None)[0] / size
+    e[p:] += x @ b[: 1 + p]
+    return b, e, x
+
+
+def _fit_css(m: np.ndarray, z: np.ndarray, p: int) -> tuple[np.ndarray, bool]:
+    """[const, ar.., ma..] of the least conditional squares near m with invertible moving averages, and whether the steps
+    came to their end: damped Gauss-Newton on the arctanh w of partial autocorrelations, so that no step leaves the unit circle."""
+    w = np.arctanh(_partials(m))
+    q, damp, moved = len(w), 1e-3, True
+    b, e, x = _css_at(_averages(np.tanh(w)), z, p)
+    cur = float(e @ e)
+    for _ in range(500):
+        if moved:
+            r, k = np.tanh(w), np.arange(q)
+            turn = np.column_stack([_averages(np.where(k == i, 1.0, r)) - _averages(np.where(k == i, -1.0, r)) for i in k]) / 2 * np.cosh(w) ** -2.0
+            j = np.column_stack((x, _css_slopes(e, b, z, p, q, 1 + p) @ turn))
+            size = np.linalg.norm(j, axis=0)
+            size[size == 0] = 1.0
+            jj, je, moved = j.T @ j / np.outer(size, size), j.T @ e[p:] / size, False
+        step = (np.linalg.solve(jj + damp * np.eye(len(jj)), -je) / size)[1 + p :]
+        step /= max(1.0, abs(step).max())
+        if damp <= 1 and abs(je[1 + p :] * size[1 + p :] @ step) <= 1e-13 * cur:
+            return b, True
+        new = _css_at(_averages(np.tanh(w + step)), z, p)
+        if float(new[1] @ new[1]) < cur:
+            w, (b, e, x), damp, moved = w + step, new, max(damp / 5, 1e-9), True
+            cur = float(e @ e)
+        else:
+            damp *= 5
+            if damp > 1e8:
+                return b, True
+    return b, False
 
 
 def _long_residuals(z: np.ndarray, lags: int) -> np.ndarray:
@@ -192,10 +255,10 @@ def _long_residuals(z: np.ndarray, lags: int) -> np.ndarray:
 
 
 def fit_arima(y: np.ndarray, p: int, d: int, q: int) -> dict:
-    """Least squares for q = 0; else a long autoregression's residuals start it, and conditional squares are minimised by
-    damped Gauss-Newton steps."""
+    """The series is differenced d times. Least squares for q = 0; else a long autoregression's residuals start it, and
+    conditional squares are minimised over invertible moving averages by damped Gauss-Newton steps."""
     z = np.diff(y, d) if d else np.asarray(y, float)
-    n, k = len(z), 1 + p + q
+    n, k, ended = len(z), 1 + p + q, True
     if n < p + q + 10:
         return {"status": "too few rows"}
     lagm = lambda s, m, t0: np.column_stack([s[t0 - j : len(s) - j] for j in range(1, m + 1)]) if m else np.empty((len(s) - t0, 0))
@@ -208,35 +271,12 @@ def fit_arima(y: np.ndarray, p: int, d: int, q: int) -> dict:
         t0 = long + q
         x = np.column_stack([np.ones(n - t0), lagm(z, p, t0), lagm(e, q, t0)])
         b = np.linalg.lstsq(x, z[t0:], rcond=None)[0]
-
-        def sse(v: np.ndarray) -> float:
-            with np.errstate(all="ignore"):
-                return float((_css(v, z, p, q)[p:] ** 2).sum())
-
-        if not math.isfinite(sse(b)):  # over a long series, only from moving averages that aren't invertible
-            b[1 + p :] = 0.0
-        cur, damp, moved = sse(b), 1e-3, True
-        for _ in range(60):
-            if moved:
-                e0 = _css(b, z, p, q)
-                j = _css_slopes(e0, b, z, p, q)
-                jj, je, moved = j.T @ j, j.T @ e0[p:], False
-            step = np.linalg.solve(jj + damp * np.diag(np.diag(jj) + 1e-12), -je)
-            new = sse(b + step)
-            if new < cur:
-                done = cur - new < 1e-12 * cur
-                b, cur, damp, moved = b + step, new, damp / 5, True
-                if done:
-                    break
-            else:
-                damp *= 5
-                if damp > 1e8:
-                    break
+        b, ended = _fit_css(b[1 + p :], z, p)
     e = _css(b, z, p, q)[p:]
     t = len(e)
     s2 = float((e**2).sum() / (t - k))
     ll = -0.5 * t * (math.log(2 * math.pi) + math.log(max(1e-300, float((e**2).mean()))) + 1)
-    return {"status": "ok", "beta": b, "sigma2": s2, "ll": ll, "aic": -2 * ll + 2 * (k + 1), "bic": -2 * ll + math.log(t) * (k + 1), "n": t, "z": z, "resid": np.concatenate((np.zeros(p), e))}
+    return {"status": "ok" if ended else "not converged", "beta": b, "sigma2": s2, "ll": ll, "aic": -2 * ll + 2 * (k + 1), "bic": -2 * ll + math.log(t) * (k + 1), "n": t, "z": z, "resid": np.concatenate((np.zeros(p), e))}
 
 
 def forecast_arima(y: np.ndarray, fit: dict, p: int, d: int, q: int, steps: int, level: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,14 +300,14 @@ def forecast_arima(y: np.ndarray, fit: dict, p: int, d: int, q: int, steps: int,
 
 
 def arima(df: DataFrame, y: str, p: int, d: int, q: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """A fit for each series; a series must fit in a worker."""
+    """A fit of ARIMA(p, d, q) for each series; a series must fit in a worker."""
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "const double, ar array<double>, ma array<double>, sigma2 double, ll double, aic double, bic double, n long, status string"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {k: pdf[k].iloc[0] for k in by}
         r = fit_arima(pdf.sort_values(list(order))[y].dropna().to_numpy(float), p, d, q)
-        if r["status"] != "ok":
+        if "beta" not in r:
             return pd.DataFrame([{**head, "const": None, "ar": None, "ma": None, "sigma2": None, "ll": None, "aic": None, "bic": None, "n": len(pdf), "status": r["status"]}])
         b = r["beta"]
         return pd.DataFrame([{**head, "const": b[0], "ar": b[1 : 1 + p].tolist(), "ma": b[1 + p :].tolist(), **{k: r[k] for k in ("sigma2", "ll", "aic", "bic", "n", "status")}}])
@@ -288,7 +328,7 @@ def arima_forecast(df: DataFrame, y: str, p: int, d: int, q: int, steps: int, by
         else:
             dd = d
         r = fit_arima(v, p, dd, q)
-        if r["status"] != "ok":
+        if "beta" not in r:
             return pd.DataFrame(columns=[*by, "h", "forecast", "lower", "upper"])
         f, lo, hi = forecast_arima(v, r, p, dd, q, steps, level)
         return pd.DataFrame([{**head, "h": h + 1, "forecast": f[h], "lower": lo[h], "upper": hi[h]} for h in range(steps)])

@@ -447,7 +447,7 @@ def arima_110(spark, d):
 
 @register("arima_111")
 def arima_111(spark, d):
-    return tseries.arima(_events(spark, d), "value", 1, 0, 1, ["event_type"], BY_TIME)
+    return tseries.arima(_events(spark, d), "value", 1, 1, 1, ["event_type"], BY_TIME)
 
 
 @register("arima_forecast", f"""WITH RECURSIVE {ARIMA}, e AS (SELECT user_id, arg_max(value, k) AS y, arg_max(z, k) AS z FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) t GROUP BY 1),

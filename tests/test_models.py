@@ -179,6 +179,43 @@ def test_arima_over_a_long_series():
     assert tseries._long_residuals(y, 3)[3:] == pytest.approx(y[3:] - x @ np.linalg.lstsq(x, y[3:], rcond=None)[0], abs=1e-9)
 
 
+def test_arima_111_is_of_differences(spark):
+    from marlstone import catalog
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").toPandas()
+    got = {r["event_type"]: r for r in catalog.queries()["arima_111"](spark, sf).collect()}
+    assert set(got) == set(events["event_type"])
+    for kind, rows in events.groupby("event_type"):
+        y = rows["value"].to_numpy(float)
+        r, want = got[kind], tseries.fit_arima(y[1:] - y[:-1], 1, 0, 1)
+        assert r["n"] == len(y) - 2 and r["status"] == "ok"  # a row is the first difference's, one the lag's
+        assert [r["const"], *r["ar"], *r["ma"]] == pytest.approx(list(want["beta"]), abs=1e-9) and r["sigma2"] == pytest.approx(want["sigma2"])
+
+
+@pytest.mark.parametrize("seed", (28, 29, 30, 32, 35, 121))
+def test_arima_of_noise_differenced_once_too_often(seed):
+    """Noise's differences have a moving average at -1, and by zeros before the start conditional squares fall on beyond it."""
+    y = 50 + normals(seed, 200)
+    f = tseries.fit_arima(y, 1, 1, 1)
+    z, least = np.diff(y), math.inf
+    for m in np.linspace(-1, 1, 201):
+        x = np.zeros((len(z), 3))  # what the recursion makes of the constant, the lag and the series
+        for t in range(1, len(z)):
+            x[t] = [1.0, z[t - 1], z[t]] - m * x[t - 1]
+        b = np.linalg.lstsq(x[:, :2], x[:, 2], rcond=None)[0]
+        least = min(least, float(((x[:, 2] - x[:, :2] @ b) ** 2).sum()))
+    assert f["status"] == "ok" and abs(f["beta"][2]) <= 1
+    assert float((f["resid"] ** 2).sum()) <= least * (1 + 1e-9)
+
+
+def test_arima_partials_and_back():
+    for r in ([0.5], [0.3, -0.7], [-0.9, 0.2, 0.6]):
+        m = tseries._averages(np.array(r))
+        assert abs(np.roots([1.0, *m])).max() < 1 and tseries._partials(m) == pytest.approx(r)
+    assert tseries._partials(np.array([2.0])) == pytest.approx([0.5])
+
+
 def test_garch_fit_and_fold(spark):
     z, h, r = normals(11, 1500), 1.0, []
     for t in range(1500):
